@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat
+from imprynt.llm import chat, simhash
 
-MODULES = [chat]
+MODULES = [simhash, chat]
 
 
 def queries() -> dict:
