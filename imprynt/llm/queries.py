@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat, simhash
+from imprynt.llm import chat, langid, simhash
 
-MODULES = [simhash, chat]
+MODULES = [simhash, chat, langid]
 
 
 def queries() -> dict:
