@@ -63,9 +63,9 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
     partition in order. The template must be one loop over messages, with nothing around it."""
 
     def render(frames):
-        make = _compiled(template)
+        make, out = _compiled(template), []
         for conv, rows in groupby(_rows(frames, ["c", "r", "x"]), key=lambda t: _none(t[0])):
-            out, at = [], 0
+            at = 0
             for seq, (_, role, text) in enumerate(rows):
                 pieces, spans, here = [], [], at
                 for piece, inside in make({"messages": ({"role": role, "text": text},)}):
@@ -75,11 +75,11 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
                     here += len(piece)
                 out.append((conv, seq, "".join(pieces), at, spans))
                 at = here
-                if len(out) == 500:
+                if len(out) == 2000:
                     yield _frame(out, TURNS)
                     out = []
-            if out:
-                yield _frame(out, TURNS)
+        if out:
+            yield _frame(out, TURNS)
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("c"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x"), F.col("turn").alias("t"))
     return rows.repartition("c").sortWithinPartitions("c", "t", "r", "x").mapInPandas(render, TURNS)
