@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat, langid, simhash
+from imprynt.llm import chat, langid, packing, simhash
 
-MODULES = [simhash, chat, langid]
+MODULES = [simhash, packing, chat, langid]
 
 
 def queries() -> dict:
