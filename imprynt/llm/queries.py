@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat, langid, packing, simhash
+from imprynt.llm import chat, decontaminate, langid, packing, simhash
 
-MODULES = [simhash, packing, chat, langid]
+MODULES = [simhash, decontaminate, packing, chat, langid]
 
 
 def queries() -> dict:
