@@ -32,7 +32,7 @@ NAME = "op2_simhash"
 GENERATOR = 0b110001110101
 SHIFTS, WIDTHS = (42, 21, 0), (22, 21, 21)
 PAIRS = ((0, 1), (0, 2), (1, 2))
-SMALL, BLOCK = 24, 2048
+SMALL, BLOCK = 48, 2048
 
 
 def simhash(text: bytes, words: int = 4) -> int:
@@ -149,10 +149,9 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     components are those of all such links."""
     pairs = written(keyed(fps), "keys")
     sizes = pairs.groupBy("key").count()
-    few = sizes.where(F.col("count").between(2, SMALL)).select("key")
     many = sizes.where(F.col("count") > SMALL).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
 
-    a = pairs.join(few, "key")
+    a = pairs.join(many, "key", "left_anti")
     b = a.select("key", F.col("fp").alias("other"))
     near = a.join(b, "key").where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most))
     near = near.select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
