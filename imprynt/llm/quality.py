@@ -8,9 +8,10 @@ n-grams with the model in shards: an n-gram belongs to the shard of its two byte
 a position meet in one shard (orders 1 and 2, at most 65,792 rows, are in each). A shard holds at
 most SHARD rows and is broadcast alone; each document's partial sums are added up.
 
-A document is kept if its perplexity is at most its language's limit: the QUANTILE of the trusted
-documents' perplexities in that language (over bins of BIN in log2), widened by MARGIN. Languages
-of fewer than FEW trusted documents, and null, use the limit over all trusted documents.
+One in HELD_OUT trusted documents is kept out of training and sets the limits. A document is kept
+if its perplexity is at most its language's limit: the QUANTILE of the held-out documents'
+perplexities in that language (over bins of BIN in log2), widened by MARGIN bits. Languages of
+fewer than FEW held-out documents, and null, use the limit over all of them.
 
 Null or empty text has no perplexity and is not kept. Repeated rows (equal doc_id, text and lang)
 give one row. Without trusted text the model is uniform and every document with text is kept.
@@ -28,7 +29,7 @@ from imprynt.llm.common import byte_view, runs, table, written
 
 NAME = "op4_quality"
 ORDER, SHARD = 5, 4_000_000
-QUANTILE, MARGIN, BIN, FEW = 0.99, 0.05, 1 / 256, 20
+QUANTILE, MARGIN, BIN, FEW, HELD_OUT = 0.99, 0.25, 1 / 256, 20, 5
 MODEL = "n int, code long, logp double, logback double"
 
 
@@ -253,9 +254,10 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     """(doc_id, h, lang, bytes, perplexity, most, keep) of docs, one row for equal (doc_id, text, lang); h is xxhash64 of the text."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")).where("q = 1 and t = 0").select("doc_id")
     base = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    model = train(base.join(good, "doc_id", "left_semi").where(F.length("text") > 0), order)
+    aside = F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0
+    model = train(base.join(good.where(~aside), "doc_id", "left_semi").where(F.length("text") > 0), order)
     scored = written(scores(base, model, order), "scores")
-    per, every = limits(scored.join(good, "doc_id", "left_semi"), quantile)
+    per, every = limits(scored.join(good.where(aside), "doc_id", "left_semi"), quantile)
     out = scored.join(per, "lang", "left").withColumn("most", F.coalesce("most", F.lit(every)))
     keep = (F.col("bits") <= F.col("most")) & (F.col("bytes") > 0)
     return out.select("doc_id", "h", "lang", "bytes", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "most").alias("most"), F.coalesce(keep, F.lit(False)).alias("keep"))
