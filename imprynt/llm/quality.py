@@ -29,7 +29,7 @@ from imprynt.llm.common import byte_view, runs, table, written
 
 NAME = "op4_quality"
 ORDER, SHARD = 5, 4_000_000
-QUANTILE, MARGIN, BIN, FEW, HELD_OUT = 0.99, 0.25, 1 / 256, 20, 5
+QUANTILE, MARGIN, BIN, FEW, HELD_OUT = 0.98, 0.3, 1 / 256, 20, 5
 MODEL = "n int, code long, logp double, logback double"
 
 

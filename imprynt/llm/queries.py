@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat, decontaminate, langid, packing, quality, simhash
+from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, simhash
 
-MODULES = [simhash, decontaminate, quality, packing, chat, langid]
+MODULES = [simhash, decontaminate, quality, lines, packing, chat, langid]
 
 
 def queries() -> dict:
