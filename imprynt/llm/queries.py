@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, simhash
+from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, simhash, syncmers
 
-MODULES = [simhash, decontaminate, quality, lines, packing, chat, langid]
+MODULES = [simhash, decontaminate, quality, lines, packing, chat, langid, syncmers]
 
 
 def queries() -> dict:
