@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, simhash, syncmers
+from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, simhash, syncmers, warc
 
-MODULES = [simhash, decontaminate, quality, lines, packing, chat, langid, syncmers]
+MODULES = [warc, simhash, decontaminate, quality, lines, packing, chat, langid, syncmers]
 
 
 def queries() -> dict:
