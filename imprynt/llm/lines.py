@@ -27,7 +27,7 @@ from imprynt.llm.common import table, written
 NAME = "op5_line_dedup"
 ENDS = r"(?<=[.!?,;:]\s|\n)"
 LEAST = 40
-KEY = ["__i", "__h"]
+KEY = ["__line_id", "__line_hash"]
 
 
 def split_lines(text: Column) -> Column:
@@ -35,7 +35,7 @@ def split_lines(text: Column) -> Column:
 
 
 def _started(lines: DataFrame) -> DataFrame:
-    """lines(__i, __h, lines) with `starts`, the first line (from 0) of each chunk. Each step is a projection
+    """lines(key, lines) with `starts`, the first line (from 0) of each chunk. Each step is a projection
     of its own: a lambda that looks into an array must find a column, not an expression to be made again."""
     h = F.transform("lines", lambda x: F.conv(F.substring(F.md5(F.trim(x)), 1, 8), 16, 10).cast("long"))
     r = F.transform(F.slice("h", 2, F.size("h") - 1), lambda b, j: (F.get("h", j) * 31 + b) % 4294967296)  # r[j] is r(j + 1)
@@ -46,7 +46,7 @@ def _started(lines: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__i", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__h", F.xxhash64("text"))
+    return docs.withColumn("__line_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__line_hash", F.xxhash64("text"))
 
 
 def _trimmed(lines: Column) -> Column:
@@ -54,7 +54,7 @@ def _trimmed(lines: Column) -> Column:
 
 
 def chunks(texts: DataFrame) -> DataFrame:
-    """(__i, __h, at, n, chunk): first line, number of lines and hash of every chunk of two or more lines."""
+    """(key, at, n, chunk): first line, number of lines and hash of every chunk of two or more lines."""
     lines = texts.where("text is not null").select(*KEY, split_lines(F.col("text")).alias("lines"))
     starts = _started(lines)
     each = F.transform(
@@ -66,7 +66,7 @@ def chunks(texts: DataFrame) -> DataFrame:
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """(__i, __h, gone): the lines (from 0) that go, for documents that lose any; texts(__i, __h, text)."""
+    """(key, gone): the lines (from 0) that go, for documents that lose any; texts(key, text)."""
     rows = written(chunks(texts), "chunks")
     twice = rows.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk")
     found = rows.join(twice, "chunk").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n", "chunk")).alias("found"))
@@ -74,22 +74,23 @@ def repeats(texts: DataFrame) -> DataFrame:
     cut = F.transform("found", lambda f: F.struct(f["at"].alias("at"), f["n"].alias("n"), _trimmed(F.slice("lines", f["at"] + 1, f["n"])).alias("bytes")))
     held = held.select(*KEY, F.explode(cut).alias("f")).select(*KEY, "f.at", "f.n", "f.bytes").where(F.length("bytes") >= LEAST)
     held = written(held, "candidates")
-    place = F.struct(F.length("__i").alias("l"), "__i", "__h", "at")
+    place = F.struct(F.length("__line_id").alias("l"), "__line_id", "__line_hash", "at")
     first = held.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("bytes", "first")
     gone = held.join(first, "bytes").where(place != F.col("first"))
-    return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("gone"))
+    return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("__gone"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, and n_lines, removed_lines; other columns as they are."""
+    """docs with repeated chunks taken out of text, and n_lines, removed_lines (which replace columns of
+    those names); other columns as they are."""
     named = keyed(docs)
     gone = written(repeats(named.select(*KEY, "text")), "gone")
     lines = split_lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "")
     out = named.join(gone, KEY, "left")
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines")]
-    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
+    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_lines")]
+    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed_lines")], *counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
