@@ -80,8 +80,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("__gone"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, and n_lines, removed_lines (which replace columns of
+def deduplicated(docs: DataFrame, names: tuple[str, str] = ("n_lines", "removed_lines")) -> DataFrame:
+    """docs with repeated chunks taken out of text, and two counts, called `names` (they replace columns of
     those names); other columns as they are."""
     named = keyed(docs)
     gone = written(repeats(named.select(*KEY, "text")), "gone")
@@ -89,8 +89,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "")
     out = named.join(gone, KEY, "left")
     new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_lines")]
-    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed_lines")], *counts)
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names[0]), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(names[1])]
+    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names], *counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
