@@ -1,8 +1,8 @@
 """Operator 5, line dedup: repeated content-defined chunks of lines go, except where they first occur.
 
 A line ends at a newline or at a punctuation mark and the white space after it, so that a passage
-set inside a paragraph has lines of its own; lines joined give the text back. Each line has a
-32-bit hash of its trimmed bytes; r(i) rolls over the hashes of lines i - 1 and i. A chunk begins
+set inside a paragraph has lines of its own; lines joined give the text back. Each line has the
+CRC-32 of its trimmed bytes; r(i) rolls over the hashes of lines i - 1 and i. A chunk begins
 where r is smaller than at both neighbours, which depends on four lines only: inserting or deleting
 text elsewhere moves no boundary, and no chunk has fewer than two lines. (Ties: the left one.)
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from imprynt.llm.common import table, written
 
 NAME = "op5_line_dedup"
-ENDS = r"(?<=[.!?,;:]\s|\n)"
+ENDS = r"(?<=\s)(?<=[.!?,;:]\s|\n)"
 LEAST = 40
 KEY = ["__line_id", "__line_hash"]
 
@@ -37,7 +37,7 @@ def split_lines(text: Column) -> Column:
 def _started(lines: DataFrame) -> DataFrame:
     """lines(key, lines) with `starts`, the first line (from 0) of each chunk. Each step is a projection
     of its own: a lambda that looks into an array must find a column, not an expression to be made again."""
-    h = F.transform("lines", lambda x: F.conv(F.substring(F.md5(F.trim(x)), 1, 8), 16, 10).cast("long"))
+    h = F.transform("lines", lambda x: F.crc32(F.trim(x)))
     r = F.transform(F.slice("h", 2, F.size("h") - 1), lambda b, j: (F.get("h", j) * 31 + b) % 4294967296)  # r[j] is r(j + 1)
     low = F.transform("r", lambda x, j: F.when((j > 0) & (j < F.size("r") - 1) & (x < F.get("r", j - 1)) & (x <= F.get("r", j + 1)), j + 1))
     starts = F.concat(F.array(F.lit(0)), F.filter("low", lambda x: x.isNotNull()))
@@ -80,37 +80,38 @@ def repeats(texts: DataFrame) -> DataFrame:
     return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("__gone"))
 
 
-def deduplicated(docs: DataFrame, names: tuple[str, str] = ("n_lines", "removed_lines")) -> DataFrame:
-    """docs with repeated chunks taken out of text, and two counts, called `names` (they replace columns of
-    those names); other columns as they are."""
+def deduplicated(docs: DataFrame, count: str = "removed_lines") -> DataFrame:
+    """docs with repeated chunks taken out of text, and how many lines went, called `count` (it replaces a
+    column of that name); other columns as they are."""
     named = keyed(docs)
     gone = written(repeats(named.select(*KEY, "text")), "gone")
-    lines = split_lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "")
+    kept = F.array_join(F.filter(split_lines(F.col("text")), lambda x, i: ~F.array_contains("__gone", i)), "")
     out = named.join(gone, KEY, "left")
     new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names[0]), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(names[1])]
-    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names], *counts)
+    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+    return out.select("doc_id", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
 SQL = rf"""
 with l as (select doc_id, string_split(regexp_replace(text, '([.!?,;:]\s|\n)', '\1' || chr(1), 'g'), chr(1)) as lines from documents where text is not null),
  x as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from l),
- h as (select doc_id, i, line, trim(line, ' ') as t, cast('0x' || substring(md5(trim(line, ' ')), 1, 8) as bigint) as h from x),
+ tab as (select [list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n) for n in range(256)] as tab),
+ crc as (select t, xor(list_reduce([cast('0x' || substring(hex(encode(t)), i, 2) as bigint) for i in range(1, 2 * strlen(t), 2)],
+   lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8), 4294967295::bigint), 4294967295) as crc from (select distinct trim(line, ' ') as t from x), tab),
+ h as (select doc_id, i, line, trim(line, ' ') as t, crc as h from x join crc on crc.t = trim(line, ' ')),
  r as (select *, (lag(h) over d * 31 + h) % 4294967296 as r from h window d as (partition by doc_id order by i)),
  b as (select *, case when r < lag(r) over d and r <= lead(r) over d then 1 else 0 end as b from r window d as (partition by doc_id order by i)),
  c as (select *, sum(b) over (partition by doc_id order by i) as k from b),
  g as (select doc_id, k, min(i) as first, string_agg(t, chr(10) order by i) as bytes from c group by doc_id, k having count(*) > 1),
  n as (select *, row_number() over (partition by bytes order by doc_id, first) as rn from g where length(bytes) >= {LEAST}),
- k as (select c.doc_id, count(*) as n_lines, count(*) filter (rn > 1) as removed_lines,
+ k as (select c.doc_id, count(*) filter (rn > 1) as removed_lines,
          coalesce(string_agg(line, '' order by i) filter (rn is null or rn = 1), '') as text
        from c left join n on n.doc_id = c.doc_id and n.k = c.k group by c.doc_id)
-select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(removed_lines, 0) as removed_lines,
+select d.doc_id, coalesce(removed_lines, 0) as removed_lines,
   cast(length(k.text) as bigint) as kept_chars, md5(k.text) as kept_md5
 from documents d left join k on k.doc_id = d.doc_id
 """
