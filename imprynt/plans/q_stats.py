@@ -313,7 +313,7 @@ def event_rows(spark, sf):
     return events(spark, sf).select(F.col("event_id").alias("id"), F.unix_micros("ts").alias("t"), F.col("user_id").alias("key"))
 
 
-@query("w02_burst_clusters", _burst + ' select cluster, min(t) as start, max(t) as "end", count(*) as files, count(distinct key) as "distinct" from e join sp on t between lo and hi group by cluster')
+@query("w02_burst_clusters", _burst + ' select cast(cluster as bigint) as cluster, min(t) as start, max(t) as "end", count(*) as files, count(distinct key) as "distinct" from e join sp on t between lo and hi group by cluster')
 def _(spark, sf):
     return A.burst_clusters(event_rows(spark, sf), W, K)
 
