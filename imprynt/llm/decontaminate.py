@@ -94,8 +94,13 @@ class Index:
         band = (place - at + self.length[item]) // wide  # a text may start before its first character here
         key = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
         slot = ((key >> 40) * 0x9E3779B1 + (key & (1 << 40) - 1)) & SLOTS - 1
-        key = key[np.bincount(slot, minlength=SLOTS)[slot] >= self.least[key >> 40]]  # several bands may share a slot
-        key, n = np.unique(key, return_counts=True)
+        some = np.bincount(slot, minlength=SLOTS)[slot] >= self.least[key >> 40]  # several bands may share a slot
+        key, at = key[some], np.concatenate([at, at])[some]
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        new = np.ones(len(key), bool)  # a q-gram of the item counts once in a band, however often it is met there
+        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+        key, n = np.unique(key[new], return_counts=True)
         item, band = key >> 40, key & (1 << 40) - 1
         full = n >= self.least[item]
         item, band = item[full], band[full]
