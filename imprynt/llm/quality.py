@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from imprynt.llm.common import byte_view, runs, table, written
 
 NAME = "op4_quality"
-ORDER, SHARD = 5, 4_000_000
+ORDER, SHARD = 5, 2_000_000
 QUANTILE, MARGIN, BIN, FEW, HELD_OUT = 0.98, 0.3, 1 / 256, 20, 5
 MODEL = "n int, code long, logp double, logback double"
 
@@ -130,7 +130,7 @@ class Lookup:
     """A hash table from long keys to floats, probed linearly, in numpy."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, (len(keys) * 3 // 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
         at, left = self._slot(keys), np.arange(len(keys))
@@ -164,14 +164,15 @@ class Lookup:
 class Shard:
     """The part of a model that the positions of one shard need."""
 
-    def __init__(self, rows: pd.DataFrame, order: int, shard: int, shards: int):
+    def __init__(self, rows: pa.Table, order: int, shard: int, shards: int):
         self.order, self.shard, self.shards = order, shard, shards
+        n_of, code = rows["n"].to_numpy(), rows["code"].to_numpy()
         self.p, self.back = {}, {}
-        for n in range(1, order + 1):
-            own = rows[rows["n"] == n]
-            for into, name in ((self.p, "logp"), (self.back, "logback")):
-                some = own[own[name].notna()]
-                into[n] = Lookup(some["code"].to_numpy(np.int64), some[name].to_numpy(np.float32))
+        for into, name in ((self.p, "logp"), (self.back, "logback")):
+            value = rows[name].to_numpy()
+            for n in range(1, order + 1):
+                some = (n_of == n) & ~np.isnan(value)
+                into[n] = Lookup(code[some], value[some].astype(np.float32))
 
     def logp(self, code: np.ndarray) -> np.ndarray:
         """log p of the last byte of each code of `order` bytes, backing off where an order is unseen."""
@@ -226,8 +227,8 @@ def scores(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     home = F.pmod(F.shiftright(two.bitwiseAND(F.lit(0xFFFF)) * 40503, 4), F.lit(shards))
     for k in range(shards):
         own = model.where((F.col("n") <= 2) | (home == k))
-        frame = own.select("n", "code", "logp", "logback").toPandas()  # about SHARD rows at most
-        part = partial_scores(texts, spark.sparkContext.broadcast(Shard(frame, order, k, shards)), order)
+        rows_of = own.select("n", "code", F.col("logp").cast("float"), F.col("logback").cast("float")).toArrow()  # about SHARD rows at most
+        part = partial_scores(texts, spark.sparkContext.broadcast(Shard(rows_of, order, k, shards)), order)
         parts = part if parts is None else parts.unionByName(part)
     parts = parts.groupBy("doc_id", "h", "lang").agg(F.sum("logp").alias("logp"), F.sum("bytes").alias("bytes"))
     bits = -F.col("logp") / F.col("bytes") / float(np.log(2))
