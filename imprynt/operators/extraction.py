@@ -1 +1,242 @@
+"""Extraction: graphs to normalised rows (stages, model chains, LoRA uses, prompts, generations)."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from imprynt.functions import scalars as S
+from imprynt.operators import graph as G
+
+# Warning codes by the stage that writes them.
+EXTRACTION_CODES = ("UNSUPPORTED_SUBGRAPH", "NO_OUTPUT_NODE", "MULTIPLE_OUTPUT_BRANCHES", "GRAPH_CYCLE", "NO_SAMPLER", "UNKNOWN_MODEL_PATCH", "MODEL_CHAIN_BROKEN", "UNUSED_LORA", "MULTIPLE_PROMPT_SOURCES", "HEURISTIC_PROMPT", "PROMPT_UNRESOLVED", "GENERATED_PROMPT")
+READ_CODES = ("TRUNCATED", "METADATA_KEY_MISMATCH", "UNSUPPORTED_FORMAT", "THUMBNAIL_FAILED", "TIMESTAMP_SUSPECT")
 INFORMATIONAL = ("UNUSED_LORA", "UNKNOWN_MODEL_PATCH", "NO_SAMPLER", "GENERATED_PROMPT")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One condition of a family: all of its given keys must match."""
+
+    family: str
+    unet: str | None = None
+    ckpt: str | None = None
+    clip_type: str | None = None
+    node_class: str | None = None
+
+
+# Model families, the first rule that matches wins.
+FAMILY_RULES = (
+    Rule("qwen-image-2.1", unet=r"(?i)qwen[_-]?image[_-]?2\.1"), Rule("qwen-image-2.1", node_class="^TextEncodeQwenImage21$"),
+    Rule("qwen-image", unet=r"(?i)qwen[_-]?image"), Rule("qwen-image", clip_type="qwen_image"),
+    Rule("krea-2", clip_type="krea2"), Rule("krea-2", unet=r"(?i)krea[_-]?2"), Rule("krea-2-api", node_class="^Krea2ImageNode$"),
+    Rule("flux1-krea", unet="(?i)krea"), Rule("flux", unet="(?i)flux"), Rule("flux", clip_type="flux"), Rule("ideogram", node_class="(?i)^ideogram"),
+)
+
+
+def match_family(loader_kind: Column, loader_name: Column, clip_type: Column, classes: Column, rules: tuple[Rule, ...] = FAMILY_RULES) -> Column:
+    """The family of the first rule that holds, else null; classes is an array of class names."""
+    out = None
+    for r in rules:
+        c = F.lit(True)
+        c = c & (loader_kind == "unet") & loader_name.rlike(r.unet) if r.unet else c
+        c = c & (loader_kind == "ckpt") & loader_name.rlike(r.ckpt) if r.ckpt else c
+        c = c & (clip_type == r.clip_type) if r.clip_type else c
+        c = c & F.exists(classes, lambda x, r=r: x.rlike(r.node_class)) if r.node_class else c
+        out = F.when(F.coalesce(c, F.lit(False)), r.family) if out is None else out.when(F.coalesce(c, F.lit(False)), r.family)
+    return out
+
+
+def sampler_stages(nodes: DataFrame, order: DataFrame) -> DataFrame:
+    """(file_id, stage_index, node_id, class_type): samplers in graph order, 0 is the primary one; order(file_id, node_id, rank)."""
+    s = nodes.where(G.role_of() == "sampler").join(order.where("rank >= 0"), ["file_id", "node_id"])
+    return s.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("rank", "node_id")) - 1).alias("stage_index"), "node_id", "class_type")
+
+
+def _field(literals: DataFrame, names: tuple[str, ...], kind: str, out: str) -> DataFrame:
+    return literals.where(F.col("input").isin(list(names)) & F.col(kind).isNotNull()).groupBy("file_id", "node_id").agg(F.min(kind).alias(out))
+
+
+def stage_settings(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame) -> DataFrame:
+    """stages with seed, steps, cfg, sampler_name, scheduler, denoise: the sampler's own input, else that of the
+    noise, guider, sampler or sigmas node linked to it; an unknown source of the last two gives its class name."""
+    sat = edges.where(F.col("input").isin("noise", "guider", "sampler", "sigmas")).select("file_id", F.col("dst").alias("node_id"), "input", "src")
+    out = stages
+    for name, inputs, kind, via in (("seed", ("seed", "noise_seed"), "num", "noise"), ("steps", ("steps",), "num", "sigmas"), ("cfg", ("cfg", "cfg_conds"), "num", "guider"), ("denoise", ("denoise",), "num", "sigmas"), ("sampler_name", ("sampler_name",), "str", "sampler"), ("scheduler", ("scheduler",), "str", "sigmas")):
+        own = _field(literals, inputs, kind, "__own")
+        far = sat.where(F.col("input") == via).join(_field(literals, inputs, kind, "__far").withColumnRenamed("node_id", "src"), ["file_id", "src"], "left").join(nodes.select("file_id", F.col("node_id").alias("src"), F.col("class_type").alias("__class")), ["file_id", "src"], "left")
+        fall = F.when(~F.col("__class").isin("KSamplerSelect", "BasicScheduler"), F.col("__class")) if name in ("sampler_name", "scheduler") else F.lit(None).cast("double" if kind == "num" else "string")
+        far = far.groupBy("file_id", "node_id").agg(F.min(F.coalesce("__far", fall)).alias("__far"))
+        out = out.join(own, ["file_id", "node_id"], "left").join(far, ["file_id", "node_id"], "left").withColumn(name, F.coalesce("__own", "__far")).drop("__own", "__far")
+    return out
+
+
+def model_chain(stages: DataFrame, nodes: DataFrame, edges: DataFrame, inactive: DataFrame) -> DataFrame:
+    """(file_id, stage_index, node_id, class_type, role, depth): the nodes a sampler's model comes through, nearest first."""
+    chain = G.follow_input(stages.select("file_id", F.col("node_id").alias("start")).distinct(), nodes, edges, inactive, "model")
+    named = chain.join(nodes.select("file_id", "node_id", "class_type", G.role_of().alias("role")), ["file_id", "node_id"])
+    return named.join(stages.select("file_id", "stage_index", F.col("node_id").alias("start")), ["file_id", "start"]).select("file_id", "stage_index", "node_id", "class_type", "role", "depth")
+
+
+def chain_summary(chain: DataFrame, literals: DataFrame) -> DataFrame:
+    """(file_id, stage_index, loader, base_model, loader_kind, shift, broken): the loader at the end, the shift of the
+    patch nearest the sampler."""
+    shift = literals.where("input = 'shift'").select("file_id", "node_id", F.col("num").alias("shift"))
+    name = literals.where("input in ('unet_name', 'ckpt_name')").select("file_id", "node_id", F.col("str").alias("model"), F.when(F.col("input") == "unet_name", "unet").otherwise("ckpt").alias("kind"))
+    full = chain.join(shift, ["file_id", "node_id"], "left").join(name, ["file_id", "node_id"], "left")
+    out = full.groupBy("file_id", "stage_index").agg(F.max(F.when(F.col("role") == "model_loader", F.struct("depth", "node_id", "model", "kind"))).alias("l"), F.min(F.when(F.col("shift").isNotNull(), F.struct("depth", "shift"))).alias("s"))
+    return out.select("file_id", "stage_index", F.col("l.node_id").alias("loader"), S.model_stem(F.col("l.model")).alias("base_model"), F.col("l.kind").alias("loader_kind"), F.col("s.shift").alias("shift"), F.col("l").isNull().alias("broken"))
+
+
+def lora_uses(chain: DataFrame, nodes: DataFrame, literals: DataFrame) -> DataFrame:
+    """(file_id, stage_index, node_id, position, name, base_name, step, strength_model, strength_clip, reachable): LoRAs
+    numbered from the loader outward; those on no chain have no stage and position."""
+    field = lambda n, kind, out: literals.where(F.col("input") == n).select("file_id", "node_id", F.col(kind).alias(out))
+    on = chain.where("role = 'lora'").withColumn("position", F.row_number().over(Window.partitionBy("file_id", "stage_index").orderBy(F.desc("depth"))) - 1).select("file_id", "stage_index", "node_id", "position")
+    off = nodes.where(G.role_of() == "lora").join(on, ["file_id", "node_id"], "left_anti").select("file_id", F.lit(None).cast("int").alias("stage_index"), "node_id", F.lit(None).cast("int").alias("position"))
+    both = on.unionByName(off).join(field("lora_name", "str", "raw"), ["file_id", "node_id"], "left").join(field("strength_model", "num", "strength_model"), ["file_id", "node_id"], "left").join(field("strength_clip", "num", "strength_clip"), ["file_id", "node_id"], "left")
+    x = S.lora_base_step(S.model_stem("raw"))
+    return both.select("file_id", "stage_index", "node_id", "position", S.model_stem("raw").alias("name"), x["base"].alias("base_name"), x["step"].alias("step"), "strength_model", "strength_clip", F.col("position").isNotNull().alias("reachable"))
+
+
+def trace_prompts(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame, side: str) -> DataFrame:
+    """(file_id, stage_index, prompt, encoders): the texts of the encoders that a stage's conditioning comes from,
+    in order of their ids, joined by an empty line; a zeroed branch gives nothing."""
+    stop = nodes.where(G.role_of().isin("text_encoder", "conditioning_zero")).select("file_id", "node_id")
+    first = G.resolve_switches(edges.where(F.col("input") == side), nodes, edges, inactive).select("file_id", "dst", F.col("past").alias("node_id")).where("node_id is not null")
+    starts = stages.select("file_id", "stage_index", F.col("node_id").alias("dst")).join(first, ["file_id", "dst"]).select("file_id", "stage_index", "node_id")
+    live = edges.where("input like 'cond%' or input in ('on_true', 'on_false')").join(inactive.select("file_id", F.col("node_id").alias("dst"), "input"), ["file_id", "dst", "input"], "left_anti").join(stop.withColumnRenamed("node_id", "dst"), ["file_id", "dst"], "left_anti")
+    met = G._folded(live, starts, ["file_id", "stage_index"]).select("file_id", "stage_index", F.explode(G._upstream("e", "roots")).alias("node_id"))
+    enc = met.join(nodes.where(G.role_of() == "text_encoder").select("file_id", "node_id"), ["file_id", "node_id"], "left_semi")
+    slots = enc.withColumn("input", F.explode(F.array(*map(F.lit, ("text", "prompt", "t5xxl", "clip_l")))))
+    texts = G.resolve_strings(slots.select("file_id", "node_id", "input").distinct(), nodes, edges, literals, inactive).where("text <> ''").groupBy("file_id", "node_id").agg(F.max_by("text", F.struct(F.col("input") != "clip_l")).alias("text"))
+    out = enc.join(texts, ["file_id", "node_id"], "left").groupBy("file_id", "stage_index").agg(F.array_sort(F.collect_list(F.struct("node_id", "text"))).alias("t"))
+    return out.select("file_id", "stage_index", F.expr("array_join(transform(filter(t, x -> x.text is not null), x -> x.text), '\n\n')").alias("prompt"), F.expr("transform(t, x -> x.node_id)").alias("encoders"))
+
+
+def guidance(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame) -> DataFrame:
+    """(file_id, stage_index, guidance): of the nearest node upstream of a conditioning that has the input, positive first."""
+    has = literals.where("input = 'guidance'").select("file_id", F.col("node_id"), F.col("num").alias("guidance"))
+    sides = edges.where("input in ('positive', 'negative')").select("file_id", F.col("dst").alias("node_id"), "input", "src")
+    near = stages.join(sides, ["file_id", "node_id"]).select("file_id", "stage_index", "input", F.col("src").alias("node_id")).join(has, ["file_id", "node_id"])
+    return near.groupBy("file_id", "stage_index").agg(F.max_by("guidance", "input").alias("guidance"))
+
+
+def text_encoders(traces: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame) -> DataFrame:
+    """(file_id, stage_index, text_encoder, clip_type): the clip loaders behind the encoders, distinct stems joined by " + "."""
+    enc = traces.select("file_id", "stage_index", F.explode("encoders").alias("start"))
+    clip = G.follow_input(enc.select("file_id", "start").distinct(), nodes, edges, inactive, "clip").join(nodes.where(G.role_of() == "clip_loader").select("file_id", "node_id"), ["file_id", "node_id"], "left_semi")
+    names = literals.where("input in ('clip_name', 'clip_name1', 'clip_name2', 'clip_name3')").select("file_id", "node_id", "input", S.model_stem("str").alias("stem"))
+    kind = literals.where("input = 'type'").select("file_id", "node_id", F.col("str").alias("type"))
+    full = enc.join(clip, ["file_id", "start"]).join(names, ["file_id", "node_id"]).join(kind, ["file_id", "node_id"], "left")
+    out = full.groupBy("file_id", "stage_index").agg(F.array_sort(F.collect_set(F.struct("start", "input", "stem"))).alias("n"), F.min("type").alias("clip_type"))
+    return out.select("file_id", "stage_index", F.array_join(F.array_distinct(F.transform("n", lambda x: x["stem"])), " + ").alias("text_encoder"), "clip_type")
+
+
+def vae(outputs: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame) -> DataFrame:
+    """(file_id, vae): that of the decoder nearest an output, else of any loader."""
+    decode = G.nearest_role(edges, nodes, outputs.select("file_id", F.col("node_id").alias("start")), "vae_decode").select("file_id", F.col("node_id").alias("dst"))
+    near = decode.join(edges.where("input = 'vae'"), ["file_id", "dst"]).select("file_id", F.col("src").alias("node_id"), F.lit(0).alias("p"))
+    every = nodes.where(G.role_of() == "vae_loader").select("file_id", "node_id", F.lit(1).alias("p"))
+    name = literals.where("input = 'vae_name'").select("file_id", "node_id", S.model_stem("str").alias("vae"))
+    return near.unionByName(every).join(name, ["file_id", "node_id"]).groupBy("file_id").agg(F.min_by("vae", F.struct("p", "node_id")).alias("vae"))
+
+
+def latent_source(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame) -> DataFrame:
+    """(file_id, latent_source, batch_size) of the primary stage."""
+    first = stages.where("stage_index = 0").select("file_id", F.col("node_id").alias("dst"))
+    past = G.resolve_switches(edges.where("input = 'latent_image'"), nodes, edges, inactive).join(first, ["file_id", "dst"], "left_semi").select("file_id", F.col("past").alias("node_id"))
+    size = literals.where("input = 'batch_size'").select("file_id", "node_id", F.col("num").cast("bigint").alias("batch_size"))
+    return past.join(nodes, ["file_id", "node_id"]).join(size, ["file_id", "node_id"], "left").select("file_id", F.col("class_type").alias("latent_source"), "batch_size")
+
+
+def input_images(nodes: DataFrame, literals: DataFrame) -> DataFrame:
+    """(file_id, node_id, filename, sha256): image inputs; the digest only where it is one."""
+    one = nodes.where(G.role_of() == "image_input").select("file_id", "node_id").join(literals.where("input in ('image', 'sha256')"), ["file_id", "node_id"])
+    return one.groupBy("file_id", "node_id").agg(F.max(F.when(F.col("input") == "image", F.col("str"))).alias("filename"), F.max(F.when((F.col("input") == "sha256") & F.col("str").rlike("^[0-9a-fA-F]{64}$"), F.lower("str"))).alias("sha256"))
+
+
+def collapse_adjacent(df: DataFrame, partition: list[str], order: str, column: str) -> DataFrame:
+    """df without rows whose column equals that of the row before."""
+    before = F.lag(column).over(Window.partitionBy(*partition).orderBy(order))
+    first = F.row_number().over(Window.partitionBy(*partition).orderBy(order)) == 1
+    return df.withColumn("__keep", first | ~before.eqNullSafe(F.col(column))).where("__keep").drop("__keep")
+
+
+def pipeline_family(stages: DataFrame) -> DataFrame:
+    """(file_id, model_family): known families of the stages in order, neighbouring repeats once, joined by " + "."""
+    once = collapse_adjacent(stages.where("family is not null"), ["file_id"], "stage_index", "family")
+    return once.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage_index", "family"))), lambda x: x["family"]), " + ").alias("model_family"))
+
+
+def generator_prompt(nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame) -> DataFrame:
+    """(file_id, prompt): of the nodes that make the image themselves, in files without a sampler."""
+    own = nodes.join(nodes.where(G.role_of() == "sampler"), "file_id", "left_anti").where(G.role_of() == "generator").select("file_id", "node_id", F.lit("prompt").alias("input"))
+    return G.resolve_strings(own, nodes, edges, literals, inactive).where("text is not null").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "\n\n").alias("prompt"))
+
+
+def lora_stack_key(loras: DataFrame, decimals: int = 2) -> DataFrame:
+    """(file_id, stage_index, lora_stack_key): name@strength in order of position; loras(..., enabled, reachable)."""
+    one = F.concat(F.col("name"), F.lit("@"), F.coalesce(F.format_string(f"%.{decimals}f", F.bround("strength_model", decimals)), F.lit("?")))
+    used = loras.where("reachable and enabled").groupBy("file_id", "stage_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", one.alias("k")))), lambda x: x["k"]), " + ").alias("k"))
+    return used.withColumnRenamed("k", "lora_stack_key")
+
+
+def generation_key(graph_map: Column) -> Column:
+    """16 digits over a graph's canonical form: entries of a map<string,string> in key order."""
+    entries = F.array_sort(F.map_entries(graph_map))
+    return F.substring(F.md5(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("\x1f"), e["value"])), "\x1e")), 1, 16)
+
+
+def canonical_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, generation_key) from the node and edge tables."""
+    held = edges.groupBy("file_id", F.col("dst").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "input", "src"))), ",").alias("i"))
+    text = nodes.join(held, ["file_id", "node_id"], "left").select("file_id", F.concat_ws("|", "node_id", "class_type", F.coalesce("i", F.lit(""))).alias("n"))
+    return text.groupBy("file_id").agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("n")), "\n")), 1, 16).alias("generation_key"))
+
+
+def stage_prompts(traces: DataFrame) -> DataFrame:
+    """(file_id, stage_prompts): prompts of later stages that differ from the first's, not blank, each once in order."""
+    first = traces.where("stage_index = 0").select("file_id", F.col("prompt").alias("base"))
+    later = traces.where("stage_index > 0").join(first, "file_id", "left").where("trim(prompt) <> '' and not (prompt <=> base)")
+    once = later.groupBy("file_id", "prompt").agg(F.min("stage_index").alias("i"))
+    return once.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "prompt"))), lambda x: x["prompt"]), "\n\n").alias("stage_prompts"))
+
+
+def generations(settings: DataFrame, chains: DataFrame, positive: DataFrame, negative: DataFrame, encoders: DataFrame, vaes: DataFrame, latents: DataFrame, stacks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row for each file, from its primary stage."""
+    key = ["file_id", "stage_index"]
+    classes = nodes.groupBy("file_id").agg(F.collect_set("class_type").alias("classes"))
+    count = settings.groupBy("file_id").agg(F.count("*").alias("stage_count"))
+    out = settings.where("stage_index = 0").join(chains, key, "left").join(positive.select(*key, F.col("prompt").alias("positive_prompt")), key, "left").join(negative.select(*key, F.col("prompt").alias("negative_prompt")), key, "left")
+    out = out.join(encoders, key, "left").join(stacks, key, "left").join(vaes, "file_id", "left").join(latents, "file_id", "left").join(classes, "file_id").join(count, "file_id")
+    family = match_family(F.col("loader_kind"), F.col("base_model"), F.col("clip_type"), F.col("classes"))
+    return out.select("file_id", family.alias("model_family"), "base_model", "text_encoder", "clip_type", "vae", "seed", "steps", "cfg", "sampler_name", "scheduler", "denoise", "shift", "stage_count", "latent_source", "batch_size", "positive_prompt", "negative_prompt", F.coalesce("lora_stack_key", F.lit("(none)")).alias("lora_stack_key"))
+
+
+def extraction_errors(edges: DataFrame) -> DataFrame:
+    """(file_id, code, node_id, message): files whose graph cannot be ordered; the others go on."""
+    return G.cyclic(edges).select("file_id", F.lit("GRAPH_CYCLE").alias("code"), F.lit(None).cast("string").alias("node_id"), F.concat(F.lit("cycle among "), F.col("stuck")).alias("message"))
+
+
+def collect_warnings(*parts: DataFrame) -> DataFrame:
+    """(file_id, code, node_id, message) of all parts, each once."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates()
+
+
+def unused_lora_warnings(uses: DataFrame) -> DataFrame:
+    return uses.where("not reachable").select("file_id", F.lit("UNUSED_LORA").alias("code"), "node_id", F.concat(F.lit("not used: "), F.col("name")).alias("message"))
+
+
+def inspect_documents(files: DataFrame, gens: DataFrame, nodes: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(file_id, document): one file as JSON: facts, extraction, nodes in order, warnings."""
+    n = nodes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "class_type"))).alias("nodes"))
+    w = warnings.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("code", "node_id"))).alias("warnings"))
+    facts = files.select(F.col("id").alias("file_id"), F.struct(*[c for c in files.columns if c != "id"]).alias("file"))
+    g = gens.select("file_id", F.struct(*[c for c in gens.columns if c != "file_id"]).alias("extraction"))
+    return facts.join(g, "file_id", "left").join(n, "file_id", "left").join(w, "file_id", "left").select("file_id", F.to_json(F.struct("file", "extraction", "nodes", "warnings")).alias("document"))

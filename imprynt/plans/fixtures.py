@@ -65,6 +65,31 @@ union all select o_orderkey, d, i, s from orders cross join (values
   ('7','samples','6'),('7','vae','3'),('8','images','7')) e(d,i,s)
 union all select o_orderkey, '6', 'model', coalesce(cast(100+m as varchar(20)),'1')
   from orders left join lst on lst.f = o_orderkey""",
+    "v_literals": """
+with r as (select l_orderkey f, l_partkey pk, l_suppkey sk, l_quantity q, row_number() over (partition by l_orderkey
+             order by l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity) rn from lineitem)
+select f as file_id, cast(100+rn as varchar(20)) as node_id, 'lora_name' as input,
+  concat('loras/part-',cast(pk % 40 as varchar(20)),'_',lpad(cast(1000*(sk % 5) as varchar(20)),9,'0'),'.safetensors') as str, cast(null as double) as num, cast(null as boolean) as bool from r
+union all select f, cast(100+rn as varchar(20)), 'strength_model', cast(null as varchar(20)), q/10, cast(null as boolean) from r
+union all select o_orderkey, '1', 'unet_name', concat(case o_custkey % 4 when 0 then 'flux' when 1 then 'qwen_image' when 2 then 'krea2' else 'other' end, cast(o_custkey % 12 as varchar(20)), '.safetensors'), null, null from orders
+union all select o_orderkey, '2', 'clip_name', concat('dir/clip-', cast(o_custkey % 3 as varchar(20)), '.safetensors'), null, null from orders
+union all select o_orderkey, '2', 'type', case when o_custkey % 5 = 0 then 'qwen_image' else 'sd3' end, null, null from orders
+union all select o_orderkey, '3', 'vae_name', 'vae.sft', null, null from orders
+union all select o_orderkey, '4', 'text', concat('order of ', cast(o_custkey as varchar(20))), null, null from orders
+union all select o_orderkey, '5', 'batch_size', null, 1 + o_orderkey % 2, null from orders
+union all select o_orderkey, '6', 'seed', null, o_custkey % 300, null from orders
+union all select o_orderkey, '6', 'steps', null, 8 + o_orderkey % 25, null from orders
+union all select o_orderkey, '6', 'cfg', null, (o_custkey % 9) / 2.0E0, null from orders
+union all select o_orderkey, '6', 'sampler_name', concat('sampler-', cast(o_custkey % 5 as varchar(20))), null, null from orders""",
+    "v_switch_nodes": """
+select file_id, node_id, class_type from v_nodes
+union all select o_orderkey, '50', 'ComfySwitchNode' from orders where o_orderkey % 4 = 0
+union all select o_orderkey, '51', 'PrimitiveBoolean' from orders where o_orderkey % 4 = 0""",
+    "v_switch_edges": """
+select file_id, dst, case when file_id % 4 = 0 and dst = '6' and input = 'model' then 'on_true' else input end as input, src, case when file_id % 4 = 0 and dst = '6' and input = 'model' then '50' else dst end as to_id from v_edges
+union all select o_orderkey, '6', 'model', '50', '6' from orders where o_orderkey % 4 = 0
+union all select o_orderkey, '50', 'on_false', '1', '50' from orders where o_orderkey % 4 = 0
+union all select o_orderkey, '50', 'switch', '51', '50' from orders where o_orderkey % 4 = 0""",
     "v_blobs": """
 select concat('e',cast(event_id as varchar(20))) as file_id, 'prompt' as key, props as text from events
 union all select concat('p',cast(o_orderkey as varchar(20))), 'workflow',
