@@ -36,6 +36,10 @@ FAMILY_RULES = (
 )
 
 
+def _like(regex: str):
+    return lambda x: x.rlike(regex)
+
+
 def match_family(loader_kind: Column, loader_name: Column, clip_type: Column, classes: Column, rules: tuple[Rule, ...] = FAMILY_RULES) -> Column:
     """The family of the first rule that holds, else null; classes is an array of class names."""
     out = None
@@ -44,7 +48,7 @@ def match_family(loader_kind: Column, loader_name: Column, clip_type: Column, cl
         c = c & (loader_kind == "unet") & loader_name.rlike(r.unet) if r.unet else c
         c = c & (loader_kind == "ckpt") & loader_name.rlike(r.ckpt) if r.ckpt else c
         c = c & (clip_type == r.clip_type) if r.clip_type else c
-        c = c & F.exists(classes, lambda x, r=r: x.rlike(r.node_class)) if r.node_class else c
+        c = c & F.exists(classes, _like(r.node_class)) if r.node_class else c
         out = F.when(F.coalesce(c, F.lit(False)), r.family) if out is None else out.when(F.coalesce(c, F.lit(False)), r.family)
     return out
 

@@ -19,3 +19,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark, source: str, name: str, build) -> DataFrame:
+    """The intermediate table `name` over `source`, built and written once in an application, as an indexing run
+    writes its tables; what follows reads it instead of deriving it again for each use."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STAGED:
+        _STAGED[key] = written(build(), name)
+    return _STAGED[key]
