@@ -68,7 +68,8 @@ def chunks(texts: DataFrame) -> DataFrame:
 def repeats(texts: DataFrame) -> DataFrame:
     """(key, gone): the lines (from 0) that go, for documents that lose any; texts(key, text)."""
     rows = written(chunks(texts), "chunks")
-    twice = rows.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk")
+    # the aggregates are tables before they are joined: a join of two shuffles is one that Spark can split at a hot key
+    twice = written(rows.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk"), "twice")
     found = rows.join(twice, "chunk").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n", "chunk")).alias("found"))
     held = texts.join(found, KEY).select(*KEY, split_lines(F.col("text")).alias("lines"), "found")
     cut = F.transform("found", lambda f: F.struct(f["at"].alias("at"), f["n"].alias("n"), _trimmed(F.slice("lines", f["at"] + 1, f["n"])).alias("bytes")))
@@ -76,6 +77,7 @@ def repeats(texts: DataFrame) -> DataFrame:
     held = written(held, "candidates")
     place = F.struct(F.length("__line_id").alias("l"), "__line_id", "__line_hash", "at")
     first = held.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("bytes", "first")
+    first = written(first, "first")
     gone = held.join(first, "bytes").where(place != F.col("first"))
     return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("__gone"))
 
