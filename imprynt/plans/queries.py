@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from imprynt.plans import q_graph, q_stats  # noqa: F401
+from imprynt.plans import q_collection, q_graph, q_stats, q_text  # noqa: F401
 from imprynt.plans.registry import QUERIES
 
 
