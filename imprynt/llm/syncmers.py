@@ -7,7 +7,7 @@ so equal stretches of text have equal anchors, and any K tokens more than a wind
 
 The fingerprint is the SKETCH least anchor hashes, in hexadecimal; likeness is the Jaccard
 coefficient that two sketches estimate (exact while both hold all anchors). Everything here is
-DataFrame functions; texts meet by joins on the document key, and only ids are ordered.
+DataFrame functions. Texts move once, to ranges of the document order, where each meets the next.
 
 Null text counts as empty. An empty text has the empty fingerprint, like only another empty one. A
 text without an anchor is its own single anchor. Rows with equal doc_id and text are one document
@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from imprynt.llm.common import table, written
+from imprynt.llm.common import table
 
 NAME = "op10_syncmers"
 TOKEN = r"\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]{1,24}"
 K, SKETCH, MODULUS = 6, 48, 1099511627689
+RANGE, MOST_RANGES = 1000, 4096
 
 
 def anchors(df: DataFrame, text: str, out: str, keep: list[str]) -> DataFrame:
@@ -72,36 +73,53 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "hash").groupBy("left_id", "right_id", (F.col("j") - F.col("i")).alias("shift")).agg(F.count("*").alias("n"))
 
 
-def followers(ids: DataFrame) -> DataFrame:
-    """(i, t, half, next_i, next_t): each document's successor in the order of (i, t), the first after the last.
-    Ids are range-partitioned into a table; inside a range the order is a window, between ranges it is a
-    window over one row for each range."""
-    ranged = written(ids.repartitionByRange("i", "t").withColumn("range", F.spark_partition_id()), "ranged")
-    own = Window.partitionBy("range").orderBy("i", "t")
-    heads = ranged.groupBy("range").agg(F.min(F.struct("i", "t")).alias("head"))
-    order = Window.orderBy("range")
-    first = F.first("head").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = heads.select("range", F.coalesce(F.lead("head").over(order), first).alias("after"))
-    led = ranged.withColumn("led", F.lead(F.struct("i", "t")).over(own)).join(after, "range").withColumn("next", F.coalesce("led", "after"))
-    return led.select("i", "t", "half", F.col("next.i").alias("next_i"), F.col("next.t").alias("next_t"))
+def boundaries(ids: DataFrame, size: int = RANGE) -> list[int]:
+    """Ids that cut the order of ids(i) into ranges of about `size` rows, the smallest first; at most MOST_RANGES."""
+    n, least = ids.agg(F.count("*"), F.min("i")).first()
+    cuts = min(MOST_RANGES, n // size)
+    if not cuts:
+        return [least] if n else []
+    at = ids.agg(F.percentile_approx("i", [k / (cuts + 1) for k in range(1, cuts + 1)], 20 * MOST_RANGES)).first()[0]
+    return sorted({least, *at})
+
+
+def ranges_of(i: str, cuts: list[int]) -> Column:
+    """The range (from 0) of an id, by binary search among the cuts."""
+    known = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    lo, hi = (lambda a: a["lo"]), (lambda a: a["hi"])
+    mid = lambda a: F.floor((lo(a) + hi(a)) / 2).cast("int")
+    step = lambda a, _: F.when(hi(a) - lo(a) <= 1, a).otherwise(F.when(F.get(known, mid(a)) <= F.col(i), F.struct(mid(a).alias("lo"), hi(a).alias("hi"))).otherwise(F.struct(lo(a).alias("lo"), mid(a).alias("hi"))))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length()))), start, step, lo)
+
+
+def with_next(named: DataFrame) -> DataFrame:
+    """named(i, t, doc_id, text) with its sketch `own`, and text and sketch of the next row by (i, t) - the first after
+    the last - as `next`. Rows go to ranges of the order of i once; the rows at the start of a range also go to the
+    range before it (those of the first range to the last), where they stand at the end and give no row."""
+    cuts = boundaries(named.select("i"))
+    if not cuts:
+        return sketched(named, "text", "own").withColumn("next", F.struct("text", "own"))
+    last = len(cuts) - 1
+    ranged = named.withColumn("r", ranges_of("i", cuts))
+    first = F.col("i") == F.get(F.array(*map(F.lit, cuts)).cast("array<bigint>"), F.col("r"))
+    before = F.when(F.col("r") == 0, last).otherwise(F.col("r") - 1)
+    both = F.array_compact(F.array(F.struct(F.lit(0).alias("late"), "r"), F.when(first, F.struct(F.lit(1).alias("late"), before.alias("r")))))
+    dealt = ranged.withColumn("to", F.explode(both)).select("i", "t", "doc_id", "text", "to.late", "to.r").repartition("r")
+    own = Window.partitionBy("r").orderBy("late", "i", "t")
+    return sketched(dealt, "text", "own").withColumn("next", F.lead(F.struct("text", "own")).over(own)).where("late = 0").drop("late", "r")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of docs(doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(text).alias("t"), F.col("doc_id").cast("long"), text.alias("text"))
-    ids = named.select("i", "t", F.floor(F.length("text") / 2).cast("int").alias("half"))
-    once = ids.dropDuplicates(["i", "t"])
-    if ids.count() != once.count():
+    ids = named.select("i", "t")
+    if ids.count() != ids.distinct().count():
         named = named.dropDuplicates(["i", "t"])
-    order = written(followers(once), "order")
-    full = sketched(named, "text", "own").select("i", "t", "doc_id", "text", "own")
-    ahead = full.join(order.select(F.col("next_i").alias("i"), F.col("next_t").alias("t"), F.col("i").alias("to_i"), F.col("t").alias("to_t"), "half"), ["i", "t"])
-    ahead = ahead.select(F.col("to_i").alias("i"), F.col("to_t").alias("t"), F.col("own").alias("next"), F.expr("substring(text, 1, half)").alias("start"), "half")
-    met = full.join(ahead, ["i", "t"])
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - half)"), F.col("start"))
-    base = met.select("doc_id", n.cast("long").alias("n_chars"), "own", "next", edited.alias("edited"))
+    met = with_next(named).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    edited = F.expr("concat(substring(text, 1, length(text) - half), substring(next.text, 1, half))")
+    base = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", F.col("next.own").alias("next"), edited.alias("edited"))
     out = sketched(base, "edited", "new").withColumn("edited_sha256", F.sha2("edited", 256))
     return out.select("doc_id", "n_chars", "edited_sha256", hexadecimal(F.col("own")).alias("fingerprint"), hexadecimal(F.col("new")).alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"))
 
