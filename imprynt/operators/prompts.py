@@ -97,13 +97,14 @@ def distinct_prompts(frames: PromptFrames, keyed: DataFrame, top: int = 50, exam
     return each.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def sentence_clusters(frames: PromptFrames, weighted: DataFrame, similarity: float = 0.7, candidates: int = 100, top: int = 20) -> DataFrame:
+def sentence_clusters(frames: PromptFrames, weighted: DataFrame, similarity: float = 0.7, candidates: int = 100, top: int = 20, fold: tuple[str, str] = ("", "")) -> DataFrame:
     """(group, cluster, sentence, df): near-duplicates among the most frequent sentences of each group, joined
     transitively; cluster is its most frequent sentence. Similarity: 1 - Levenshtein / longer length.
-    The candidates are top-k by design, so a group has at most candidates^2 / 2 pairs."""
+    fold: characters taken as others when two sentences are compared. The candidates are top-k by design, so a group has at most candidates^2 / 2 pairs."""
     rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("df"), "sentence"))
     best = sentence_frequency(frames, weighted).withColumn("rank", rank).where(F.col("rank") <= candidates)
-    a, b = best.select("group", F.col("rank").alias("i"), F.col("sentence").alias("s")), best.select("group", F.col("rank").alias("j"), F.col("sentence").alias("t"))
+    plain = F.translate("sentence", *fold) if fold[0] else F.col("sentence")
+    a, b = best.select("group", F.col("rank").alias("i"), plain.alias("s")), best.select("group", F.col("rank").alias("j"), plain.alias("t"))
     longer = F.greatest(F.length("s"), F.length("t"))
     near = a.join(b, "group").where((F.col("i") < F.col("j")) & (F.least(F.length("s"), F.length("t")) >= longer * similarity))
     links = near.where(1 - F.levenshtein("s", "t") / longer >= similarity).select("group", "i", "j")

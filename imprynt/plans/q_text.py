@@ -202,13 +202,16 @@ def _(s, d):
     return x.select(F.col("group").alias("grp"), "key", "count", "first", "last", joined("examples"), r6("share"), "rank")
 
 
+FOLD = ("äöüßàâçéèêëîïôûùáíóúñ", "aousaaceeeeiiouuaioun")
+
+
 @query("t07_sentence_clusters", f"""with recursive {X.ORACLE}, b as (select grp, sentence, sum(w)::bigint as df, row_number() over (partition by grp order by sum(w) desc, sentence) as rank from sents join weights using (key) group by grp, sentence qualify rank <= 100),
- l as (select a.grp, a.rank as i, c.rank as j from b a join b c on a.grp = c.grp and a.rank < c.rank where 1 - levenshtein(a.sentence, c.sentence) / greatest(length(a.sentence), length(c.sentence)) >= 0.5),
- both as (select grp, i, j from l union select grp, j, i from l), r as (select grp, rank as i, rank as c from b union select both.grp, both.j, r.c from r join both on both.grp = r.grp and both.i = r.i),
+ l as (select a.grp, a.rank as i, c.rank as j from b a join b c on a.grp = c.grp and a.rank < c.rank where 1 - levenshtein(translate(a.sentence, '{FOLD[0]}', '{FOLD[1]}'), translate(c.sentence, '{FOLD[0]}', '{FOLD[1]}')) / greatest(length(a.sentence), length(c.sentence)) >= 0.5),
+ ends as (select grp, i, j from l union select grp, j, i from l), r as (select grp, rank as i, rank as c from b union select ends.grp, ends.j, r.c from r join ends on ends.grp = r.grp and ends.i = r.i),
  m as (select grp, i, min(c) as c from r group by all), z as (select *, count(*) over (partition by grp, c) as n from m), o as (select *, dense_rank() over (partition by grp order by c) as o from z where n > 1)
  select o.grp, h.sentence as cluster, b.sentence, b.df from o join b on b.grp = o.grp and b.rank = o.i join b h on h.grp = o.grp and h.rank = o.c where o <= 20""")
 def _(s, d):
-    return T.sentence_clusters(frames(s, d), weighted(s, d), 0.5).withColumnRenamed("group", "grp")
+    return T.sentence_clusters(frames(s, d), weighted(s, d), 0.5, fold=FOLD).withColumnRenamed("group", "grp")
 
 
 @query("t08_group_sizes", f"with {X.ORACLE} select grp, total::bigint as total, prompts from totals")
@@ -232,9 +235,9 @@ def roles(s, d):
  n as (select *, sum(y_s) over k as n_s, sum(y_r) over k as n_r, sum(y_p) over k as n_p from y window k as (partition by grp, kind)), a as (select *, greatest(y_p / n_p * 500.0, 1e-9) as a from n where n_p > 0),
  z as (select *, round((ln((y_s + a) / greatest(n_s + 500.0 - y_s - a, 1e-9)) - ln((y_r + a) / greatest(n_r + 500.0 - y_r - a, 1e-9))) / sqrt(1 / (y_s + a) + 1 / (y_r + a)), 6) as z from a),
  l as (select *, case when z > 0 then 'selection' else 'rest' end as list from z where (z > 0 and y_s > 0) or (z < 0 and y_r > 0))
- select grp, kind, list, term, round(z, 4) as z, y_s::bigint as df_selection, y_r::bigint as df_rest, row_number() over (partition by grp, kind, list order by abs(z) desc, term) as rank from l qualify rank <= 25""")
+ select grp, kind, list, term, z, y_s::bigint as df_selection, y_r::bigint as df_rest, row_number() over (partition by grp, kind, list order by abs(z) desc, term) as rank from l qualify rank <= 25""")
 def _(s, d):
-    return T.distinctive_terms(frames(s, d), *roles(s, d)).select(F.col("group").alias("grp"), "kind", "list", "term", F.round("z", 4).alias("z"), "df_selection", "df_rest", "rank")
+    return T.distinctive_terms(frames(s, d), *roles(s, d)).select(F.col("group").alias("grp"), "kind", "list", "term", "z", "df_selection", "df_rest", "rank")
 
 
 @query("t10_distinctive_scope", f"with {X.ORACLE}, {ROLES} select role, count(*) as n from role group by role")
