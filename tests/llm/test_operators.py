@@ -1,0 +1,371 @@
+"""Each operator against a brute-force version, a round trip or held-out accuracy."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, secrets, simhash, syncmers, template, warc
+
+A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def words(rnd, n, many=400):
+    return " ".join(f"w{rnd.randrange(many)}" for _ in range(n))
+
+
+# ---- simhash
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(A_TO_Z))
+    grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+
+def brute_components(fps, most=4):
+    top = list(range(len(fps)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= most:
+                a, b = root(i), root(j)
+                top[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(fps))]
+
+
+def test_golay_code_is_perfect():
+    assert len(set(simhash.ERRORS.tolist())) == 2048
+    assert max(int(e).bit_count() for e in simhash.ERRORS) == 3
+
+
+def test_fingerprints_within_four_bits_share_a_key():
+    rnd = np.random.default_rng(3)
+    a = rnd.integers(0, 2**63, 500, dtype=np.int64).view(np.uint64)
+    for k in range(5):
+        flips = np.array([sum(1 << int(b) for b in rnd.choice(64, k, replace=False)) for _ in a], np.uint64)
+        left, right = set(zip(*simhash.keys(a), strict=True)), set(zip(*simhash.keys(a ^ flips), strict=True))
+        assert len({r for r, _ in left & right}) == len(a)
+
+
+def test_simhash_components(spark):
+    rnd = random.Random(1)
+    base = words(rnd, 300)
+    texts = [base, base.upper().replace("W", "w"), "", None, "  ", "one", words(rnd, 50)] + [re.sub(r"w\d+", lambda m: m[0] if rnd.random() > 0.004 else "x", base) for _ in range(80)]
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    fps = [brute_fingerprint(t or "") for t in texts]
+    assert [got[i]["fingerprint"] for i in range(len(texts))] == [f"{f:016x}" for f in fps]
+    assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(fps)
+
+
+def test_simhash_hot_key_gives_the_same_components(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = int(rnd.integers(0, 2**62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rnd.choice(64, rnd.integers(0, 7), replace=False)) for _ in range(300)})
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")))
+    root = {r["u"]: r["v"] for r in found.collect()}
+    want = brute_components(fps)
+    mine = [root.get(f, f) for f in signed]
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+
+
+# ---- decontamination
+
+
+def brute_distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, d in enumerate(t, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def edited(rnd, text, n):
+    t = list(text)
+    for _ in range(n):
+        i, kind = rnd.randrange(len(t)), rnd.randrange(3)
+        t[i : i + (kind != 1)] = [] if kind == 2 else [rnd.choice("abcde ")]
+    return "".join(t)
+
+
+def test_bands_and_alignment_lose_nothing():
+    rnd = random.Random(7)
+    for _ in range(60):
+        p = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(45, 90)))
+        k = decontaminate.budget(len(p))
+        r = "".join(rnd.choice("abcde ") for _ in range(30)) + edited(rnd, p, rnd.randint(0, k + 3)) + "abc" * 9
+        e, hit = brute_distance(p, r), decontaminate.align(p, r, k)
+        assert (e <= k) == (hit is not None and hit[0] <= k) and (hit is None or e > k or hit[0] == e)
+        if e <= k:
+            regions = decontaminate.Index([(1, p)]).regions(decontaminate._codes(r + "\0" * 8))
+            assert any(brute_distance(p, r[max(0, a) : b]) <= k for _, a, b in zip(*regions, strict=True))
+
+
+def test_contaminated_documents(spark):
+    rnd = random.Random(2)
+    items = [words(rnd, 30, 5000) for _ in range(6)] + ["too short", "", None]
+    clean = [words(rnd, 200, 5000) for _ in range(20)]
+    dirty = [f"{words(rnd, 50, 5000)} {items[i].upper()}\n{words(rnd, 9, 5000)}" for i in range(3)] + [edited(rnd, items[3], 8) + words(rnd, 30, 5000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(docs(spark, clean + dirty + [None, ""]), bench).collect()}
+    assert set(got) == {(20, 0), (21, 1), (22, 2), (23, 3)} and got[20, 0] == 0 and 0 < got[23, 3] <= decontaminate.budget(len(items[3]))
+
+
+def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
+    rnd = random.Random(4)
+    items = [words(rnd, 20, 5000) for _ in range(8)]
+    d, bench = docs(spark, [f"x {i} y" for i in items]), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(d, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK", 400)
+    assert sorted(map(tuple, decontaminate.contaminated(d, bench).collect())) == whole and len(whole) == 8
+
+
+# ---- quality
+
+
+def test_kneser_ney_against_brute_force(spark):
+    from collections import Counter
+    from math import log
+
+    texts = ["abracadabra", "abba cab", "a bad cab", "cabbage", "a cab a bad abba"]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+    rows = model.selectExpr("n", "code", "cast(logp as float) logp", "cast(logback as float) logback").toArrow()
+    shard = quality.Shard(rows, 3, 0, 1)
+    c = {3: Counter(b[i : i + 3] for t in texts for b in [b"\0\0" + t.encode()] for i in range(len(b) - 2))}
+    for n in (2, 1):
+        c[n] = Counter(g[1:] for g in c[n + 1])
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        if not all(n[i] for i in (1, 2, 3, 4)):
+            return [0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(v, 0.05), i - 0.05) for i, v in ((1, 1 - 2 * y * n[2] / n[1]), (2, 2 - 3 * y * n[3] / n[2]), (3, 3 - 4 * y * n[4] / n[3]))]
+
+    def p(ctx, w):
+        n = len(ctx) + 1
+        low = p(ctx[1:], w) if n > 1 else 1 / 256
+        total = sum(v for k, v in c[n].items() if k[:-1] == ctx)
+        if not total:
+            return low
+        d = discounts(c[n])
+        back = sum(d[min(v, 3) - 1] for k, v in c[n].items() if k[:-1] == ctx) / total
+        v = c[n].get(ctx + w, 0)
+        return (v - d[min(v, 3) - 1] if v else 0) / total + back * low
+
+    tests = [b"abr", b"zab", b"aza", b"xyz", b"\0\0a", b"cab", b"bbb"]
+    mine = shard.logp(np.array([int.from_bytes(t, "big") for t in tests], np.int64))
+    assert np.allclose(mine, [log(p(t[:2], t[2:])) for t in tests], atol=1e-5)
+    assert abs(sum(p(b"ab", bytes([i])) for i in range(256)) - 1) < 1e-9
+
+
+def test_shards_give_the_same_scores(spark, sf, monkeypatch):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").limit(40)
+    model = quality.train(d.limit(20))
+    one = {r["doc_id"]: r["bits"] for r in quality.scores(d, model).collect()}
+    monkeypatch.setattr(quality, "SHARD", 3000)
+    many = {r["doc_id"]: r["bits"] for r in quality.scores(d, model).collect()}
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-5 for k in one)
+
+
+def test_quality_keeps_clean_and_rejects_junk(spark):
+    rnd = random.Random(1)
+    vocabulary = ["the", "house", "river", "green", "walks", "slowly", "over", "bridge", "morning", "light", "old", "stone"]
+    text = lambda: " ".join(rnd.choice(vocabulary) for _ in range(60)) + "."
+    junk = lambda: " ".join(rnd.choice("%$#&!|") * 3 + str(rnd.randrange(10**6)) for _ in range(60))
+    texts = [text() for _ in range(200)] + [junk() for _ in range(20)] + [None, ""]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 150)], "doc_id long, quality int, toxic int")
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(docs(spark, texts), labels).collect()}
+    assert sum(keep[i] for i in range(200)) >= 196 and not any(keep[i] for i in range(200, 222))
+
+
+# ---- lines
+
+
+def test_repeated_passages_go_and_text_stays(spark):
+    rnd = random.Random(3)
+    sentence = lambda: words(rnd, 8, 9000).capitalize() + ". "
+    passage = "".join(sentence() for _ in range(12))
+    own = ["".join(sentence() for _ in range(10)) for _ in range(6)]
+    texts = [own[0] + passage + own[1], own[2] + passage + own[3], own[4], own[5], own[5], None, ""]
+    got = {r["doc_id"]: r for r in lines.deduplicated(docs(spark, texts)).collect()}
+    assert got[0]["text"] == texts[0] and got[0]["removed_lines"] == 0
+    assert got[1]["removed_lines"] >= 4 and passage not in got[1]["text"] and got[1]["text"].startswith(own[2][:40])
+    assert got[2]["text"] == texts[2] and got[3]["text"] == texts[3] and got[4]["removed_lines"] >= 6
+    assert got[5]["text"] is None and got[6]["text"] == ""
+
+
+# ---- packing
+
+
+def test_plans_place_every_piece_and_meet_the_bound():
+    rnd = random.Random(0)
+    for _ in range(20):
+        counts = {rnd.randint(1, 64): rnd.randint(1, 30) for _ in range(rnd.randint(1, 40))}
+        plan = packing.make_plan(counts, 64)
+        placed = {}
+        for filling, n in plan:
+            assert sum(filling) <= 64
+            for l in filling:
+                placed[l] = placed.get(l, 0) + n
+        assert placed == counts
+        assert packing._sequences(plan) <= packing._sequences(packing.best_fit(counts, 64))
+
+
+def test_small_instances_are_optimal():
+    def fewest(items, bins=()):
+        if not items:
+            return len(bins)
+        out = fewest(items[1:], (*bins, items[0]))
+        for i, b in enumerate(bins):
+            if b + items[0] <= 10:
+                out = min(out, fewest(items[1:], (*bins[:i], b + items[0], *bins[i + 1 :])))
+        return out
+
+    rnd = random.Random(5)
+    for _ in range(25):
+        items = sorted((rnd.randint(1, 9) for _ in range(7)), reverse=True)
+        counts = {l: items.count(l) for l in items}
+        assert packing._sequences(packing.make_plan(counts, 10)) == fewest(items)
+
+
+def test_packing_round_trip(spark, sf):
+    from tokenizers import Tokenizer
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).unionByName(docs(spark, ["", None, "日本語 текст <|endoftext|> ɐ"]).selectExpr("doc_id - 100 as doc_id", "text"))
+    rows = packing.pack(packing.written(packing.pieces(d), "test")).toPandas().sort_values(["sequence_id", "offset"])
+    end = rows["offset"] + rows["length"]
+    assert end.max() <= 1024 and (end.groupby(rows["sequence_id"]).shift(fill_value=0) == rows["offset"]).all()
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    tok.encode_special_tokens = True
+    for r in d.collect():
+        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        own = rows[rows["doc_id"] == r["doc_id"]].sort_values("piece")
+        assert own["length"].sum() == len(ids) and (own["length"].iloc[1:] == 1024).all()
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own["start"], own["length"], strict=True)] == own["ids_crc32"].tolist()
+
+
+# ---- secrets
+
+
+def test_secrets_and_false_positives(spark):
+    rnd = random.Random(1)
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"some words password={hexes(18)} and more" for _ in range(40)] + [f"a key AKIA{''.join(rnd.choice('ABCDEFGH234567') for _ in range(16))} here" for _ in range(40)]
+    texts += [f"write to person.{i}name@mail{i}.example.com for more" for i in range(40)] + ["see https://www.page1.example.org/index2 there"] * 20 + [None, "", "plain words only"]
+    got = secrets.scan(docs(spark, texts)).collect()
+    assert {r["doc_id"] for r in got if r["is_secret"]} == set(range(80))
+    assert {r["doc_id"] for r in got if not r["is_secret"]} == set(range(80, 140))
+
+
+def test_luhn(spark):
+    rows = spark.createDataFrame([("4532015112830366",), ("4532015112830367",), ("",)], "d string")
+    assert [r[0] for r in rows.select(secrets.luhn(rows["d"])).collect()][:2] == [True, False]
+
+
+# ---- chat and templates
+
+
+def test_conversations_come_back(spark):
+    rnd = random.Random(9)
+    nasty = ["</turn>", "\\", "<turn:user>", "\\<", "é\n", "", "### x", ">"]
+    rows = [(c, t, rnd.choice(["user", "assistant", "sy>s"]), "".join(rnd.choice(nasty) for _ in range(rnd.randrange(6)))) for c in range(20) for t in range(rnd.randrange(1, 7))]
+    rows += [(99, 0, None, None), (None, 0, "assistant", "x")]
+    f = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = {}
+    for r in sorted(f.collect(), key=lambda r: (r["conv_id"] is None, r["conv_id"], r["seq"])):
+        whole.setdefault(r["conv_id"], []).append(r)
+    for conv, parts in whole.items():
+        text = "".join(p["formatted"] for p in parts)
+        turns = [(chat.unescape(m[1]), chat.unescape(m[2])) for m in chat.TURN.finditer(text)]
+        assert turns == [(r or "", t or "") for c, _, r, t in sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1], x[2] or "", x[3] or ""))]
+        loss = [chat.unescape(text[s["start"] : s["end"]]) for p in parts for s in p["loss"]]
+        assert loss == [t for r, t in turns if r == "assistant" and t]
+
+
+def test_template_language():
+    run = lambda src, **scope: "".join(t for t, _ in template.compile_template(src, {"up": str.upper})(scope))
+    assert run("{% for x in xs %}{{ loop.index }}{{ x.a | up }}{% if not loop.last %},{% endif %}{% endfor %}", xs=iter([{"a": "p"}, {"a": "q"}])) == "1P,2Q"
+    assert run("{% set y = 'a' + 'b' %}{{ y }}{% if y == 'ab' and 1 %}yes{% elif z %}no{% else %}never{% endif %}") == "abyes"
+    tree = template.fold(template.parse("a{{ 'b' + 'c' | up }}{% if false %}x{% else %}d{% endif %}", {"up": str.upper}), {"up": str.upper})
+    assert tree == [("text", "abCd")]
+    for bad in ("{{ _x }}", "{{ a.__class__ }}", "{% if a %}", "{{ a() }}", "{{ a | no }}", "{% import os %}", "{{ a['b'] }}"):
+        with pytest.raises(template.TemplateError):
+            template.compile_template(bad, {})
+
+
+# ---- language
+
+
+def test_language_accuracy_on_held_out_rows(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = langid.query(spark, sf).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 20 and sum(r["lang_pred"] == r["lang"] for r in got) >= 0.9 * len(got)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_languages_without_letters_or_training(spark):
+    d = docs(spark, [None, "", "123 !!", "words"])
+    model = langid.fit(d.where("doc_id = 3").select("doc_id", "text", "lang"))
+    assert [r["lang_pred"] for r in sorted(langid.predict(d, model, ["doc_id"]).collect())] == ["und", "und", "und", "en"]
+    assert {r["lang_pred"] for r in langid.predict(d, None, ["doc_id"]).collect()} == {"und"}
+
+
+# ---- fingerprints
+
+
+def test_syncmers_match_by_position(spark):
+    rnd = random.Random(1)
+    a = words(rnd, 200, 5000)
+    frame = spark.createDataFrame([(0, a), (1, "intro text here " + a)], "id long, text string")
+    found = syncmers.anchors(frame, "text", "found", ["id"])
+    best = max(syncmers.matches(found.where("id = 0"), found.where("id = 1")).collect(), key=lambda r: r["n"])
+    assert best["shift"] == 3 and best["n"] > 30
+
+
+def test_fingerprint_edges(spark):
+    rnd = random.Random(2)
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(docs(spark, [words(rnd, 300), words(rnd, 300), None, "!!", words(rnd, 100)]).select("doc_id", "text")).collect()}
+    assert got[2]["fingerprint"] == "" and got[2]["n_chars"] == 0 and len(got[3]["fingerprint"]) == 10
+    assert got[0]["near_edited"] > 0.1 > got[0]["near_next"]
+
+
+def test_ranges_do_not_change_the_order(spark, monkeypatch):
+    texts = [f"text number {i} " + "x y z " * i for i in range(50)]
+    whole = sorted(map(tuple, syncmers.fingerprints(docs(spark, texts).select("doc_id", "text")).collect()))
+    monkeypatch.setattr(syncmers, "RANGE", 7)
+    assert sorted(map(tuple, syncmers.fingerprints(docs(spark, texts).select("doc_id", "text")).collect())) == whole
+
+
+# ---- WARC
+
+
+def test_warc_files_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "<html lang=de><head><title>T &amp; x</title></head><body><p>Hell&#246; &lt;b&gt; &#x1F600;<script>no()</script><br>two</p></body></html>"), (2, None, None)], "page_id long, url string, html string")
+    records = warc.derivatives(warc.responses(pages), [])
+    warc.write_warc(records, str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w" / "*.gz")).collect()
+    assert len(back) == 4 and all(r["intact"] for r in back)
+    assert {tuple(r)[:9] for r in back} == {(r["type"], r["record_id"], r["refers_to"], r["target_uri"], r["date"], r["content_type"], r["block_digest"], r["source_digest"], r["block"]) for r in records.collect()}
+    text = next(r["block"] for r in back if r["type"] == "conversion" and r["target_uri"])
+    assert text == "Hellö <b> 😀 \ntwo" or text == "Hellö <b> 😀\ntwo"
+    assert len({r["refers_to"] for r in back}) == 2
