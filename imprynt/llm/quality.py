@@ -256,7 +256,8 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")).where("q = 1 and t = 0").select("doc_id")
     base = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
     aside = F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0
-    model = train(base.join(good.where(~aside), "doc_id", "left_semi").where(F.length("text") > 0), order)
+    # the same plan at every size: texts go to the labels by a shuffle, neither side is broadcast
+    model = train(base.join(good.where(~aside).hint("shuffle_hash"), "doc_id", "left_semi").where(F.length("text") > 0), order)
     scored = written(scores(base, model, order), "scores")
     per, every = limits(scored.join(good.where(aside), "doc_id", "left_semi"), quantile)
     out = scored.join(per, "lang", "left").withColumn("most", F.coalesce("most", F.lit(every)))
