@@ -1,7 +1,9 @@
 """Operator 7, secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is the last run of 12 or more of [A-Za-z0-9+/_.@:-] in a word of 16 or more characters
-that holds a digit. Its features: length, shares of character classes, class transitions, distinct
+A candidate is a run of [A-Za-z0-9+/_.@:-] anywhere in a word (a colon after a name such as token
+ends a run): one of 12 or more characters with a digit, the last one of a word with a digit, one of
+a key's form, or, of any length and with or without digits, one to which a name such as password=
+or token: assigns. A word gives a row for each. Its features: length, shares of character classes, class transitions, distinct
 characters, longest run of letters, the share that dictionary words cover, signs of an address, the
 text before it in its word, the neighbouring words, and the path (`source`). The forest is trained
 on labelled findings - of documents or of any table with the same columns and `label` - and then
@@ -9,7 +11,7 @@ written out as one CASE expression for each tree, so scoring is a projection. Ev
 DataFrame functions.
 
 The query has no table of hand-labelled findings, so it labels those whose nature their own form
-proves (key prefixes and assignments against e-mail addresses and numbers with a valid check
+proves (key prefixes and assignments, not of plain words after a space, against e-mail addresses and numbers with a valid check
 digit), and the forest decides the rest. At most FIT labelled findings, those with the least hash,
 are used for training; all findings are scored.
 
@@ -26,7 +28,7 @@ from imprynt.llm.common import table, written
 
 NAME = "op7_secret_scan"
 FIT, TREES, DEPTH, SEED, CUT = 20_000, 15, 5, 7, 0.5
-VALUE = r"([A-Za-z0-9+/_.@:-]{12,}=*)[^A-Za-z0-9]*$"
+LONG, PROVEN = 12, 6
 # Words that name a secret, words that name a placeholder, common words and syllables.
 NAMES = "password passwd passphrase pwd secret token apikey api_key access_key private_key auth bearer credential"
 PLACEHOLDERS = "example sample dummy test changeme placeholder your xxxx redacted"
@@ -37,15 +39,31 @@ def _any_of(words: str) -> str:
     return "(?i)(?:" + "|".join(sorted(words.split(), key=lambda w: (-len(w), w))) + ")"
 
 
+NAMED = _any_of(NAMES) + r"[\\\"'`]*\s*[=:]{1,2}>?"
+ASSIGNED = NAMED + r"\s*[\\\"'`]*$"
+RUN = f"(?:[A-Za-z0-9+/_.@-]|(?<!{_any_of(NAMES)}):)+=*"
+KEY = "^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk-[A-Za-z0-9]{20,}$"
+KEY_STARTS = "AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-"
+
+
 def findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, pos, value, before, prev2, prev, next): each candidate of docs(doc_id, text, source); pos
-    counts words from 0."""
+    """(doc_id, path, pos, run, value, before, prev2, prev, next): each candidate of docs(doc_id, text, source); pos
+    counts words from 0, run the runs of its word; before is what stands before it from the second last run on."""
     words = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split("text", r"\s+").alias("words"))
     near = lambda i, d: F.coalesce(F.get("words", i + d), F.lit(""))
-    long = F.transform("words", lambda w, i: F.when((F.length(w) >= 16) & w.rlike("[0-9]"), F.struct(i.alias("pos"), w.alias("word"), near(i, -2).alias("prev2"), near(i, -1).alias("prev"), near(i, 1).alias("next"))))
-    rows = words.select("doc_id", "path", F.explode(F.filter(long, lambda x: x.isNotNull())).alias("c")).select("doc_id", "path", "c.*")
-    rows = rows.withColumn("value", F.regexp_extract("word", VALUE, 1)).where("value <> ''")
-    return rows.select("doc_id", "path", "pos", "value", F.expr("substring(word, 1, instr(word, value) - 1)").alias("before"), "prev2", "prev", "next")
+    worth = lambda w, i: ((F.length(w) >= LONG) & w.rlike("[0-9]")) | w.rlike(KEY_STARTS) | F.concat_ws(" ", near(i, -2), near(i, -1), w).rlike(NAMED)
+    some = F.transform("words", lambda w, i: F.when(worth(w, i), F.struct(i.alias("pos"), w.alias("word"), near(i, -2).alias("prev2"), near(i, -1).alias("prev"), near(i, 1).alias("next"))))
+    rows = words.select("doc_id", "path", F.explode(F.filter(some, lambda x: x.isNotNull())).alias("c")).select("doc_id", "path", "c.*")
+    rows = rows.withColumn("runs", F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).withColumn("gaps", F.split("word", RUN))
+    part = lambda name, i: F.coalesce(F.get(name, i), F.lit(""))
+    last = (F.size("runs") - 1).alias("last")
+    each = F.transform("runs", lambda v, i: F.struct(i.alias("run"), v.alias("value"), F.concat(part("gaps", i - 2), part("runs", i - 2), part("gaps", i - 1), part("runs", i - 1), part("gaps", i)).alias("before")))
+    rows = rows.select("doc_id", "path", "pos", "prev2", "prev", "next", last, F.col("word").rlike("[0-9]").alias("digits"), F.explode(each).alias("c"))
+    rows = rows.select("doc_id", "path", "pos", "c.run", "c.value", "c.before", "prev2", "prev", "next", "last", "digits")
+    v = F.col("value")
+    shaped = (F.length(v) >= LONG) & (v.rlike("[0-9]") | (F.col("digits") & (F.col("run") == F.col("last"))))
+    rows = rows.where(v.rlike("[A-Za-z0-9]") & (shaped | v.rlike(KEY) | F.concat_ws(" ", "prev2", "prev", "before").rlike(ASSIGNED)))
+    return rows.drop("last", "digits")
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -89,8 +107,10 @@ def luhn(digits: Column) -> Column:
 def proven(found: DataFrame) -> DataFrame:
     """found with `label`: 1 or 0 where a finding's own form proves it, else null."""
     v, left = F.col("value"), F.concat_ws(" ", "prev2", "prev", "before")
-    key = v.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk-[A-Za-z0-9]{20,}$")
-    named = left.rlike(_any_of(NAMES) + "[\"']?\\s*[=:]\\s*[\"']?$") & ~v.rlike(_any_of(PLACEHOLDERS))
+    key = v.rlike(KEY)
+    # a plain word after a space, as in "token: the", proves nothing
+    formed = (F.length(v) >= PROVEN) & (v.rlike("[^A-Za-z]") | F.col("before").rlike("[=:]"))
+    named = left.rlike(ASSIGNED) & formed & ~v.rlike(_any_of(PLACEHOLDERS))
     plain = v.rlike("^[^@]+@[^@]+[.][a-z]+$|://") | (v.rlike("^[0-9]{13,19}$") & luhn(v))
     return found.withColumn("label", F.when(key | named, 1).when(plain, 0))
 
@@ -109,7 +129,7 @@ def train(labelled: DataFrame, names: list[str], fit: int = FIT) -> Column | Non
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    sample = labelled.where("label is not null").orderBy(F.xxhash64("doc_id", "pos", "value"), "doc_id", "pos").limit(fit)
+    sample = labelled.where("label is not null").orderBy(F.xxhash64("doc_id", "pos", "value"), "doc_id", "pos", "run").limit(fit)
     sample = written(sample.select(F.col("label").cast("double").alias("label"), *names), "findings_fit")
     if sample.agg(F.count_distinct("label")).first()[0] < 2:
         return None
@@ -123,17 +143,17 @@ def train(labelled: DataFrame, names: list[str], fit: int = FIT) -> Column | Non
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """doc_id, pos, value, before, probability, is_secret: every candidate of docs, judged. labelled: findings()
+    """doc_id, pos, run, value, before, probability, is_secret: every candidate of docs, judged. labelled: findings()
     rows with `label`; without it, those of docs that proven() labels."""
     found, names = features(findings(docs))
     found = written(found, "findings")
     training = proven(found) if labelled is None else features(labelled)[0]
     chance = train(training, names)
     if chance is None:
-        return found.select("doc_id", "pos", "value", "before", F.lit(None).cast("double").alias("probability"), F.lit(True).alias("is_secret"))
-    return found.withColumn("probability", F.round(chance, 9)).select("doc_id", "pos", "value", "before", "probability", (F.col("probability") >= CUT).alias("is_secret"))
+        return found.select("doc_id", "pos", "run", "value", "before", F.lit(None).cast("double").alias("probability"), F.lit(True).alias("is_secret"))
+    return found.withColumn("probability", F.round(chance, 9)).select("doc_id", "pos", "run", "value", "before", "probability", (F.col("probability") >= CUT).alias("is_secret"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "pos", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+    return out.select("doc_id", "pos", "run", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
