@@ -6,7 +6,8 @@ whatever they are; n_chars follows the text where a stage changes it.
 
 Rows that a stage drops: documents that the quality classifier rejects (null and empty texts among
 them); documents of which line dedup leaves nothing; all but the document with the smallest doc_id
-of a near-duplicate group (of repeated doc_ids one row); documents that hold a benchmark passage.
+of a near-duplicate group (null last; of equal rows one); documents that hold a benchmark passage.
+Rows are told apart by doc_id and text, so texts that share a doc_id, or have none, are judged alone.
 """
 
 from __future__ import annotations
@@ -31,16 +32,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key, which equal (doc_id, text) share: a repeated or null doc_id names several texts."""
+    return docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.col("doc_id").isNull(), F.col("text").isNull()))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    near = written(simhash.near_duplicates(docs), "near")
-    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("n"))
-    out = docs.join(first.select("__first"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if first.where("n > 1").limit(1).count() else out
+    rows = keyed(docs)
+    near = written(simhash.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")), "near")
+    # the first of a group by doc_id (null last), then by key
+    ids = rows.select(F.col("__key").alias("doc_id"), F.col("doc_id").cast("long").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("key"))
+    first = near.join(ids, "doc_id").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias("__key"))
+    kept = rows.join(first, "__key", "left_semi")
+    twice = near.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["__key", "doc_id"]) if twice else kept).drop("__key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti")
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(found, "__key", "left_anti").drop("__key")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

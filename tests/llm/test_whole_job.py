@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from imprynt.llm import secrets
 
 
@@ -33,3 +34,18 @@ def test_every_secret_of_a_word_is_found(spark):
         assert want <= {r["value"] for r in found if r["doc_id"] == i and r["is_secret"]}, text
     twice = [r for r in found if r["doc_id"] == 8]
     assert len(twice) == 2 and len({(r["pos"], r["run"]) for r in twice}) == 2
+
+
+def test_clean_rows_with_null_or_repeated_ids_stay(spark, tmp_path):
+    rnd = random.Random(5)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    a, b, c, d, e, item = *(text(80) for _ in range(5)), text(30)
+    dirty = f"{text(40)} {item} {text(20)}"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, c), (9, e), (9, e), (None, e), (None, dirty)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    by = lambda out: sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = [(None, a), (None, b), (7, c), (7, d), (9, e)]
+    near = corpus_pipeline.near_dedup(spark, frame, str(tmp_path))
+    assert by(near) == sorted([*want, (None, dirty)], key=str) and near.columns == frame.columns
+    assert by(corpus_pipeline.decontamination(spark, near, str(tmp_path))) == sorted(want, key=str)
