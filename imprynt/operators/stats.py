@@ -198,16 +198,22 @@ def burst_clusters(df: DataFrame, window: int, min_distinct: int, block: int | N
     min_distinct keys; df(id, t, key), t and window in one integer unit.
 
     Time is cut into blocks many windows long; rows shortly before a block join it as a halo, so each
-    block is a window of its own and no sort is global. Islands are formed from suspect rows only."""
+    block is a window of its own. Islands are formed from suspect rows only, within blocks; what is put in order
+    over all time is one row a block, its first and last suspect time."""
     block = block or 64 * window
     rows = df.select("id", "t", "key", F.floor(F.col("t") / block).alias("b"))
     halo = rows.where(F.pmod(F.col("t"), F.lit(block)) >= block - window).withColumn("b", F.col("b") + 1)
     both = rows.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)))
     near = Window.partitionBy("b").orderBy("t").rangeBetween(-window, 0)
-    suspect = both.withColumn("n", F.size(F.collect_set("key").over(near))).where(F.col("own") & (F.col("n") >= min_distinct)).select("t").distinct()
-    order = Window.orderBy("t")
-    islands = suspect.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(order) > window).cast("int"), F.lit(1))).withColumn("cluster", F.sum("new").over(order))
-    spans = islands.groupBy("cluster").agg((F.min("t") - window).alias("start"), F.max("t").alias("end"))
+    suspect = both.withColumn("n", F.size(F.collect_set("key").over(near))).where(F.col("own") & (F.col("n") >= min_distinct)).select("b", "t").distinct()
+    order, blocks = Window.partitionBy("b").orderBy("t"), Window.orderBy("b")
+    local = suspect.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(order) > window).cast("int"), F.lit(0))).withColumn("part", F.sum("new").over(order))
+    parts = local.groupBy("b", "part").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    edges = parts.groupBy("b").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.max("part").alias("inner"))
+    edges = edges.withColumn("new", F.coalesce((F.col("first") - F.lag("last").over(blocks) > window).cast("int"), F.lit(1)))
+    edges = edges.select("b", (F.sum(F.col("new") + F.col("inner")).over(blocks) - F.col("inner")).alias("base"))
+    islands = parts.join(edges, "b").select((F.col("base") + F.col("part")).alias("cluster"), "lo", "hi")
+    spans = islands.groupBy("cluster").agg((F.min("lo") - window).alias("start"), F.max("hi").alias("end"))
     hit = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))))
     members = rows.join(hit, "b").where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
     return members.groupBy("cluster").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("files"), F.count_distinct("key").alias("distinct"))

@@ -326,18 +326,24 @@ def _(s, d):
 
 
 def replayed(s, d, name, make, mode):
-    """The end state of a stream over the table's files, in memory of the query's own name."""
+    """The end state of a stream over the table's files, as Parquet in the shared folder: in complete mode the last
+    batch, else all of them. A batch that runs again writes its folder again."""
     import uuid
 
     from imprynt.sources.tables import written
 
-    q = f"{name}_{uuid.uuid4().hex}"
     source = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = written(source, "stream").inputFiles()[0].rsplit("/", 1)[0]
+    at = f"{path.rsplit('/', 1)[0]}/{name}-{uuid.uuid4().hex}"
     stream = make(ST.watch_table(s, path, source.schema))
-    run = stream.writeStream.format("memory").queryName(q).outputMode(mode).trigger(availableNow=True).start()
+    s.createDataFrame([], stream.schema).write.parquet(f"{at}/none")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{at}/{'all' if mode == 'complete' else batch_id}")
+
+    run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}-progress").outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
-    return s.table(q)
+    return s.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(at)
 
 
 @query("st04_live_counts", "select cast(date_trunc('day', ts) as varchar) as bucket, event_type as series, count(*) as count from events group by all")
