@@ -365,7 +365,39 @@ def test_warc_files_round_trip(spark, tmp_path):
     warc.write_warc(records, str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w" / "*.gz")).collect()
     assert len(back) == 4 and all(r["intact"] for r in back)
-    assert {tuple(r)[:9] for r in back} == {(r["type"], r["record_id"], r["refers_to"], r["target_uri"], r["date"], r["content_type"], r["block_digest"], r["source_digest"], r["block"]) for r in records.collect()}
+    kept = ["type", "record_id", "refers_to", "target_uri", "content_type", "block_digest", "source_digest", "block"]
+    assert {tuple(r[c] for c in kept) for r in back} == {tuple(r[c] for c in kept) for r in records.collect()}
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["date"]) for r in back)
     text = next(r["block"] for r in back if r["type"] == "conversion" and r["target_uri"])
     assert text == "Hellö <b> 😀 \ntwo" or text == "Hellö <b> 😀\ntwo"
     assert len({r["refers_to"] for r in back}) == 2
+
+
+def test_responses_of_warc_files_keep_their_headers(spark, tmp_path):
+    import gzip
+
+    html = "<html><body><p>Grüße &amp; mehr</p></body></html>"
+    latin, packed = html.encode("iso-8859-1"), gzip.compress(html.encode())
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in (packed[:20], packed[20:])) + b"0\r\n\r\n"
+    https = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nX-A: 1\r\nX-A: 2\r\n\r\n" + latin, b"HTTP/1.1 404 Not Found\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, b"HTTP/1.0 204\r\n\r\n"]
+    digests = ["WARC-Payload-Digest: sha1:ABC\r\n", "", ""]
+    with gzip.open(tmp_path / "in.warc.gz", "wb") as f:
+        f.write(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")
+        for i, (block, d) in enumerate(zip(https, digests, strict=True)):
+            f.write(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nWARC-Date: 2020-01-0{i + 1}T00:00:00Z\r\n{d}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    found = warc.read_responses(spark, str(tmp_path / "in.warc.gz"))
+    made = {(r["refers_to"], r["type"]): r for r in warc.derivatives(found, []).collect()}
+    assert len(made) == 6
+    for i in (0, 1):
+        text = made[f"<urn:uuid:{i}>", "conversion"]
+        assert text["block"] == "Grüße & mehr" and text["date"] == f"2020-01-0{i + 1}T00:00:00Z" and text["target_uri"] == f"http://h/{i}"
+    about = made["<urn:uuid:0>", "metadata"]["block"]
+    assert "source-header-x-a: 1, 2\r\n" in about and "source-header-status: 200 OK\r\n" in about and made["<urn:uuid:0>", "metadata"]["source_digest"] == "sha1:ABC"
+    assert made["<urn:uuid:1>", "conversion"]["source_digest"].startswith("sha256:") and made["<urn:uuid:2>", "conversion"]["block"] == ""
+    warc.write_warc(warc.derivatives(found, []), str(tmp_path / "w"))
+    assert {r["date"] for r in warc.read_warc(spark, str(tmp_path / "w" / "*.gz")).collect()} == {f"2020-01-0{i}T00:00:00Z" for i in (1, 2, 3)}
+
+
+def test_unclosed_elements_end_with_the_page(spark):
+    rows = [("<p>a</p>" + "<script " * 30_000,), ("<p>b</p>" + "<nav " * 30_000 + "x</nav>c",), ("<head><title>t</title><body><p>d",), ("<!-- " * 30_000,)]
+    assert [r["text"] for r in warc.with_text(spark.createDataFrame(rows, "html string")).collect()] == ["a", "b\nc", "d", ""]
