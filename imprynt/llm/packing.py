@@ -7,13 +7,13 @@ corpus): a list of fillings, each with the number of sequences that use it. Piec
 planned places by their rank among the pieces of their length; ranks are counted in shards, so a
 length that a third of all pieces share is ranked by many tasks.
 
-The plan is bin completion: fill the sequence around the largest piece left; best-fit solutions are
-the incumbents; the volume bound ends the search once it is met; and the last pieces go through
-branch and bound over undominated fillings with a waste bound (`nodes` limits that search, not the
-result's completeness).
+The plan is bin completion on that histogram: a sequence is filled around the largest length left by
+an undominated filling, used as often as the lengths last; branches are pruned by the waste that a
+better plan may have; best fit gives the first incumbent; meeting the lower bound ends the search.
+Which fillings come first - long pieces with a little waste, or none at all - is tried in four ways.
 
 Null and empty texts are one piece, the end token alone. Ties and repeated rows are pieces of their
-own. No rows: no result.
+own. A very long text is many pieces of one task. Other columns play no part. No rows: no result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from imprynt.llm.common import table, written
 NAME = "op6_best_fit_packing"
 VOCABULARY, SIZE, END = "byte_bpe_50k.json", 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-TAIL, WIDTH = 120, 6
+SLACKS, NODES = (16, 0, 64, 4), 5000
 
 
 # ---- tokens
@@ -42,12 +42,12 @@ TAIL, WIDTH = 120, 6
 @cache
 def _tokenizer(path: str):
     """ids(text) by the vocabulary at path. Beside it lies the same vocabulary as merge ranks: it gives
-    the same ids several times faster, and serves texts of code points below 0x250."""
+    the same ids several times faster, and serves texts of code points below 0x250 without special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    special = [t.content for t in slow.get_added_tokens_decoder().values()]
     whole = lambda text: slow.encode(text, add_special_tokens=False).ids
     ranks_at = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks_at):
@@ -59,7 +59,8 @@ def _tokenizer(path: str):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_at, "rb"))}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: fast.encode_ordinary(text) if text.isascii() or max(text) < "ɐ" else whole(text)
+    plain = lambda text: (text.isascii() or max(text) < "ɐ") and not any(t in text for t in special)
+    return lambda text: fast.encode_ordinary(text) if plain(text) else whole(text)
 
 
 def default_vocabulary() -> str:
@@ -114,103 +115,117 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
     return [(f, n) for room in open_at for f, n in room.items()]
 
 
-def _fill(counts: dict[int, int], order: list[int], room: int) -> tuple[int, ...]:
-    """The fullest multiset of the lengths left that fits in room; of equal ones, by order's end first."""
-    reach, steps = 1, []
-    mask = (1 << room + 1) - 1
-    for l in order:
-        if counts.get(l, 0) and l <= room:
-            steps.append((l, reach))
-            for _ in range(min(counts[l], room // l)):
-                more = (reach | reach << l) & mask
-                if more == reach:
-                    break
-                reach = more
-            if reach >> room & 1 and len(steps) > 1 and reach == mask:
-                break
-    total, out = reach.bit_length() - 1, []
-    for l, before in reversed(steps):
-        k = 0
-        while not before >> total & 1:
-            total -= l
-            k += 1
-            assert total >= 0 and k <= counts[l]
-        out += [l] * k
-    return tuple(out)
-
-
-def completed(counts: dict[int, int], size: int, abundant: bool, keep: int = 0) -> tuple[Plan, dict[int, int]]:
-    """Fillings around the largest length left, each used as often as the lengths last, until `keep` pieces are left."""
-    counts, plan = {l: n for l, n in counts.items() if n}, []
-    while counts and (sum(counts.values()) > keep):
-        top = max(counts)
-        counts[top] -= 1
-        order = sorted(counts, key=(lambda l: (counts[l], l)) if abundant else None)
-        filling = (top, *_fill(counts, order, size - top))
-        counts[top] += 1
-        need = Counter(filling)
-        n = min(counts[l] // k for l, k in need.items())
-        if keep:
-            n = max(1, min(n, (sum(counts.values()) - keep) // len(filling)))
-        plan.append((filling, n))
-        for l, k in need.items():
-            counts[l] -= k * n
+def lower_bound(counts: dict[int, int], size: int) -> int:
+    """Sequences that any packing needs: over all k, those of pieces too long to stand with one of k or more, and
+    what the pieces from k to half a sequence need beyond the room left beside the longer ones."""
+    most = -(-sum(l * n for l, n in counts.items()) // size)
+    for k in [0, *(l for l in counts if 2 * l <= size)]:
+        alone = sum(n for l, n in counts.items() if l > size - k)
+        half = sum(n for l, n in counts.items() if size < 2 * l <= 2 * (size - k))
+        room = sum((size - l) * n for l, n in counts.items() if size < 2 * l <= 2 * (size - k))
+        small = sum(l * n for l, n in counts.items() if k <= l and 2 * l <= size)
+        most = max(most, alone + half + max(0, -(-(small - room) // size)))
+    return most
+
+
+def _dominated(counts: dict[int, int], chosen: tuple[int, ...], waste: int) -> bool:
+    """Whether a piece left out fits beside chosen, or could stand for some of its pieces: whatever that other filling
+    leaves over fits where the piece stood, so this one need not be tried."""
+    single, several = 0, 0  # sums, as bits, of one piece of chosen and of several
+    for c in chosen:
+        several |= (single | several) << c
+        single |= 1 << c
+    band = (1 << waste + 1) - 1
+    for l, n in counts.items():
+        if n > chosen.count(l) and (l <= waste or several >> max(0, l - waste) & band >> max(0, waste - l) or any(c < l <= c + waste for c in chosen)):
+            return True
+    return False
+
+
+def fillings(counts: dict[int, int], room: int, most: int, slack: int = 0):
+    """(waste, filling): undominated multisets of lengths from counts that leave at most `most` of room; those that
+    leave up to `slack` first, then by waste; of each kind those of longer pieces first. Sums that shorter pieces can
+    make are known as bits, so that no step of the enumeration is in vain."""
+    lengths = sorted(l for l in counts if l <= room)
+    reach, before, mask = 1, [], (1 << room + 1) - 1
+    for l in lengths:
+        before.append(reach)
+        left, k = min(counts[l], room // l), 1
+        while left > 0:
+            reach |= reach << min(k, left) * l & mask
+            left, k = left - k, 2 * k
+
+    def within(sums: int, lo: int, hi: int) -> bool:
+        return hi >= 0 and sums >> max(lo, 0) & (1 << hi - max(lo, 0) + 1) - 1 > 0
+
+    def of_sum(i: int, lo: int, hi: int):
+        for j in range(i - 1, -1, -1):
+            if not within(before[j + 1] if j + 1 < len(before) else reach, lo, hi):
+                return
+            l = lengths[j]
+            for k in range(min(counts[l], hi // l), 0, -1):
+                if within(before[j], lo - k * l, hi - k * l):
+                    for sum_, more in of_sum(j, lo - k * l, hi - k * l):
+                        yield sum_ + k * l, (l,) * k + more
+        if lo <= 0:
+            yield 0, ()
+
+    most = min(most, room)
+    for least, last in [(0, min(slack, most)), *((w, w) for w in range(slack + 1, most + 1))]:
+        if within(reach, room - last, room - least):
+            for used, chosen in of_sum(len(lengths), room - last, room - least):
+                if not _dominated(counts, chosen, room - used):
+                    yield room - used, chosen
+
+
+def _choice(counts: dict[int, int], size: int, most: int, slack: int, index: int):
+    """The index-th way to go on: (filling around the largest length, how often, its waste), or None. Each filling is
+    tried as often as the lengths last first, then ever less often."""
+    top = max(counts)
+    rest = {l: n - (l == top) for l, n in counts.items() if n > (l == top)}
+    for waste, chosen in fillings(rest, size - top, most, slack):
+        filling = (top, *chosen)
+        n = min(counts[l] // k for l, k in Counter(filling).items())
+        n = min(n, most // waste) if waste else n
+        if index < n:
+            return filling, n - index, waste
+        index -= n
+    return None
+
+
+def completed(counts: dict[int, int], size: int, best: Plan, slack: int = 0, nodes: int = NODES) -> Plan:
+    """Bin completion: depth-first over the fillings of the largest length left. A branch ends where its waste rules
+    out a plan of fewer sequences than the best so far; the search ends when the lower bound is met or proven to be
+    out of reach, or after `nodes` choices, which bounds its time and nothing else: best stays a whole plan."""
+    counts = {l: n for l, n in counts.items() if n}
+    total, bound = sum(l * n for l, n in counts.items()), lower_bound(counts, size)
+    taken: list[tuple[tuple[int, ...], int, int, int]] = []
+    waste, index = 0, 0
+
+    def put(filling, n):
+        for l in filling:
+            counts[l] = counts.get(l, 0) + n
             if not counts[l]:
                 del counts[l]
-    return plan, counts
-
-
-def _undominated(counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
-    """Fillings of room from counts, fullest first; none whose piece a longer one left out could replace."""
-    lengths = sorted((l for l in counts if l <= room), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = 3000
-
-    def grow(i: int, room: int, chosen: tuple[int, ...]):
-        nonlocal left
-        left -= 1
-        if left < 0:
-            return
-        if not any(l <= room and counts[l] > chosen.count(l) for l in lengths):
-            if not any(any(c < l <= c + room for c in chosen) for l in lengths if counts[l] > chosen.count(l)):
-                found.append((room, chosen))
-            return
-        for j in range(i, len(lengths)):
-            l = lengths[j]
-            if l <= room and counts[l] > chosen.count(l):
-                grow(j, room - l, (*chosen, l))
-
-    grow(0, room, ())
-    found.sort(key=lambda f: (f[0], [-l for l in f[1]]))
-    return [f for _, f in found[:WIDTH]]
-
-
-def branch_and_bound(counts: dict[int, int], size: int, nodes: int = 4000) -> Plan:
-    """The fewest sequences found for a few pieces; exact unless the node limit ends the search."""
-    best = min((best_fit(counts, size), completed(counts, size, False)[0]), key=_sequences)
-    total = sum(l * n for l, n in counts.items())
-    bound, left = -(-total // size), nodes
-
-    def search(counts: dict[int, int], plan: Plan, waste: int):
-        nonlocal best, left
-        left -= 1
-        if not counts:
-            if len(plan) < _sequences(best):
-                best = list(plan)
-            return
-        if left < 0:
-            return
-        top = max(counts)
-        rest = {l: n - (l == top) for l, n in counts.items() if n > (l == top)}
-        for f in _undominated(rest, size - top) or [()]:
-            more = waste + size - top - sum(f)
-            if _sequences(best) == bound or more > (_sequences(best) - 1) * size - total:
-                return
-            after = Counter(rest)
-            after.subtract(f)
-            search({l: n for l, n in after.items() if n}, [*plan, ((top, *f), 1)], more)
 
-    search(dict(counts), [], 0)
+    while nodes and _sequences(best) > bound:
+        nodes -= 1
+        most = (_sequences(best) - 1) * size - total - waste
+        if not counts and most >= 0:
+            best = [(f, n) for f, n, _, _ in taken]
+            continue
+        way = _choice(counts, size, most, slack, index) if counts and most >= 0 else None
+        if way:
+            filling, n, left = way
+            put(filling, -n)
+            taken.append((filling, n, left, index))
+            waste, index = waste + n * left, 0
+        elif taken:
+            filling, n, left, index = taken.pop()
+            put(filling, n)
+            waste, index = waste - n * left, index + 1
+        else:
+            break
     return best
 
 
@@ -219,15 +234,10 @@ def _sequences(plan: Plan) -> int:
 
 
 def make_plan(counts: dict[int, int], size: int = SIZE) -> Plan:
-    """Fillings that place every piece: the best of best fit and bin completion, with its last pieces searched."""
-    bound = -(-sum(l * n for l, n in counts.items()) // size)
+    """Fillings that place every piece: bin completion with best fit as its first incumbent, once for each of SLACKS."""
     best = best_fit(counts, size)
-    for abundant, keep in ((True, TAIL), (False, TAIL), (True, 3 * TAIL)):
-        if _sequences(best) <= bound:
-            break
-        plan, rest = completed(counts, size, abundant, keep)
-        plan += branch_and_bound(rest, size) if rest else []
-        best = min(best, plan, key=_sequences)
+    for slack in SLACKS:
+        best = completed(counts, size, best, slack)
     return best
 
 
@@ -257,8 +267,6 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("before"))
     at = spark.createDataFrame(slots, "length long, low long, high long, base long, offset long")
-    if len(slots) <= 50_000:  # a plan has a few fillings for each length; beyond, the join is Spark's choice
-        at = F.broadcast(at)
     out = ranked.alias("r").join(at.alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return out.select("doc_id", "piece", "start", "r.length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
 

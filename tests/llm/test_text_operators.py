@@ -248,6 +248,31 @@ def test_small_instances_are_optimal():
         assert packing._sequences(packing.make_plan(counts, 10)) == fewest(items)
 
 
+def test_instances_of_thirty_pieces_are_optimal_where_best_fit_is_not():
+    """Pieces cut from whole sequences: the optimum is known. The plan comes from the search alone."""
+    rnd, better = random.Random(11), 0
+    for _ in range(40):
+        items = []
+        while len(items) < 30:
+            cuts = sorted(rnd.sample(range(1, 100), 3))
+            items += [b - a for a, b in zip([0, *cuts], [*cuts, 100], strict=True)]
+        counts = {l: items.count(l) for l in items}
+        plan, fit = packing.make_plan(counts, 100), packing.best_fit(counts, 100)
+        assert packing._sequences(plan) == sum(items) // 100
+        better += packing._sequences(plan) < packing._sequences(fit)
+        alone = packing.completed(counts, 100, [((l,), n) for l, n in counts.items()], 0, 50_000)
+        assert packing._sequences(alone) == sum(items) // 100 and sorted(l for f, n in alone for l in f * n) == sorted(items)
+    assert better > 5
+
+
+def test_the_search_beats_best_fit_on_the_given_lengths(spark):
+    cut = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    bound, fit, plan = packing.lower_bound(counts, 1024), packing.best_fit(counts, 1024), packing.make_plan(counts)
+    alone = packing.completed(counts, 1024, [((l,), n) for l, n in counts.items()], packing.SLACKS[0])
+    assert packing._sequences(plan) == packing._sequences(alone) == bound < packing._sequences(fit)
+
+
 def test_packing_round_trip(spark, sf):
     from tokenizers import Tokenizer
 
@@ -256,7 +281,6 @@ def test_packing_round_trip(spark, sf):
     end = rows["offset"] + rows["length"]
     assert end.max() <= 1024 and (end.groupby(rows["sequence_id"]).shift(fill_value=0) == rows["offset"]).all()
     tok = Tokenizer.from_file(packing.default_vocabulary())
-    tok.encode_special_tokens = True
     for r in d.collect():
         ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
         own = rows[rows["doc_id"] == r["doc_id"]].sort_values("piece")
