@@ -1,9 +1,11 @@
 """Operator 3, benchmark decontamination: q-gram lemma filtering in diagonal bands.
 
 Texts are compared in lower case with runs of white space as one space. A benchmark text of m
-characters is found where it aligns with a document's text in at most k = floor(EDITS * m) edits
-(insertions, deletions, substitutions). By the q-gram lemma such a place shares at least
-m + 1 - q - k * q of the item's q-grams, all on k + 1 neighbouring diagonals. So:
+characters is found where it aligns with a document's text in at most k edits (insertions, deletions,
+substitutions), k = floor(EDITS * m), or less for short items: the most for which the bound below is
+positive, so none is beyond the filter (items of 8 to 15 characters are found verbatim). By the
+q-gram lemma such a place shares at least m + 1 - q - k * q of the item's q-grams, all on k + 1
+neighbouring diagonals. So:
 
 1. tasks look up the q-grams of document blocks in the benchmark's, and count hits for each
    (document, item, band); bands are 2k + 2 diagonals wide and overlap by half, so that one of them
@@ -14,15 +16,16 @@ m + 1 - q - k * q of the item's q-grams, all on k + 1 neighbouring diagonals. So
 The benchmark is read in blocks of at most BLOCK characters, one after the other, each block a
 broadcast of bounded size; a benchmark beyond one block takes more passes over the documents.
 
-Null and empty texts match nothing. Items of fewer than SHORTEST characters are too short to tell
-from chance and match nothing. Repeated items and documents each give their rows; rows of one
-(doc_id, item_id) are merged into the one with fewest edits, then the smallest start.
+Null and empty texts match nothing. Items of fewer than q characters have no q-gram; they match
+documents that hold nothing else. Repeated items and documents are allowed; rows of one
+(doc_id, item_id) are merged into the one with fewest edits, then the smallest start (ties: the
+smallest end). A long document is looked at as a whole in one task, in memory of a few times its
+size. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from imprynt.llm.common import table, written
 
 NAME = "op3_decontamination"
-Q, EDITS, SHORTEST, BLOCK = 8, 0.1, 45, 4_000_000
+Q, EDITS, BLOCK = 8, 0.1, 4_000_000
 BASE = 0x9E3779B97F4A7C15
 BITS, SLOTS = 22, 1 << 21
 MATCH = "doc_id long, item_id long, start long, end long, edits int"
@@ -41,7 +44,7 @@ def normalized(text: str | None) -> str:
 
 
 def budget(m: int) -> int:
-    return int(EDITS * m)
+    return max(0, min(int(EDITS * m), (m - Q) // Q))
 
 
 def grams(chars: np.ndarray) -> np.ndarray:
@@ -58,16 +61,21 @@ def _codes(text: str) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of one block of the benchmark."""
+    """The q-grams of one block of the benchmark, and the items that are too short to have any."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.short: dict[str, list[int]] = {}
+        for i, t in items:
+            if len(t) < Q:
+                self.short.setdefault(t, []).append(i)
+        items = [(i, t) for i, t in items if len(t) >= Q]
         self.ids = np.array([i for i, _ in items], np.int64)
         self.length = np.array([len(t) for _, t in items], np.int64)
         self.edits = np.array([budget(len(t)) for _, t in items], np.int64)
         self.least = self.length + 1 - Q - self.edits * Q
-        hashes = [grams(_codes(t)) for _, t in items]
+        hashes = [np.zeros(0, np.uint64), *(grams(_codes(t)) for _, t in items)]
         self.hash = np.concatenate(hashes)
-        self.item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+        self.item = np.repeat(np.arange(len(items)), [len(h) for h in hashes[1:]])
         self.at = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(self.hash, kind="stable")
         self.item, self.at = self.item[order], self.at[order]
@@ -79,6 +87,8 @@ class Index:
         """(place in chars, item, place in item) of every shared q-gram."""
         h = grams(chars)
         place = np.flatnonzero(self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+        if not len(self.hash):
+            return (np.zeros(0, np.int64),) * 3
         at = np.minimum(np.searchsorted(self.hash, h[place]), len(self.hash) - 1)
         same = self.hash[at] == h[place]
         place, at = place[same], at[same]
@@ -112,6 +122,9 @@ def candidates(docs: DataFrame, index, most: int = 1 << 20) -> DataFrame:
     """(doc_id, item_id, at, region): text regions of documents that may hold an item; index: a broadcast Index."""
 
     def flush(held: list[tuple[int, str]], out: list):
+        for doc, text in held:
+            if 0 < len(text) < Q:
+                out += [(doc, i, 0, text) for i in index.value.short.get(text, ())]
         gap = "\0" * Q
         joined = gap.join(t for _, t in held) + gap
         starts = np.cumsum([0, *(len(t) + Q for _, t in held)])
@@ -172,30 +185,31 @@ def align(item: str, region: str, k: int) -> tuple[int, int, int] | None:
 def verified(regions: DataFrame, items: DataFrame) -> DataFrame:
     """MATCH rows of the regions that hold their item within its budget."""
 
-    def check(frames):
-        for f in frames:
+    def check(batches):
+        for b in batches:
             found = []
-            for doc, item, at, region, text in zip(f["doc_id"], f["item_id"], f["at"], f["region"], f["item"], strict=True):
+            for doc, item, at, region, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 k = budget(len(text))
                 where = region.find(text)
                 hit = (0, where, where + len(text)) if where >= 0 else align(text, region, k)
                 if hit and hit[0] <= k:
                     found.append((doc, item, at + hit[1], at + hit[2], hit[0]))
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
+            cols = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.int32()), strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
 
     met = regions.join(items, "item_id").select("doc_id", "item_id", "at", "region", "item")
-    return met.repartition(F.xxhash64("doc_id", "item_id", "at")).mapInPandas(check, MATCH)
+    return met.repartition(F.xxhash64("doc_id", "item_id", "at")).mapInArrow(check, MATCH)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """MATCH: for each document and benchmark item that it holds, the best place (in normalised text)."""
     spark = docs.sparkSession
 
-    def clean(frames):
-        for f in frames:
-            yield pd.DataFrame({"item_id": f["item_id"], "item": [normalized(t) for t in f["text"]]})
+    def clean(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([normalized(t) for t in b.column(1).to_pylist()], pa.string())], ["item_id", "item"])
 
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(clean, "item_id long, item string").where(F.length("item") >= SHORTEST)
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(clean, "item_id long, item string").where(F.length("item") > 0)
     items = written(items.dropDuplicates(), "items")
     size = items.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks, found = -(-size // BLOCK), None
