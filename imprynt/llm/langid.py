@@ -6,15 +6,17 @@ cell's inverse document frequency and scaled to length one. Fitting, over rows o
 
 1. document frequencies over all of them;
 2. k-means++ seeds and a few spherical k-means rounds in each language, on a hash sample of about
-   SAMPLE rows a language (the one bounded step);
+   SAMPLE different texts a language (the one bounded step);
 3. one round over all of them, which moves every centroid to the mean of its members and sets the
    rejection limit of each: the members' mean cosine less four standard deviations.
 
-The model is at most languages x CLUSTERS x DIM floats, whatever the input's size.
+The model is languages x CLUSTERS x DIM floats, whatever the input's size: it grows with the number
+of languages alone, 49 KB each.
 
 Null text or text without a letter: `und`, score 0, not rejected. Ties: the smaller language name.
-A null language is never learned; a null doc_id counts as the text ''. Without any training row
-every text is `und`.
+A null language is never learned; a null doc_id counts as the text ''. Repeated rows count again,
+but for the sample, which takes a text once. Without any training row every text is `und`. A very
+long text is one row's work. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from imprynt.llm.common import LOWER, byte_view, runs, table
 
 NAME = "op9_language_id"
 DIM, CLUSTERS, SAMPLE, ROUNDS = 4096, 3, 2000, 8
-MOST_LANGUAGES = 2000
 #: Letters lower-cased, bytes of other alphabets kept, the rest a space.
 FOLD = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in LOWER], np.uint8)
 
@@ -99,10 +100,10 @@ def _cells(frame: DataFrame, name: str) -> np.ndarray:
 
 
 def fit(train: DataFrame) -> Model | None:
-    """train(doc_id, text, lang), lang not null."""
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not be small")
+    """train(text, lang), lang not null."""
+    h = F.xxhash64("text", F.lit(9))
+    counts = train.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("texts")).orderBy("lang").collect()  # a row a language
+    sizes = {r["lang"]: r["texts"] for r in counts}
     if not sizes:
         return None
 
@@ -114,10 +115,13 @@ def fit(train: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM, dtype=np.int32)), pa.array(df)], ["cell", "df"])
 
     df = _cells(train.select("text").mapInArrow(frequencies, "cell int, df long").groupBy("cell").agg(F.sum("df").alias("df")), "df")
-    idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 1).astype(np.float32)
+    idf = (np.log((1 + sum(r["n"] for r in counts)) / (1 + df)) + 1).astype(np.float32)
 
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE / v)))])
-    chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    # of a language of up to 2 x SAMPLE texts all are taken: none is left without a sample
+    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(SAMPLE / v if v > 2 * SAMPLE else 1.0))])
+    chosen = train.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # a text once: in two steps, so that copies meet as hashes and only one of them takes its text along
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def embed(batches):
         for b in batches:
@@ -131,7 +135,7 @@ def fit(train: DataFrame) -> Model | None:
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "j": range(len(c)), "c": [r.tobytes() for r in c.astype(np.float32)]})
 
     first = chosen.select("lang", "text").mapInArrow(embed, "lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, j int, c binary")
-    rows = sorted(first.collect(), key=lambda r: (r["lang"], r["j"]))  # at most MOST_LANGUAGES x CLUSTERS
+    rows = sorted(first.collect(), key=lambda r: (r["lang"], r["j"]))  # CLUSTERS rows a language
     langs, start = [r["lang"] for r in rows], np.stack([np.frombuffer(r["c"], np.float32) for r in rows])
     of = {name: np.array([i for i, x in enumerate(langs) if x == name]) for name in set(langs)}
 
@@ -191,12 +195,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             score = np.where(letter, score, 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(pred, pa.string()), pa.array(score), pa.array(letter & (score < model.limits[best]))], [*keep, "lang_pred", "score", "rejected"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return base.mapInArrow(apply, f"{kinds}, lang_pred string, score double, rejected boolean")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    return base.mapInArrow(apply, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold % 5 == 0).alias("held_out"))
-    model = fit(docs.where(~F.col("held_out") & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    model = fit(docs.where(~F.col("held_out") & F.col("lang").isNotNull()).select("text", "lang"))
     return predict(docs, model, ["doc_id", "held_out"])

@@ -110,7 +110,7 @@ def edited(rnd, text, n):
 def test_bands_and_alignment_lose_nothing():
     rnd = random.Random(7)
     for _ in range(60):
-        p = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(45, 90)))
+        p = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(8, 90)))
         k = decontaminate.budget(len(p))
         r = "".join(rnd.choice("abcde ") for _ in range(30)) + edited(rnd, p, rnd.randint(0, k + 3)) + "abc" * 9
         e, hit = brute_distance(p, r), decontaminate.align(p, r, k)
@@ -130,6 +130,17 @@ def test_contaminated_documents(spark):
     assert set(got) == {(20, 0), (21, 1), (22, 2), (23, 3)} and got[20, 0] == 0 and 0 < got[23, 3] <= decontaminate.budget(len(items[3]))
 
 
+def test_items_of_every_length_and_ids_of_every_size(spark):
+    rnd, big = random.Random(8), 9007199254740993
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [word(n) for n in range(1, 60)]
+    texts = [f"{words(rnd, 9, 5000)} {i} {words(rnd, 9, 5000)}" if len(i) >= 8 else f" {i.upper()}\n" for i in items] + [f"in a text {items[3]} {items[5]}"]
+    rows = [(big + k, t) for k, t in enumerate(texts)] + [(None, texts[20])]
+    bench = spark.createDataFrame([(big + k, t) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(big + k, big + k) for k in range(len(items))} | {(None, big + 20)}
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     rnd = random.Random(4)
     items = [words(rnd, 20, 5000) for _ in range(8)]
@@ -314,7 +325,7 @@ def test_conversations_come_back(spark):
     nasty = ["</turn>", "\\", "<turn:user>", "\\<", "é\n", "", "### x", ">"]
     rows = [(c, t, rnd.choice(["user", "assistant", "sy>s"]), "".join(rnd.choice(nasty) for _ in range(rnd.randrange(6)))) for c in range(20) for t in range(rnd.randrange(1, 7))]
     rows += [(99, 0, None, None), (None, 0, "assistant", "x")]
-    f = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    f = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     whole = {}
     for r in sorted(f.collect(), key=lambda r: (r["conv_id"] is None, r["conv_id"], r["seq"])):
         whole.setdefault(r["conv_id"], []).append(r)
@@ -326,6 +337,30 @@ def test_conversations_come_back(spark):
         assert loss == [t for r, t in turns if r == "assistant" and t]
 
 
+def test_whole_conversations_against_a_plain_rendering(spark, monkeypatch):
+    big = 9007199254740993
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {t} of {c} " * 5) for c in (None, big, big - 1, 5) for t in range(7)]
+    frame = spark.createDataFrame([(*r, 0.5, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, at double, seq int, loss string")
+    source = "{% set end = '|' %}<s>{% for m in messages %}[{{ loop.index }}{% if loop.last %} last{% endif %}]{% generation %}{{ m.text }}{% endgeneration %}{{ end }}{% endfor %}</s>"
+    for part in (1 << 18, 40):
+        monkeypatch.setattr(chat, "PART", part)
+        got = {}
+        for r in sorted(chat.format_conversations(frame, source).collect(), key=lambda r: (r["conv_id"] is None, r["conv_id"], r["seq"])):
+            text, loss = got.setdefault(r["conv_id"], ["", []])
+            assert r["at"] == len(text)
+            got[r["conv_id"]][0] = text + r["formatted"]
+            loss += [(s["start"], s["end"]) for s in r["loss"]]
+        assert set(got) == {None, big, big - 1, 5}
+        for conv, (text, loss) in got.items():
+            own = [x for c, _, _, x in rows if c == conv]
+            assert text == "<s>" + "".join(f"[{i + 1}{' last' if i == 6 else ''}]{x}|" for i, x in enumerate(own)) + "</s>"
+            assert [text[a:b] for a, b in loss] == own
+        digests = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(frame)).collect()}
+        assert set(digests) == set(got) and all(d["n_turns"] == 7 for d in digests.values())
+    with pytest.raises(template.TemplateError):
+        list(chat._compiled("{% for m in messages %}{% endfor %}{% for m in messages %}{% endfor %}")({"messages": chat._Messages(iter([(1, "a", "b")]))}))
+
+
 def test_template_language():
     run = lambda src, **scope: "".join(t for t, _ in template.compile_template(src, {"up": str.upper})(scope))
     assert run("{% for x in xs %}{{ loop.index }}{{ x.a | up }}{% if not loop.last %},{% endif %}{% endfor %}", xs=iter([{"a": "p"}, {"a": "q"}])) == "1P,2Q"
@@ -354,6 +389,15 @@ def test_languages_without_letters_or_training(spark):
     assert {r["lang_pred"] for r in langid.predict(d, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_samples_take_a_text_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    same = [(f"der eine text und die andere zeile {i % 2}", "de") for i in range(3000)]
+    many = [("the one text and another line " + " ".join(f"w{i * j}" for j in range(9)), "en") for i in range(500)]
+    model = langid.fit(spark.createDataFrame(same + many, "text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(same[0][0],), (many[7][0],)], "text string"), model, []).collect()
+    assert [r["lang_pred"] for r in got] == ["de", "en"]
+
+
 # ---- fingerprints
 
 
