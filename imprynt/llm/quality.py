@@ -3,34 +3,93 @@
 Trusted texts are documents labelled quality = 1 and not toxic. The model is over the UTF-8 bytes
 of a text (so it knows every alphabet), ORDER bytes long, with Chen and Goodman's three discounts
 for each order. Counts of counts, continuation counts, context sums and the interpolation are
-Spark aggregations and joins on n-gram codes over all trusted text. Scoring joins each document's
-n-grams with the model in shards: an n-gram belongs to the shard of its two bytes before last, so all orders of
-a position meet in one shard (orders 1 and 2, at most 65,792 rows, are in each). A shard holds at
-most SHARD rows and is broadcast alone; each document's partial sums are added up.
+Spark aggregations and joins on n-gram codes over all trusted text.
+
+Documents are packed once, without a shuffle, into blocks of about BLOCK bytes, in a table bucketed
+by block, so that what joins a block moves and the texts do not. Scoring is joins of counts with the
+model by n-gram code: a block sends each n-gram it holds once; the n-grams of all blocks, each once,
+meet the model's orders from the longest to the shortest, adding back-off weights where one is
+missing (orders 1 and 2, at most 65,792 rows, are broadcast; the others are dealt by code like any
+join, and AQE can split a frequent one); the answers go back to the blocks, which sum them up for
+each document. Nothing of the model passes through the driver but discounts and limits.
 
 One in HELD_OUT trusted documents is kept out of training and sets the limits. A document is kept
 if its perplexity is at most its language's limit: the QUANTILE of the held-out documents'
-perplexities in that language (over bins of BIN in log2), widened by MARGIN bits. Languages of
-fewer than FEW held-out documents, and null, use the limit over all of them.
+perplexities in that language (over bins of BIN in log2), widened by SPREAD times the distance from
+their median to it. Languages of fewer than FEW held-out documents, and null, use the limit over
+all of them.
 
-Null or empty text has no perplexity and is not kept. Repeated rows (equal doc_id, text and lang)
-give one row. Without trusted text the model is uniform and every document with text is kept.
+Null or empty text has no perplexity and is not kept. Every row gives a row; equal rows give equal
+ones. A very long text is a block of its own. Without trusted text the model is uniform and every
+document with text is kept. Other columns play no part.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from imprynt.llm.common import byte_view, runs, table, written
+from imprynt.llm.common import byte_view, runs, shared_dir, table, written
 
 NAME = "op4_quality"
-ORDER, SHARD = 5, 2_000_000
-QUANTILE, MARGIN, BIN, FEW, HELD_OUT = 0.98, 0.3, 1 / 256, 20, 5
-MODEL = "n int, code long, logp double, logback double"
+ORDER, BLOCK = 5, 32 << 20
+QUANTILE, SPREAD, BIN, FEW, HELD_OUT = 0.98, 0.5, 1 / 256, 20, 5
+PACKED = "ids array<long>, hashes array<long>, langs array<string>, sizes array<long>, body binary"
+
+
+# ---- blocks
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, lang, text) packed: one row (block, PACKED) for about BLOCK bytes of consecutive texts, in a table
+    bucketed by block; body is their UTF-8, compressed, sizes are in bytes."""
+    spark, codec = docs.sparkSession, "zstd"
+
+    def pack(batches):
+        kind = pa.schema([("ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary())])
+        held, size = [], 0
+
+        def row():
+            ids, hashes, langs, sizes, bodies = zip(*held, strict=True)
+            body = b"".join(bodies)
+            cols = [pa.array([np.concatenate(c)], t) for c, t in ((sizes, kind.field("sizes").type),)]
+            lists = [pa.array([sum((c.to_pylist() for c in x), [])], kind.field(n).type) for x, n in ((ids, "ids"), (hashes, "hashes"), (langs, "langs"))]
+            return pa.RecordBatch.from_arrays([*lists, *cols, pa.array([pa.compress(body, codec, asbytes=True)], pa.binary())], schema=kind)
+
+        for b in batches:
+            body, at = byte_view(b.column(3))
+            for lo, hi in runs(at, BLOCK // 4):
+                held.append((*(b.column(i)[lo:hi] for i in range(3)), np.diff(at[lo : hi + 1]), body[at[lo] : at[hi]].tobytes()))
+                size += len(held[-1][-1])
+                if size >= BLOCK:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("lang").cast("string"), "text").mapInArrow(pack, PACKED)
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed.withColumn("block", F.monotonically_increasing_id()).write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def _texts(sizes: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a block's texts one after the other, and their offsets."""
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return np.frombuffer(pa.decompress(body, int(at[-1]), "zstd", asbytes=True), np.uint8), at
+
+
+def _column(b, name: str, i: int) -> np.ndarray:
+    return b.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+
+# ---- n-grams
 
 
 def codes(body: np.ndarray, n: int) -> np.ndarray:
@@ -49,29 +108,58 @@ def _starts(at: np.ndarray, n: int) -> np.ndarray:
     return inside
 
 
+def _code_runs(body: np.ndarray, at: np.ndarray, order: int, most: int = 4 << 20):
+    """(codes, text of each) of every position of the texts, in pieces; the first order - 1 bytes of a text are preceded by zero bytes."""
+    for lo, hi in runs(at, most):
+        padded, starts = _padded(body, at, lo, hi, order)
+        if len(padded) >= order:
+            yield codes(padded, order)[_starts(starts, order)], np.repeat(np.arange(lo, hi), np.maximum(starts[1:] - starts[:-1] - order + 1, 0))
+
+
+def _counts(found, most: int = 2_000_000):
+    """Batches (code, c) that add up to how often each code occurs."""
+    held = pd.Series(dtype=np.int64)
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy(np.int64))], ["code", "c"])
+
+    for code in found:
+        held = held.add(pd.Series(code).value_counts(sort=False), fill_value=0).astype(np.int64)
+        if len(held) > most:
+            yield batch()
+            held = pd.Series(dtype=np.int64)
+    yield batch()
+
+
 def ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, c): how often each string of `order` bytes occurs in texts(text); the first order - 1
-    bytes of a text count after zero bytes."""
+    """(code, c): how often each string of `order` bytes occurs in texts(text)."""
 
     def count(batches):
-        held = pd.Series(dtype=np.int64)
-        for b in batches:
-            body, at = byte_view(b.column(0))
-            for lo, hi in runs(at, 4 << 20):
-                padded, starts = _padded(body, at, lo, hi, order)
-                if len(padded) < order:
-                    continue
-                code = codes(padded, order)[_starts(starts, order)]
-                u, c = np.unique(code, return_counts=True)
-                held = held.add(pd.Series(c, index=u), fill_value=0).astype(np.int64)
-                if len(held) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy())], ["code", "c"])
-                    held = pd.Series(dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy())], ["code", "c"])
+        yield from _counts(code for b in batches for code, _ in _code_runs(*byte_view(b.column(0)), order))
 
     return texts.select("text").mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
+def ngrams_of(held: DataFrame, members: DataFrame, order: int = ORDER) -> DataFrame:
+    """ngrams() of the texts that members(block, own: their places in it) names."""
+
+    def count(batches):
+        def found():
+            for b in batches:
+                for i in range(b.num_rows):
+                    body, at = _texts(_column(b, "sizes", i), b.column("body")[i].as_py())
+                    own = np.sort(_column(b, "own", i))
+                    size = at[own + 1] - at[own]
+                    part = np.concatenate([[0], np.cumsum(size)])
+                    chosen = body[np.arange(part[-1]) + np.repeat(at[own] - part[:-1], size)]
+                    yield from (code for code, _ in _code_runs(chosen, part, order))
+
+        yield from _counts(found())
+
+    met = held.select("block", "sizes", "body").join(members.hint("shuffle_hash"), "block").select("sizes", "body", "own")
+    return met.mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+
+
 def _padded(body: np.ndarray, at: np.ndarray, lo: int, hi: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts lo..hi one after the other, each behind order - 1 zero bytes, and their offsets."""
     size = at[lo + 1 : hi + 1] - at[lo:hi]
@@ -96,21 +184,26 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model, written: for each order n and code, logp (natural) of its last byte after the others,
-    and logback, the weight that the next order gives to this one after this code (null: 0)."""
-    top = written(ngrams(texts, order), "ngrams")
-    counts = {order: top}
+class Model:
+    """For each order n: p[n](code, logp), natural, of a code's last byte after the others; back[n](code, logback), the
+    weight that order n gives to the next shorter one after a context."""
+
+    def __init__(self, order: int):
+        self.order, self.p, self.back = order, {}, {}
+
+
+def train(top: DataFrame, order: int = ORDER) -> Model:
+    """The model of n-gram counts top(code, c) of the longest order."""
+    counts, model, below = {order: written(top, "ngrams")}, Model(order), None
     for n in range(order - 1, 0, -1):  # in how many ways an n-gram goes on to the left
         counts[n] = written(counts[n + 1].groupBy((F.col("code").bitwiseAND(F.lit(_mask(n)))).alias("code")).agg(F.count("*").alias("c")), f"continued{n}")
-    below, model = None, None
     for n in range(1, order + 1):
         d1, d2, d3 = _discounts(counts[n])
         c = F.col("c")
         taken = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-        context = F.shiftrightunsigned("code", 8)
-        rows = counts[n].select("code", "c", context.alias("ctx"), taken.alias("d"))
-        sums = rows.groupBy("ctx").agg(F.sum("c").alias("s"), F.sum("d").alias("t"))
+        rows = counts[n].select("code", "c", F.shiftrightunsigned("code", 8).alias("ctx"), taken.alias("d"))
+        # a table of its own: rows of one context can then be split where they meet its sums
+        sums = written(rows.groupBy("ctx").agg(F.sum("c").alias("s"), F.sum("d").alias("t")), f"contexts{n}")
         p = rows.join(sums, "ctx").select("code", ((c - F.col("d")) / F.col("s")).alias("own"), (F.col("t") / F.col("s")).alias("back"))
         if below is None:
             p = p.select("code", (F.col("own") + F.col("back") / 256).alias("p"))
@@ -118,124 +211,63 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
             p = p.withColumn("low", F.col("code").bitwiseAND(F.lit(_mask(n - 1)))).join(below.select(F.col("code").alias("low"), F.col("p").alias("q")), "low")
             p = p.select("code", (F.col("own") + F.col("back") * F.col("q")).alias("p"))
         below = written(p, f"p{n}")
-        # back-off weight of this order's context, kept beside the context's own code of order n - 1
-        backs = sums.select(F.col("ctx").alias("code"), F.log(F.col("t") / F.col("s")).alias("logback"))
-        part = below.select(F.lit(n).alias("n"), "code", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logback"))
-        part = part.unionByName(backs.select(F.lit(n).alias("n"), "code", F.lit(None).cast("double").alias("logp"), "logback"))
-        model = part if model is None else model.unionByName(part)
-    return written(model, "model")
-
-
-class Lookup:
-    """A hash table from long keys to floats, probed linearly, in numpy."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, (len(keys) * 3 // 2).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[at[left]] == -1
-            self.keys[at[left[free]]] = keys[left[free]]  # of several, the last one stays
-            put = self.keys[at[left]] == keys[left]
-            self.values[at[left[put]]] = values[left[put]]
-            left = left[~put]
-            at[left] = at[left] + 1 & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, found) of each key; the value is 0 where it is not found."""
-        at = self._slot(keys)
-        there = self.keys[at]
-        value, found = self.values[at], there == keys
-        left = np.flatnonzero(~found & (there != -1))
-        while len(left):
-            at[left] = at[left] + 1 & self.mask
-            there = self.keys[at[left]]
-            hit = there == keys[left]
-            value[left[hit]], found[left[hit]] = self.values[at[left[hit]]], True
-            left = left[~hit & (there != -1)]
-        value[~found] = 0
-        return value, found
-
-
-class Shard:
-    """The part of a model that the positions of one shard need."""
-
-    def __init__(self, rows: pa.Table, order: int, shard: int, shards: int):
-        self.order, self.shard, self.shards = order, shard, shards
-        n_of, code = rows["n"].to_numpy(), rows["code"].to_numpy()
-        self.p, self.back = {}, {}
-        for into, name in ((self.p, "logp"), (self.back, "logback")):
-            value = rows[name].to_numpy()
-            for n in range(1, order + 1):
-                some = (n_of == n) & ~np.isnan(value)
-                into[n] = Lookup(code[some], value[some].astype(np.float32))
-
-    def logp(self, code: np.ndarray) -> np.ndarray:
-        """log p of the last byte of each code of `order` bytes, backing off where an order is unseen."""
-        total, left, now = np.zeros(len(code), np.float32), np.arange(len(code)), code
-        for n in range(self.order, 0, -1):
-            value, found = self.p[n].get(now & _mask(n))
-            total[left] += value
-            left, now = left[~found], now[~found]
-            if not len(left):
-                return total
-            total[left] += self.back[n].get((now & _mask(n)) >> 8)[0]
-        total[left] += -np.log(256)
-        return total
-
-
-def shard_of(code, shards: int):
-    """The shard of an n-gram (n >= 3) or its position: by its two bytes before the last."""
-    return ((code >> 8 & 0xFFFF) * 40503 >> 4) % shards
-
-
-def partial_scores(docs: DataFrame, shard, order: int) -> DataFrame:
-    """(doc_id, h, lang, logp, bytes) of each row of docs(doc_id, h, lang, text): sums over the positions of one broadcast shard."""
-
-    def score(batches):
-        s = shard.value
+        model.p[n] = below.select("code", F.log("p").alias("logp"))
+        model.back[n] = sums.select(F.col("ctx").alias("code"), F.log(F.col("t") / F.col("s")).alias("logback"))
+    return model
+
+
+def log_probabilities(found: DataFrame, model: Model) -> DataFrame:
+    """(code, logp) of found(code), distinct codes of the longest order: the longest order that knows one gives its
+    probability, times the back-off weights of the orders that do not."""
+    out = found.select("code", F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("logp"))
+    small = F.broadcast  # orders 1 and 2: at most 256 + 65,536 rows, and 1 + 256 contexts
+    for n in range(model.order, 0, -1):
+        p, back = (t.select(F.col("code").alias(k), v) for t, k, v in ((model.p[n], "__p", "logp"), (model.back[n], "__b", "logback")))
+        p = p.withColumnRenamed("logp", "own")
+        p, back = (small(p), small(back)) if n <= 2 else (p, back)
+        now = F.col("code").bitwiseAND(F.lit(_mask(n)))
+        met = out.join(p, now == F.col("__p"), "left").join(back, F.shiftrightunsigned(now, 8) == F.col("__b"), "left")
+        out = met.select("code", (F.col("weight") + F.coalesce("logback", F.lit(0.0))).alias("weight"), F.coalesce("logp", F.col("weight") + F.col("own")).alias("logp"))
+    return out.select("code", F.coalesce("logp", F.col("weight") - float(np.log(256))).alias("logp"))
+
+
+def scores(held: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, h, lang, bytes, bits) of every text of the blocks: h hashes the text, bits is log2 of the perplexity, per byte."""
+    order = model.order
+
+    def distinct(batches):
         for b in batches:
-            body, at = byte_view(b.column(3))
-            logp, size = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for lo, hi in runs(at, 1 << 20):
-                padded, starts = _padded(body, at, lo, hi, order)
-                if len(padded) < order:
-                    continue
-                code = codes(padded, order)[_starts(starts, order)]
-                doc = np.repeat(np.arange(lo, hi), np.maximum(starts[1:] - starts[:-1] - order + 1, 0))
-                if s.shards > 1:
-                    own = shard_of(code, s.shards) == s.shard
-                    code, doc = code[own], doc[own]
-                logp += np.bincount(doc, s.logp(code), minlength=b.num_rows)
-                size += np.bincount(doc, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(logp), pa.array(size)], ["doc_id", "h", "lang", "logp", "bytes"])
-
-    return docs.mapInArrow(score, "doc_id long, h long, lang string, logp double, bytes long")
-
-
-def scores(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, h, lang, bytes, bits), one row for equal ones: h hashes the text, bits is log2 of the perplexity, per byte."""
-    spark = docs.sparkSession
-    rows = model.where("n > 2").count()
-    shards = max(1, -(-2 * rows // SHARD)) if rows > SHARD else 1
-    texts, parts = docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", "text"), None
-    two = F.when(F.col("logp").isNotNull(), F.shiftrightunsigned("code", 8)).otherwise(F.col("code"))
-    home = F.pmod(F.shiftright(two.bitwiseAND(F.lit(0xFFFF)) * 40503, 4), F.lit(shards))
-    for k in range(shards):
-        own = model.where((F.col("n") <= 2) | (home == k))
-        rows_of = own.select("n", "code", F.col("logp").cast("float"), F.col("logback").cast("float")).toArrow()  # about SHARD rows at most
-        part = partial_scores(texts, spark.sparkContext.broadcast(Shard(rows_of, order, k, shards)), order)
-        parts = part if parts is None else parts.unionByName(part)
-    parts = parts.groupBy("doc_id", "h", "lang").agg(F.sum("logp").alias("logp"), F.sum("bytes").alias("bytes"))
-    bits = -F.col("logp") / F.col("bytes") / float(np.log(2))
-    return parts.select("doc_id", "h", "lang", "bytes", F.when(F.col("bytes") > 0, bits).alias("bits"))
-
-
-def limits(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, float]:
+            for i in range(b.num_rows):
+                code = np.zeros(0, np.int64)
+                for more, _ in _code_runs(*_texts(_column(b, "sizes", i), b.column("body")[i].as_py()), order):
+                    code = pd.unique(np.concatenate([code, pd.unique(more)]))
+                code.sort()
+                for lo in range(0, len(code), 100_000):
+                    own = code[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b.column("block")[i].as_py(), np.int64)), pa.array(own)], ["block", "code"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        index, logp = pd.Index(right["code"].to_numpy()), right["logp"].to_numpy()
+        out = []
+        for i in range(left.num_rows):
+            body, at = _texts(_column(left, "sizes", i), left.column("body")[i].as_py())
+            total = np.zeros(len(at) - 1)
+            for code, doc in _code_runs(body, at, order):
+                first = doc[0] if len(doc) else 0
+                part = np.bincount(doc - first, logp[index.get_indexer(code)])
+                total[first : first + len(part)] += part
+            size = np.diff(at)
+            bits = pa.array(-total / np.maximum(size, 1) / np.log(2), mask=size == 0)
+            out.append(pa.table([*(pa.concat_arrays([left.column(c)[i].values]) for c in ("ids", "hashes", "langs")), pa.array(size), bits], ["doc_id", "h", "lang", "bytes", "bits"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())], ["doc_id", "h", "lang", "bytes", "bits"])
+
+    need = written(held.select("block", "sizes", "body").mapInArrow(distinct, "block long, code long"), "block_ngrams")
+    known = written(log_probabilities(need.select("code").distinct(), model), "block_logps")
+    answers = need.join(known, "code").select("block", "code", F.col("logp").cast("float").alias("logp"))
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, h long, lang string, bytes long, bits double")
+
+
+def limits(trusted: DataFrame, quantile: float = QUANTILE, spread: float = SPREAD) -> tuple[DataFrame, float]:
     """(lang, most): the limit in bits of each language with enough trusted(lang, bits); and the limit over all."""
     bins = trusted.where("bits is not null").groupBy("lang", F.ceil(F.col("bits") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     bins = written(bins.withColumn("every", F.lit(0)), "bins")
@@ -243,23 +275,23 @@ def limits(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGI
     def of(key: str, few: int) -> DataFrame:
         own = Window.partitionBy(key)
         summed = bins.groupBy(key, "bin").agg(F.sum("n").alias("n"))
-        ranked = summed.withColumn("below", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
-        kept = ranked.where((F.col("below") >= F.col("all") * quantile) & (F.col("all") >= few))
-        return kept.groupBy(key).agg((F.min("bin") * BIN + margin).alias("most"))
+        ranked = summed.withColumn("below", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own)).where(F.col("all") >= few)
+        at = lambda q: F.min(F.when(F.col("below") >= F.col("all") * q, F.col("bin")))
+        return ranked.groupBy(key).agg(((at(quantile) + spread * (at(quantile) - at(0.5))) * BIN).alias("most"))
 
     every = of("every", 1).first()
     return of("lang", FEW).where("lang is not null"), every["most"] if every else float("inf")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, h, lang, bytes, perplexity, most, keep) of docs, one row for equal (doc_id, text, lang); h is xxhash64 of the text."""
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, spread: float = SPREAD) -> DataFrame:
+    """(doc_id, h, lang, bytes, perplexity, most, keep) of every row of docs; h is xxhash64 of the text."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")).where("q = 1 and t = 0").select("doc_id")
-    base = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
     aside = F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0
-    # the same plan at every size: texts go to the labels by a shuffle, neither side is broadcast
-    model = train(base.join(good.where(~aside).hint("shuffle_hash"), "doc_id", "left_semi").where(F.length("text") > 0), order)
-    scored = written(scores(base, model, order), "scores")
-    per, every = limits(scored.join(good.where(aside), "doc_id", "left_semi"), quantile)
+    held = blocks(docs)
+    places = held.select("block", F.posexplode("ids").alias("place", "doc_id")).join(good.where(~aside), "doc_id", "left_semi")
+    model = train(ngrams_of(held, places.groupBy("block").agg(F.collect_list("place").alias("own")), order), order)
+    scored = written(scores(held, model), "scores")
+    per, every = limits(scored.join(good.where(aside), "doc_id", "left_semi"), quantile, spread)
     out = scored.join(per, "lang", "left").withColumn("most", F.coalesce("most", F.lit(every)))
     keep = (F.col("bits") <= F.col("most")) & (F.col("bytes") > 0)
     return out.select("doc_id", "h", "lang", "bytes", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "most").alias("most"), F.coalesce(keep, F.lit(False)).alias("keep"))

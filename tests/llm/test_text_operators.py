@@ -158,9 +158,7 @@ def test_kneser_ney_against_brute_force(spark):
     from math import log
 
     texts = ["abracadabra", "abba cab", "a bad cab", "cabbage", "a cab a bad abba"]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
-    rows = model.selectExpr("n", "code", "cast(logp as float) logp", "cast(logback as float) logback").toArrow()
-    shard = quality.Shard(rows, 3, 0, 1)
+    model = quality.train(quality.ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), 3), 3)
     c = {3: Counter(b[i : i + 3] for t in texts for b in [b"\0\0" + t.encode()] for i in range(len(b) - 2))}
     for n in (2, 1):
         c[n] = Counter(g[1:] for g in c[n + 1])
@@ -184,18 +182,28 @@ def test_kneser_ney_against_brute_force(spark):
         return (v - d[min(v, 3) - 1] if v else 0) / total + back * low
 
     tests = [b"abr", b"zab", b"aza", b"xyz", b"\0\0a", b"cab", b"bbb"]
-    mine = shard.logp(np.array([int.from_bytes(t, "big") for t in tests], np.int64))
-    assert np.allclose(mine, [log(p(t[:2], t[2:])) for t in tests], atol=1e-5)
+    asked = {int.from_bytes(t, "big"): t for t in tests}
+    mine = {asked[r["code"]]: r["logp"] for r in quality.log_probabilities(spark.createDataFrame([(k,) for k in asked], "code long"), model).collect()}
+    assert len(mine) == len(tests) and all(abs(mine[t] - log(p(t[:2], t[2:]))) < 1e-9 for t in tests)
     assert abs(sum(p(b"ab", bytes([i])) for i in range(256)) - 1) < 1e-9
 
 
-def test_shards_give_the_same_scores(spark, sf, monkeypatch):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").limit(40)
-    model = quality.train(d.limit(20))
-    one = {r["doc_id"]: r["bits"] for r in quality.scores(d, model).collect()}
-    monkeypatch.setattr(quality, "SHARD", 3000)
-    many = {r["doc_id"]: r["bits"] for r in quality.scores(d, model).collect()}
-    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-5 for k in one)
+def test_blocks_do_not_change_the_scores(spark, sf, monkeypatch):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").limit(40).unionByName(spark.createDataFrame([(None, None, None), (-1, "x", ""), (-2, None, "a")], "doc_id long, lang string, text string"))
+    model = quality.train(quality.ngrams(d.limit(20)))
+    one = {r["doc_id"]: (r["bits"], r["bytes"], r["lang"]) for r in quality.scores(quality.blocks(d), model).collect()}
+    monkeypatch.setattr(quality, "BLOCK", 3000)
+    many = {r["doc_id"]: (r["bits"], r["bytes"], r["lang"]) for r in quality.scores(quality.blocks(d), model).collect()}
+    assert one == many and len(one) == 43 and one[-1][0] is None and one[None][1] == 0
+    import math
+
+    # against the sum over the positions of one text
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    some = next(k for k, t in text.items() if t and len(t) > 100)
+    body = b"\0" * 4 + text[some].encode()
+    at = [int.from_bytes(body[i : i + 5], "big") for i in range(len(body) - 4)]
+    logp = {r["code"]: r["logp"] for r in quality.log_probabilities(spark.createDataFrame([(c,) for c in set(at)], "code long"), model).collect()}
+    assert abs(one[some][0] + sum(logp[c] for c in at) / len(at) / math.log(2)) < 1e-6
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
