@@ -5,8 +5,9 @@ is written and read again as the next one's docs. All but the last return the co
 whatever they are; n_chars follows the text where a stage changes it.
 
 Rows that a stage drops: documents that the quality classifier rejects (null and empty texts among
-them); documents of which line dedup leaves nothing; all but the document with the smallest doc_id
-of a near-duplicate group (null last; of equal rows one); documents that hold a benchmark passage.
+them); documents of which line dedup leaves nothing; documents whose 5-word shingles overlap by 0.8
+or more with those of a kept document of smaller doc_id (null last; of equal rows one stays);
+documents that hold a benchmark passage.
 Rows are told apart by doc_id and text, so texts that share a doc_id, or have none, are judged alone.
 """
 
@@ -39,14 +40,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    near = written(simhash.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")), "near")
+    id_ = F.col("doc_id").cast("long")
     # the first of a group by doc_id (null last), then by key
-    ids = rows.select(F.col("__key").alias("doc_id"), F.col("doc_id").cast("long").alias("id")).distinct()
-    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("key"))
-    first = near.join(ids, "doc_id").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias("__key"))
+    place = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("__key").alias("key"))
+    near = simhash.similar_groups(rows.select(F.col("__key").alias("id"), place.alias("place"), "text"))
+    first = near.where("id = leader").select(F.col("id").alias("__key")).distinct()
+    twice = near.groupBy("id").count().where("count > 1").limit(1).count()
     kept = rows.join(first, "__key", "left_semi")
-    twice = near.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["__key", "doc_id"]) if twice else kept).drop("__key")
+    return (kept.dropDuplicates(["__key"]) if twice else kept).drop("__key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operator 5, line dedup: repeated content-defined chunks of lines go, except where they first occur.
 
-A line ends at a newline or at a punctuation mark and the white space after it, so that a passage
-set inside a paragraph has lines of its own; lines joined give the text back. Each line has the
-CRC-32 of its trimmed bytes; r(i) rolls over the hashes of lines i - 1 and i. A chunk begins
-where r is smaller than at both neighbours, which depends on four lines only: inserting or deleting
-text elsewhere moves no boundary, and no chunk has fewer than two lines. (Ties: the left one.)
+A line ends behind a newline or a punctuation mark, or behind a word that ends in one of LETTERS and
+the blank after it: so a passage set inside a paragraph has lines of its own, some four words long,
+and text without punctuation has lines too. Lines joined give the text back. Each line has the
+CRC-32 of its trimmed bytes (without the mark that ends it); r(i) rolls over the hashes of lines
+i - 1 and i. A chunk begins where r is smaller than at both neighbours, which depends on four lines
+only: inserting or deleting text elsewhere moves no boundary, and no chunk has fewer than two lines.
+(Ties: the left one.) A passage of 50 words has about a dozen lines and so whole chunks of its own.
 
 Chunks of two or more lines and LEAST characters that share a hash anywhere, in one document or in
 several, are compared byte by byte (their trimmed lines, joined by newlines); of equal ones only
@@ -14,7 +16,8 @@ join that Spark can split, never a list.
 
 Null text stays null, with no lines; an empty text has one line. Rows with equal doc_id and text
 are one document: a chunk is not a copy of itself, and both rows come out alike. Null doc_ids sort
-first.
+first. A very long text is one row's work, in arrays of its lines. Other columns stay as they are,
+whatever their names, but for one called as the count is.
 """
 
 from __future__ import annotations
@@ -25,24 +28,36 @@ from pyspark.sql import functions as F
 from imprynt.llm.common import table, written
 
 NAME = "op5_line_dedup"
-ENDS = r"(?<=\s)(?<=[.!?,;:]\s|\n)"
+#: What ends a line: these characters, and a blank behind one of LETTERS.
+MARKS, LETTERS = ".!?,;:\n\u3002\uff0c\u3001\u0001", "ns"
 LEAST = 40
 KEY = ["__line_id", "__line_hash"]
 
 
 def split_lines(text: Column) -> Column:
-    return F.split(text, ENDS)
+    """The lines of text, which joined give it back."""
+    return F.split(text, f"(?<=[{MARKS}]|[{LETTERS}] )")
 
 
-def _started(lines: DataFrame) -> DataFrame:
-    """lines(key, lines) with `starts`, the first line (from 0) of each chunk. Each step is a projection
-    of its own: a lambda that looks into an array must find a column, not an expression to be made again."""
+def bare_lines(text: Column) -> Column:
+    """split_lines() without the marks and blanks at their ends: a few passes of plain replacement, then a split at
+    one character, which costs a fraction of the pattern."""
+    for mark in MARKS:
+        text = F.replace(text, F.lit(mark), F.lit("\u0001")) if mark != "\u0001" else text
+    for letter in LETTERS:
+        text = F.replace(text, F.lit(f"{letter} "), F.lit(f"{letter}\u0001"))
+    return F.split(text, "\u0001")
+
+
+def _started(texts: DataFrame) -> DataFrame:
+    """texts(key, text) with `h`, the hashes of its lines, and `starts`, the first line (from 0) of each chunk. Each step
+    is a projection of its own: a lambda that looks into an array must find a column, not an expression to be made again."""
     h = F.transform("lines", lambda x: F.crc32(F.trim(x)))
     r = F.transform(F.slice("h", 2, F.size("h") - 1), lambda b, j: (F.get("h", j) * 31 + b) % 4294967296)  # r[j] is r(j + 1)
     low = F.transform("r", lambda x, j: F.when((j > 0) & (j < F.size("r") - 1) & (x < F.get("r", j - 1)) & (x <= F.get("r", j + 1)), j + 1))
     starts = F.concat(F.array(F.lit(0)), F.filter("low", lambda x: x.isNotNull()))
-    steps = lines.where(F.size("lines") > 1).select(*KEY, "lines", h.alias("h")).select(*KEY, "lines", r.alias("r"))
-    return steps.select(*KEY, "lines", low.alias("low")).select(*KEY, "lines", starts.alias("starts"))
+    steps = texts.select(*KEY, bare_lines(F.col("text")).alias("lines")).where(F.size("lines") > 1).select(*KEY, h.alias("h"))
+    return steps.select(*KEY, "h", r.alias("r")).select(*KEY, "h", low.alias("low")).select(*KEY, "h", starts.alias("starts"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -55,14 +70,11 @@ def _trimmed(lines: Column) -> Column:
 
 def chunks(texts: DataFrame) -> DataFrame:
     """(key, at, n, chunk): first line, number of lines and hash of every chunk of two or more lines."""
-    lines = texts.where("text is not null").select(*KEY, split_lines(F.col("text")).alias("lines"))
-    starts = _started(lines)
-    each = F.transform(
-        "starts",
-        lambda s, k: F.struct(s.alias("at"), (F.coalesce(F.get("starts", k + 1), F.size("lines")) - s).alias("n")),
-    )
-    named = F.transform(each, lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(_trimmed(F.slice("lines", c["at"] + 1, c["n"]))).alias("chunk")))
-    return starts.select(*KEY, F.explode(named).alias("c")).select(*KEY, "c.at", "c.n", "c.chunk").where("n > 1")
+    starts = _started(texts.where("text is not null"))
+    each = F.transform("starts", lambda s, k: F.struct(s.alias("at"), (F.coalesce(F.get("starts", k + 1), F.size("h")) - s).alias("n")))
+    cut = starts.select(*KEY, "h", each.alias("each"))
+    named = F.transform("each", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(F.slice("h", c["at"] + 1, c["n"])).alias("chunk")))
+    return cut.select(*KEY, F.explode(named).alias("c")).select(*KEY, "c.at", "c.n", "c.chunk").where("n > 1")
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -99,12 +111,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-with l as (select doc_id, string_split(regexp_replace(text, '([.!?,;:]\s|\n)', '\1' || chr(1), 'g'), chr(1)) as lines from documents where text is not null),
- x as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from l),
+with l as (select doc_id, string_split(regexp_replace(text, '([.!?,;:。，、\n]|[{LETTERS}] )', '\1' || chr(1), 'g'), chr(1)) as lines from documents where text is not null),
+ y as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from l),
+ x as (select *, trim(regexp_replace(line, '[.!?,;:。，、\n]$', ''), ' ') as bare from y),
  tab as (select [list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n) for n in range(256)] as tab),
  crc as (select t, xor(list_reduce([cast('0x' || substring(hex(encode(t)), i, 2) as bigint) for i in range(1, 2 * strlen(t), 2)],
-   lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8), 4294967295::bigint), 4294967295) as crc from (select distinct trim(line, ' ') as t from x), tab),
- h as (select doc_id, i, line, trim(line, ' ') as t, crc as h from x join crc on crc.t = trim(line, ' ')),
+   lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8), 4294967295::bigint), 4294967295) as crc from (select distinct bare as t from x), tab),
+ h as (select doc_id, i, line, trim(line, ' ') as t, crc as h from x join crc on crc.t = bare),
  r as (select *, (lag(h) over d * 31 + h) % 4294967296 as r from h window d as (partition by doc_id order by i)),
  b as (select *, case when r < lag(r) over d and r <= lead(r) over d then 1 else 0 end as b from r window d as (partition by doc_id order by i)),
  c as (select *, sum(b) over (partition by doc_id order by i) as k from b),

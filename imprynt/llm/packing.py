@@ -33,7 +33,7 @@ from imprynt.llm.common import table, written
 NAME = "op6_best_fit_packing"
 VOCABULARY, SIZE, END = "byte_bpe_50k.json", 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SLACKS, NODES = (16, 0, 64, 4), 5000
+XX
 
 
 # ---- tokens
@@ -128,18 +128,27 @@ def lower_bound(counts: dict[int, int], size: int) -> int:
     return most
 
 
-def _dominated(counts: dict[int, int], chosen: tuple[int, ...], waste: int) -> bool:
+def _dominated(counts: dict[int, int], every: int, chosen: tuple[int, ...], waste: int) -> bool:
     """Whether a piece left out fits beside chosen, or could stand for some of its pieces: whatever that other filling
-    leaves over fits where the piece stood, so this one need not be tried."""
+    leaves over fits where the piece stood, so this one need not be tried. every: the lengths of counts, as bits."""
     single, several = 0, 0  # sums, as bits, of one piece of chosen and of several
     for c in chosen:
         several |= (single | several) << c
         single |= 1 << c
-    band = (1 << waste + 1) - 1
-    for l, n in counts.items():
-        if n > chosen.count(l) and (l <= waste or several >> max(0, l - waste) & band >> max(0, waste - l) or any(c < l <= c + waste for c in chosen)):
-            return True
-    return False
+        if chosen.count(c) == counts[c]:
+            every &= ~(1 << c)
+    able = _smeared(several, waste + 1) | _smeared(single << 1, waste) | (1 << waste + 1) - 1
+    return bool(every & able)
+
+
+def _smeared(bits: int, n: int) -> int:
+    """bits and their n - 1 next higher neighbours; nothing for n = 0."""
+    wide = 1
+    while wide < n:
+        step = min(wide, n - wide)
+        bits |= bits << step
+        wide += step
+    return bits if n else 0
 
 
 def fillings(counts: dict[int, int], room: int, most: int, slack: int = 0):
@@ -170,11 +179,11 @@ def fillings(counts: dict[int, int], room: int, most: int, slack: int = 0):
         if lo <= 0:
             yield 0, ()
 
-    most = min(most, room)
+    most, every = min(most, room), sum(1 << l for l in counts)
     for least, last in [(0, min(slack, most)), *((w, w) for w in range(slack + 1, most + 1))]:
         if within(reach, room - last, room - least):
             for used, chosen in of_sum(len(lengths), room - last, room - least):
-                if not _dominated(counts, chosen, room - used):
+                if not _dominated(counts, every, chosen, room - used):
                     yield room - used, chosen
 
 

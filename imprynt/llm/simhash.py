@@ -8,9 +8,21 @@ errors has at least 2 of 4, so some two segments differ in at most 2 bits togeth
 the keys that decoding their own one-bit neighbourhood gives. Keys: at most 11 for each of three
 pairs of segments, 24 bits each. What shares a key is verified on all 64 bits.
 
-Copies share a fingerprint and are one node. A key that more than BLOCK fingerprints share is dealt
-into blocks; every two blocks meet in a task of their own and give a spanning forest of their links
-only, so no group is collected whole and no group's pairs are all written.
+A key that more than SMALL fingerprints share is made longer, by what the pigeonhole leaves for its
+other errors: if the pair of segments holds two, the third segment holds at most two, and both
+fingerprints have a codeword index of its own one-bit neighbourhood in common; if it holds one or
+none, one of its segments is the same in both, bit for bit. So each entry of such a key becomes up
+to eight of 36 or more bits, and no link is lost: the number of candidates of a fingerprint stays
+about the same until far more than 10^9 different ones.
+
+Copies share a fingerprint and are one node. A longer key that more than SMALL fingerprints still
+share - near copies of one text - is dealt into blocks of BLOCK; every two blocks meet in a task of
+their own and give a spanning forest of their links only, so no group is collected whole and no
+group's pairs are all written.
+
+near_duplicates() takes components of links, as fingerprints alone tell them. similar_groups() finds
+texts whose sets of word shingles overlap by a stated share: fingerprints of their distinct words
+only propose groups there, and the texts decide.
 """
 
 from __future__ import annotations
@@ -144,21 +156,58 @@ def _forest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.nda
     return np.array(left, np.uint64), np.array(right, np.uint64)
 
 
+def longer(pairs: DataFrame) -> DataFrame:
+    """(key, fp) of keyed() with longer keys, so that what shares a key and is within four bits shares a longer one."""
+
+    def emit(batches):
+        for b in batches:
+            key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for lo in range(0, len(fp), 1 << 14):
+                k, f = key[lo : lo + (1 << 14)].astype(np.int64), fp[lo : lo + (1 << 14)]
+                rows, out = _longer(k, f.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(f[rows])], ["key", "fp"])
+
+    return pairs.select("key", "fp").mapInArrow(emit, "key long, fp long")
+
+
+def _longer(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, longer key) of keys and their fingerprints: key, kind and value side by side."""
+    seg = np.stack([(fp >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in zip(SHIFTS, WIDTHS, strict=True)])
+    each, rows, out = np.arange(len(fp)), [], []
+    for p, (a, b) in enumerate(PAIRS):
+        own = each[key >> 24 == p]
+        c = 3 - a - b
+        word = seg[c][own]
+        near = decode(np.concatenate([word[:, None], word[:, None] ^ (1 << np.arange(WIDTHS[c]))[None, :]], axis=1))
+        near.sort(axis=1)
+        new = np.ones(near.shape, bool)
+        new[:, 1:] = near[:, 1:] != near[:, :-1]
+        for kind, at, value in ((0, np.broadcast_to(own[:, None], near.shape)[new], near[new]), (1, own, seg[a][own]), (2, own, seg[b][own])):
+            rows.append(at)
+            out.append((key[at] << 2 | kind) << 23 | value)
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def links(fps: DataFrame, most: int = 4) -> DataFrame:
     """(u, v): links between distinct fingerprints that differ in at most `most` <= 4 bits; the
     components are those of all such links."""
-    pairs = written(keyed(fps), "keys")
-    sizes = pairs.groupBy("key").count()
-    many = sizes.where(F.col("count") > SMALL).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
 
-    a = pairs.join(many, "key", "left_anti")
-    b = a.select("key", F.col("fp").alias("other"))
-    near = a.join(b, "key").where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most))
-    near = near.select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
+    def met(pairs: DataFrame) -> DataFrame:
+        b = pairs.select("key", F.col("fp").alias("other"))
+        near = pairs.join(b, "key").where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most))
+        return near.select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
+
+    def large(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("key").count().where(F.col("count") > SMALL)
 
-    dealt = pairs.join(many, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "fp")
+    pairs = written(keyed(fps), "keys")
+    many = written(large(pairs), "keys_many").select("key")
+    refined = written(longer(pairs.join(many, "key")), "keys_longer")
+    hot = written(large(refined), "keys_hot").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+
+    dealt = refined.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    two = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    two = two.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "fp")
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
@@ -167,8 +216,8 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
         u, v = _forest(left, left if i == j else np.sort(fp[block == j]), most)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    hot = met.groupBy("key", "i", "j").applyInPandas(meet, "u long, v long")
-    return near.unionByName(hot)
+    forests = two.groupBy("key", "i", "j").applyInPandas(meet, "u long, v long")
+    return met(pairs.join(many, "key", "left_anti")).unionByName(met(refined.join(hot, "key", "left_anti"))).unionByName(forests)
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4) -> DataFrame:
@@ -187,6 +236,99 @@ def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4) -> DataFrame
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---- groups of similar texts
+
+
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(LOWER).split()
+
+
+def word_fingerprints(docs: DataFrame) -> DataFrame:
+    """(id, place, sig, fp, fp2) of docs(id, place, text): a hash of the text's words in order, and two independent
+    fingerprints of its distinct words."""
+
+    def hashed(batches):
+        for b in batches:
+            body, at = byte_view(b.column(2))
+            raw, out, sig = body.tobytes(), np.zeros((b.num_rows, 2), np.uint64), []
+            for i in range(b.num_rows):
+                w = _words(raw[at[i] : at[i + 1]])
+                sig.append(xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63))
+                own, total = list(set(w)), np.zeros(128, np.int64)
+                for lo in range(0, len(own), 50_000):
+                    h = b"".join(map(xxhash.xxh3_128_digest, own[lo : lo + 50_000]))
+                    total += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+                out[i] = np.packbits(total * 2 > len(own)).view(np.uint64)
+            fps = out.view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig), pa.array(fps[:, 0]), pa.array(fps[:, 1])], ["id", "place", "sig", "fp", "fp2"])
+
+    kind = docs.schema["place"].dataType.simpleString()
+    return docs.select("id", "place", "text").mapInArrow(hashed, f"id long, place {kind}, sig long, fp long, fp2 long")
+
+
+def shingles(text: str | None, words: int) -> set[int]:
+    w = _words((text or "").encode())
+    return {xxhash.xxh3_64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similar_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+    """(id, leader) of every row of docs(id, place, text): the id of its group's first text by place.
+
+    A text belongs to a leader if their sets of `words`-word shingles (fewer words: the whole text) have a Jaccard
+    coefficient of `least` or more, or both have no word; a leader belongs to no earlier leader. So no text is
+    grouped with one that is unlike it, however long a chain between them. Texts whose distinct-word fingerprints are
+    not linked, directly or over others, are not compared. Ids are unique but for copies of a row; null texts have no
+    word. Places are unique but for copies of a text; they tell which of several texts leads.
+
+    Proposed groups are settled in rounds: in each, the first text left leads, and meets the others left by a join on
+    their group. A round moves only texts that no leader has taken yet.
+    """
+    rows = written(word_fingerprints(docs), "word_fingerprints")
+    node = ["sig", "fp", "fp2"]
+    nodes = written(rows.groupBy(*node).agg(F.min(F.struct("place", "id")).alias("first")), "nodes")
+    apart = F.lit(0x5851F42D4C957F2D)  # tells the second fingerprints from the first; a chance match would only propose a group
+    edges = [nodes.select(F.col("fp").alias("u"), F.col("fp2").bitwiseXOR(apart).alias("v"))]
+    for name, flip in (("fp", F.lit(0)), ("fp2", apart)):
+        near = links(nodes.select(F.col(name).alias("fp")).distinct())
+        edges.append(near.select(F.col("u").bitwiseXOR(flip).alias("u"), F.col("v").bitwiseXOR(flip).alias("v")))
+    roots = components(edges[0].unionByName(edges[1]).unionByName(edges[2])).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = written(named.groupBy("root").count().where("count > 1").select("root"), "several")
+    alone = named.join(several, "root", "left_anti").select(*node, F.col("first.id").alias("leader"))
+    left = named.join(several, "root").select(*node, "root", "first", F.col("first.id").alias("id"))
+    left = written(left.join(docs.select("id", "text").dropDuplicates(["id"]), "id").drop("id"), "proposed")
+    taken = [written(alone, "leaders")]
+
+    def compare(batches):
+        known: tuple[str | None, set[int]] = (None, set())
+        for b in batches:
+            text, lead, own = b.column("text").to_pylist(), b.column("lead").to_pylist(), b.column("own").to_pylist()
+            like = []
+            for t, l, same in zip(text, lead, own, strict=True):
+                if same:
+                    like.append(True)
+                    continue
+                if known[0] is None or known[0] != l:
+                    known = (l, shingles(l, words))
+                mine = shingles(t, words)
+                both = len(mine & known[1])
+                like.append(both >= least * (len(mine) + len(known[1]) - both))
+            yield pa.RecordBatch.from_arrays([*b.columns[: b.num_columns - 2], pa.array(like, pa.bool_())], [*b.schema.names[:-2], "like"])
+
+    while left.take(1):
+        first = written(left.groupBy("root").agg(F.min("first").alias("lead_first")), "firsts")
+        leads = written(left.join(first, "root").where(F.col("first") == F.col("lead_first")).select("root", "lead_first", F.col("text").alias("lead")), "round_leaders")
+        met = left.join(leads, "root").select(*node, "root", "first", "text", F.col("lead_first.id").alias("leader"), "lead", (F.col("first") == F.col("lead_first")).alias("own"))
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema.fields[:-2])
+        done = written(met.mapInArrow(compare, f"{kind}, like boolean"), "round")
+        taken.append(done.where("like").select(*node, "leader"))
+        left = done.where("not like").select(*node, "root", "first", "text")
+    every = taken[0]
+    for t in taken[1:]:
+        every = every.unionByName(t)
+    return rows.join(every, node).select("id", "leader")
+
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
