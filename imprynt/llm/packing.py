@@ -33,7 +33,7 @@ from imprynt.llm.common import table, written
 NAME = "op6_best_fit_packing"
 VOCABULARY, SIZE, END = "byte_bpe_50k.json", 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-XX
+SLACKS, NODES = (16, 32, 40, 64), 4000
 
 
 # ---- tokens
