@@ -3,16 +3,22 @@
 A token is a Han character or a run of up to 24 letters, marks and digits, lower-cased. Of every
 k-mer of K = 6 tokens the hashes of its five inner pairs are compared: it is a closed syncmer, an
 anchor, if the least is at its first or last pair. The choice needs no context outside the k-mer,
-so equal stretches of text have equal anchors, and any K tokens more than a window hold one.
+so equal stretches of text have equal anchors, and any K tokens more than a window hold one. An
+anchor has a hash and a position; of equal hashes in a text the first counts.
 
-The fingerprint is the SKETCH least anchor hashes, in hexadecimal; likeness is the Jaccard
-coefficient that two sketches estimate (exact while both hold all anchors). Everything here is
-DataFrame functions. Texts move once, to ranges of the document order, where each meets the next.
+Texts are matched by position: an anchor of one text that the other has too is matched if a
+neighbouring common anchor (in the order of the first text) is shifted by the same distance - one
+that agrees by chance alone is not - or if it is the only common one. Likeness is matched anchors
+over all anchors of both (Jaccard). It is taken from all anchors; the fingerprint is a digest of all
+anchors with their positions, followed by the hashes of one in SHARE of them in hexadecimal, chosen
+by value, so its length grows with the text. Everything here is DataFrame functions. Texts move
+once, to ranges of the document order, where each meets the next.
 
 Null text counts as empty. An empty text has the empty fingerprint, like only another empty one. A
 text without an anchor is its own single anchor. Rows with equal doc_id and text are one document
 and give one row; equal doc_ids with different texts are ordered by a hash of the text; a null
-doc_id comes first.
+doc_id comes first, with the smallest long. All rows of one doc_id are in one range. A very long
+text is one row's work; positions count modulo 2^24. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,68 +30,82 @@ from imprynt.llm.common import table
 
 NAME = "op10_syncmers"
 TOKEN = r"\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]{1,24}"
-K, SKETCH, MODULUS = 6, 48, 1099511627689
-RANGE, MOST_RANGES = 1000, 4096
+#: Hashes are below 2^38, positions below 2^24; between them is a bit that tells two texts apart.
+K, SHARE, MODULUS, PLACES = 6, 16, 274877906899, 1 << 24
+RANGE, MOST_RANGES = 1000, 1 << 16
+
+
+def _hash(anchor: Column) -> Column:
+    return F.shiftright(anchor, 25)
+
+
+def _place(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(PLACES - 1))
 
 
 def anchors(df: DataFrame, text: str, out: str, keep: list[str]) -> DataFrame:
-    """df's columns in keep and `out`: array of (pos, hash) of the closed syncmers of the column `text`, by token.
+    """df's columns in keep and `out`: the anchors of the column `text`, as sorted longs of hash and position by token.
     Each step is a projection: a lambda that looks into an array must find a column, not an expression."""
-    h = F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
+    h = F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.crc32(t))
     pair = F.transform("__h", lambda x, i: (x * 31 + F.get("__h", i + 1)) % 4294967296)
     at = lambda i, d: F.get("__p", i + d)
     closed = lambda x, i: F.least(x, at(i, 4)) <= F.least(at(i, 1), at(i, 2), at(i, 3))
     mixed = lambda x, i: (x * 40503 + at(i, 2) * 65599 + at(i, 4)) % MODULUS
-    every = F.transform("__p", lambda x, i: F.when((i < F.size("__p") - 5) & closed(x, i), F.struct(i.alias("pos"), mixed(x, i).alias("hash"))))
-    steps = df.select(*keep, h.alias("__h")).select(*keep, pair.alias("__p")).select(*keep, every.alias("__a"))
-    return steps.select(*keep, F.filter("__a", lambda a: a.isNotNull()).alias(out))
+    every = F.transform("__p", lambda x, i: F.when((i < F.size("__p") - 5) & closed(x, i), mixed(x, i) * (2 * PLACES) + i % PLACES))
+    first = F.filter("__a", lambda x, i: (i == 0) | (_hash(x) != _hash(F.get("__a", i - 1))))
+    steps = df.select(*keep, h.alias("__h")).select(*keep, pair.alias("__p"))
+    return steps.select(*keep, F.sort_array(F.array_compact(every)).alias("__a")).select(*keep, first.alias(out))
 
 
-def sketch(found: Column, text: Column) -> Column:
-    """The sorted SKETCH least anchor hashes of a text."""
-    alone = F.array(F.conv(F.substring(F.md5(text), 1, 9), 16, 10).cast("long"))
-    least = F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, SKETCH)
-    return F.when(text == "", F.array().cast("array<bigint>")).when(F.size(found) == 0, alone).otherwise(least)
-
-
-def sketched(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df and the sketch of its column `text`."""
+def anchored(df: DataFrame, text: str, out: str, drop_text: bool = False) -> DataFrame:
+    """df and the anchors of its column `text`; a text without any is one anchor itself, an empty one has none."""
     keep = [f"`{c}`" for c in df.columns]
-    return anchors(df, text, "__found", keep).select(*keep, sketch(F.col("__found"), F.col(text)).alias(out))
+    alone = F.array(F.conv(F.substring(F.md5(text), 1, 9), 16, 10).cast("long") * (2 * PLACES))
+    found = F.when(F.col(text) == "", F.array().cast("array<bigint>")).when(F.size("__found") == 0, alone).otherwise(F.col("__found"))
+    out_ = anchors(df, text, "__found", keep).select(*keep, found.alias(out))
+    return out_.drop(text) if drop_text else out_
 
 
-def hexadecimal(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: F.lower(F.lpad(F.hex(v), 10, "0"))), "")
+def fingerprint(found: Column) -> Column:
+    share = F.filter(found, lambda x: _hash(x) % SHARE == 0)
+    hexadecimal = F.array_join(F.transform(share, lambda x: F.lower(F.lpad(F.hex(_hash(x)), 10, "0"))), "")
+    return F.when(F.size(found) == 0, "").otherwise(F.concat(F.md5(F.array_join(found.cast("array<string>"), ",")), hexadecimal))
 
 
-def likeness(a: str, b: str) -> Column:
-    """The Jaccard coefficient that two sketch columns estimate: common ones among the least of both."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(both, F.col(a)), F.col(b)))
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(common / F.size(both))
+def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df and the likeness of its anchor columns a and b. Both are sorted together, so that equal hashes are neighbours;
+    what they have in common is sorted by position in a, so that equal shifts are."""
+    keep = [f"`{c}`" for c in df.columns]
+    shift = lambda x: x.bitwiseAND(F.lit(2 * PLACES - 1))
+    both = F.sort_array(F.concat(F.col(a), F.transform(b, lambda x: x + PLACES)))
+    common = F.transform("__m", lambda x, i: F.when(_hash(x) == _hash(F.get("__m", i + 1)), _place(x) * (2 * PLACES) + _place(F.get("__m", i + 1)) - _place(x) + PLACES))
+    agree = F.filter("__s", lambda x, i: F.coalesce(shift(x) == shift(F.get("__s", i - 1)), F.lit(False)) | F.coalesce(shift(x) == shift(F.get("__s", i + 1)), F.lit(False)))
+    n = F.when(F.size("__s") == 1, 1).otherwise(F.size(agree))
+    steps = df.select(*keep, both.alias("__m")).select(*keep, F.sort_array(F.array_compact(common)).alias("__s")).select(*keep, n.alias("__n"))
+    like = F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(F.col("__n") / (F.size(a) + F.size(b) - F.col("__n")))
+    return steps.select(*keep, like.alias(out))
 
 
-def matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Positional matching of anchors(id, found) of two sets of documents: (left_id, right_id, shift, n), how many
-    anchors agree at each difference of positions. Meant for chosen pairs of small sets, not for a corpus."""
-    a = left.select(F.col("id").alias("left_id"), F.explode("found").alias("a")).select("left_id", F.col("a.pos").alias("i"), F.col("a.hash").alias("hash"))
-    b = right.select(F.col("id").alias("right_id"), F.explode("found").alias("b")).select("right_id", F.col("b.pos").alias("j"), F.col("b.hash").alias("hash"))
-    return a.join(b, "hash").groupBy("left_id", "right_id", (F.col("j") - F.col("i")).alias("shift")).agg(F.count("*").alias("n"))
+def _longs(values: list[int]) -> Column:
+    """A constant array, folded when the query is planned."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def boundaries(ids: DataFrame, size: int = RANGE) -> list[int]:
-    """Ids that cut the order of ids(i) into ranges of about `size` rows, the smallest first; at most MOST_RANGES."""
+    """Ids that cut the order of ids(i) into ranges of about `size` rows, the smallest first; at most MOST_RANGES,
+    beyond which ranges grow instead of their list in the plan."""
     n, least = ids.agg(F.count("*"), F.min("i")).first()
     cuts = min(MOST_RANGES, n // size)
     if not cuts:
         return [least] if n else []
-    at = ids.agg(F.percentile_approx("i", [k / (cuts + 1) for k in range(1, cuts + 1)], 20 * MOST_RANGES)).first()[0]
+    shares = F.split(F.lit(",".join(str(k / (cuts + 1)) for k in range(1, cuts + 1))), ",").cast("array<double>")
+    at = ids.agg(F.percentile_approx("i", shares, F.lit(min(20 * cuts, 2_000_000)))).first()[0]
     return sorted({least, *at})
 
 
 def ranges_of(i: str, cuts: list[int]) -> Column:
     """The range (from 0) of an id, by binary search among the cuts."""
-    known = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    known = _longs(cuts)
     lo, hi = (lambda a: a["lo"]), (lambda a: a["hi"])
     mid = lambda a: F.floor((lo(a) + hi(a)) / 2).cast("int")
     step = lambda a, _: F.when(hi(a) - lo(a) <= 1, a).otherwise(F.when(F.get(known, mid(a)) <= F.col(i), F.struct(mid(a).alias("lo"), hi(a).alias("hi"))).otherwise(F.struct(lo(a).alias("lo"), mid(a).alias("hi"))))
@@ -94,20 +114,20 @@ def ranges_of(i: str, cuts: list[int]) -> Column:
 
 
 def with_next(named: DataFrame) -> DataFrame:
-    """named(i, t, doc_id, text) with its sketch `own`, and text and sketch of the next row by (i, t) - the first after
+    """named(i, t, doc_id, text) with its anchors `own`, and text and anchors of the next row by (i, t) - the first after
     the last - as `next`. Rows go to ranges of the order of i once; the rows at the start of a range also go to the
     range before it (those of the first range to the last), where they stand at the end and give no row."""
     cuts = boundaries(named.select("i"))
     if not cuts:
-        return sketched(named, "text", "own").withColumn("next", F.struct("text", "own"))
+        return anchored(named, "text", "own").withColumn("next", F.struct("text", "own"))
     last = len(cuts) - 1
     ranged = named.withColumn("r", ranges_of("i", cuts))
-    first = F.col("i") == F.get(F.array(*map(F.lit, cuts)).cast("array<bigint>"), F.col("r"))
+    first = F.col("i") == F.get(_longs(cuts), F.col("r"))
     before = F.when(F.col("r") == 0, last).otherwise(F.col("r") - 1)
     both = F.array_compact(F.array(F.struct(F.lit(0).alias("late"), "r"), F.when(first, F.struct(F.lit(1).alias("late"), before.alias("r")))))
     dealt = ranged.withColumn("to", F.explode(both)).select("i", "t", "doc_id", "text", "to.late", "to.r").repartition("r")
     own = Window.partitionBy("r").orderBy("late", "i", "t")
-    return sketched(dealt, "text", "own").withColumn("next", F.lead(F.struct("text", "own")).over(own)).where("late = 0").drop("late", "r")
+    return anchored(dealt, "text", "own").withColumn("next", F.lead(F.struct("text", "own")).over(own)).where("late = 0").drop("late", "r")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -120,8 +140,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     met = with_next(named).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
     edited = F.expr("concat(substring(text, 1, length(text) - half), substring(next.text, 1, half))")
     base = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", F.col("next.own").alias("next"), edited.alias("edited"))
-    out = sketched(base, "edited", "new").withColumn("edited_sha256", F.sha2("edited", 256))
-    return out.select("doc_id", "n_chars", "edited_sha256", hexadecimal(F.col("own")).alias("fingerprint"), hexadecimal(F.col("new")).alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"))
+    keep = ["doc_id", "n_chars", "edited_sha256", "own"]
+    out = anchored(base.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "new", drop_text=True)
+    out = likeness(likeness(out, "own", "next", "near_next").drop("next"), "own", "new", "near_edited")
+    return out.select(*keep[:3], fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,20 +156,31 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
    coalesce(lead(doc_id) over (order by doc_id), first_value(doc_id) over (order by doc_id)) as nid, length(text) // 2 as half from d),
  e as (select doc_id, nid, text, substring(text, 1, length(text) - half) || substring(nx, 1, half) as edited from f),
  x as (select doc_id as id, 0 as kind, text from e union all select doc_id, 1, edited from e),
- h as (select id, kind, text, list_transform(regexp_extract_all(lower(text), '\p{{Han}}|[\p{{L}}\p{{M}}\p{{N}}]{{1,24}}'),
-   lambda s: cast('0x' || substring(md5(s), 1, 8) as bigint)) as h from x),
- p as (select id, kind, text, [(h[i] * 31 + h[i + 1]) % 4294967296 for i in range(1, len(h))] as p from h),
- a as (select id, kind, text, list_distinct([(p[i] * 40503 + p[i + 2] * 65599 + p[i + 4]) % {MODULUS} for i in range(1, len(p) - 3)
+ w as (select id, kind, unnest(toks) as t, unnest(range(len(toks))) as i
+   from (select id, kind, regexp_extract_all(lower(text), '\p{{Han}}|[\p{{L}}\p{{M}}\p{{N}}]{{1,24}}') as toks from x)),
+ few as (select id, kind, text as t from x where text <> '' and (id, kind) not in (select (id, kind) from w)),
+ tab as (select [list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n) for n in range(256)] as tab),
+ crc as (select t, xor(list_reduce([cast('0x' || substring(hex(encode(t)), i, 2) as bigint) for i in range(1, 2 * strlen(t), 2)],
+   lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8), 4294967295::bigint), 4294967295) as crc from (select distinct t from w), tab),
+ h as (select id, kind, list(crc order by i) as h from w join crc on crc.t = w.t group by id, kind),
+ p as (select id, kind, [(h[i] * 31 + h[i + 1]) % 4294967296 for i in range(1, len(h))] as p from h),
+ u as (select id, kind, unnest([{{'pos': i - 1, 'hash': (p[i] * 40503 + p[i + 2] * 65599 + p[i + 4]) % {MODULUS}}} for i in range(1, len(p) - 3)
    if least(p[i], p[i + 4]) <= least(p[i + 1], p[i + 2], p[i + 3])]) as a from p),
- s as (select id, kind, case when text = '' then [] when len(a) = 0 then [cast('0x' || substring(md5(text), 1, 9) as bigint)]
-   else list_sort(a)[1:{SKETCH}] end as s from a),
- j as (select e.doc_id, e.text, e.edited, o.s as own, w.s as new, n.s as next from e
-   join s o on o.id = e.doc_id and o.kind = 0 join s w on w.id = e.doc_id and w.kind = 1 join s n on n.id = e.nid and n.kind = 0),
- u as (select *, list_sort(list_distinct(own || new))[1:{SKETCH}] as u1, list_sort(list_distinct(own || next))[1:{SKETCH}] as u2 from j)
-select doc_id, cast(length(text) as bigint) as n_chars, sha256(edited) as edited_sha256,
-  array_to_string([lpad(printf('%x', v), 10, '0') for v in own], '') as fingerprint,
-  array_to_string([lpad(printf('%x', v), 10, '0') for v in new], '') as edited_fingerprint,
-  case when len(own) + len(new) = 0 then 1.0 else len(list_intersect(list_intersect(u1, own), new)) / len(u1)::double end as near_edited,
-  case when len(own) + len(next) = 0 then 1.0 else len(list_intersect(list_intersect(u2, own), next)) / len(u2)::double end as near_next
-from u
+ g as (select id, kind, a.hash as hash, min(a.pos) as pos from u group by all),
+ s as (from g union all select id, kind, cast('0x' || substring(md5(text), 1, 9) as bigint), 0 from x
+   where text <> '' and not exists (select 1 from g where g.id = x.id and g.kind = x.kind)),
+ n as (select id, kind, count(*) as n, md5(string_agg(hash * 33554432 + pos, ',' order by hash)) ||
+   coalesce(string_agg(lpad(printf('%x', hash), 10, '0'), '' order by hash) filter (hash % {SHARE} = 0), '') as print from s group by id, kind),
+ m as (select e.doc_id, 1 as what, o.pos as pa, q.pos - o.pos as shift from e join s o on o.id = e.doc_id and o.kind = 0 join s q on q.id = e.doc_id and q.kind = 1 and q.hash = o.hash
+   union all select e.doc_id, 0, o.pos, q.pos - o.pos from e join s o on o.id = e.doc_id and o.kind = 0 join s q on q.id = e.nid and q.kind = 0 and q.hash = o.hash),
+ k as (select *, count(*) over (partition by doc_id, what) as c, lag(shift) over v as l, lead(shift) over v as r from m window v as (partition by doc_id, what order by pa)),
+ y as (select doc_id, what, count(*) filter (c = 1 or shift = l or shift = r) as agree from k group by doc_id, what),
+ z as (select e.doc_id, e.text, e.edited, coalesce(o.print, '') as own, coalesce(w.print, '') as new, coalesce(o.n, 0) as no, coalesce(w.n, 0) as nw, coalesce(q.n, 0) as nq,
+   coalesce(y1.agree, 0) as a1, coalesce(y0.agree, 0) as a0 from e
+   left join n o on o.id = e.doc_id and o.kind = 0 left join n w on w.id = e.doc_id and w.kind = 1 left join n q on q.id = e.nid and q.kind = 0
+   left join y y1 on y1.doc_id = e.doc_id and y1.what = 1 left join y y0 on y0.doc_id = e.doc_id and y0.what = 0)
+select doc_id, cast(length(text) as bigint) as n_chars, sha256(edited) as edited_sha256, own as fingerprint, new as edited_fingerprint,
+  case when no + nw = 0 then 1.0 else a1 / (no + nw - a1)::double end as near_edited,
+  case when no + nq = 0 then 1.0 else a0 / (no + nq - a0)::double end as near_next
+from z
 """

@@ -448,18 +448,35 @@ def test_language_samples_take_a_text_once(spark, monkeypatch):
 
 def test_syncmers_match_by_position(spark):
     rnd = random.Random(1)
-    a = words(rnd, 200, 5000)
-    frame = spark.createDataFrame([(0, a), (1, "intro text here " + a)], "id long, text string")
-    found = syncmers.anchors(frame, "text", "found", ["id"])
-    best = max(syncmers.matches(found.where("id = 0"), found.where("id = 1")).collect(), key=lambda r: r["n"])
-    assert best["shift"] == 3 and best["n"] > 30
+    a = words(rnd, 300, 5000)
+    w = a.split()
+    mixed = " ".join(x for i in range(0, 300, 6) for x in w[294 - i : 300 - i])  # stretches of one k-mer in reverse order
+    cut = " ".join([*w[:150], "some", "more", "words", *w[150:]])
+    frame = spark.createDataFrame([(0, a, "intro text here " + a), (1, a, a), (2, a, mixed), (3, a, cut), (4, "", ""), (5, "x", "x"), (6, "x", ""), (7, a, words(rnd, 300, 5000))], "id long, l string, r string")
+    got = {r["id"]: r["near"] for r in syncmers.likeness(syncmers.anchored(syncmers.anchored(frame, "l", "a"), "r", "b"), "a", "b", "near").collect()}
+    assert got[1] == 1.0 and got[0] > 0.97 and got[3] > 0.95 and got[2] < 0.05 and got[7] < 0.05 and (got[4], got[5], got[6]) == (1.0, 1.0, 0.0)
+    # against brute force
+    import zlib
+
+    def brute(text):
+        h = [zlib.crc32(t.encode()) for t in re.findall(r"\w{1,24}", text.lower())]
+        p = [(x * 31 + y) % 2**32 for x, y in zip(h, h[1:], strict=False)]
+        out = {}
+        for i in range(len(p) - 5 + 1):
+            if min(p[i], p[i + 4]) <= min(p[i + 1 : i + 4]) and i < len(p) - 5:
+                out.setdefault((p[i] * 40503 + p[i + 2] * 65599 + p[i + 4]) % syncmers.MODULUS, i)
+        return out
+
+    mine = {r["id"]: {x >> 25: x % 2**24 for x in r["a"]} for r in syncmers.anchored(frame, "r", "a").collect()}
+    assert all(mine[i] == brute(t) for i, t in ((0, "intro text here " + a), (1, a), (2, mixed), (3, cut)))
 
 
 def test_fingerprint_edges(spark):
     rnd = random.Random(2)
-    got = {r["doc_id"]: r for r in syncmers.fingerprints(docs(spark, [words(rnd, 300), words(rnd, 300), None, "!!", words(rnd, 100)]).select("doc_id", "text")).collect()}
-    assert got[2]["fingerprint"] == "" and got[2]["n_chars"] == 0 and len(got[3]["fingerprint"]) == 10
-    assert got[0]["near_edited"] > 0.1 > got[0]["near_next"]
+    one = words(rnd, 300)
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(docs(spark, [one, words(rnd, 300), None, "!!", words(rnd, 100), one]).select("doc_id", "text")).collect()}
+    assert got[2]["fingerprint"] == "" and got[2]["n_chars"] == 0 and len(got[3]["fingerprint"]) >= 32 and got[0]["fingerprint"] == got[5]["fingerprint"]
+    assert got[0]["near_edited"] > 0.2 > got[0]["near_next"] and got[5]["near_next"] == 1.0
 
 
 def test_ranges_do_not_change_the_order(spark, monkeypatch):
