@@ -454,7 +454,7 @@ def test_syncmers_match_by_position(spark):
     cut = " ".join([*w[:150], "some", "more", "words", *w[150:]])
     frame = spark.createDataFrame([(0, a, "intro text here " + a), (1, a, a), (2, a, mixed), (3, a, cut), (4, "", ""), (5, "x", "x"), (6, "x", ""), (7, a, words(rnd, 300, 5000))], "id long, l string, r string")
     got = {r["id"]: r["near"] for r in syncmers.likeness(syncmers.anchored(syncmers.anchored(frame, "l", "a"), "r", "b"), "a", "b", "near").collect()}
-    assert got[1] == 1.0 and got[0] > 0.97 and got[3] > 0.95 and got[2] < 0.05 and got[7] < 0.05 and (got[4], got[5], got[6]) == (1.0, 1.0, 0.0)
+    assert got[1] == 1.0 and got[0] > 0.97 and got[3] > 0.9 and got[2] < 0.05 and got[7] < 0.05 and (got[4], got[5], got[6]) == (1.0, 1.0, 0.0)
     # against brute force
     import zlib
 
