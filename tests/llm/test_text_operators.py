@@ -357,6 +357,45 @@ def test_secrets_and_false_positives(spark):
     assert {r["doc_id"] for r in got if not r["is_secret"]} == set(range(80, 140))
 
 
+def test_held_out_findings(spark):
+    """Precision and recall on labelled findings that the forest has not seen, over the given documents."""
+    got = secrets.measure(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source"))
+    assert got["precision"] >= 0.9 and got["recall"] >= 0.9 and got["secrets"] >= 3 and got["others"] >= 3, got
+
+
+def test_features_against_brute_force(spark):
+    from math import log2
+
+    texts = ["the river and the bridge over the river", "the old bridge and token = abc1river9bridge7 here", "the river mail me@river3000x.bridge now", None, ""]
+    d = docs(spark, texts)
+    found = secrets.findings(d)
+    known = {r["word"]: r["n"] for r in secrets.dictionary(d).collect()}
+    every = [w for t in texts if t for w in t.split(" ") if re.fullmatch("[a-z]{3,16}", w)]
+    assert known == {w: every.count(w) for w in every if every.count(w) >= 3} == {"the": 5, "river": 3}
+    signs = "abcdefghijklmnopqrstuvwxyz0-"
+    seen = {a + b: 1 for a in signs for b in signs}
+    for w, n in known.items():
+        for i in range(len(w) - 1):
+            seen[w[i : i + 2]] += n
+    rows, _ = secrets.features(secrets.proven(found), secrets.dictionary(d))
+    got = {r["value"]: r for r in rows.collect()}
+    assert {"abc1river9bridge7", "me@river3000x.bridge"} <= set(got)
+    for v, r in got.items():
+        c = "".join(x if x.isalpha() else "0" if x.isdigit() else "-" for x in v.lower())
+        bits = [-log2(seen[c[i : i + 2]] / sum(seen[c[i] + b] for b in signs)) for i in range(len(c) - 1)]
+        assert abs(r["f_transitions"] - sum(bits) / len(bits)) < 1e-9
+        assert abs(r["f_dictionary"] - sum(len(w) for w in re.findall("[a-z]{3,}", v.lower()) if w in known) / len(v)) < 1e-9
+
+
+def test_given_labels_are_learned(spark):
+    rnd = random.Random(4)
+    hexes = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(24))
+    d = docs(spark, [f"some words {hexes()} and more" for _ in range(60)] + [f"order number{i}isready{i} for you" for i in range(60)])
+    labelled = secrets.findings(d).withColumn("label", (secrets.F.col("doc_id") < 60).cast("int"))
+    new = docs(spark, [f"other words {hexes()} and so on", "order number77isready77 for all"])
+    assert {r["doc_id"]: r["is_secret"] for r in secrets.scan(new, labelled).collect()} == {0: True, 1: False}
+
+
 def test_luhn(spark):
     rows = spark.createDataFrame([("4532015112830366",), ("4532015112830367",), ("",)], "d string")
     assert [r[0] for r in rows.select(secrets.luhn(rows["d"])).collect()][:2] == [True, False]
