@@ -78,10 +78,14 @@ def stage_settings(stages: DataFrame, nodes: DataFrame, edges: DataFrame, litera
 
 
 def model_chain(stages: DataFrame, nodes: DataFrame, edges: DataFrame, inactive: DataFrame) -> DataFrame:
-    """(file_id, stage_index, node_id, class_type, role, depth): the nodes a sampler's model comes through, nearest first."""
-    chain = G.follow_input(stages.select("file_id", F.col("node_id").alias("start")).distinct(), nodes, edges, inactive, "model")
+    """(file_id, stage_index, node_id, class_type, role, depth): the nodes a sampler's model comes through, nearest
+    first; a sampler without a model of its own has its guider's."""
+    own = edges.where("input = 'model'").select("file_id", F.col("dst").alias("node_id"), F.lit(True).alias("own")).distinct()
+    guider = edges.where("input = 'guider'").groupBy("file_id", F.col("dst").alias("node_id")).agg(F.min("src").alias("guider"))
+    starts = stages.join(own, ["file_id", "node_id"], "left").join(guider, ["file_id", "node_id"], "left").select("file_id", "stage_index", F.when(F.col("own").isNull(), F.coalesce("guider", "node_id")).otherwise(F.col("node_id")).alias("start"))
+    chain = G.follow_input(starts.select("file_id", "start").distinct(), nodes, edges, inactive, "model")
     named = chain.join(nodes.select("file_id", "node_id", "class_type", G.role_of().alias("role")), ["file_id", "node_id"])
-    return named.join(stages.select("file_id", "stage_index", F.col("node_id").alias("start")), ["file_id", "start"]).select("file_id", "stage_index", "node_id", "class_type", "role", "depth")
+    return named.join(starts, ["file_id", "start"]).select("file_id", "stage_index", "node_id", "class_type", "role", "depth")
 
 
 def chain_summary(chain: DataFrame, literals: DataFrame) -> DataFrame:
@@ -94,38 +98,110 @@ def chain_summary(chain: DataFrame, literals: DataFrame) -> DataFrame:
     return out.select("file_id", "stage_index", F.col("l.node_id").alias("loader"), S.model_stem(F.col("l.model")).alias("base_model"), F.col("l.kind").alias("loader_kind"), F.col("s.shift").alias("shift"), F.col("l").isNull().alias("broken"))
 
 
-def lora_uses(chain: DataFrame, nodes: DataFrame, literals: DataFrame) -> DataFrame:
-    """(file_id, stage_index, node_id, position, name, base_name, step, strength_model, strength_clip, reachable): LoRAs
-    numbered from the loader outward; those on no chain have no stage and position."""
+def lora_uses(chain: DataFrame, nodes: DataFrame, literals: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(file_id, stage_index, node_id, entry, position, name, base_name, step, strength_model, strength_clip, enabled,
+    reachable): one row for each plain LoRA node and each entry of a power loader (G.power_entries), in each stage on
+    whose chain it is; enabled ones are numbered from the loader outward, then in the order of the entries. Nodes on no
+    chain have no stage and position."""
     field = lambda n, kind, out: literals.where(F.col("input") == n).select("file_id", "node_id", F.col(kind).alias(out))
-    on = chain.where("role = 'lora'").withColumn("position", F.row_number().over(Window.partitionBy("file_id", "stage_index").orderBy(F.desc("depth"))) - 1).select("file_id", "stage_index", "node_id", "position")
-    off = nodes.where(G.role_of() == "lora").join(on, ["file_id", "node_id"], "left_anti").select("file_id", F.lit(None).cast("int").alias("stage_index"), "node_id", F.lit(None).cast("int").alias("position"))
-    both = on.unionByName(off).join(field("lora_name", "str", "raw"), ["file_id", "node_id"], "left").join(field("strength_model", "num", "strength_model"), ["file_id", "node_id"], "left").join(field("strength_clip", "num", "strength_clip"), ["file_id", "node_id"], "left")
+    on = chain.where("role = 'lora'").select("file_id", "stage_index", "node_id", "depth")
+    off = nodes.where(G.role_of() == "lora").join(on, ["file_id", "node_id"], "left_anti").select("file_id", F.lit(None).cast("int").alias("stage_index"), "node_id", F.lit(None).cast("int").alias("depth"))
+    every = on.unionByName(off)
+    power = [c for c in G.ROLES["lora"] if c.startswith("Power")]
+    plain = every.join(nodes.where(F.col("class_type").isin(power)).select("file_id", "node_id"), ["file_id", "node_id"], "left_anti")
+    plain = plain.join(field("lora_name", "str", "raw"), ["file_id", "node_id"], "left").join(field("strength_model", "num", "strength_model"), ["file_id", "node_id"], "left").join(field("strength_clip", "num", "strength_clip"), ["file_id", "node_id"], "left")
+    both = plain.select("file_id", "stage_index", "node_id", "depth", F.lit("").alias("entry"), F.lit(0).alias("place"), "raw", "strength_model", "strength_clip", F.lit(True).alias("enabled")).where("raw is not null and raw <> ''")
+    if entries is not None:
+        # a loader with one strength uses it for both
+        two = entries.select("file_id", "node_id", "entry", "place", F.col("lora").alias("raw"), F.col("strength").alias("strength_model"), F.coalesce("strength_two", "strength").alias("strength_clip"), F.col("on").alias("enabled"))
+        both = both.unionByName(every.join(two, ["file_id", "node_id"]))
+    order = Window.partitionBy("file_id", "stage_index", "enabled").orderBy(F.desc("depth"), "node_id", "place")
+    both = both.withColumn("position", F.when(F.col("enabled") & F.col("depth").isNotNull(), F.row_number().over(order) - 1))
     x = S.lora_base_step(S.model_stem("raw"))
-    return both.select("file_id", "stage_index", "node_id", "position", S.model_stem("raw").alias("name"), x["base"].alias("base_name"), x["step"].alias("step"), "strength_model", "strength_clip", F.col("position").isNotNull().alias("reachable"))
-
-
-def trace_prompts(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame, side: str) -> DataFrame:
-    """(file_id, stage_index, prompt, encoders): the texts of the encoders that a stage's conditioning comes from,
-    in order of their ids, joined by an empty line; a zeroed branch gives nothing."""
-    stop = nodes.where(G.role_of().isin("text_encoder", "conditioning_zero")).select("file_id", "node_id")
-    first = G.resolve_switches(edges.where(F.col("input") == side), nodes, edges, inactive).select("file_id", "dst", F.col("past").alias("node_id")).where("node_id is not null")
-    starts = stages.select("file_id", "stage_index", F.col("node_id").alias("dst")).join(first, ["file_id", "dst"]).select("file_id", "stage_index", "node_id")
-    live = edges.where("input like 'cond%' or input in ('on_true', 'on_false')").join(inactive.select("file_id", F.col("node_id").alias("dst"), "input"), ["file_id", "dst", "input"], "left_anti").join(stop.withColumnRenamed("node_id", "dst"), ["file_id", "dst"], "left_anti")
-    met = G._folded(live, starts, ["file_id", "stage_index"]).select("file_id", "stage_index", F.explode(G._upstream("e", "roots")).alias("node_id"))
-    enc = met.join(nodes.where(G.role_of() == "text_encoder").select("file_id", "node_id"), ["file_id", "node_id"], "left_semi")
-    slots = enc.withColumn("input", F.explode(F.array(*map(F.lit, ("text", "prompt", "t5xxl", "clip_l")))))
-    texts = G.resolve_strings(slots.select("file_id", "node_id", "input").distinct(), nodes, edges, literals, inactive).where("text <> ''").groupBy("file_id", "node_id").agg(F.max_by("text", F.struct(F.col("input") != "clip_l")).alias("text"))
-    out = enc.join(texts, ["file_id", "node_id"], "left").groupBy("file_id", "stage_index").agg(F.array_sort(F.collect_list(F.struct("node_id", "text"))).alias("t"))
-    return out.select("file_id", "stage_index", F.expr("array_join(transform(filter(t, x -> x.text is not null), x -> x.text), '\n\n')").alias("prompt"), F.expr("transform(t, x -> x.node_id)").alias("encoders"))
-
-
-def guidance(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame) -> DataFrame:
-    """(file_id, stage_index, guidance): of the nearest node upstream of a conditioning that has the input, positive first."""
-    has = literals.where("input = 'guidance'").select("file_id", F.col("node_id"), F.col("num").alias("guidance"))
-    sides = edges.where("input in ('positive', 'negative')").select("file_id", F.col("dst").alias("node_id"), "input", "src")
-    near = stages.join(sides, ["file_id", "node_id"]).select("file_id", "stage_index", "input", F.col("src").alias("node_id")).join(has, ["file_id", "node_id"])
-    return near.groupBy("file_id", "stage_index").agg(F.max_by("guidance", "input").alias("guidance"))
+    return both.select("file_id", "stage_index", "node_id", "entry", "position", S.model_stem("raw").alias("name"), x["base"].alias("base_name"), x["step"].alias("step"), "strength_model", "strength_clip", "enabled", F.col("stage_index").isNotNull().alias("reachable"))
+
+
+# Text inputs of the encoders by output slot, the first with text wins; the least length of a guessed prompt.
+TEXT_SLOTS = {"CLIPTextEncode": {0: ("text",)}, "CLIPTextEncodeFlux": {0: ("t5xxl", "clip_l")}, "TextEncodeQwenImage21": {0: ("prompt",), 1: ("negative_prompt",)}, "TextEncodeQwenImageEdit": {0: ("prompt",)}, "TextEncodeQwenImageEditPlus": {0: ("prompt",)}}
+HEURISTIC_MIN_CHARS = 20
+SIDE_INPUTS = {"positive": ("positive", "conditioning", "cond1", "cond2"), "negative": ("negative",)}
+VISIT = "array<struct<src:string,slot:bigint>>"
+
+
+def conditioning_walk(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame, side: str) -> DataFrame:
+    """(file_id, stage_index, i, node_id, slot, kind): the nodes that a stage's conditioning comes from, in the order of
+    a walk from the sampler (or its guider) that goes into each input, by name, before the next. kind: `encoder`,
+    `zero`, `pass`; `guess` for a node of no known role with a long text of its own; `through` and `unknown` for others,
+    with and without conditioning inputs to follow; `open` for a switch that chooses at run time."""
+    links = G.resolve_switches(edges, nodes, edges, inactive).select("file_id", "dst", "input", F.coalesce("past", "src").alias("src"), F.when(F.col("past").isNull(), -1).otherwise(F.col("past_slot")).alias("slot"))
+    long_ = literals.where(F.length("str") >= HEURISTIC_MIN_CHARS).select("file_id", "node_id", F.lit(True).alias("long")).distinct()
+    role = G.role_of()
+    kinds = nodes.join(long_, ["file_id", "node_id"], "left").select("file_id", "node_id", F.when(role == "text_encoder", "encoder").when(role == "conditioning_zero", "zero").when(role == "conditioning_pass", "pass").when(F.col("long"), "guess").otherwise("through").alias("kind"))
+    # the slot of a link matters at an encoder only: other nodes are visited once
+    links = links.join(kinds.select("file_id", F.col("node_id").alias("src"), F.col("kind").alias("of")), ["file_id", "src"]).withColumn("slot", F.when((F.col("slot") < 0) | (F.col("of") == "encoder"), F.col("slot")).otherwise(F.lit(0)))
+    inner = links.join(kinds.select("file_id", F.col("node_id").alias("dst"), "kind"), ["file_id", "dst"]).where(((F.col("kind") == "pass") & F.col("input").startswith("conditioning")) | ((F.col("kind") == "through") & F.col("input").contains("cond")))
+    steps = lambda d, *keys: d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("input", "src", "slot"))), lambda x: F.struct(x["src"].alias("src"), x["slot"].alias("slot"))).alias("to"))
+    ways = steps(inner, "file_id", "dst").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("dst", "to"))).alias("m"))
+    direct = links.where(F.col("input") == side).join(stages.select("file_id", "stage_index", F.col("node_id").alias("dst")), ["file_id", "dst"])
+    guided = edges.where("input = 'guider'").select("file_id", F.col("dst").alias("node_id"), F.col("src").alias("dst")).join(stages.select("file_id", "stage_index", "node_id"), ["file_id", "node_id"]).drop("node_id")
+    guided = links.where(F.col("input").isin(*SIDE_INPUTS[side])).join(guided, ["file_id", "dst"]).join(direct.select("file_id", "stage_index").distinct(), ["file_id", "stage_index"], "left_anti")
+    roots = steps(direct.unionByName(guided), "file_id", "stage_index").join(ways, "file_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast(f"map<string,{VISIT}>")))
+    none = F.array().cast(VISIT)
+    first = lambda s: F.get(s["stack"], 0)
+    rest = lambda s: F.filter(s["stack"], lambda x, i: i > 0)
+    onward = lambda s: F.when(first(s)["slot"] < 0, none).otherwise(F.coalesce(F.try_element_at("m", first(s)["src"]), none))
+    state = lambda stack, out: F.struct(stack.alias("stack"), out.alias("out"))
+    step = lambda s, _: F.when(F.size(s["stack"]) == 0, s).when(F.array_contains(s["out"], first(s)), state(rest(s), s["out"])).otherwise(state(F.concat(onward(s), rest(s)), F.concat(s["out"], F.array(first(s)))))
+    rounds = F.size("to") + F.size(F.flatten(F.map_values("m")))  # each link leads somewhere once
+    walked = roots.select("file_id", "stage_index", F.posexplode(F.aggregate(F.sequence(F.lit(1), rounds), state(F.col("to").cast(VISIT), none), step, lambda s: s["out"])).alias("i", "v")).select("file_id", "stage_index", "i", F.col("v.src").alias("node_id"), F.col("v.slot").alias("slot"))
+    follows = inner.select("file_id", F.col("dst").alias("node_id"), F.lit(True).alias("follows")).distinct()
+    named = walked.join(kinds, ["file_id", "node_id"]).join(follows, ["file_id", "node_id"], "left")
+    kind = F.when(F.col("slot") < 0, "open").when((F.col("kind") == "through") & F.col("follows").isNull(), "unknown").otherwise(F.col("kind"))
+    return named.select("file_id", "stage_index", "i", "node_id", "slot", kind.alias("kind"))
+
+
+def trace_prompts(stages: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame, side: str, order: DataFrame) -> DataFrame:
+    """(file_id, stage_index, prompt, encoders, guidance, encoder_guidance, warnings): the texts that a stage's
+    conditioning comes from, not the empty ones, in graph order (order: topo_order()), joined by an empty line. Texts
+    that are all empty, or a zeroed branch, give the empty prompt; no text gives null. guidance is that of the guidance
+    node nearest the sampler; warnings are array<struct<code, node_id>>."""
+    walk = conditioning_walk(stages, nodes, edges, literals, inactive, side)
+    rank = order.where("rank >= 0").select("file_id", "node_id", "rank")
+    every = nodes.sparkSession.createDataFrame([(c, s, i, f) for c, slots in TEXT_SLOTS.items() for s, fields in slots.items() for i, f in enumerate(fields)], "class_type string, slot long, place int, input string")
+    met = walk.where("kind = 'encoder'").join(nodes.select("file_id", "node_id", "class_type"), ["file_id", "node_id"])
+    slots = met.join(F.broadcast(every), ["class_type", "slot"], "left")
+    asked = slots.where("input is not null").select("file_id", "node_id", "input").distinct()
+    texts = G.resolve_strings(asked, nodes, edges, literals, inactive)
+    # the first field with text, else the first that resolved
+    best = F.min(F.when(F.col("text").isNotNull(), F.struct((F.trim("text") == "").alias("blank"), "place", "text")))["text"]
+    coded = slots.join(texts, ["file_id", "node_id", "input"], "left").groupBy("file_id", "stage_index", "i", "node_id").agg(best.alias("text"))
+    guess = literals.where(F.length("str") >= HEURISTIC_MIN_CHARS).groupBy("file_id", "node_id").agg(F.min(F.struct((-F.length("str")).alias("l"), "input", "str"))["str"].alias("text"))
+    guessed = walk.where("kind = 'guess'").join(guess, ["file_id", "node_id"]).select("file_id", "stage_index", "i", "node_id", "text")
+    made = G.text_generators(asked, nodes, edges, literals, inactive).select("file_id", "node_id", "generator").distinct()
+    level = G.constants(edges, nodes, literals, "num").where("input = 'guidance'").groupBy("file_id", "node_id").agg(F.min("value").alias("g"))
+    rows = walk.join(coded.unionByName(guessed), ["file_id", "stage_index", "i", "node_id"], "left").join(rank, ["file_id", "node_id"], "left").join(level, ["file_id", "node_id"], "left").join(nodes.select("file_id", "node_id", "class_type"), ["file_id", "node_id"])
+    near = lambda kind, c: F.min(F.when((F.col("kind") == kind) & (F.col("class_type") == c) & F.col("g").isNotNull(), F.struct("i", "g")))["g"]
+    full = F.col("text").isNotNull() & (F.trim("text") != "")
+    code = F.when(F.col("kind") == "guess", "HEURISTIC_PROMPT").when(F.col("kind").isin("open", "unknown") | ((F.col("kind") == "encoder") & F.col("text").isNull()), "PROMPT_UNRESOLVED")
+    out = rows.groupBy("file_id", "stage_index").agg(
+        F.array_sort(F.collect_list(F.when(full, F.struct("rank", "i", "text")))).alias("t"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "encoder", F.struct("rank", "i", "node_id")))).alias("e"),
+        F.bool_or(F.col("text").isNotNull() | (F.col("kind") == "zero")).alias("any"),
+        near("pass", "FluxGuidance").alias("guidance"),
+        near("encoder", "CLIPTextEncodeFlux").alias("encoder_guidance"),
+        F.collect_set(F.when(code.isNotNull(), F.struct(code.alias("code"), F.col("node_id").alias("node_id")))).alias("w"),
+    )
+    generated = walk.where("kind = 'encoder'").join(made, ["file_id", "node_id"]).groupBy("file_id", "stage_index").agg(F.collect_set(F.struct(F.lit("GENERATED_PROMPT").alias("code"), F.col("generator").alias("node_id"))).alias("more"))
+    several = F.when(F.size("t") > 1, F.array(F.struct(F.lit("MULTIPLE_PROMPT_SOURCES").alias("code"), F.lit(None).cast("string").alias("node_id")))).otherwise(F.array().cast("array<struct<code:string,node_id:string>>"))
+    prompt = F.when(F.col("any"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n"))
+    return out.join(generated, ["file_id", "stage_index"], "left").select("file_id", "stage_index", prompt.alias("prompt"), F.transform("e", lambda x: x["node_id"]).alias("encoders"), "guidance", "encoder_guidance", F.array_sort(F.concat("w", F.coalesce("more", F.array().cast("array<struct<code:string,node_id:string>>")), several)).alias("warnings"))
+
+
+def guidance(positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """(file_id, stage_index, guidance) of two trace_prompts(): guidance nodes before encoders that have the input, the
+    positive side before the negative."""
+    two = positive.select("file_id", "stage_index", F.col("guidance").alias("p"), F.col("encoder_guidance").alias("pe")).join(negative.select("file_id", "stage_index", F.col("guidance").alias("n"), F.col("encoder_guidance").alias("ne")), ["file_id", "stage_index"], "full_outer")
+    return two.select("file_id", "stage_index", F.coalesce("p", "n", "pe", "ne").alias("guidance")).where("guidance is not null")
 
 
 def text_encoders(traces: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame) -> DataFrame:
@@ -194,11 +270,10 @@ def generation_key(graph_map: Column) -> Column:
     return F.substring(F.md5(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("\x1f"), e["value"])), "\x1e")), 1, 16)
 
 
-def canonical_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file_id, generation_key) from the node and edge tables."""
-    held = edges.groupBy("file_id", F.col("dst").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "input", "src"))), ",").alias("i"))
-    text = nodes.join(held, ["file_id", "node_id"], "left").select("file_id", F.concat_ws("|", "node_id", "class_type", F.coalesce("i", F.lit(""))).alias("n"))
-    return text.groupBy("file_id").agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("n")), "\n")), 1, 16).alias("generation_key"))
+def canonical_graphs(prompts: DataFrame) -> DataFrame:
+    """(file_id, generation_key) of prompts(file_id, prompt_json): over the whole graph, literals and all. A parsed
+    document keeps the fields of an object in the order of their names, so written again it is canonical."""
+    return prompts.select("file_id", F.substring(F.md5(F.to_json(F.try_parse_json("prompt_json"))), 1, 16).alias("generation_key"))
 
 
 def stage_prompts(traces: DataFrame) -> DataFrame:
@@ -233,8 +308,40 @@ def collect_warnings(*parts: DataFrame) -> DataFrame:
     return out.dropDuplicates()
 
 
+def _warned(rows: DataFrame, code: str, message: Column | str, node: Column | None = None) -> DataFrame:
+    text = F.lit(message) if isinstance(message, str) else message
+    return rows.select("file_id", F.lit(code).alias("code"), (F.lit(None).cast("string") if node is None else node).alias("node_id"), text.alias("message"))
+
+
 def unused_lora_warnings(uses: DataFrame) -> DataFrame:
-    return uses.where("not reachable").select("file_id", F.lit("UNUSED_LORA").alias("code"), "node_id", F.concat(F.lit("not used: "), F.col("name")).alias("message"))
+    """One for each LoRA node on no stage's chain."""
+    return _warned(uses.where("not reachable").select("file_id", "node_id").distinct(), "UNUSED_LORA", "LoRA loaded but not connected to any sampler", F.col("node_id"))
+
+
+def graph_warnings(nodes: DataFrame, edges: DataFrame, stages: DataFrame) -> DataFrame:
+    """(file_id, code, node_id, message): graphs without an output, with outputs of different samplers, without a sampler."""
+    files, roots = nodes.select("file_id").distinct(), G.graph_roots(nodes, edges)
+    outputs = roots.where("kind = 'output'")
+    bare = files.join(outputs, "file_id", "left_anti")
+    near = G.nearest_by_output(nodes, edges, outputs)
+    parts = [_warned(bare, "NO_OUTPUT_NODE", "no output node found; samplers used as roots"), _warned(G.multiple_branches(near).where("multi"), "MULTIPLE_OUTPUT_BRANCHES", "output nodes lead back to different samplers"), _warned(files.join(stages, "file_id", "left_anti"), "NO_SAMPLER", "no reachable sampler node")]
+    return collect_warnings(*parts)
+
+
+def chain_warnings(stages: DataFrame, chain: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, code, node_id, message): nodes of no known role that pass a model on; chains that end before a loader."""
+    on = edges.where("input = 'model'").select("file_id", F.col("dst").alias("node_id")).distinct()
+    known = F.coalesce(F.col("role").isin("lora", "model_patch", "model_loader", "switch"), F.lit(False))
+    patches = chain.where(~known).join(on, ["file_id", "node_id"], "left_semi")
+    ends = chain.groupBy("file_id", "stage_index").agg(F.bool_or(F.coalesce(F.col("role") == "model_loader", F.lit(False))).alias("whole"), F.max_by("node_id", "depth").alias("last"))
+    broken = stages.select("file_id", "stage_index", "node_id").join(ends, ["file_id", "stage_index"], "left").where("not coalesce(whole, false)")
+    return collect_warnings(_warned(patches, "UNKNOWN_MODEL_PATCH", F.concat("class_type", F.lit(" passes the model on")), F.col("node_id")), _warned(broken, "MODEL_CHAIN_BROKEN", "model chain ends before a model loader", F.coalesce("last", "node_id")))
+
+
+def prompt_warnings(*traces: DataFrame) -> DataFrame:
+    """(file_id, code, node_id, message) of trace_prompts()."""
+    rows = [t.select("file_id", F.explode("warnings").alias("w")).select("file_id", "w.code", "w.node_id", F.lit("").alias("message")) for t in traces]
+    return collect_warnings(*rows)
 
 
 def inspect_documents(files: DataFrame, gens: DataFrame, nodes: DataFrame, warnings: DataFrame) -> DataFrame:

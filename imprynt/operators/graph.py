@@ -1,17 +1,17 @@
 """Graph operators over the node graphs of all files at once.
 
-Graphs are small and many: a file's edges become one array by one shuffle, and walks are folds over
-that array inside the row (the number of rounds is the number of its nodes, so every walk ends, on
-cycles too). Nothing loops on the driver. Only the order with ties by id string is sequential
-enough for a pandas step.
+Graphs are small and many: a file's edges become one array by one shuffle, and walks are folds inside
+the row that go on from what they met last (at most as many rounds as there are nodes with links, so
+every walk ends, on cycles too; rounds after the last hop do nothing). Nothing loops on the driver.
+Only the order with ties by id string is sequential enough for a Python step, over Arrow batches.
 """
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Classes, the role of each and the names of the inputs it is read by.
@@ -107,30 +107,49 @@ def graph_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(bare)
 
 
-def _folded(edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, roots, e: the edges of a file beside each set of starting nodes; starts(keys..., node_id)."""
+LINKS = "map<string,array<string>>"
+
+
+def _sources(e: str) -> Column:
+    """node -> the nodes that feed it, of an array of (dst, src)."""
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(e, lambda x: x["dst"])), lambda d: F.struct(d.alias("key"), F.array_distinct(F.transform(F.filter(e, lambda x: x["dst"] == d), lambda x: x["src"])).alias("value"))))
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """(file_id, m): the links of a file as one map, by one shuffle."""
     own = edges.groupBy("file_id").agg(F.collect_list(F.struct("dst", "src")).alias("e"))
+    return own.select("file_id", _sources("e").alias("m"))
+
+
+def _folded(edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, roots, m: the links of a file beside each set of starting nodes; starts(keys..., node_id)."""
     roots = starts.groupBy(*keys).agg(F.collect_set("node_id").alias("roots"))
-    return roots.join(own, "file_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<dst:string,src:string>>")))
+    return roots.join(_linked(edges), "file_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast(LINKS)))
+
 
+def _feeding(m: str, front: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(front, lambda n: F.coalesce(F.try_element_at(F.col(m), n), F.array().cast("array<string>")))))
 
-def _upstream(e: str, roots: str) -> Column:
-    """All nodes from which roots are fed, and roots: one hop a round, as many rounds as there are edges."""
-    hop = lambda seen: F.transform(F.filter(e, lambda x: F.array_contains(seen, x["dst"])), lambda x: x["src"])
-    return F.aggregate(F.sequence(F.lit(0), F.size(e)), F.col(roots), lambda seen, _: F.array_union(seen, hop(seen)))
+
+def _upstream(m: str, roots: str) -> Column:
+    """roots and all nodes that feed them: each round goes one hop on from the nodes met last; nothing is left to do
+    once there are none, at the latest after as many rounds as nodes have links."""
+    start = F.struct(F.col(roots).alias("seen"), F.col(roots).alias("front"))
+    hop = lambda s: F.transform(F.array(F.array_except(_feeding(m, s["front"]), s["seen"])), lambda new: F.struct(F.concat(s["seen"], new).alias("seen"), new.alias("front")))[0]
+    return F.aggregate(F.sequence(F.lit(0), F.size(m)), start, lambda s, _: F.when(F.size(s["front"]) == 0, s).otherwise(hop(s)), lambda s: s["seen"])
 
 
 def reachable(edges: DataFrame, roots: DataFrame, inactive: DataFrame | None = None) -> DataFrame:
     """(file_id, node_id): roots and all that feeds them; inactive(file_id, node_id, input) links do not count."""
     live = edges if inactive is None else edges.join(inactive.select("file_id", F.col("node_id").alias("dst"), "input"), ["file_id", "dst", "input"], "left_anti")
-    return _folded(live, roots, ["file_id"]).select("file_id", F.explode(_upstream("e", "roots")).alias("node_id"))
+    return _folded(live, roots, ["file_id"]).select("file_id", F.explode(_upstream("m", "roots")).alias("node_id"))
 
 
 def stopped(edges: DataFrame, starts: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., node_id): what feeds each start, not going on past stops(file_id, node_id); starts go on even if they are stops."""
     held = edges.join(stops.select("file_id", F.col("node_id").alias("dst")), ["file_id", "dst"], "left_anti")
     first = starts.join(edges.select("file_id", F.col("dst").alias("node_id"), "src"), ["file_id", "node_id"]).select(*keys, F.col("src").alias("node_id"))
-    walked = _folded(held, first, keys).select(*keys, F.explode(_upstream("e", "roots")).alias("node_id"))
+    walked = _folded(held, first, keys).select(*keys, F.explode(_upstream("m", "roots")).alias("node_id"))
     return walked.unionByName(starts.select(*keys, "node_id")).distinct()
 
 
@@ -148,33 +167,44 @@ def multiple_branches(nearest: DataFrame) -> DataFrame:
 
 def topo_order(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """(file_id, node_id, rank, error): sources first, ties by the smaller id string; on a cycle one row with the
-    stuck ids in error. Repeated graphs should be reduced to one first."""
+    stuck ids in error."""
     live = edges.join(reached.select("file_id", F.col("node_id").alias("dst")), ["file_id", "dst"], "left_semi").select("file_id", "dst", "src")
     rows = reached.select("file_id", F.col("node_id").alias("dst"), F.lit(None).cast("string").alias("src")).unionByName(live)
-
-    def kahn(frame: pd.DataFrame) -> pd.DataFrame:
-        file_id, needs, feeds = frame["file_id"].iloc[0], {}, {}
-        for dst, src in zip(frame["dst"], frame["src"], strict=True):
-            needs.setdefault(dst, set())
-            if src is not None and src == src:
-                needs[dst].add(src)
-                feeds.setdefault(src, set()).add(dst)
-        needs = {n: {s for s in v if s in needs} for n, v in needs.items()}
-        ready, out = [n for n, v in needs.items() if not v], []
-        heapq.heapify(ready)
-        while ready:
-            n = heapq.heappop(ready)
-            out.append(n)
-            for d in feeds.get(n, ()):
-                if d in needs:
-                    needs[d].discard(n)
-                    if not needs[d]:
-                        heapq.heappush(ready, d)
-        if len(out) < len(needs):
-            return pd.DataFrame({"file_id": [file_id], "node_id": [None], "rank": [-1], "error": [",".join(sorted(set(needs) - set(out)))]})
-        return pd.DataFrame({"file_id": file_id, "node_id": out, "rank": range(len(out)), "error": None})
-
-    return rows.groupBy("file_id").applyInPandas(kahn, "file_id long, node_id string, rank int, error string")
+    whole = rows.groupBy("file_id").agg(F.collect_list("dst").alias("dst"), F.collect_list(F.coalesce("src", F.lit("\0"))).alias("src"))
+
+    def ranked(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for file_id, dst, src in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                order, stuck = _order(dst, src)
+                out += [(file_id, None, -1, ",".join(stuck))] if stuck else [(file_id, n, i, None) for i, n in enumerate(order)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], ["file_id", "node_id", "rank", "error"])
+
+    return whole.mapInArrow(ranked, "file_id long, node_id string, rank int, error string")
+
+
+def _order(dst: list[str], src: list[str]) -> tuple[list[str], list[str]]:
+    """Nodes in order, and those on or behind a cycle; a source of "\\0" only names its node."""
+    known = set(dst)
+    needs: dict[str, set[str]] = {n: set() for n in known}
+    for d, s in zip(dst, src, strict=True):
+        if s in known:
+            needs[d].add(s)
+    feeds: dict[str, list[str]] = {}
+    for d, sources in needs.items():
+        for s in sources:
+            feeds.setdefault(s, []).append(d)
+    ready, out = [n for n, v in needs.items() if not v], []
+    heapq.heapify(ready)
+    while ready:
+        n = heapq.heappop(ready)
+        out.append(n)
+        for d in feeds.get(n, ()):
+            needs[d].discard(n)
+            if not needs[d]:
+                heapq.heappush(ready, d)
+    return out, sorted(known - set(out))
 
 
 def levels(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -188,10 +218,13 @@ def levels(edges: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """(file_id, stuck): graphs with a cycle and the nodes left when sources are taken away again and again."""
+    """(file_id, stuck): graphs with a cycle and the nodes left when sources are taken away until nothing changes."""
     own = edges.groupBy("file_id").agg(F.collect_list(F.struct("dst", "src")).alias("e"))
-    step = lambda left, _: F.filter(left, lambda x: F.exists(left, lambda y: y["dst"] == x["src"]))
-    left = own.select("file_id", F.aggregate(F.sequence(F.lit(0), F.size("e")), F.col("e"), step).alias("left")).where(F.size("left") > 0)
+    kind = "struct<left:array<struct<dst:string,src:string>>,done:boolean>"
+    fed = lambda left: F.filter(left, lambda x: F.exists(left, lambda y: y["dst"] == x["src"]))
+    once = lambda s: F.transform(F.array(fed(s["left"])), lambda new: F.struct(new.alias("left"), (F.size(new) == F.size(s["left"])).alias("done")))[0]
+    start = F.struct(F.col("e").alias("left"), F.lit(False).alias("done")).cast(kind)
+    left = own.select("file_id", F.aggregate(F.sequence(F.lit(0), F.size("e")), start, lambda s, _: F.when(s["done"], s).otherwise(once(s).cast(kind)), lambda s: s["left"]).alias("left")).where(F.size("left") > 0)
     return left.select("file_id", F.array_join(F.array_sort(F.array_distinct(F.transform("left", lambda x: x["dst"]))), ",").alias("stuck"))
 
 
@@ -217,26 +250,34 @@ def inactive_inputs(nodes: DataFrame, edges: DataFrame, literals: DataFrame) ->
     return picked.join(linked, ["file_id", "node_id", "chosen"], "left").select("file_id", "node_id", F.when(F.col("soft") & F.col("linked").isNull(), F.col("chosen")).otherwise(F.col("other")).alias("input"))
 
 
+def slotted(edges: DataFrame) -> DataFrame:
+    """edges with the output slot of their source; 0 where the table has none."""
+    return edges if "slot" in edges.columns else edges.withColumn("slot", F.lit(0).cast("long"))
+
+
 def _next(nodes: DataFrame, edges: DataFrame, inactive: DataFrame, name: str | None) -> DataFrame:
-    """(file_id, m): where each node goes on to: along input `name`; a switch to its single active input."""
+    """(file_id, m): where each node goes on to, and from which slot: along input `name`; a switch to its single active input."""
     sw = nodes.where(role_of() == "switch").select("file_id", F.col("node_id").alias("dst"), F.lit(True).alias("sw"))
-    live = edges.join(inactive.select("file_id", F.col("node_id").alias("dst"), "input"), ["file_id", "dst", "input"], "left_anti").join(sw, ["file_id", "dst"], "left")
-    through = live.where(F.col("sw") & F.col("input").isin("on_true", "on_false")).groupBy("file_id", "dst").agg(F.count("*").alias("n"), F.min("src").alias("src")).where("n = 1").select("file_id", "dst", "src")
+    live = slotted(edges).join(inactive.select("file_id", F.col("node_id").alias("dst"), "input"), ["file_id", "dst", "input"], "left_anti").join(sw, ["file_id", "dst"], "left").withColumn("to", F.struct("src", "slot"))
+    through = live.where(F.col("sw") & F.col("input").isin("on_true", "on_false")).groupBy("file_id", "dst").agg(F.count("*").alias("n"), F.min("to").alias("to")).where("n = 1").select("file_id", "dst", "to")
     if name is not None:
-        through = through.unionByName(live.where(F.col("sw").isNull() & (F.col("input") == name)).groupBy("file_id", "dst").agg(F.min("src").alias("src")))
-    return through.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("dst", "src"))).alias("m"))
+        through = through.unionByName(live.where(F.col("sw").isNull() & (F.col("input") == name)).groupBy("file_id", "dst").agg(F.min("to").alias("to")))
+    return through.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("dst", "to"))).alias("m"))
 
 
 def _walk(m: str, start: str) -> Column:
     """The nodes from start on, until the end or one seen before."""
-    last = lambda a: F.try_element_at(F.col(m), F.element_at(a, -1))
+    last = lambda a: F.try_element_at(F.col(m), F.element_at(a, -1))["src"]
     step = lambda a, _: F.when(last(a).isNull() | F.array_contains(a, last(a)), a).otherwise(F.concat(a, F.array(last(a))))
     return F.when(F.col(m).isNull(), F.array(F.col(start))).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(m)), F.array(F.col(start)), step))
 
 
 def resolve_switches(links: DataFrame, nodes: DataFrame, edges: DataFrame, inactive: DataFrame) -> DataFrame:
-    """links(file_id, dst, input, src) with `past`: src past any chain of switches; null when a choice is open."""
-    end = links.join(_next(nodes, edges, inactive, None), "file_id", "left").withColumn("past", F.element_at(_walk("m", "src"), -1)).drop("m")
+    """links(file_id, dst, input, src) with `past` and `past_slot`: src and slot past any chain of switches; null when a
+    choice is open."""
+    end = slotted(links).join(_next(nodes, edges, inactive, None), "file_id", "left").withColumn("__w", _walk("m", "src"))
+    slot = F.when(F.size("__w") == 1, F.col("slot")).otherwise(F.try_element_at(F.col("m"), F.get("__w", F.size("__w") - 2))["slot"])
+    end = end.withColumn("past", F.element_at("__w", -1)).withColumn("past_slot", slot).drop("m", "__w")
     open_ = nodes.where(role_of() == "switch").select("file_id", F.col("node_id").alias("past"), F.lit(True).alias("open"))
     return end.join(open_, ["file_id", "past"], "left").withColumn("past", F.when(F.col("open").isNull(), F.col("past"))).drop("open")
 
@@ -244,7 +285,8 @@ def resolve_switches(links: DataFrame, nodes: DataFrame, edges: DataFrame, inact
 def follow_input(starts: DataFrame, nodes: DataFrame, edges: DataFrame, inactive: DataFrame, name: str) -> DataFrame:
     """(file_id, start, node_id, depth): the chain from each node upwards along one input, through switches; a switch
     row means that its choice is open and the chain ends there. starts(file_id, start)."""
-    walked = starts.join(_next(nodes, edges, inactive, name), "file_id", "left").select("file_id", "start", F.posexplode(F.slice(_walk("m", "start"), 2, 1000)).alias("depth", "node_id"))
+    way = F.filter(_walk("m", "start"), lambda x, i: i > 0)
+    walked = starts.join(_next(nodes, edges, inactive, name), "file_id", "left").select("file_id", "start", F.posexplode(way).alias("depth", "node_id"))
     kinds = nodes.select("file_id", "node_id", (role_of() == "switch").alias("sw"))
     last = walked.groupBy("file_id", "start").agg(F.max("depth").alias("last"))
     joined = walked.join(kinds, ["file_id", "node_id"]).join(last, ["file_id", "start"]).where(~F.coalesce("sw", F.lit(False)) | (F.col("depth") == F.col("last")))
@@ -253,12 +295,10 @@ def follow_input(starts: DataFrame, nodes: DataFrame, edges: DataFrame, inactive
 
 def nearest_role(edges: DataFrame, nodes: DataFrame, starts: DataFrame, role: str) -> DataFrame:
     """(file_id, start, node_id): the nearest node upstream with a role, of equally near ones the smallest id."""
-    own = edges.groupBy("file_id").agg(F.collect_list(F.struct("dst", "src")).alias("e"))
     with_role = nodes.where(role_of() == role).groupBy("file_id").agg(F.collect_set("node_id").alias("want"))
-    base = starts.join(own, "file_id").join(with_role, "file_id")
-    hop = lambda f: F.array_distinct(F.transform(F.filter("e", lambda x: F.array_contains(f, x["dst"])), lambda x: x["src"]))
-    step = lambda f, _: F.when(F.arrays_overlap(f, "want"), f).otherwise(hop(f))
-    front = F.aggregate(F.sequence(F.lit(0), F.size("e")), hop(F.array("start")), step)
+    base = starts.join(_linked(edges), "file_id").join(with_role, "file_id").withColumn("__s", F.array("start"))
+    step = lambda f, _: F.when((F.size(f) == 0) | F.arrays_overlap(f, "want"), f).otherwise(_feeding("m", f))
+    front = F.aggregate(F.sequence(F.lit(0), F.size("m")), _feeding("m", F.col("__s")), step)
     found = base.select("file_id", "start", F.array_min(F.array_intersect(front, "want")).alias("node_id"))
     return found.where("node_id is not null")
 
@@ -273,12 +313,74 @@ def cleanup_plan(nodes: DataFrame, edges: DataFrame, reached: DataFrame) -> Data
     return base.select("file_id", F.explode(F.aggregate(F.sequence(F.lit(1), F.size("idle")), F.col("idle"), step)).alias("node_id"))
 
 
-def clean_prompt(prompts: DataFrame, plan: DataFrame) -> DataFrame:
-    """(file_id, prompt_json) without the planned nodes."""
+# ---- entries of the power loader, and what a cleanup takes
+
+
+def power_entries(nodes: DataFrame) -> DataFrame:
+    """(file_id, node_id, entry, place, on, lora, strength, strength_two): the LoRA entries of power loaders: inputs
+    called lora_..., in any case, that are objects with on, lora and strength and name a file; place is their order."""
+    own = nodes.where(F.col("class_type").isin([c for c in ROLES["lora"] if c.startswith("Power")])).select("file_id", "node_id", F.explode("inputs").alias("entry", "v"))
+    part = lambda k, kind: F.try_variant_get("v", f"$.{k}", kind)
+    own = own.where(F.upper("entry").startswith("LORA_") & F.schema_of_variant("v").startswith("OBJECT"))
+    own = own.where(part("on", "variant").isNotNull() & part("strength", "variant").isNotNull() & (F.schema_of_variant(part("lora", "variant")) == "STRING"))
+    own = own.select("file_id", "node_id", "entry", part("on", "boolean").alias("on"), part("lora", "string").alias("lora"), part("strength", "double").alias("strength"), part("strengthTwo", "double").alias("strength_two"))
+    # input objects are stored by name; numbered names are in the order of their numbers
+    number = F.coalesce(F.regexp_extract("entry", r"(\d+)$", 1).try_cast("int"), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("file_id", "node_id").orderBy(number, "entry")) - 1
+    return own.where(~F.col("lora").isin("", "None")).withColumn("place", place).select("file_id", "node_id", "entry", "place", "on", "lora", "strength", "strength_two")
+
+
+def switched_off(entries: DataFrame, plan: DataFrame) -> DataFrame:
+    """(file_id, node_id, entry, lora): entries that are off, of nodes that stay."""
+    return entries.where(~F.col("on")).join(plan, ["file_id", "node_id"], "left_anti").select("file_id", "node_id", "entry", "lora")
+
+
+def clean_prompt(prompts: DataFrame, plan: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(file_id, prompt_json) without the planned nodes and, of the others, the entries(file_id, node_id, entry)."""
     gone = plan.groupBy("file_id").agg(F.collect_set("node_id").alias("gone"))
-    held = prompts.join(gone, "file_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
+    held = prompts.select("file_id", "prompt_json").join(gone, "file_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
     left = F.map_filter(F.from_json("prompt_json", "map<string,variant>"), lambda k, v: ~F.array_contains("gone", k))
-    return held.select("file_id", F.when(F.size("gone") == 0, F.col("prompt_json")).otherwise(F.to_json(left)).alias("prompt_json"))
+    if entries is None:
+        return held.select("file_id", F.when(F.size("gone") == 0, F.col("prompt_json")).otherwise(F.to_json(left)).alias("prompt_json"))
+    off = entries.groupBy("file_id").agg(F.collect_set(F.concat_ws("\0", "node_id", "entry")).alias("off"))
+    held = held.join(off, "file_id", "left").withColumn("off", F.coalesce("off", F.array().cast("array<string>")))
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    inputs = lambda k, v: F.map_filter(F.try_variant_get(v, "$.inputs", "map<string,variant>"), lambda e, _: ~F.array_contains("off", F.concat_ws("\0", k, e)))
+    named = lambda k: F.exists("off", lambda x: x.startswith(F.concat(k, F.lit("\0"))))
+    trimmed = lambda k, v: F.when(named(k), F.to_variant_object(F.transform_values(fields(v), lambda f, x: F.when(f == "inputs", F.to_variant_object(inputs(k, v))).otherwise(x)))).otherwise(v)
+    some = (F.size("gone") > 0) | (F.size("off") > 0)
+    return held.select("file_id", F.when(some, F.to_json(F.transform_values(left, trimmed))).otherwise(F.col("prompt_json")).alias("prompt_json"))
+
+
+def clean_workflow(workflows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(file_id, workflow_json) of workflows(file_id, workflow_json), the interface's document, without the planned
+    nodes(file_id, node_id, class_type) that it holds as the same class, their links (as arrays or objects), and what
+    names those links: inputs, outputs, link extensions and reroutes."""
+    gone = plan.groupBy("file_id").agg(F.collect_set(F.concat_ws("\0", "node_id", "class_type")).alias("gone"))
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    items = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    text = lambda v, *paths: F.coalesce(*(F.try_variant_get(v, p, "string") for p in paths))
+    w = workflows.join(gone, "file_id").withColumn("w", F.from_json("workflow_json", "map<string,variant>"))
+    w = w.withColumn("nodes", items(F.try_element_at("w", F.lit("nodes")))).withColumn("links", items(F.try_element_at("w", F.lit("links"))))
+    out = F.transform(F.filter("nodes", lambda n: F.array_contains("gone", F.concat_ws("\0", text(n, "$.id"), text(n, "$.type")))), lambda n: text(n, "$.id"))
+    w = w.withColumn("out", out).where(F.size("out") > 0)
+    ends = lambda x: F.arrays_overlap("out", F.array_compact(F.array(text(x, "$[1]", "$.origin_id"), text(x, "$[3]", "$.target_id"))))
+    w = w.withColumn("cut", F.transform(F.filter("links", ends), lambda x: text(x, "$[0]", "$.id")))
+    cut = lambda v: F.coalesce(F.array_contains("cut", F.try_variant_get(v, "$", "string")), F.lit(False))
+    none = F.parse_json(F.lit("null"))
+    stay = lambda v: F.filter(items(v), lambda x: ~cut(x))
+    input_ = lambda i: F.to_variant_object(F.transform_values(fields(i), lambda k, v: F.when((k == "link") & cut(v), none).otherwise(v)))
+    output = lambda o: F.to_variant_object(F.transform_values(fields(o), lambda k, v: F.when((k == "links") & (F.schema_of_variant(v) != "VOID"), F.to_variant_object(stay(v))).otherwise(v)))
+    part = lambda k, v: F.when(k == "inputs", F.to_variant_object(F.transform(items(v), input_))).when(k == "outputs", F.to_variant_object(F.transform(items(v), output))).otherwise(v)
+    node = lambda n: F.to_variant_object(F.transform_values(fields(n), part))
+    nodes = F.transform(F.filter("nodes", lambda n: ~F.coalesce(F.array_contains("out", text(n, "$.id")), F.lit(False))), node)
+    links = F.filter("links", lambda x: ~F.coalesce(F.array_contains("cut", text(x, "$[0]", "$.id")), F.lit(False)))
+    named = lambda v: F.filter(items(v), lambda x: ~F.coalesce(F.array_contains("cut", text(x, "$.id")), F.lit(False)))
+    route = lambda r: F.to_variant_object(F.transform_values(fields(r), lambda k, v: F.when(k == "linkIds", F.to_variant_object(stay(v))).otherwise(v)))
+    more = lambda k, v: F.when(k == "linkExtensions", F.to_variant_object(named(v))).when(k == "reroutes", F.to_variant_object(F.transform(items(v), route))).otherwise(v)
+    new = lambda k, v: F.when(k == "nodes", F.to_variant_object(F.col("__nodes"))).when(k == "links", F.to_variant_object(F.col("__links"))).when((k == "extra") & F.schema_of_variant(v).startswith("OBJECT"), F.to_variant_object(F.transform_values(fields(v), more))).otherwise(v)
+    done = w.withColumn("__nodes", nodes).withColumn("__links", links).select("file_id", F.to_json(F.transform_values("w", new)).alias("__new"))
+    return workflows.join(done, "file_id", "left").select("file_id", F.coalesce("__new", "workflow_json").alias("workflow_json"))
 
 
 def unregistered(nodes: DataFrame) -> DataFrame:
@@ -286,20 +388,40 @@ def unregistered(nodes: DataFrame) -> DataFrame:
     return nodes.where(role_of().isNull() & ~F.col("class_type").isin(list(OUTPUT_CLASSES))).groupBy("class_type").agg(F.count_distinct("file_id").alias("files"))
 
 
+def _texts(nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links past switches, and (file_id, t): a file's text nodes, each with its parts in order (i; 99 is the
+    delimiter): a literal or the node that a link comes from."""
+    links = resolve_switches(edges, nodes, edges, inactive).select("file_id", F.col("dst").alias("node_id"), "input", "past", F.lit(True).alias("linked"))
+    own = nodes.where(role_of().isin("string_source", "string_pass", "text_generator")).select("file_id", "node_id", "class_type", (role_of() == "text_generator").alias("generator"))
+    parts = F.create_map(*[x for c, ns in NAME_INPUTS.items() for x in (F.lit(c), F.array(*map(F.lit, ns)))])
+    slots = own.select("file_id", "node_id", "generator", F.posexplode(parts[F.col("class_type")]).alias("i", "input"))
+    slots = slots.unionByName(own.where("class_type = 'StringConcatenate'").select("file_id", "node_id", "generator", F.lit(99).alias("i"), F.lit("delimiter").alias("input")))
+    held = literals.select("file_id", "node_id", "input", "str", F.lit(True).alias("written"))
+    have = slots.join(held, ["file_id", "node_id", "input"], "left").join(links, ["file_id", "node_id", "input"], "left")
+    lit = F.when((F.col("i") == 99) & F.col("written").isNull() & F.col("linked").isNull(), "").otherwise(F.col("str"))
+    one = have.groupBy("file_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("i", lit.alias("lit"), "past"))).alias("p"), F.max("generator").alias("generator"))
+    return links, one.groupBy("file_id").agg(F.collect_list(F.struct("node_id", "p", "generator")).alias("t"))
+
+
 def resolve_strings(inputs: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame, depth: int = 8) -> DataFrame:
     """(file_id, node_id, input, text): what text inputs hold, through switches, passing nodes, text generators and
-    concatenation; null where it is not known. inputs(file_id, node_id, input). Each round puts the known inputs of
-    text nodes in the place of links to them; after `depth` rounds nothing deeper counts."""
-    links = resolve_switches(edges.select("file_id", "dst", "input", "src"), nodes, edges, inactive)
-    text_nodes = nodes.where(role_of().isin("string_source", "string_pass", "text_generator")).select("file_id", "node_id", "class_type")
-    known = literals.where("str is not null").select("file_id", "node_id", "input", F.col("str").alias("text"))
-    parts = F.create_map(*[x for c, ns in NAME_INPUTS.items() for x in (F.lit(c), F.array(*map(F.lit, ns)))])
-    slots = text_nodes.select("file_id", "node_id", "class_type", F.posexplode(parts[F.col("class_type")]).alias("i", "input"))
-    for _ in range(min(depth, 3)):
-        have = slots.join(known, ["file_id", "node_id", "input"], "left")
-        ready = have.groupBy("file_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("p"), F.count("*").alias("n"), F.count("text").alias("k")).where("n = k")
-        sep = known.where("input = 'delimiter'").select("file_id", "node_id", F.col("text").alias("sep"))
-        value = ready.join(sep, ["file_id", "node_id"], "left").select("file_id", F.col("node_id").alias("past"), F.expr("array_join(transform(p, x -> x.text), coalesce(sep, ''))").alias("text"))
-        more = links.where("past is not null").join(value, ["file_id", "past"]).select("file_id", F.col("dst").alias("node_id"), "input", "text")
-        known = known.unionByName(more).dropDuplicates(["file_id", "node_id", "input"])
-    return inputs.join(known, ["file_id", "node_id", "input"], "left")
+    concatenation; null where it is not known. inputs(file_id, node_id, input). Each round of a fold over a file's text
+    nodes knows one hop more; what is more than `depth` nodes away stays unknown."""
+    links, texts = _texts(nodes, edges, literals, inactive)
+    value = lambda known, x: F.coalesce(x["lit"], F.try_element_at(known, x["past"]))
+    sep = lambda known, n: F.coalesce(value(known, F.get(F.filter(n["p"], lambda x: x["i"] == 99), 0)), F.lit(""))
+    joined = lambda known, n: F.call_function("array_join", F.transform(F.filter(n["p"], lambda x: x["i"] < 99), lambda x: value(known, x)), sep(known, n))
+    text = lambda known, n: F.when(~F.exists(n["p"], lambda x: value(known, x).isNull()), joined(known, n))
+    step = lambda known, _: F.map_from_entries(F.filter(F.transform("t", lambda n: F.struct(n["node_id"].alias("key"), text(known, n).alias("value"))), lambda e: e["value"].isNotNull()))
+    known = texts.select("file_id", F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.create_map().cast("map<string,string>"), step).alias("known"))
+    have = inputs.join(literals.where("str is not null").select("file_id", "node_id", "input", "str"), ["file_id", "node_id", "input"], "left").join(links.drop("linked"), ["file_id", "node_id", "input"], "left").join(known, "file_id", "left")
+    return have.select(*inputs.columns, F.coalesce("str", F.try_element_at("known", F.col("past"))).alias("text"))
+
+
+def text_generators(inputs: DataFrame, nodes: DataFrame, edges: DataFrame, literals: DataFrame, inactive: DataFrame) -> DataFrame:
+    """(file_id, node_id, input, generator): the text generators that a text input's value comes through."""
+    links, texts = _texts(nodes, edges, literals, inactive)
+    pairs = F.flatten(F.transform("t", lambda n: F.transform(F.filter(n["p"], lambda x: x["past"].isNotNull()), lambda x: F.struct(n["node_id"].alias("dst"), x["past"].alias("src")))))
+    per = texts.select("file_id", pairs.alias("e"), F.transform(F.filter("t", lambda n: n["generator"]), lambda n: n["node_id"]).alias("g")).where(F.size("g") > 0).select("file_id", "g", _sources("e").alias("m"))
+    met = inputs.join(links.where("past is not null"), ["file_id", "node_id", "input"]).join(per, "file_id").withColumn("roots", F.array("past"))
+    return met.select("file_id", "node_id", "input", F.explode(F.array_intersect(_upstream("m", "roots"), "g")).alias("generator"))

@@ -115,6 +115,29 @@ from (select item_id, md5(d.text) as content_hash,
     "v_saved_tags": """
 select item_id as prompt_id, case when item_id % 2 = 0 then 'even' else 'odd' end as tag from benchmark
 union all select item_id, concat('mod', cast(item_id % 5 as varchar(20))) from benchmark where item_id % 3 = 0""",
+    "v_rich_nodes": """
+select o_orderkey as file_id, n as node_id, c as class_type from orders cross join (values
+  ('1','UNETLoader'),('2','CLIPLoader'),('3','VAELoader'),('5','EmptyLatentImage'),('P','Power Lora Loader (rgthree)'),('Q','Power Lora Loader (rgthree)'),('M','MysteryPatch'),
+  ('T1','PrimitiveString'),('T2','StringConcatenate'),('T3','PreviewAny'),('T4','TextGenerate'),('T5','StringConcatenate'),('T6','PrimitiveString'),
+  ('10','CLIPTextEncode'),('11','CLIPTextEncode'),('12','ConditioningCombine'),('13','FluxGuidance'),('14','ConditioningZeroOut'),('15','MysteryNode'),('16','CLIPTextEncodeFlux'),
+  ('20','KSampler'),('9','KSampler'),('30','SamplerCustomAdvanced'),('31','CFGGuider'),('40','VAEDecode'),('41','SaveImage'),('42','VAEDecode'),('43','SaveImage')) v(n, c)""",
+    "v_rich_edges": """
+select o_orderkey as file_id, d as dst, i as input, s as src from orders cross join (values
+  ('P','model','1'),('M','model','P'),('Q','model','1'),('10','clip','2'),('11','clip','2'),('16','clip','2'),
+  ('T2','string_a','T1'),('T3','source','T2'),('T4','prompt','T3'),('T5','string_a','T4'),('T5','string_b','T1'),('10','text','T5'),
+  ('13','conditioning','10'),('12','conditioning_1','13'),('12','conditioning_2','11'),('14','conditioning','11'),
+  ('20','model','M'),('20','positive','12'),('20','negative','14'),('20','latent_image','5'),
+  ('9','positive','15'),('9','negative','16'),('9','latent_image','20'),
+  ('31','model','1'),('31','positive','16'),('31','negative','14'),('30','guider','31'),('30','latent_image','5'),
+  ('40','samples','9'),('40','vae','3'),('41','images','40'),('42','samples','30'),('42','vae','3'),('43','images','42')) e(d, i, s)
+union all select o_orderkey, 'T5', 'delimiter', 'T6' from orders where o_orderkey % 2 = 0
+union all select o_orderkey, '15', 'my_cond', '11' from orders where o_orderkey % 3 = 1""",
+    "v_rich_literals": """
+select o_orderkey as file_id, 'T1' as node_id, 'value' as input, concat('a',cast(o_custkey as varchar(20))) as str, cast(null as double) as num, cast(null as boolean) as bool from orders
+union all select o_orderkey, n, i, t, null, null from orders cross join (values ('T2','string_b','b'),('T2','delimiter',' '),('T6','value','-'),('1','unet_name','flux.safetensors'),('2','clip_name','clip.safetensors'),('11','text','second text'),('16','t5xxl',' '),('16','clip_l','third text'),('15','small','short')) v(n, i, t)
+union all select o_orderkey, '13', 'guidance', null, 2.5E0 + o_orderkey % 3, null from orders
+union all select o_orderkey, '16', 'guidance', null, 9.0E0, null from orders
+union all select o_orderkey, '15', 'words', concat('a prompt guessed from ', cast(o_orderkey as varchar(20))), null, null from orders where o_orderkey % 3 = 0""",
     "v_pairs": """
 select a.o_orderkey as a_id, b.o_orderkey as b_id from orders a join orders b
   on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.o_orderpriority = b.o_orderpriority""",

@@ -100,7 +100,7 @@ def _(s, d):
 
 @query("g06_topo_order")
 def _(s, d):
-    return G.topo_order(edges(s, d), reached(s, d))
+    return order(s, d)
 
 
 @query("g06_levels", REACH + """, lv as (select file_id, node_id, 0 as level from reach union select e.file_id, e.dst, level + 1 from lv join v_edges e on e.file_id = lv.file_id and e.src = lv.node_id join reach r on r.file_id = e.file_id and r.node_id = e.dst)
@@ -168,7 +168,7 @@ def _(s, d):
 @query("g14_clean_prompt", "select o_orderkey as file_id, 8 + coalesce(n, 0) as nodes from orders left join (select l_orderkey, count(*) as n from lineitem where l_returnflag <> 'R' group by l_orderkey) on l_orderkey = o_orderkey")
 def _(s, d):
     j = api_json(s, d)
-    plan = G.cleanup_plan(nodes(s, d), edges(s, d), reached(s, d))
+    plan = staged(s, d, "cleanup", lambda: G.cleanup_plan(nodes(s, d), edges(s, d), reached(s, d)))
     return G.clean_prompt(j, plan).select("file_id", F.size(F.from_json("prompt_json", "map<string,variant>")).cast("bigint").alias("nodes"))
 
 
@@ -197,8 +197,37 @@ def _(s, d):
 
 
 def stages(s, d):
-    order = lambda: G.levels(edges(s, d), reached(s, d)).select("file_id", "node_id", F.col("level").alias("rank"))
-    return staged(s, d, "stages", lambda: E.sampler_stages(nodes(s, d), order()))
+    return staged(s, d, "stages", lambda: E.sampler_stages(nodes(s, d), order(s, d)))
+
+
+def order(s, d):
+    return staged(s, d, "order", lambda: G.topo_order(edges(s, d), reached(s, d)))
+
+
+def rich(s, d):
+    """Nodes, edges and literals of graphs with two outputs, three samplers, chained texts, combined, guided and zeroed
+    conditioning, a node of no known role, and power loaders."""
+    return tuple(staged(s, d, n, lambda n=n: view(s, d, n)) for n in ("v_rich_nodes", "v_rich_edges", "v_rich_literals"))
+
+
+def rich_stages(s, d):
+    n, e, _ = rich(s, d)
+    make = lambda: G.topo_order(e, G.reachable(e, G.graph_roots(n, e)))
+    rank = staged(s, d, "rich_order", make)
+    return staged(s, d, "rich_stages", lambda: E.sampler_stages(n, rank)), rank
+
+
+def rich_traces(s, d, side):
+    n, e, l = rich(s, d)
+    st, rank = rich_stages(s, d)
+    return staged(s, d, f"rich_{side}", lambda: E.trace_prompts(st, n, e, l, no_switch(s), side, rank))
+
+
+def power_prompts(s, d):
+    """API prompts with power loaders only: P with three entries, one of them off in every other graph, and Q."""
+    entry = lambda on, lora, more: f'{{"on":{on},"lora":"{lora}",{more}}}'
+    text = F.concat(F.lit('{"P":{"class_type":"Power Lora Loader (rgthree)","inputs":{"lora_1":' + entry("", "", "").split('"on":')[0] + '"on":'), (F.col("o_orderkey") % 2 == 0).cast("string"), F.lit(',"lora":"x/part-'), (F.col("o_custkey") % 7).cast("string"), F.lit('.safetensors","strength":0.5},"lora_2":' + entry("true", "None", '"strength":1') + ',"LORA_3":' + entry("true", "part-9_000001000.safetensors", '"strength":0.25,"strengthTwo":0.75') + ',"text":"kept"}},"Q":{"class_type":"Power Lora Loader (rgthree)","inputs":{"lora_1":' + entry("true", "q.safetensors", '"strength":1') + "}}}"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"), text.alias("prompt_json"))
 
 
 def chain(s, d):
@@ -233,7 +262,48 @@ def _(s, d):
 
 
 def traces(s, d, side="positive"):
-    return staged(s, d, f"traces_{side}", lambda: E.trace_prompts(stages(s, d), nodes(s, d), edges(s, d), literals(s, d), no_switch(s), side))
+    return staged(s, d, f"traces_{side}", lambda: E.trace_prompts(stages(s, d), nodes(s, d), edges(s, d), literals(s, d), no_switch(s), side, order(s, d)))
+
+
+@query("e04_power_loras", """select o_orderkey as file_id, case when node_id = 'P' then 1 end as stage_index, node_id, entry, case when node_id = 'P' and (entry <> 'lora_1' or o_orderkey % 2 = 0) then case when entry = 'lora_1' then 0 else 1 - o_orderkey % 2 end end as position,
+  case when entry = 'LORA_3' then 'part-9_000001000' when node_id = 'Q' then 'q' else concat('part-', o_custkey % 7) end as name, case when entry = 'LORA_3' then 0.25 when node_id = 'Q' then 1.0 else 0.5 end as strength_model, case when entry = 'LORA_3' then 0.75 when node_id = 'Q' then 1.0 else 0.5 end as strength_clip,
+  entry <> 'lora_1' or node_id = 'Q' or o_orderkey % 2 = 0 as enabled, node_id = 'P' as reachable from orders, (values ('P', 'lora_1'), ('P', 'LORA_3'), ('Q', 'lora_1')) v(node_id, entry)""")
+def _(s, d):
+    n, e, l = rich(s, d)
+    entries = G.power_entries(G.graph_nodes(power_prompts(s, d)))
+    u = E.lora_uses(E.model_chain(rich_stages(s, d)[0], n, e, no_switch(s)), n, l, entries)
+    return u.select("file_id", "stage_index", "node_id", "entry", F.col("position").cast("bigint").alias("position"), "name", "strength_model", "strength_clip", "enabled", "reachable")
+
+
+@query("g13_switched_off", "select o_orderkey as file_id, 'P' as node_id, 'lora_1' as entry from orders where o_orderkey % 2 = 1")
+def _(s, d):
+    n, e, _ = rich(s, d)
+    plan = G.cleanup_plan(n, e, G.reachable(e, G.graph_roots(n, e)))
+    return G.switched_off(G.power_entries(G.graph_nodes(power_prompts(s, d))), plan).select("file_id", "node_id", "entry")
+
+
+@query("g14_clean_entries", """select o_orderkey as file_id, 'P' as node_id, e as input from orders, (values ('lora_1'), ('lora_2'), ('LORA_3'), ('text')) v(e) where e <> 'lora_1' or o_orderkey % 2 = 0""")
+def _(s, d):
+    n, e, _ = rich(s, d)
+    plan = G.cleanup_plan(n, e, G.reachable(e, G.graph_roots(n, e)))
+    prompts = power_prompts(s, d)
+    cleaned = G.clean_prompt(prompts, plan, G.switched_off(G.power_entries(G.graph_nodes(prompts)), plan))
+    return G.graph_nodes(cleaned).select("file_id", "node_id", F.explode(F.map_keys("inputs")).alias("input"))
+
+
+WORKFLOW = """'{"nodes":[{"id":1,"type":"UNETLoader","outputs":[{"name":"m","links":[1,2]}]},{"id":102,"type":"LoraLoaderModelOnly","inputs":[{"name":"model","link":1}]},{"id":7,"type":"X","inputs":[{"name":"a","link":2},{"name":"b","link":3}]}],"links":[[1,1,0,102,0,"M"],{"id":2,"origin_id":1,"target_id":7},[3,102,0,7,1,"M"]],"extra":{"linkExtensions":[{"id":3},{"id":2}],"reroutes":[{"id":9,"linkIds":[1,2]}]},"v":' || {n} || '}'"""
+
+
+@query("g15_clean_workflow", """select l_orderkey as file_id, case when r then '1|7' else '1|102|7' end as nodes, case when r then '2' else '1|2|3' end as links, case when r then '[2]' else '[1,2]' end as out, case when r then '2|' else '2|3' end as ins, case when r then '2' else '3|2' end as extensions, case when r then '[2]' else '[1,2]' end as routes, l_orderkey as v
+ from (select l_orderkey, bool_or(rn = 2 and l_returnflag = 'R') as r from (select *, row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity) as rn from lineitem) group by l_orderkey)""")
+def _(s, d):
+    files = table(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id")).distinct()
+    flows = files.select("file_id", F.expr(WORKFLOW.replace("{n}", "cast(file_id as string)")).alias("workflow_json"))
+    plan = staged(s, d, "cleanup", lambda: G.cleanup_plan(nodes(s, d), edges(s, d), reached(s, d))).join(nodes(s, d), ["file_id", "node_id"]).select("file_id", "node_id", "class_type")
+    w = G.clean_workflow(flows, plan).select("file_id", F.parse_json("workflow_json").alias("w"))
+    each = lambda path, f: F.array_join(F.transform(F.variant_get("w", path, "array<variant>"), f), "|", "")
+    of = lambda p: lambda x: F.try_variant_get(x, p, "string")
+    return w.select("file_id", each("$.nodes", of("$.id")).alias("nodes"), each("$.links", lambda x: F.coalesce(of("$[0]")(x), of("$.id")(x))).alias("links"), F.variant_get("w", "$.nodes[0].outputs[0].links", "string").alias("out"), each("$.nodes[1].inputs", of("$.link")).alias("in1"), each("$.nodes[2].inputs", of("$.link")).alias("in2"), each("$.extra.linkExtensions", of("$.id")).alias("extensions"), F.variant_get("w", "$.extra.reroutes[0].linkIds", "string").alias("routes"), F.variant_get("w", "$.v", "bigint").alias("v")).select("file_id", "nodes", "links", "out", F.when(F.size(F.split("nodes", "[|]")) == 2, F.col("in1")).otherwise(F.col("in2")).alias("ins"), "extensions", "routes", "v")
 
 
 @query("e05_trace_prompts", "select file_id, str as prompt, '4' as encoders from v_literals where input = 'text'")
@@ -241,10 +311,33 @@ def _(s, d):
     return traces(s, d).select("file_id", "prompt", joined("encoders"))
 
 
-@query("e06_guidance", "select o_orderkey as file_id, 3.5 + o_orderkey % 3 as guidance from orders where o_orderkey % 2 = 0")
+@query("e06_guidance", "select o_orderkey as file_id, stage_index, case stage_index when 1 then 2.5 + o_orderkey % 3 else 9.0 end as guidance from orders, (values (0), (1), (2)) v(stage_index)")
 def _(s, d):
-    more = table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("file_id"), F.lit("4").alias("node_id"), F.lit("guidance").alias("input"), F.lit(None).cast("string").alias("str"), (3.5 + F.col("o_orderkey") % 3).alias("num"), F.lit(None).cast("boolean").alias("bool"))
-    return E.guidance(stages(s, d), nodes(s, d), edges(s, d), literals(s, d).unionByName(more)).select("file_id", "guidance")
+    return E.guidance(rich_traces(s, d, "positive"), rich_traces(s, d, "negative"))
+
+
+@query("e01_rich_stages", "select o_orderkey as file_id, stage_index, node_id, class_type from orders, (values (0, '30', 'SamplerCustomAdvanced'), (1, '20', 'KSampler'), (2, '9', 'KSampler')) v(stage_index, node_id, class_type)")
+def _(s, d):
+    return rich_stages(s, d)[0]
+
+
+TEXT = "concat('a', o_custkey, ' b', case when o_orderkey % 2 = 0 then '-' else '' end, 'a', o_custkey)"
+
+
+@query("e05_rich_prompts", f"""select o_orderkey as file_id, 1 as stage_index, concat('second text', chr(10), chr(10), {TEXT}) as positive, '' as negative, '11|10' as encoders from orders
+ union all select o_orderkey, 0, 'third text', '', '16' from orders
+ union all select o_orderkey, 2, case o_orderkey % 3 when 0 then concat('a prompt guessed from ', o_orderkey) when 1 then 'second text' end, 'third text', case when o_orderkey % 3 = 1 then '11' else '' end from orders""")
+def _(s, d):
+    p, n = rich_traces(s, d, "positive"), rich_traces(s, d, "negative").select("file_id", "stage_index", F.col("prompt").alias("negative"))
+    return p.join(n, ["file_id", "stage_index"]).select("file_id", "stage_index", F.col("prompt").alias("positive"), "negative", joined("encoders"))
+
+
+@query("g12_text_chains", f"""select o_orderkey as file_id, n as node_id, i as input, case n when '10' then {TEXT} when '11' then 'second text' when 'T3' then concat('a', o_custkey, ' b') when 'T2' then concat('a', o_custkey) end as text
+ from orders, (values ('10', 'text'), ('11', 'text'), ('T3', 'source'), ('T2', 'string_a'), ('16', 'nothing')) v(n, i)""")
+def _(s, d):
+    n, e, l = rich(s, d)
+    want = s.createDataFrame([("10", "text"), ("11", "text"), ("T3", "source"), ("T2", "string_a"), ("16", "nothing")], "node_id string, input string")
+    return G.resolve_strings(n.select("file_id").distinct().crossJoin(F.broadcast(want)), n, e, l, no_switch(s))
 
 
 @query("e07_text_encoders", "select o_orderkey as file_id, concat('clip-', o_custkey % 3) as text_encoder, case when o_custkey % 5 = 0 then 'qwen_image' else 'sd3' end as clip_type from orders")
@@ -321,9 +414,13 @@ def _(s, d):
     return k.select("file_id", F.concat_ws("/", x["model_family"], F.coalesce(x["sampler_name"], F.lit("?")), x["steps"].cast("bigint").cast("string"), two(x["cfg"]), den).alias("decoded"))
 
 
-@query("e16_generation_key", "with i as (select file_id, dst as node_id, string_agg(input || '=' || src, ',' order by input || '=' || src) as i from v_edges group by all), t as (select n.file_id, n.node_id || '|' || class_type || '|' || coalesce(i, '') as n from v_nodes n left join i on i.file_id = n.file_id and i.node_id = n.node_id) select file_id, substring(md5(string_agg(n, chr(10) order by n)), 1, 16) as generation_key from t group by file_id")
+@query("e16_generation_key", """with l as (select file_id, string_agg(node_id || input || coalesce(str, '') || coalesce(cast(num as varchar), '') || coalesce(cast(bool as varchar), ''), '|' order by node_id, input) as t from v_literals group by file_id), e as (select file_id, string_agg(dst || input || src, '|' order by dst, input) as t from v_edges group by file_id),
+ g as (select file_id // 2 as pair, file_id, l.t || coalesce(e.t, '') as t from l left join e using (file_id) union all select file_id // 2, -file_id, l.t || coalesce(e.t, '') from l left join e using (file_id) where file_id % 5 = 0) select file_id, min(file_id) over (partition by t) as first from g""")
 def _(s, d):
-    return E.canonical_graphs(nodes(s, d), edges(s, d))
+    once = api_json(s, d)
+    again = once.where("file_id % 5 = 0").select((-F.col("file_id")).alias("file_id"), F.concat(F.lit(" "), "prompt_json").alias("prompt_json"))
+    keys = E.canonical_graphs(once.unionByName(again))
+    return keys.join(keys.groupBy("generation_key").agg(F.min("file_id").alias("first")), "generation_key").select("file_id", "first")
 
 
 @query("e17_stage_prompts", """with c as (select conv_id as file_id, turn as i, role as prompt from conversations), f as (select file_id, prompt as base from c where i = 0),
@@ -337,7 +434,7 @@ def _(s, d):
 def _(s, d):
     n, e, l, st = nodes(s, d), edges(s, d), literals(s, d), stages(s, d)
     pos = traces(s, d)
-    stacks = E.lora_stack_key(E.lora_uses(chain(s, d), n, l).withColumn("enabled", F.lit(True)))
+    stacks = E.lora_stack_key(E.lora_uses(chain(s, d), n, l))
     g = E.generations(E.stage_settings(st, n, e, l), E.chain_summary(chain(s, d), l), pos, traces(s, d, "negative"), E.text_encoders(pos, n, e, l, no_switch(s)), E.vae(roots(s, d), n, e, l), E.latent_source(st, n, e, l, no_switch(s)), stacks, n)
     return g.select("file_id", "model_family", "base_model", "text_encoder", "vae", "seed", "positive_prompt", "stage_count")
 
@@ -348,6 +445,19 @@ def _(s, d):
     return w.groupBy("file_id", "code").agg(F.count("*").alias("n"))
 
 
+@query("e20_graph_warnings", """select o_orderkey as file_id, code, node_id from orders, (values ('MULTIPLE_OUTPUT_BRANCHES', null), ('UNKNOWN_MODEL_PATCH', 'M'), ('MODEL_CHAIN_BROKEN', '9'), ('UNUSED_LORA', 'Q'), ('GENERATED_PROMPT', 'T4'), ('MULTIPLE_PROMPT_SOURCES', null)) v(code, node_id)
+ union all select o_orderkey, 'HEURISTIC_PROMPT', '15' from orders where o_orderkey % 3 = 0 union all select o_orderkey, 'PROMPT_UNRESOLVED', '15' from orders where o_orderkey % 3 = 2
+ union all select -o_orderkey, code, null from orders, (values ('NO_OUTPUT_NODE'), ('NO_SAMPLER')) v(code) where o_orderkey % 4 = 0 and o_orderkey > 0""")
+def _(s, d):
+    n, e, l = rich(s, d)
+    st = rich_stages(s, d)[0]
+    bare = n.where("file_id % 4 = 0 and file_id > 0 and class_type = 'UNETLoader'").withColumn("file_id", -F.col("file_id"))
+    chains = E.model_chain(st, n, e, no_switch(s))
+    entries = G.power_entries(G.graph_nodes(power_prompts(s, d)))
+    w = E.collect_warnings(E.graph_warnings(n.unionByName(bare), e, st), E.chain_warnings(st, chains, n, e), E.unused_lora_warnings(E.lora_uses(chains, n, l, entries)), E.prompt_warnings(rich_traces(s, d, "positive"), rich_traces(s, d, "negative")))
+    return w.select("file_id", "code", "node_id").distinct()
+
+
 @query("e21_inspect_documents", "select o_orderkey as file_id, o_orderstatus || '/' || o_orderkey || '.png' as rel_path, (select count(*) from v_nodes n where n.file_id = o_orderkey) as nodes from orders")
 def _(s, d):
     docs = E.inspect_documents(view(s, d, "v_files"), view(s, d, "v_generations"), nodes(s, d), view(s, d, "v_warnings"))
