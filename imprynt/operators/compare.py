@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,50 +42,66 @@ def disabled_loras(loras: DataFrame) -> DataFrame:
 
 def texts_differ(a: str, b: str) -> Column:
     """Whether two texts differ in more than white space."""
-    words = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"\S+"), F.lit(0))
+    words = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(TOKENS.replace(r"|\s+", "")), F.lit(0))
     return words(a) != words(b)
 
 
+#: Words, runs of white space, and single other characters.
+TOKENS = r"[\p{L}\p{N}_'’-]+|\s+|[^\p{L}\p{N}_'’\s-]"
 OPS = "array<struct<op:string,a:string,b:string>>"
 
 
-def _diff(a: list[str], b: list[str], most: int) -> list[dict]:
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    ops = [("same", w, w) for w in a[:lo]]
-    if len(x) * len(y) > most:
-        ops += [("removed", " ".join(x), None), ("added", None, " ".join(y))]
+def _aligned(x: np.ndarray, y: np.ndarray) -> list[tuple[str, int, int]]:
+    """(op, place in x, place in y) along a longest common subsequence of two arrays of token numbers; where both
+    ways are as long, the token of x goes first. Tables of suffix lengths are made a row at a time."""
+    n, m = len(x), len(y)
+    rows = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n - 1, -1, -1):
+        row = np.maximum(rows[i + 1, :-1], np.where(y == x[i], rows[i + 1, 1:] + 1, 0))
+        rows[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and x[i] == y[j]:
+            out.append(("same", i, j))
+            i, j = i + 1, j + 1
+        elif i < n and (j == m or rows[i + 1, j] >= rows[i, j + 1]):
+            out.append(("removed", i, j))
+            i += 1
+        else:
+            out.append(("added", i, j))
+            j += 1
+    return out
+
+
+def diff_runs(a: str, b: str, max_cells: int) -> list[dict]:
+    """Runs of one kind in order, each with its text on both sides. White space equals white space; each side keeps
+    its own. What both share at either end is not aligned; a middle of more than max_cells pairs is one block each."""
+    ta, tb = regex.findall(TOKENS, a), regex.findall(TOKENS, b)
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(" " if t.isspace() else t, len(number)) for t in side], np.int64) for side in (ta, tb))
+    short = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:short] != y[:short])
+    lo = int(unlike[0]) if len(unlike) else short
+    unlike = np.flatnonzero(x[lo:][::-1][: short - lo] != y[lo:][::-1][: short - lo])
+    hi = int(unlike[0]) if len(unlike) else short - lo
+    mx, my = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    if (len(mx) + 1) * (len(my) + 1) > max_cells:
+        middle = [("removed", i, 0) for i in range(len(mx))] + [("added", 0, j) for j in range(len(my))]
     else:
-        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                t[i][j] = t[i + 1][j + 1] + 1 if x[i] == y[j] else max(t[i + 1][j], t[i][j + 1])
-        i = j = 0
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and x[i] == y[j]:
-                ops.append(("same", x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif j == len(y) or i < len(x) and t[i + 1][j] >= t[i][j + 1]:
-                ops.append(("removed", x[i], None))
-                i += 1
-            else:
-                ops.append(("added", None, y[j]))
-                j += 1
-    ops += [("same", w, w) for w in a[len(a) - hi :]]
-    return [{"op": o, "a": p, "b": q} for o, p, q in ops]
-
-
-def word_diff(pairs: DataFrame, a: str, b: str, max_cells: int = 250_000) -> DataFrame:
-    """pairs with `ops`: words that are the same, removed or added, by longest common subsequence between the common
-    ends; beyond max_cells one removed and one added block."""
+        middle = _aligned(mx, my)
+    steps = [("same", i, i) for i in range(lo)] + [(op, lo + i, lo + j) for op, i, j in middle] + [("same", len(x) - hi + k, len(y) - hi + k) for k in range(hi)]
+    out: list[dict] = []
+    for op, run in groupby(steps, key=lambda s: s[0]):
+        run = list(run)
+        out.append({"op": op, "a": "" if op == "added" else "".join(ta[i] for _, i, _ in run), "b": "" if op == "removed" else "".join(tb[j] for _, _, j in run)})
+    return out
+
+
+def word_diff(pairs: DataFrame, a: str, b: str, max_cells: int = 4_000_000) -> DataFrame:
+    """pairs with `ops`, see diff_runs(), by longest common subsequence; a null text counts as empty."""
 
     @F.pandas_udf(OPS)
     def diff(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_diff((p or "").split(), (q or "").split(), max_cells) for p, q in zip(x, y, strict=True)])
+        return pd.Series([diff_runs(p or "", q or "", max_cells) for p, q in zip(x, y, strict=True)])
 
     return pairs.withColumn("ops", diff(F.col(a), F.col(b)))

@@ -185,7 +185,7 @@ def _(s, d):
 FIELDS = ["base_model", "sampler_name", "scheduler", "steps", "seed"]
 
 
-@query("c01_compare_fields", "with g as (select file_id, unnest(['base_model', 'sampler_name', 'scheduler', 'steps', 'seed']) as field, unnest([base_model, sampler_name, scheduler, cast(steps as varchar), seed]) as val from v_generations) select a_id, b_id, x.field, x.val as a, y.val as b, x.val is distinct from y.val as differs from v_pairs join g x on x.file_id = a_id join g y on y.file_id = b_id and y.field = x.field")
+@query("c01_compare_fields", "with j as (select a_id, b_id, x.base_model as a1, y.base_model as b1, x.sampler_name as a2, y.sampler_name as b2, x.scheduler as a3, y.scheduler as b3, cast(x.steps as varchar) as a4, cast(y.steps as varchar) as b4, x.seed as a5, y.seed as b5 from v_pairs join v_generations x on x.file_id = a_id join v_generations y on y.file_id = b_id), u as (select a_id, b_id, unnest(['base_model', 'sampler_name', 'scheduler', 'steps', 'seed']) as field, unnest([a1, a2, a3, a4, a5]) as a, unnest([b1, b2, b3, b4, b5]) as b from j) select *, a is distinct from b as differs from u")
 def _(s, d):
     return D.compare_fields(view(s, d, "v_pairs"), view(s, d, "v_generations"), FIELDS)
 
@@ -207,11 +207,14 @@ def _(s, d):
     return D.disabled_loras(view(s, d, "v_staged_loras")).select("file_id", "node_id")
 
 
-@query("c06_word_diff")
+@query("c06_word_diff", "select a.item_id as a_id, md5(a.text) as a_text, md5(b.text) as b_text, 0 as doubled from benchmark a join benchmark b on b.item_id = a.item_id + 1")
 def _(s, d):
     b = table(s, d, "benchmark")
     pairs = b.select(F.col("item_id").alias("a_id"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("a_id"), F.col("text").alias("b")), "a_id")
-    return D.word_diff(pairs, "a", "b").select("a_id", F.explode("ops").alias("o")).groupBy("a_id", "o.op").agg(F.count("*").alias("n"))
+    side = lambda x: F.md5(F.array_join(F.transform("ops", lambda o: o[x]), ""))
+    # both texts come back from the runs, and no two neighbours are of one kind
+    doubled = F.size(F.filter(F.transform("ops", lambda o, i: o["op"] == F.get("ops", i + 1)["op"]), lambda same: F.coalesce(same, F.lit(False))))
+    return D.word_diff(pairs, "a", "b").select("a_id", side("a").alias("a_text"), side("b").alias("b_text"), doubled.alias("doubled"))
 
 
 @query("src02_content_hash", "select doc_id, md5(text) as content_hash from documents")
@@ -326,16 +329,19 @@ def _(s, d):
 
 
 def replayed(s, d, name, make, mode):
-    """The end state of a stream over the table's files, as Parquet in the shared folder: in complete mode the last
-    batch, else all of them. A batch that runs again writes its folder again."""
+    """The end state of a stream over the events, see ended()."""
     import uuid
 
     from imprynt.sources.tables import written
 
     source = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = written(source, "stream").inputFiles()[0].rsplit("/", 1)[0]
-    at = f"{path.rsplit('/', 1)[0]}/{name}-{uuid.uuid4().hex}"
-    stream = make(ST.watch_table(s, path, source.schema))
+    return ended(s, make(ST.watch_table(s, path, source.schema)), f"{path.rsplit('/', 1)[0]}/{name}-{uuid.uuid4().hex}", mode)
+
+
+def ended(s, stream, at, mode):
+    """The end state of a stream, as Parquet in the shared folder: in complete mode the last batch, else all of them. A
+    batch that runs again writes its folder again."""
     s.createDataFrame([], stream.schema).write.parquet(f"{at}/none")
 
     def keep(batch, batch_id):
@@ -364,3 +370,47 @@ def _(s, d):
 @query("st06_dedupe_stream", "select distinct user_id from events")
 def _(s, d):
     return replayed(s, d, "dedupe", lambda e: ST.dedupe_stream(e.select("user_id"), ["user_id"]), "append")
+
+
+FOLDERS = "select lang, source, sum(strlen(text) + 1) as size from documents group by all"
+
+
+def library(s, d):
+    """A folder tree of text files, lang/source, written from documents; its root."""
+    import uuid
+
+    root = f"{staged(s, d, 'library_root', lambda: table(s, d, 'documents').limit(0)).inputFiles()[0].rsplit('/', 2)[0]}/library-{uuid.uuid4().hex}"
+    table(s, d, "documents").select("text", "lang", "source").repartition("lang", "source").write.partitionBy("lang", "source").text(root)
+    return root
+
+
+def by_folder(files, path, size):
+    part = lambda name: F.regexp_extract(path, f"(?:^|/){name}=([^/]*)/", 1)
+    return files.groupBy(part("lang").alias("lang"), part("source").alias("source")).agg(F.sum(size).alias("size"))
+
+
+@query("src01_scan_library", FOLDERS)
+def _(s, d):
+    return by_folder(X.scan_library(s, library(s, d), extensions=(".txt",)), "rel_path", "size")
+
+
+@query("st01_watch_source", FOLDERS)
+def _(s, d):
+    root = library(s, d)
+    stream = ST.watch_source(s, root, extensions=(".txt",))
+    return by_folder(ended(s, stream.select("path", "length"), f"{root}-seen", "append"), "path", "length")
+
+
+@query("st03_index_stream", "select user_id, max(event_id) as seq, max_by(event_type, event_id) as event_type from events group by user_id")
+def _(s, d):
+    import uuid
+
+    from imprynt.sources.tables import written
+
+    source = table(s, d, "events").select("user_id", F.col("event_id").alias("seq"), "event_type")
+    path = written(source.repartition(4), "updates").inputFiles()[0].rsplit("/", 1)[0]
+    catalog = f"{path.rsplit('/', 1)[0]}/catalog-{uuid.uuid4().hex}"
+    run = ST.index_stream(ST.watch_table(s, path, source.schema, 1), catalog, "user_id", f"{catalog}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = max(p["batchId"] for p in run.recentProgress)
+    return s.read.schema(source.schema).parquet(f"{catalog}/v{last + 1}").select("user_id", "seq", "event_type")

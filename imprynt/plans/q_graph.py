@@ -98,7 +98,11 @@ def _(s, d):
     return G.reachable(e, G.graph_roots(n, e), G.inactive_inputs(n, e, l))
 
 
-@query("g06_topo_order")
+@query("g06_topo_order", """with recursive reach as (select o_orderkey as file_id, '8' as node_id from orders union select e.file_id, e.src from reach r join v_edges e on e.file_id = r.file_id and e.dst = r.node_id),
+ n as (select file_id, list(node_id) as ns from reach group by file_id), e as (select file_id, list({'dst': dst, 'src': src}) as es from v_edges group by file_id),
+ k as (select n.file_id, ns, es, []::varchar[] as done from n join e on e.file_id = n.file_id
+   union all select file_id, ns, es, list_append(done, list_min(list_filter(ns, lambda x: not list_contains(done, x) and len(list_filter(es, lambda y: y.dst = x and not list_contains(done, y.src))) = 0))) from k where len(done) < len(ns))
+ select file_id, unnest(done) as node_id, cast(unnest(range(len(done))) as int) as rank, cast(null as varchar) as error from k where len(done) = len(ns)""")
 def _(s, d):
     return order(s, d)
 

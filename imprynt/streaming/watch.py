@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprynt.sources.files import relevant, upsert_catalog
+from imprynt.sources.files import EXCLUDE, EXTENSIONS, relevant, upsert_catalog
 
 
-def watch_source(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
+def watch_source(spark: SparkSession, root: str, most: int = 1000, extensions=EXTENSIONS, exclude=EXCLUDE) -> DataFrame:
     """A stream of (path, modificationTime, length, content) of relevant files that come under root."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", most).load(root)
-    return stream.where(relevant(F.col("path")))
+    return stream.where(relevant(F.col("path"), extensions, exclude))
 
 
 def watch_table(spark: SparkSession, path: str, schema, most: int = 10) -> DataFrame:
@@ -41,12 +41,15 @@ def dedupe_stream(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def index_stream(source: DataFrame, catalog: str, key: str, checkpoint: str):
     """Upserts each micro-batch into the catalog at a path: a batch writes version `batch id + 1` from version `batch id`,
-    so a batch that runs again writes the same version again."""
+    so a batch that runs again writes the same version again. Of a key's rows the one of the largest seq stays, whatever
+    the order in which they come."""
 
     def merge(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         new = batch.groupBy(key).agg(*(F.max_by(c, F.col("seq")).alias(c) for c in batch.columns if c != key))
         old = spark.read.parquet(f"{catalog}/v{batch_id}") if batch_id else spark.createDataFrame([], new.schema)
+        newer = old.select(key, F.col("seq").alias("__seq"))
+        new = new.join(newer, key, "left").where("__seq is null or seq >= __seq").drop("__seq")
         upsert_catalog(old, new, key).write.mode("overwrite").parquet(f"{catalog}/v{batch_id + 1}")
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("update")
