@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from imprynt.functions import text as X
 from imprynt.functions.scalars import prompt_key
+from imprynt.operators.stats import join_same, top_k
 from imprynt.sources.tables import written
 
 
@@ -86,15 +87,14 @@ def drop_subsumed(counts: DataFrame, candidates: int = 500, share: float = 0.9)
 
 def distinct_prompts(frames: PromptFrames, keyed: DataFrame, top: int = 50, examples: int = 6) -> DataFrame:
     """Each group's most used prompts: count, share, first and last time, examples; keyed(id, group, key, generated_at)."""
-    own = Window.partitionBy("group", "key").orderBy(F.desc_nulls_last("generated_at"), F.desc("id"))
-    seen = keyed.withColumn("r", F.row_number().over(own))
-    each = seen.groupBy("group", "key").agg(
-        F.count("*").alias("count"), F.min("generated_at").alias("first"), F.max("generated_at").alias("last"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "id")))), lambda x: x["id"]).alias("examples"),
-    )
-    each = each.join(frames.texts, "key").withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("group")))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("count"), "text"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= top)
+    # each task keeps its own latest files of a prompt; only those meet
+    latest = top_k(keyed.select("group", "key", "id", "generated_at"), ["group", "key"], [F.desc_nulls_last("generated_at"), F.desc("id")], examples, "r")
+    latest = latest.groupBy("group", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("examples"))
+    each = keyed.groupBy("group", "key").agg(F.count("*").alias("count"), F.min("generated_at").alias("first"), F.max("generated_at").alias("last"))
+    sums = each.groupBy("group").agg(F.sum("count").alias("__all"))
+    best = top_k(each.join(frames.texts, "key"), ["group"], [F.desc("count"), F.col("text")], top)
+    best = join_same(join_same(best, latest, ["group", "key"]), sums, ["group"])
+    return best.withColumn("share", F.col("count") / F.col("__all")).drop("__all")
 
 
 def sentence_clusters(frames: PromptFrames, weighted: DataFrame, similarity: float = 0.7, candidates: int = 100, top: int = 20, fold: tuple[str, str] = ("", "")) -> DataFrame:
@@ -132,8 +132,8 @@ def distinctive_terms(frames: PromptFrames, selection: DataFrame, rest: DataFram
     keyed = with_keys(frames, roles[0].unionByName(roles[1]).unionByName(roles[2]), side)
     w = keyed.groupBy("group", "role", "key").agg((F.count("*") if by == "images" else F.lit(1).cast("bigint")).alias("w"))
     y = frames.units.select("key", "kind", "term").distinct().join(w, "key").groupBy("group", "kind", "term").agg(*(F.coalesce(F.sum(F.when(F.col("role") == r, F.col("w"))), F.lit(0)).alias(f"y_{r}") for r in "srp"))
-    kind = Window.partitionBy("group", "kind")
-    y = y.withColumns({f"n_{r}": F.sum(f"y_{r}").over(kind) for r in "srp"}).where("n_p > 0")
+    n = y.groupBy("group", "kind").agg(*(F.sum(f"y_{r}").alias(f"n_{r}") for r in "srp"))
+    y = join_same(y, n, ["group", "kind"]).where("n_p > 0")
     a, e = F.greatest(F.col("y_p") / F.col("n_p") * alpha0, F.lit(1e-9)), F.lit(1e-9)
     odds = lambda r: F.log((F.col(f"y_{r}") + a) / F.greatest(F.col(f"n_{r}") + alpha0 - F.col(f"y_{r}") - a, e))
     z = (odds("s") - odds("r")) / F.sqrt(1 / (F.col("y_s") + a) + 1 / (F.col("y_r") + a))

@@ -27,13 +27,45 @@ def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int, name
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col(name) <= k)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, where null is equal to null; right's keys are left out."""
+    on = F.struct(*keys)
+    return left.withColumn("__k", on).join(right.select(on.alias("__k"), *[c for c in right.columns if c not in keys]), "__k", how).drop("__k")
+
+
+def quantiles(values: DataFrame, keys: list[str], column: str, shares: tuple[float, ...], cells: int = 1024) -> DataFrame:
+    """(keys, q: array of the exact quantiles), linear between ranks, of values that are not null.
+
+    Different values are counted; equal cells between the least and the largest tell in which cell a rank lies, and only
+    the values of those cells are put in order: no buffer and no sort holds all values of a key, but where they all lie
+    in one cell."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    per = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    cell = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells), F.lit(cells - 1))).otherwise(0).cast("int")
+    placed = join_same(counts, per, keys).withColumn("__c", cell)
+    cum = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__c"))
+    full = placed.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n")).withColumn("__to", cum).select(*keys, "__c", (F.col("__to") - F.col("__n")).alias("__from"), "__to")
+    rank = lambda q: F.lit(q) * (F.col("__all") - 1)
+    below = lambda q: F.floor(rank(q)).cast("bigint")
+    asked = [F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.least(below(q) + i, F.col("__all") - 1).alias("r"), (rank(q) - below(q)).alias("part")) for j, q in enumerate(shares) for i in (0, 1)]
+    want = join_same(per.select(*keys, F.explode(F.array(*asked)).alias("__a")), full, keys).where((F.col("__a.r") >= F.col("__from")) & (F.col("__a.r") < F.col("__to")))
+    want = want.select(*keys, "__c", F.col("__a.j").alias("__j"), F.col("__a.i").alias("__i"), F.col("__a.part").alias("__part"), (F.col("__a.r") - F.col("__from")).alias("__r"))
+    inside = join_same(placed.select(*keys, "__c", "__v", "__n"), want.select(*keys, "__c").distinct(), [*keys, "__c"], "left_semi")
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__c").orderBy("__v"))
+    inside = inside.withColumn("__end", upto).withColumn("__begin", F.col("__end") - F.col("__n")).drop("__n")
+    hit = join_same(want, inside, [*keys, "__c"]).where((F.col("__r") >= F.col("__begin")) & (F.col("__r") < F.col("__end")))
+    low, high = (F.max(F.when(F.col("__i") == i, F.col("__v"))) for i in (0, 1))
+    each = hit.groupBy(*keys, "__j", "__part").agg((low + (high - low) * F.col("__part")).alias("__q"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__j", "__q"))), lambda x: x["__q"]).alias("q"))
+
+
 def value_counts(df: DataFrame, fields: list[str], group: str = "group", top_n: int = 20) -> DataFrame:
     """(group, field, value, count, share, rank, other, missing): the most frequent values; share is of all rows,
     missing ones too; other is what the listed values leave of those present."""
     counts = unpivot_text(df, fields, [group]).groupBy(group, "field", "value").agg(F.count("*").alias("count"))
     own = Window.partitionBy(group, "field")
-    sums = counts.withColumns({"total": F.sum("count").over(own), "missing": F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))).over(own), F.lit(0))})
-    ranked = sums.where("value is not null").withColumn("rank", F.row_number().over(own.orderBy(F.desc("count"), "value"))).where(F.col("rank") <= top_n)
+    sums = counts.groupBy(group, "field").agg(F.sum("count").alias("total"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("missing"))
+    ranked = join_same(top_k(counts.where("value is not null"), [group, "field"], [F.desc("count"), F.col("value")], top_n), sums, [group, "field"])
     return ranked.withColumn("other", F.col("total") - F.col("missing") - F.sum("count").over(own)).select(group, "field", "value", "count", (F.col("count") / F.col("total")).alias("share"), "rank", "other", "missing")
 
 
@@ -53,9 +85,9 @@ def seed_stats(df: DataFrame, group: str = "group", top: int = 10) -> tuple[Data
 
 def numeric_stats(df: DataFrame, fields: list[str], group: str = "group") -> DataFrame:
     """(group, field, n, n_missing, mean, std, min, p25, median, p75, max): exact, linear between ranks."""
-    v = F.col("value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = unpivot(df, fields, [group]).groupBy(group, "field").agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("n_missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
+    v, rows = F.col("value"), unpivot(df, fields, [group])
+    out = rows.groupBy(group, "field").agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("n_missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = join_same(out, quantiles(rows, [group, "field"], "value", (0.25, 0.5, 0.75)), [group, "field"], "left")
     return out.select(group, "field", "n", "n_missing", "mean", F.when(F.col("n") > 1, F.col("std")).alias("std"), "min", *(F.get("q", i).alias(p) for i, p in enumerate(("p25", "median", "p75"))), "max")
 
 
@@ -93,10 +125,12 @@ def histogram(df: DataFrame, fields: list[str], group: str = "group", bins: int
 
 
 def with_examples(df: DataFrame, keys: list[str], examples: int = 6) -> DataFrame:
-    """(keys, count, ids, hashes): the count of each key and its most recent files; df(id, content_hash, generated_at)."""
-    seen = df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("generated_at"), F.desc("id"))))
-    held = F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "id", "content_hash"))))
-    return seen.groupBy(*keys).agg(F.count("*").alias("count"), held.alias("x")).select(*keys, "count", F.transform("x", lambda e: e["id"]).alias("ids"), F.transform("x", lambda e: e["content_hash"]).alias("hashes"))
+    """(keys, count, ids, hashes): the count of each key and its most recent files; df(id, content_hash, generated_at).
+    Each task keeps its own most recent files of a key; only those meet."""
+    best = top_k(df.select(*keys, "id", "content_hash", "generated_at"), keys, [F.desc_nulls_last("generated_at"), F.desc("id")], examples, "r")
+    held = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "id", "content_hash"))).alias("x"))
+    out = join_same(df.groupBy(*keys).agg(F.count("*").alias("count")), held, keys)
+    return out.select(*keys, "count", F.transform("x", lambda e: e["id"]).alias("ids"), F.transform("x", lambda e: e["content_hash"]).alias("hashes"))
 
 
 def top_values(df: DataFrame, column: str, group: str = "group", top_n: int = 20, examples: int = 6) -> DataFrame:
@@ -128,9 +162,10 @@ def top_configs(df: DataFrame, group: str = "group", top_n: int = 20) -> DataFra
 def lora_table(uses: DataFrame, sizes: DataFrame, key: str = "name") -> DataFrame:
     """(group, key, files, share, uses, model_mean, model_min, model_median, model_max, clip_mean, first_positions):
     LoRAs by distinct files; strengths are over uses; uses(group, id, name, base_name, position, strength_model, strength_clip)."""
-    q = F.percentile("strength_model", F.lit(0.5))
-    out = uses.groupBy("group", F.col(key).alias("lora")).agg(F.count_distinct("id").alias("files"), F.count("*").alias("uses"), F.avg("strength_model").alias("model_mean"), F.min("strength_model").alias("model_min"), q.alias("model_median"), F.max("strength_model").alias("model_max"), F.avg("strength_clip").alias("clip_mean"), F.count_if(F.col("position") == 0).alias("first_positions"))
-    return out.join(sizes, "group").withColumn("share", F.col("files") / F.col("rows")).drop("rows")
+    named = uses.withColumn("lora", F.col(key))
+    out = named.groupBy("group", "lora").agg(F.count_distinct("id").alias("files"), F.count("*").alias("uses"), F.avg("strength_model").alias("model_mean"), F.min("strength_model").alias("model_min"), F.max("strength_model").alias("model_max"), F.avg("strength_clip").alias("clip_mean"), F.count_if(F.col("position") == 0).alias("first_positions"))
+    median = quantiles(named, ["group", "lora"], "strength_model", (0.5,)).select("group", "lora", F.get("q", 0).alias("model_median"))
+    return join_same(out, median, ["group", "lora"], "left").join(sizes, "group").withColumn("share", F.col("files") / F.col("rows")).drop("rows")
 
 
 def lora_values(uses: DataFrame, key: str, column: str) -> DataFrame:
