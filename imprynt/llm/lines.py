@@ -29,24 +29,28 @@ from imprynt.llm.common import table, written
 
 NAME = "op5_line_dedup"
 #: What ends a line: these characters, and a blank behind one of LETTERS.
-MARKS, LETTERS = ".!?,;:\n\u3002\uff0c\u3001\u0001", "ns"
+MARKS, LETTERS = ".!?,;:\n\u3002\uff0c\u3001\u0001", "n"
+CUT = "\u0001"
 LEAST = 40
 KEY = ["__line_id", "__line_hash"]
 
 
+def _cut(text: Column, keep: bool) -> Column:
+    """text split behind each mark, by a few passes of plain replacement and a split at one character, which cost a
+    fraction of a pattern; keep: with the marks."""
+    for mark in (*(m for m in MARKS if m != CUT), *(f"{letter} " for letter in LETTERS)):
+        text = F.replace(text, F.lit(mark), F.lit(mark + CUT if keep else mark[:-1] + CUT))
+    return F.split(text, CUT)
+
+
 def split_lines(text: Column) -> Column:
     """The lines of text, which joined give it back."""
-    return F.split(text, f"(?<=[{MARKS}]|[{LETTERS}] )")
+    return F.when(F.instr(text, CUT) == 0, _cut(text, True)).otherwise(F.split(text, f"(?<=[{MARKS}]|[{LETTERS}] )"))
 
 
 def bare_lines(text: Column) -> Column:
-    """split_lines() without the marks and blanks at their ends: a few passes of plain replacement, then a split at
-    one character, which costs a fraction of the pattern."""
-    for mark in MARKS:
-        text = F.replace(text, F.lit(mark), F.lit("\u0001")) if mark != "\u0001" else text
-    for letter in LETTERS:
-        text = F.replace(text, F.lit(f"{letter} "), F.lit(f"{letter}\u0001"))
-    return F.split(text, "\u0001")
+    """split_lines() without the marks and blanks at their ends."""
+    return _cut(text, False)
 
 
 def _started(texts: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def chunks(texts: DataFrame) -> DataFrame:
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """(key, gone): the lines (from 0) that go, for documents that lose any; texts(key, text)."""
+    """(key, gone): the chunks that go, (at, n) in order, for documents that lose any; texts(key, text)."""
     rows = written(chunks(texts), "chunks")
     # the aggregates are tables before they are joined: a join of two shuffles is one that Spark can split at a hot key
     twice = written(rows.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk"), "twice")
@@ -91,7 +95,7 @@ def repeats(texts: DataFrame) -> DataFrame:
     first = held.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("bytes", "first")
     first = written(first, "first")
     gone = held.join(first, "bytes").where(place != F.col("first"))
-    return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("__gone"))
+    return gone.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("__gone"))
 
 
 def deduplicated(docs: DataFrame, count: str = "removed_lines") -> DataFrame:
@@ -99,10 +103,13 @@ def deduplicated(docs: DataFrame, count: str = "removed_lines") -> DataFrame:
     column of that name); other columns as they are."""
     named = keyed(docs)
     gone = written(repeats(named.select(*KEY, "text")), "gone")
-    kept = F.array_join(F.filter(split_lines(F.col("text")), lambda x, i: ~F.array_contains("__gone", i)), "")
-    out = named.join(gone, KEY, "left")
-    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count))
+    out = named.join(gone, KEY, "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), split_lines(F.col("text"))))
+    end = lambda i: F.when(i == 0, 0).otherwise(F.get("__gone", i - 1)["at"] + F.get("__gone", i - 1)["n"])
+    start = lambda i: F.coalesce(F.get("__gone", i)["at"], F.size("__lines"))
+    between = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.slice("__lines", end(i) + 1, start(i) - end(i)))
+    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), ""))
+    lost = F.aggregate(F.coalesce("__gone", F.array().cast("array<struct<at:int,n:int>>")), F.lit(0), lambda a, g: a + g["n"])
+    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], lost.cast("long").alias(count))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
