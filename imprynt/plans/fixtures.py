@@ -168,12 +168,14 @@ def oracle(body: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame over the tables in sf_dir."""
+    """A view as a DataFrame over the tables in sf_dir. The names it reads get a prefix, so that a session's own views
+    of these names stay."""
     text = VIEWS[name]
     for t in (*TABLES, *views_of(text)):
-        if re.search(rf"\b{t}\b", text):
+        if re.search(rf"\b(?:from|join)\s+{t}\b", text):
             source = table(spark, sf_dir, t) if t in TABLES else view(spark, sf_dir, t)
-            source.createOrReplaceTempView(t)
+            source.createOrReplaceTempView(f"imprynt_{t}")
+            text = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 imprynt_{t}", text)
     return spark.sql(text)
 
 

@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir (a temporary folder only where none is set), read again: lineage
-    ends here, and what was computed outlives an executor."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where none is set, a local session gets a temporary folder; a cluster is told, as its
+    executors would not see one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
-    at = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: lineage ends here, and what was computed outlives an executor."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder: another state after any change there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+_STAGED: dict[tuple, DataFrame] = {}
 
 
 def staged(spark, source: str, name: str, build) -> DataFrame:
-    """The intermediate table `name` over `source`, built and written once in an application, as an indexing run
-    writes its tables; what follows reads it instead of deriving it again for each use."""
-    key = (spark.sparkContext.applicationId, source, name)
+    """The intermediate table `name` over the tables in source, built and written once in an application for each state
+    of that folder, as an indexing run writes its tables; what follows reads it instead of deriving it again."""
+    key = (spark.sparkContext.applicationId, source, state_of(spark, source), name)
     if key not in _STAGED:
         _STAGED[key] = written(build(), name)
     return _STAGED[key]
