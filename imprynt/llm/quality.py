@@ -108,9 +108,17 @@ def _starts(at: np.ndarray, n: int) -> np.ndarray:
     return inside
 
 
-def _code_runs(body: np.ndarray, at: np.ndarray, order: int, most: int = 4 << 20):
-    """(codes, text of each) of every position of the texts, in pieces; the first order - 1 bytes of a text are preceded by zero bytes."""
+def _code_runs(body: np.ndarray, at: np.ndarray, order: int, most: int = 1 << 20):
+    """(codes, text of each) of every position of the texts, in pieces of about `most` bytes, which bound the memory of
+    the codes; the first order - 1 bytes of a text are preceded by zero bytes."""
     for lo, hi in runs(at, most):
+        if at[hi] - at[lo] > 2 * most:  # one long text, in windows that overlap by what a code needs
+            text = body[at[lo] : at[hi]]
+            for i in range(0, len(text), most):
+                window = np.concatenate([np.zeros(max(0, order - 1 - i), np.uint8), text[max(0, i - order + 1) : i + most]])
+                code = codes(window, order)
+                yield code, np.full(len(code), lo)
+            continue
         padded, starts = _padded(body, at, lo, hi, order)
         if len(padded) >= order:
             yield codes(padded, order)[_starts(starts, order)], np.repeat(np.arange(lo, hi), np.maximum(starts[1:] - starts[:-1] - order + 1, 0))
@@ -149,9 +157,8 @@ def ngrams_of(held: DataFrame, members: DataFrame, order: int = ORDER) -> DataFr
                 for i in range(b.num_rows):
                     body, at = _texts(_column(b, "sizes", i), b.column("body")[i].as_py())
                     own = np.sort(_column(b, "own", i))
-                    size = at[own + 1] - at[own]
-                    part = np.concatenate([[0], np.cumsum(size)])
-                    chosen = body[np.arange(part[-1]) + np.repeat(at[own] - part[:-1], size)]
+                    part = np.concatenate([[0], np.cumsum(at[own + 1] - at[own])])
+                    chosen = np.concatenate([body[at[k] : at[k + 1]] for k in own])
                     yield from (code for code, _ in _code_runs(chosen, part, order))
 
         yield from _counts(found())

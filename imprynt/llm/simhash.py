@@ -223,8 +223,10 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated doc_ids give
-    a row each. Null doc_ids are never a component_id unless a component has no other.
+    Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and doc_ids
+    give a row each. Null doc_ids are never a component_id unless a component has no other. A bit that
+    half of the shingles set (a tie) is 0. A very long text is hashed in pieces in one task. Other
+    columns play no part.
     """
     fps = written(fingerprints(docs, words), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))

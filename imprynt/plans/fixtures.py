@@ -111,7 +111,7 @@ select item_id as prompt_id, content_hash, role,
   row_number() over (partition by item_id, role order by content_hash) - 1 as position
 from (select item_id, md5(d.text) as content_hash,
         max(case when doc_id = item_id then 'reference' else 'attempt' end) as role
-      from benchmark b join documents d on d.doc_id % 40 = b.item_id where d.doc_id < 200 group by item_id, md5(d.text)) x""",
+      from benchmark b join documents d on d.doc_id % 40 = b.item_id group by item_id, md5(d.text)) x""",
     "v_saved_tags": """
 select item_id as prompt_id, case when item_id % 2 = 0 then 'even' else 'odd' end as tag from benchmark
 union all select item_id, concat('mod', cast(item_id % 5 as varchar(20))) from benchmark where item_id % 3 = 0""",

@@ -117,9 +117,9 @@ def _(s, d):
     return docs(s, d).select("doc_id", joined(x["tags"], "tags"), joined(x["rejected"], "rejected"))
 
 
-@query("f22_contains_literal", "select doc_id from documents where contains(lower(text), '50%')")
+@query("f22_contains_literal", "select doc_id, contains(lower(text), '50%') as percent, contains(lower(text), 'e_') as underscore, contains(lower(text), '. a') as dot from documents")
 def _(s, d):
-    return docs(s, d).where(S.contains_literal("text", "50%")).select("doc_id")
+    return docs(s, d).select("doc_id", S.contains_literal("text", "50%").alias("percent"), S.contains_literal("text", "E_").alias("underscore"), S.contains_literal("text", ". A").alias("dot"))
 
 
 @query("f23_coercions", "select event_id, try_cast(json_extract_string(props, '$.k') as double) as x, try_cast(json_extract_string(props, '$.k') as bigint) as i from events")

@@ -18,8 +18,8 @@ def tables(request, spark, tmp_path_factory):
     spark.createDataFrame(keep, SCHEMA).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(0, 1, 0), (None, 1, None), (2, None, 1), (0, 1, 0)] if keep else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(0, "A plain text about nothing, that goes on. And on, until it ends here."), (1, None), (None, "x" * 90)] if keep else [], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
-    spark.createDataFrame([(0, 0, None, None), (None, None, "user", "x"), (1, 1, "assistant", LONG), (1, 1, "assistant", LONG)] if keep else [], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
-    spark.createDataFrame([(0, None, None), (None, "u", "<p>" + LONG), (0, None, None)] if keep else [], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([(0, 0, None, None), (None, None, "user", "x"), (1, 1, "assistant", LONG), (1, 1, "assistant", LONG)] if keep else [], "conv_id long, turn long, role string, text string").selectExpr("*", "1 as seq", "'x' as formatted", "0 as at", "'y' as loss", "2 as c", "3 as n_turns").write.parquet(f"{at}/conversations.parquet")
+    spark.createDataFrame([(0, None, None), (None, "u", "<p>" + LONG), (0, None, None)] if keep else [], "page_id long, url string, html string").selectExpr("*", "'d' as date", "'h' as headers", "'t' as text", "1 as links", "'r' as type", "2 as size", "'s' as response_id").write.parquet(f"{at}/pages.parquet")
     return at, bool(keep)
 
 
@@ -27,7 +27,8 @@ def tables(request, spark, tmp_path_factory):
 def test_queries_on_odd_tables(spark, tables, module):
     at, full = tables
     rows = module.query(spark, at).collect()
-    n = {warc: 6, simhash: 10, lines: 10, langid: 10, chat: 4}.get(module)
+    # one row each: but for warc (two a page), chat (a conversation, and -7), syncmers (a document: equal rows once)
+    n = {warc: 6, simhash: 10, lines: 10, langid: 10, quality: 10, chat: 4, syncmers: 7}.get(module)
     if not full:
         assert len(rows) == (1 if module is chat else 0)
     elif n:
@@ -36,6 +37,14 @@ def test_queries_on_odd_tables(spark, tables, module):
         assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 0)}
     if full and module is packing:
         assert sum(r["doc_id"] == 0 for r in rows) == 3
+    if full and module is lines:
+        assert {r["removed_lines"] for r in rows if r["doc_id"] == 0} == {0} and [r["kept_chars"] for r in rows if r["doc_id"] in (1, 2)] in ([None, 0, None], [None, None, 0], [0, None, None])
+    if full and module is quality:
+        assert not any(r["keep"] for r in rows if r["doc_id"] in (1, 2)) and all(r["perplexity"] is None for r in rows if r["doc_id"] in (1, 2))
+    if full and module is langid:
+        assert {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2)} == {"und"} and all(r["score"] == 0 for r in rows if r["lang_pred"] == "und")
+    if full and module is simhash:
+        assert {r["fingerprint"] for r in rows if r["doc_id"] in (1, 2)} == {"0" * 16} and {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
 
 
 def test_stages_keep_columns(spark, tables):

@@ -225,6 +225,15 @@ def test_kneser_ney_against_brute_force(spark):
     assert abs(sum(p(b"ab", bytes([i])) for i in range(256)) - 1) < 1e-9
 
 
+def test_windows_of_a_long_text_lose_no_position():
+    rnd = np.random.default_rng(1)
+    body, at = rnd.integers(1, 255, 5000, dtype=np.uint8), np.array([0, 3, 3, 4000, 5000])
+    for order in (3, 5):
+        whole, doc = (np.concatenate(x) for x in zip(*quality._code_runs(body, at, order), strict=True))
+        code, of = (np.concatenate(x) for x in zip(*quality._code_runs(body, at, order, 7), strict=True))
+        assert (whole == code).all() and (doc == of).all() and len(whole) == 5000
+
+
 def test_blocks_do_not_change_the_scores(spark, sf, monkeypatch):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").limit(40).unionByName(spark.createDataFrame([(None, None, None), (-1, "x", ""), (-2, None, "a")], "doc_id long, lang string, text string"))
     model = quality.train(quality.ngrams(d.limit(20)))
