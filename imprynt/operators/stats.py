@@ -233,14 +233,20 @@ def burst_clusters(df: DataFrame, window: int, min_distinct: int, block: int | N
     min_distinct keys; df(id, t, key), t and window in one integer unit.
 
     Time is cut into blocks many windows long; rows shortly before a block join it as a halo, so each
-    block is a window of its own. Islands are formed from suspect rows only, within blocks; what is put in order
+    block is counted by itself. Islands are formed from suspect rows only, within blocks; what is put in order
     over all time is one row a block, its first and last suspect time."""
     block = block or 64 * window
     rows = df.select("id", "t", "key", F.floor(F.col("t") / block).alias("b"))
     halo = rows.where(F.pmod(F.col("t"), F.lit(block)) >= block - window).withColumn("b", F.col("b") + 1)
     both = rows.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)))
-    near = Window.partitionBy("b").orderBy("t").rangeBetween(-window, 0)
-    suspect = both.withColumn("n", F.size(F.collect_set("key").over(near))).where(F.col("own") & (F.col("n") >= min_distinct)).select("b", "t").distinct()
+    # a key counts from each of its rows until the span has passed it or its next row takes over: a running sum of
+    # starts and ends is the number of different keys at any time, however many rows a burst has
+    after = F.lead("t").over(Window.partitionBy("b", "key").orderBy("t"))
+    live = both.withColumn("end", F.least(F.col("t") + window, F.coalesce(after - 1, F.col("t") + window))).where("end >= t")
+    event = lambda d, at, n: d.select("b", at.alias("t"), F.lit(n).alias("d"), F.lit(False).alias("own"))
+    events = event(live, F.col("t"), 1).unionByName(event(live, F.col("end") + 1, -1)).unionByName(both.where("own").select("b", "t", F.lit(0).alias("d"), "own").distinct())
+    events = events.groupBy("b", "t").agg(F.sum("d").alias("d"), F.bool_or("own").alias("own"))
+    suspect = events.withColumn("n", F.sum("d").over(Window.partitionBy("b").orderBy("t"))).where(F.col("own") & (F.col("n") >= min_distinct)).select("b", "t")
     order, blocks = Window.partitionBy("b").orderBy("t"), Window.orderBy("b")
     local = suspect.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(order) > window).cast("int"), F.lit(0))).withColumn("part", F.sum("new").over(order))
     parts = local.groupBy("b", "part").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
