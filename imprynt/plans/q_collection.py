@@ -251,11 +251,19 @@ def kinds(s, d):
     return staged(s, d, "kinds", lambda: X.classify_blobs(view(s, d, "v_blobs")))
 
 
-@query("src06_classify_blobs", "select concat('e', event_id) as file_id, 'json' as kind, false as mismatch from events union all select concat('p', o_orderkey), 'workflow', false from orders")
+@query("src06_classify_blobs", "select concat('e', event_id) as file_id, 'json' as kind, true as mismatch from events union all select concat('p', o_orderkey), 'workflow', false from orders")
 def _(s, d):
     return kinds(s, d).select("file_id", "kind", "mismatch")
 
 
+@query("e20_read_warnings", """select concat('e', event_id) as file_id, 'METADATA_KEY_MISMATCH' as code, 'key prompt holds json' as message from events
+ union all select cast(id as varchar), 'UNSUPPORTED_FORMAT', 'text parameters are stored but not parsed' from v_a1111 union all select cast(doc_id as varchar), 'TRUNCATED', 'the file ends before its last part' from documents where doc_id % 3 = 0""")
+def _(s, d):
+    cut = png(s, d).withColumn("content", F.when(F.col("file_id").cast("long") % 3 == 0, F.expr("substring(content, 1, octet_length(content) - 30)")).otherwise(F.col("content")))
+    flat = view(s, d, "v_a1111").select(F.col("id").cast("string").alias("file_id"), F.lit("UserComment").alias("key"), F.col("parameters").alias("text"))
+    return X.read_warnings(X.extract_texts(cut), kinds(s, d).unionByName(X.classify_blobs(flat), allowMissingColumns=True)).select("file_id", "code", "message")
+
+
 @query("src07_file_status", "select concat('e', event_id) as file_id, 'no_metadata' as status from events union all select concat('p', o_orderkey), 'partial' from orders")
 def _(s, d):
     return X.file_status(kinds(s, d))

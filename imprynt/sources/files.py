@@ -76,6 +76,7 @@ def _png_texts(data: bytes):
         elif kind == b"IEND":
             return
         at += 12 + size
+    yield None, None, "truncated"
 
 
 def _jpeg_texts(data: bytes):
@@ -143,18 +144,32 @@ def extract_texts(files: DataFrame) -> DataFrame:
 
 
 def classify_blobs(texts: DataFrame) -> DataFrame:
-    """texts(file_id, key, text) with kind (api_prompt, workflow, a1111, json, text, oversized) and mismatch: the shape
-    goes before the key's name. A prompt has at least one node, and 80 % of its object values look like nodes."""
+    """texts(file_id, key, text) with kind (api_prompt, workflow, a1111, json, text, oversized), mismatch (the key's
+    name claims another kind; the shape decides) and agrees (it claims this one). A prompt has at least one node, and
+    80 % of its values look like nodes."""
     g = F.from_json("text", "map<string,variant>")
-    base = texts.withColumn("__g", F.when(F.col("text").rlike(r"^\s*\{"), g))
-    values = F.filter(F.map_values("__g"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    base = texts.withColumn("__o", F.coalesce(F.col("text").rlike(r"^\s*\{"), F.lit(False))).withColumn("__g", F.when(F.col("__o") & (F.length("text") <= MOST_INFLATED), g))
     node = lambda v: (F.schema_of_variant(F.try_variant_get(v, "$.class_type", "variant")) == "STRING") & F.schema_of_variant(F.try_variant_get(v, "$.inputs", "variant")).startswith("OBJECT")
-    base = base.withColumns({"__n": F.size(values), "__k": F.size(F.filter(values, lambda v: F.coalesce(node(v), F.lit(False))))})
+    base = base.withColumns({"__n": F.size(F.map_values("__g")), "__k": F.size(F.filter(F.map_values("__g"), lambda v: F.coalesce(node(v), F.lit(False))))})
     is_list = lambda k: F.coalesce(F.schema_of_variant(F.try_element_at("__g", F.lit(k))).startswith("ARRAY"), F.lit(False))
-    kind = F.when(F.length("text") > MOST_INFLATED, "oversized").when((F.col("__k") >= 1) & (F.col("__k") >= 0.8 * F.col("__n")), "api_prompt").when(is_list("nodes") & is_list("links"), "workflow").when(F.col("__g").isNotNull(), "json").when(F.col("text").rlike(r"(?m)^Steps: \d+"), "a1111").otherwise("text")
-    name = F.when(F.lower("key").startswith("prompt"), "api_prompt").when(F.lower("key").startswith("workflow"), "workflow").when(F.lower("key").startswith("parameters"), "a1111")
-    out = base.withColumn("kind", kind).withColumn("mismatch", F.coalesce(name.isNotNull() & (name != F.col("kind")) & F.col("kind").isin("api_prompt", "workflow"), F.lit(False)))
-    return out.drop("__g", "__n", "__k")
+    # The names of keys that claim a kind; "#2" tells repeated keys apart.
+    claims = {"prompt": "api_prompt", "workflow": "workflow", "parameters": "a1111"}
+    claim = F.create_map(*[F.lit(x) for kv in claims.items() for x in kv])[F.substring_index("key", "#", 1)]
+    flat = F.when(F.coalesce(claim == "a1111", F.lit(False)) | F.col("text").rlike(r"(?m)^Steps: \d+, Sampler: "), "a1111").otherwise("text")
+    kind = F.when(~F.col("__o"), flat).when(F.length("text") > MOST_INFLATED, "oversized").when((F.col("__k") >= 1) & (F.col("__k") >= 0.8 * F.col("__n")), "api_prompt").when(is_list("nodes") & is_list("links"), "workflow").when(F.col("__g").isNotNull(), "json").otherwise("text")
+    named = base.withColumn("kind", kind).withColumn("__c", claim)
+    mismatch = F.coalesce((F.col("__c") != F.col("kind")) & (F.col("kind") != "oversized"), F.lit(False))
+    return named.withColumn("mismatch", mismatch).withColumn("agrees", F.coalesce(F.col("__c") == F.col("kind"), F.lit(False))).drop("__g", "__n", "__k", "__o", "__c")
+
+
+def read_warnings(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(file_id, code, node_id, message) of reading: files that end early (extract_texts), keys that hold another kind
+    than they claim, and text parameters, which are kept but not parsed (classify_blobs)."""
+    code = lambda d, c, m: d.select("file_id", F.lit(c).alias("code"), F.lit(None).cast("string").alias("node_id"), m.alias("message"))
+    cut = code(texts.where("source = 'truncated'"), "TRUNCATED", F.lit("the file ends before its last part"))
+    other = code(kinds.where("mismatch"), "METADATA_KEY_MISMATCH", F.concat(F.lit("key "), "key", F.lit(" holds "), "kind"))
+    flat = code(kinds.where("kind = 'a1111'"), "UNSUPPORTED_FORMAT", F.lit("text parameters are stored but not parsed"))
+    return cut.unionByName(other).unionByName(flat).dropDuplicates()
 
 
 def file_status(kinds: DataFrame) -> DataFrame:
@@ -166,7 +181,7 @@ def file_status(kinds: DataFrame) -> DataFrame:
 def raw_metadata(kinds: DataFrame) -> DataFrame:
     """(file_id, sources, prompt_json, workflow_json, other_json): the first text of each kind, one whose key agrees
     before others; everything else as one object."""
-    agrees = F.col("mismatch").cast("int")
+    agrees = (~F.col("agrees")).cast("int")
     pick = lambda k: F.min(F.when(F.col("kind") == k, F.struct(agrees.alias("m"), "key", "text")))["text"]
     other = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("kind").isin("api_prompt", "workflow") & F.col("key").isNotNull(), F.struct("key", "text")))))
     return kinds.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("sources"), pick("api_prompt").alias("prompt_json"), pick("workflow").alias("workflow_json"), F.to_json(other).alias("other_json"))
