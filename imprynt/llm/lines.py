@@ -84,17 +84,18 @@ def chunks(texts: DataFrame) -> DataFrame:
 def repeats(texts: DataFrame) -> DataFrame:
     """(key, gone): the chunks that go, (at, n) in order, for documents that lose any; texts(key, text)."""
     rows = written(chunks(texts), "chunks")
+    # hash joins: the side with the texts or the rows of all chunks is never sorted.
     # the aggregates are tables before they are joined: a join of two shuffles is one that Spark can split at a hot key
     twice = written(rows.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk"), "twice")
-    found = rows.join(twice, "chunk").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n", "chunk")).alias("found"))
-    held = texts.join(found, KEY).select(*KEY, split_lines(F.col("text")).alias("lines"), "found")
+    found = rows.join(twice.hint("shuffle_hash"), "chunk").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n", "chunk")).alias("found"))
+    held = texts.join(found.hint("shuffle_hash"), KEY).select(*KEY, split_lines(F.col("text")).alias("lines"), "found")
     cut = F.transform("found", lambda f: F.struct(f["at"].alias("at"), f["n"].alias("n"), _trimmed(F.slice("lines", f["at"] + 1, f["n"])).alias("bytes")))
     held = held.select(*KEY, F.explode(cut).alias("f")).select(*KEY, "f.at", "f.n", "f.bytes").where(F.length("bytes") >= LEAST)
     held = written(held, "candidates")
     place = F.struct(F.length("__line_id").alias("l"), "__line_id", "__line_hash", "at")
     first = held.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("bytes", "first")
     first = written(first, "first")
-    gone = held.join(first, "bytes").where(place != F.col("first"))
+    gone = held.join(first.hint("shuffle_hash"), "bytes").where(place != F.col("first"))
     return gone.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("__gone"))
 
 
@@ -103,7 +104,7 @@ def deduplicated(docs: DataFrame, count: str = "removed_lines") -> DataFrame:
     column of that name); other columns as they are."""
     named = keyed(docs)
     gone = written(repeats(named.select(*KEY, "text")), "gone")
-    out = named.join(gone, KEY, "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), split_lines(F.col("text"))))
+    out = named.join(gone.hint("shuffle_hash"), KEY, "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), split_lines(F.col("text"))))
     end = lambda i: F.when(i == 0, 0).otherwise(F.get("__gone", i - 1)["at"] + F.get("__gone", i - 1)["n"])
     start = lambda i: F.coalesce(F.get("__gone", i)["at"], F.size("__lines"))
     between = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.slice("__lines", end(i) + 1, start(i) - end(i)))
