@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from imprynt.llm.common import byte_view, runs, shared_dir, table, written
 
 NAME = "op4_quality"
-ORDER, BLOCK = 5, 32 << 20
+ORDER, BLOCK, PIECE = 5, 32 << 20, 4 << 20
 QUANTILE, SPREAD, BIN, FEW, HELD_OUT = 0.98, 0.5, 1 / 256, 20, 5
-PACKED = "ids array<long>, hashes array<long>, langs array<string>, sizes array<long>, body binary"
+PACKED = "ids array<long>, hashes array<long>, langs array<string>, sizes array<long>, counts array<long>, bodies array<binary>"
 
 
 # ---- blocks
@@ -47,25 +47,25 @@ PACKED = "ids array<long>, hashes array<long>, langs array<string>, sizes array<
 
 def blocks(docs: DataFrame) -> DataFrame:
     """docs(doc_id, lang, text) packed: one row (block, PACKED) for about BLOCK bytes of consecutive texts, in a table
-    bucketed by block; body is their UTF-8, compressed, sizes are in bytes."""
+    bucketed by block; bodies are their UTF-8 in pieces of about PIECE bytes, compressed, counts the texts of each piece,
+    sizes are in bytes."""
     spark, codec = docs.sparkSession, "zstd"
 
     def pack(batches):
-        kind = pa.schema([("ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary())])
+        kind = pa.schema([("ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("bodies", pa.list_(pa.binary()))])
         held, size = [], 0
 
         def row():
             ids, hashes, langs, sizes, bodies = zip(*held, strict=True)
-            body = b"".join(bodies)
-            cols = [pa.array([np.concatenate(c)], t) for c, t in ((sizes, kind.field("sizes").type),)]
             lists = [pa.array([sum((c.to_pylist() for c in x), [])], kind.field(n).type) for x, n in ((ids, "ids"), (hashes, "hashes"), (langs, "langs"))]
-            return pa.RecordBatch.from_arrays([*lists, *cols, pa.array([pa.compress(body, codec, asbytes=True)], pa.binary())], schema=kind)
+            return pa.RecordBatch.from_arrays([*lists, pa.array([np.concatenate(sizes)], kind.field("sizes").type), pa.array([[len(x) for x in sizes]], kind.field("counts").type), pa.array([bodies], kind.field("bodies").type)], schema=kind)
 
         for b in batches:
             body, at = byte_view(b.column(3))
-            for lo, hi in runs(at, BLOCK // 4):
-                held.append((*(b.column(i)[lo:hi] for i in range(3)), np.diff(at[lo : hi + 1]), body[at[lo] : at[hi]].tobytes()))
-                size += len(held[-1][-1])
+            for lo, hi in runs(at, PIECE):
+                # at once: what waits for its block is compressed
+                held.append((*(b.column(i)[lo:hi] for i in range(3)), np.diff(at[lo : hi + 1]), pa.compress(body[at[lo] : at[hi]].tobytes(), codec, asbytes=True)))
+                size += int(at[hi] - at[lo])
                 if size >= BLOCK:
                     yield row()
                     held, size = [], 0
@@ -79,10 +79,13 @@ def blocks(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _texts(sizes: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a block's texts one after the other, and their offsets."""
-    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return np.frombuffer(pa.decompress(body, int(at[-1]), "zstd", asbytes=True), np.uint8), at
+def _texts(b, i: int):
+    """(place of the first, bytes, offsets) of each piece of a block's texts, one decompressed at a time."""
+    sizes, first = _column(b, "sizes", i), 0
+    for n, body in zip(b.column("counts")[i].as_py(), b.column("bodies")[i].values, strict=True):
+        at = np.concatenate([[0], np.cumsum(sizes[first : first + n])]).astype(np.int64)
+        yield first, np.frombuffer(pa.decompress(body.as_buffer(), int(at[-1]), "zstd", asbytes=True), np.uint8), at
+        first += n
 
 
 def _column(b, name: str, i: int) -> np.ndarray:
@@ -155,15 +158,17 @@ def ngrams_of(held: DataFrame, members: DataFrame, order: int = ORDER) -> DataFr
         def found():
             for b in batches:
                 for i in range(b.num_rows):
-                    body, at = _texts(_column(b, "sizes", i), b.column("body")[i].as_py())
-                    own = np.sort(_column(b, "own", i))
-                    part = np.concatenate([[0], np.cumsum(at[own + 1] - at[own])])
-                    chosen = np.concatenate([body[at[k] : at[k + 1]] for k in own])
-                    yield from (code for code, _ in _code_runs(chosen, part, order))
+                    every = np.sort(_column(b, "own", i))
+                    for first, body, at in _texts(b, i):
+                        own = every[(every >= first) & (every < first + len(at) - 1)] - first
+                        if len(own):
+                            part = np.concatenate([[0], np.cumsum(at[own + 1] - at[own])])
+                            chosen = np.concatenate([body[at[k] : at[k + 1]] for k in own])
+                            yield from (code for code, _ in _code_runs(chosen, part, order))
 
         yield from _counts(found())
 
-    met = held.select("block", "sizes", "body").join(members.hint("shuffle_hash"), "block").select("sizes", "body", "own")
+    met = held.select("block", "sizes", "counts", "bodies").join(members.hint("shuffle_hash"), "block").select("sizes", "counts", "bodies", "own")
     return met.mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
@@ -246,8 +251,9 @@ def scores(held: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 code = np.zeros(0, np.int64)
-                for more, _ in _code_runs(*_texts(_column(b, "sizes", i), b.column("body")[i].as_py()), order):
-                    code = pd.unique(np.concatenate([code, pd.unique(more)]))
+                for _, body, at in _texts(b, i):
+                    for more, _ in _code_runs(body, at, order):
+                        code = pd.unique(np.concatenate([code, pd.unique(more)]))
                 code.sort()
                 for lo in range(0, len(code), 100_000):
                     own = code[lo : lo + 100_000]
@@ -257,18 +263,18 @@ def scores(held: DataFrame, model: Model) -> DataFrame:
         index, logp = pd.Index(right["code"].to_numpy()), right["logp"].to_numpy()
         out = []
         for i in range(left.num_rows):
-            body, at = _texts(_column(left, "sizes", i), left.column("body")[i].as_py())
-            total = np.zeros(len(at) - 1)
-            for code, doc in _code_runs(body, at, order):
-                first = doc[0] if len(doc) else 0
-                part = np.bincount(doc - first, logp[index.get_indexer(code)])
-                total[first : first + len(part)] += part
-            size = np.diff(at)
+            size = _column(left, "sizes", i)
+            total = np.zeros(len(size))
+            for base, body, at in _texts(left, i):
+                for code, doc in _code_runs(body, at, order):
+                    first = doc[0] if len(doc) else 0
+                    part = np.bincount(doc - first, logp[index.get_indexer(code)])
+                    total[base + first : base + first + len(part)] += part
             bits = pa.array(-total / np.maximum(size, 1) / np.log(2), mask=size == 0)
             out.append(pa.table([*(pa.concat_arrays([left.column(c)[i].values]) for c in ("ids", "hashes", "langs")), pa.array(size), bits], ["doc_id", "h", "lang", "bytes", "bits"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())], ["doc_id", "h", "lang", "bytes", "bits"])
 
-    need = written(held.select("block", "sizes", "body").mapInArrow(distinct, "block long, code long"), "block_ngrams")
+    need = written(held.select("block", "sizes", "counts", "bodies").mapInArrow(distinct, "block long, code long"), "block_ngrams")
     known = written(log_probabilities(need.select("code").distinct(), model), "block_logps")
     answers = need.join(known, "code").select("block", "code", F.col("logp").cast("float").alias("logp"))
     return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, h long, lang string, bytes long, bits double")
