@@ -84,8 +84,8 @@ def test_soft_switch_falls_back(spark):
 def test_word_diff(spark):
     df = spark.createDataFrame([("a b c d", "a x c d")], "a string, b string")
     ops = [(o["op"], o["a"], o["b"]) for o in compare.word_diff(df, "a", "b").first()["ops"]]
-    assert ops == [("same", "a", "a"), ("removed", "b", None), ("added", None, "x"), ("same", "c", "c"), ("same", "d", "d")]
-    assert [o["op"] for o in compare.word_diff(df, "a", "b", 0).first()["ops"]] == ["same", "removed", "added", "same", "same"]
+    assert ops == [("same", "a ", "a "), ("removed", "b", ""), ("added", "", "x"), ("same", " c d", " c d")]
+    assert [o["op"] for o in compare.word_diff(df, "a", "b", 0).first()["ops"]] == ["same", "removed", "added", "same"]
 
 
 def test_image_texts(spark):
