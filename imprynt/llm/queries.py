@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, secrets, simhash, syncmers, warc
+from imprynt.llm import chat, collocations, decontaminate, fptree, langid, lines, oddsketch, packing, quality, secrets, simhash, syncmers, warc
 
-MODULES = [warc, simhash, decontaminate, quality, lines, packing, secrets, chat, langid, syncmers]
+MODULES = [warc, simhash, decontaminate, quality, lines, packing, secrets, chat, langid, syncmers, oddsketch, fptree, collocations]
 
 
 def queries() -> dict:
