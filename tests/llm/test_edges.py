@@ -3,12 +3,12 @@
 import pytest
 
 import corpus_pipeline
-from imprynt.llm import chat, decontaminate, langid, lines, packing, quality, secrets, simhash, syncmers, warc
+from imprynt.llm import chat, collocations, decontaminate, fptree, langid, lines, oddsketch, packing, quality, secrets, simhash, syncmers, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h long, fp long, gone string, piece int, removed_lines string, keep boolean"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h long, fp long, gone string, piece int, removed_lines string, keep boolean, node long, n int, terms string, m long, w1 string"
 LONG = "word " * 40_000
-ROWS = [(i, t, l, s, None if t is None else len(t), 0.5, 1, 2, "g", 3, "r", True) for i, (t, l, s) in enumerate([("A plain text about nothing, that goes on. And on, until it ends here.", "en", "a"), (None, None, None), ("", "en", ""), (LONG, "de", "b"), ("x", None, "c"), ("\u0000\u0001 odd", "fr", "d")])]
-ROWS = ROWS + [ROWS[0], ROWS[0], ROWS[1], (None, "no id. here at all", "en", "s", 9, 0.1, 0, 0, "", 0, "", False)]
+ROWS = [(i, t, l, s, None if t is None else len(t), 0.5, 1, 2, "g", 3, "r", True, 1, 1, "t", 1, "w") for i, (t, l, s) in enumerate([("A plain text about nothing, that goes on. And on, until it ends here.", "en", "a"), (None, None, None), ("", "en", ""), (LONG, "de", "b"), ("x", None, "c"), ("\u0000\u0001 odd", "fr", "d")])]
+ROWS = ROWS + [ROWS[0], ROWS[0], ROWS[1], (None, "no id. here at all", "en", "s", 9, 0.1, 0, 0, "", 0, "", False, 0, 0, "", 0, "")]
 
 
 @pytest.fixture(scope="module", params=["full", "empty"])
@@ -23,12 +23,12 @@ def tables(request, spark, tmp_path_factory):
     return at, bool(keep)
 
 
-@pytest.mark.parametrize("module", [warc, simhash, decontaminate, quality, lines, packing, secrets, chat, langid, syncmers], ids=lambda m: m.NAME)
+@pytest.mark.parametrize("module", [warc, simhash, decontaminate, quality, lines, packing, secrets, chat, langid, syncmers, oddsketch, fptree, collocations], ids=lambda m: m.NAME)
 def test_queries_on_odd_tables(spark, tables, module):
     at, full = tables
     rows = module.query(spark, at).collect()
     # one row each: but for warc (two a page), chat (a conversation, and -7), syncmers (a document: equal rows once)
-    n = {warc: 6, simhash: 10, lines: 10, langid: 10, quality: 10, chat: 4, syncmers: 7}.get(module)
+    n = {warc: 6, simhash: 10, lines: 10, langid: 10, oddsketch: 10, quality: 10, chat: 4, syncmers: 7}.get(module)
     if not full:
         assert len(rows) == (1 if module is chat else 0)
     elif n:
