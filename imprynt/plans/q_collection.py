@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+
 from pyspark.sql import functions as F
 
 from imprynt.functions import scalars as S
@@ -13,6 +17,7 @@ from imprynt.plans.fixtures import table, view
 from imprynt.plans.registry import joined, query
 from imprynt.sources import files as X
 from imprynt.sources.tables import staged
+from imprynt.streaming import catalog as K
 from imprynt.streaming import watch as ST
 
 KEY = "substring(md5(regexp_replace(regexp_replace(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '\\r\\n|\\r', chr(10), 'g'), '[ \\t]+', ' ', 'g')), 1, 16)"
@@ -409,16 +414,105 @@ def _(s, d):
     return by_folder(ended(s, stream.select("path", "length"), f"{root}-seen", "append"), "path", "length")
 
 
-@query("st03_index_stream", "select user_id, max(event_id) as seq, max_by(event_type, event_id) as event_type from events group by user_id")
-def _(s, d):
+def at_new(s, d, name):
+    """A new folder beside the staged tables."""
     import uuid
 
-    from imprynt.sources.tables import written
+    return f"{staged(s, d, 'library_root', lambda: table(s, d, 'documents').limit(0)).inputFiles()[0].rsplit('/', 2)[0]}/{name}-{uuid.uuid4().hex}"
 
+
+@query("st03_index_stream", "select user_id, max(event_id) as seq, max_by(event_type, event_id) as event_type from events group by user_id having max_by(event_id % 5, event_id) <> 0")
+def _(s, d):
     source = table(s, d, "events").select("user_id", F.col("event_id").alias("seq"), "event_type")
-    path = written(source.repartition(4), "updates").inputFiles()[0].rsplit("/", 1)[0]
-    catalog = f"{path.rsplit('/', 1)[0]}/catalog-{uuid.uuid4().hex}"
-    run = ST.index_stream(ST.watch_table(s, path, source.schema, 1), catalog, "user_id", f"{catalog}-state").trigger(availableNow=True).start()
+    at = at_new(s, d, "updates")
+    source.repartition(4).write.parquet(at)
+    catalog = K.Catalog(s, at_new(s, d, "catalog"), source.schema, "user_id", buckets=16, most_deltas=2)
+    run = K.index_stream(ST.watch_table(s, at, source.schema, 1), catalog, f"{at}-state", "seq % 5 = 0").trigger(availableNow=True).start()
     run.awaitTermination()
-    last = max(p["batchId"] for p in run.recentProgress)
-    return s.read.schema(source.schema).parquet(f"{catalog}/v{last + 1}").select("user_id", "seq", "event_type")
+    return catalog.read()
+
+
+@query("src10_merge_on_read", "select id, case when id % 7 = 0 then size + 1 else size end as size from v_files where id % 11 <> 0 ")
+def _(s, d):
+    """The upsert in three appends and a compaction between."""
+    scan, catalog = (f.select("id", "size") for f in scans(s, d))
+    c = K.Catalog(s, at_new(s, d, "catalog"), catalog.withColumn("seq", F.lit(0).cast("long")).schema, "id", buckets=16)
+    c.append(catalog.withColumn("seq", F.lit(1)))
+    c.append(scan.where("id % 2 = 0").withColumn("seq", F.lit(2)))
+    c.compact(whole=True)
+    c.append(scan.where("id % 2 = 1").withColumn("seq", F.lit(3)))
+    c.append(catalog.join(scan.select("id"), "id", "left_anti").withColumn("seq", F.lit(4)), deleted="true")
+    return c.read().drop("seq")
+
+
+@query("st03_coalesced_requests", "select distinct lang, source from documents")
+def _(s, d):
+    """Requests for folders, in many files, as few runs; what was asked for in all runs."""
+    asked, seen = at_new(s, d, "asked"), at_new(s, d, "reread")
+    rows = table(s, d, "documents").select("lang", "source")
+    rows.repartition(8).write.parquet(asked)
+    s.createDataFrame([], rows.schema).write.parquet(seen)
+    K.on_request(s.readStream.schema(rows.schema).parquet(asked), lambda wanted: wanted.write.mode("append").parquet(seen), f"{asked}-state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(seen)
+
+
+@query("st06_dedupe_horizon", "select distinct user_id, cast(date_trunc('day', ts) as varchar) as day from events")
+def _(s, d):
+    """First events of a user and day on a stream in the order of time, whose state holds some days."""
+    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("day", F.date_trunc("day", "ts"))
+    at = at_new(s, d, "by_time")
+    e.repartitionByRange(4, "ts").write.parquet(at)
+    out = ST.dedupe_stream(ST.watch_table(s, at, e.schema, 100), ["user_id", "day"], "ts", "3 days")
+    return ended(s, out.select("user_id", "day"), f"{at}-seen", "append").select("user_id", F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("day"))
+
+
+def hard_png(s, d):
+    """(file_id, content): PNG files whose chunks hold texts in two encodings, packed, damaged and too long, from documents."""
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def build(source: pd.Series, text: pd.Series) -> pd.Series:
+        head = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0))
+        parts = lambda s, t: (chunk(b"tEXt", f"prompt\0{s} größe €".encode()), chunk(b"tEXt", f"old\0{s} größe".encode("latin-1")), chunk(b"zTXt", b"bad\0\0\x78\x9c" + b"\xff" * 9), chunk(b"zTXt", b"long\0\0" + zlib.compress(t.encode(), 1)), chunk(b"iTXt", b"last\0\1\0\0\0" + zlib.compress(s.encode())))
+        return pd.Series([head + b"".join(parts(s, t)) + chunk(b"IEND", b"") for s, t in zip(source, text, strict=True)])
+
+    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.pandas_udf(build, "binary")("source", "text").alias("content"))
+
+
+@query("src04_hard_chunks", """select cast(doc_id as varchar) as file_id, 'prompt' as key, md5(source || ' größe €') as text from documents union all select cast(doc_id as varchar), 'old', md5(source || ' größe') from documents
+ union all select cast(doc_id as varchar), 'long', md5(text) from documents where strlen(text) <= 2000 union all select cast(doc_id as varchar), 'last', md5(source) from documents""")
+def _(s, d):
+    return X.extract_texts(hard_png(s, d), most=2000).select("file_id", "key", F.md5("text").alias("text"))
+
+
+@query("src03_jpeg_size", "select cast(doc_id as varchar) as file_id, 'jpeg' as format, cast(doc_id % 900 + 1 as int) as width, cast(n_chars % 900 + 1 as int) as height from documents")
+def _(s, d):
+    """JPEG files of a table segment, fill bytes and a frame header, from documents."""
+    hex_ = lambda x: F.lpad(F.hex(x), 4, "0")
+    head = F.concat(F.lit("FFD8FFE00006"), F.substring(F.md5("source"), 1, 8), F.lit("FFFFC40004C0C0FFC2000B08"), hex_(F.col("n_chars") % 900 + 1), hex_(F.col("doc_id") % 900 + 1), F.lit("01112200FFDA0002"))
+    return X.with_image_header(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.unhex(head).alias("content"))).drop("content")
+
+
+@query("src01_odd_names", "select concat('_', doc_id % 7, '/') as folder, count(*) as files from documents group by 1")
+def _(s, d):
+    """Names with "_" in front, a pruned folder beside them: Spark's own listing would see none of these."""
+    root = library(s, d)
+    files = table(s, d, "documents").select(F.concat(F.lit("_"), F.col("doc_id") % 7).alias("folder"), F.concat(F.lit("_"), "doc_id", F.lit(".png")).alias("name"))
+    base = re.sub("^file:/*", "/", root)
+
+    def touch(frames):
+        import os
+
+        for f in frames:
+            for folder, name in zip(f["folder"], f["name"], strict=True):
+                for way in (folder, f"{folder}/.cache"):
+                    os.makedirs(f"{base}/{way}", exist_ok=True)
+                    with open(f"{base}/{way}/{name}", "w"):
+                        pass
+            yield pd.DataFrame({"n": [len(f)]})
+
+    files.mapInPandas(touch, "n long").agg(F.sum("n")).collect()
+    return X.scan_library(s, root).groupBy(F.regexp_extract("rel_path", "^(.*/)", 1).alias("folder")).agg(F.count("*").alias("files"))

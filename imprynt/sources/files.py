@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imprynt.sources.listing import list_library
+
 EXTENSIONS = (".png", ".jpg", ".jpeg")
 EXCLUDE = ("**/.*/**",)
 MOST_INFLATED = 50 << 20
@@ -31,10 +33,12 @@ def relevant(path: Column, extensions=EXTENSIONS, exclude=EXCLUDE) -> Column:
     return ok
 
 
-def scan_library(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=EXCLUDE) -> DataFrame:
-    """(rel_path, size, mtime_ns) of the files under root, listed by Spark without reading them. Spark's listing leaves
-    out names that start with "." or "_"."""
+def scan_library(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=EXCLUDE, follow_symlinks: bool = False) -> DataFrame:
+    """(rel_path, size, mtime_ns) of the files under root, listed without reading them: a mounted folder by the executors
+    (see listing), any other store by Spark's listing, which leaves out names that start with "." or "_"."""
     base = root.rstrip("/")
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", base) or base.startswith("file:"):
+        return list_library(spark, re.sub(r"^file:/*", "/", base), tuple(extensions), tuple(exclude), follow_symlinks)[0]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(re.sub(r"^[a-z]+:/*", "/", base)) + "/", "")
     return files.select(rel.alias("rel_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")).where(relevant(F.col("rel_path"), extensions, exclude))
@@ -46,51 +50,129 @@ def with_content_hash(files: DataFrame) -> DataFrame:
 
 
 def with_image_header(files: DataFrame) -> DataFrame:
-    """files(content) with format, width and height from the first bytes (PNG) in the JVM; sizes of JPEG come with their texts."""
+    """files(content) with format, width and height: of a PNG from its first bytes in the JVM, of a JPEG from the first
+    frame header among its segments; null where there is none."""
     c = F.col("content")
     png = F.hex(F.substring(c, 1, 8)) == "89504E470D0A1A0A"
-    jpeg = F.hex(F.substring(c, 1, 3)) == "FFD8FF"
+    jpeg = F.coalesce(F.hex(F.substring(c, 1, 3)) == "FFD8FF", F.lit(False))
     side = lambda at: F.when(png & (F.octet_length(c) >= 24), F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("int"))
-    return files.withColumns({"format": F.when(png, "png").when(jpeg, "jpeg"), "width": side(17), "height": side(21)})
-
-
-def _png_texts(data: bytes):
+    size = F.pandas_udf(_frame_sizes, "width int, height int")(c)
+    framed = files.where(jpeg).withColumn("__s", size).withColumns({"format": F.lit("jpeg"), "width": F.col("__s.width"), "height": F.col("__s.height")}).drop("__s")
+    return files.where(~jpeg).withColumns({"format": F.when(png, "png"), "width": side(17), "height": side(21)}).unionByName(framed)
+
+
+def _text(raw: bytes) -> str:
+    """UTF-8, as programs write it; Latin-1, as the format has it, for what is not."""
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+class Inflater:
+    """zlib data, taken out step by step: text() is None for a damaged stream and for one that gives more than `most`
+    bytes, of which no more than a step beyond `most` is ever held. A stream that just ends keeps what it gave."""
+
+    def __init__(self, most: int = MOST_INFLATED, step: int = 1 << 20):
+        self.most, self.step = most, step
+
+    def text(self, packed: bytes) -> bytes | None:
+        stream, out, size = zlib.decompressobj(), [], 0
+        try:
+            while packed and not stream.eof:
+                part = stream.decompress(packed, min(self.step, self.most + 1 - size))
+                packed = stream.unconsumed_tail
+                size += len(part)
+                if size > self.most:
+                    return None
+                out.append(part)
+        except zlib.error:
+            return None
+        return b"".join(out)
+
+
+def _png_text(kind: bytes, body: bytes, inflater: Inflater) -> tuple[str, str] | None:
+    """Key and text of one chunk; None where it has no key, is damaged or beyond bounds."""
+    key, found, rest = body.partition(b"\0")
+    if not found:
+        return None
+    if kind == b"zTXt":
+        raw = inflater.text(rest[1:])
+    elif kind == b"iTXt":
+        if len(rest) < 2:
+            return None
+        fields = rest[2:].split(b"\0", 2)
+        raw = fields[2] if len(fields) > 2 else b""
+        raw = inflater.text(raw) if rest[0] == 1 else raw
+    else:
+        raw = rest
+    return None if raw is None else (key.decode("latin-1"), _text(raw))
+
+
+def _png_texts(data: bytes, inflater: Inflater):
+    """(key, text, source) of the text chunks. A chunk that cannot be read is left out and reading goes on behind it; a
+    file that ends early gives a last row without a key."""
     at = 8
     while at + 8 <= len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        size, kind = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + size]
-        if len(body) < size:
-            yield None, None, "truncated"
+        if len(body) < size or kind == b"IEND":
+            break
+        if kind in (b"tEXt", b"zTXt", b"iTXt") and (hit := _png_text(kind, body, inflater)):
+            yield *hit, kind.decode()
+        at += 12 + size
+    if data[at + 4 : at + 8] != b"IEND":
+        yield None, None, "truncated"
+
+
+def _jpeg_segments(data: bytes):
+    """(marker, body) up to the scan; any number of FF may stand before a marker. (None, b"") where the file ends early."""
+    at = 2
+    while True:
+        start = at
+        while at < len(data) and data[at] == 0xFF:
+            at += 1
+        if at == start or at == len(data):
+            break
+        marker, at = data[at], at + 1
+        if marker in (0x01, *range(0xD0, 0xD9)):
+            continue  # stands alone
+        if marker == 0xD9:
             return
-        if kind == b"tEXt":
-            key, _, text = body.partition(b"\0")
-            yield key.decode("latin-1"), text.decode("latin-1"), "tEXt"
-        elif kind == b"zTXt":
-            key, _, rest = body.partition(b"\0")
-            yield key.decode("latin-1"), _inflated(rest[1:]).decode("latin-1"), "zTXt"
-        elif kind == b"iTXt":
-            key, _, rest = body.partition(b"\0")
-            packed, rest = rest[:1] == b"\1", rest[2:]
-            text = rest.split(b"\0", 2)[-1]
-            yield key.decode("latin-1"), (_inflated(text) if packed else text).decode("utf-8", "replace"), "iTXt"
-        elif kind == b"IEND":
+        size = int.from_bytes(data[at : at + 2], "big")
+        if size < 2 or at + size > len(data):
+            break
+        yield marker, data[at + 2 : at + size]
+        if marker == 0xDA:
             return
-        at += 12 + size
-    yield None, None, "truncated"
+        at += size
+    yield None, b""
+
+
+def _frame_size(data: bytes) -> tuple[int | None, int | None]:
+    if data[:2] == b"\xff\xd8":
+        for marker, body in _jpeg_segments(data):
+            # frame headers are C0 to CF but for tables (C4, CC) and an extension (C8)
+            if marker is not None and 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
+                height, width = struct.unpack_from(">HH", body, 1)
+                return width, height
+    return None, None
+
+
+def _frame_sizes(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_frame_size(bytes(c)) for c in content], columns=["width", "height"], dtype="Int32")
 
 
 def _jpeg_texts(data: bytes):
-    at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
-        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
-        body = data[at + 4 : at + 2 + size]
-        if data[at + 1] == 0xFE:
-            yield "Comment", body.decode("utf-8", "replace"), "COM"
-        elif data[at + 1] == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
-            yield "XMP", body.split(b"\0", 1)[1].decode("utf-8", "replace"), "XMP"
-        elif data[at + 1] == 0xE1 and body.startswith(b"Exif\0\0"):
+    for marker, body in _jpeg_segments(data):
+        if marker is None:
+            yield None, None, "truncated"
+        elif marker == 0xFE:
+            yield "Comment", _text(body).rstrip("\0"), "COM"
+        elif marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
+            yield "XMP", _text(body.split(b"\0", 1)[1]), "XMP"
+        elif marker == 0xE1 and body.startswith(b"Exif\0\0"):
             yield from _exif_texts(body[6:])
-        at += 2 + size
 
 
 def _exif_texts(tiff: bytes):
@@ -118,25 +200,22 @@ def _exif_texts(tiff: bytes):
                 yield {0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model"}[tag], body.decode("utf-8", "replace").rstrip("\0"), "EXIF"
 
 
-def _inflated(data: bytes) -> bytes:
-    return zlib.decompressobj().decompress(data, MOST_INFLATED)
-
-
-def extract_texts(files: DataFrame) -> DataFrame:
+def extract_texts(files: DataFrame, most: int = MOST_INFLATED) -> DataFrame:
     """TEXTS from files(file_id, content): PNG text chunks, JPEG EXIF, XMP and comments. A key that comes again gets
-    "#2", "#3"; a truncated or damaged file keeps what was read before and a row with source `truncated`."""
+    "#2", "#3"; a truncated file keeps what was read before and a row with source `truncated`. A chunk that is damaged,
+    or inflates to more than `most` bytes, is left out: never a part of a text, and the file's other texts stay."""
 
     def read(frames):
         for f in frames:
             rows = []
             for file_id, data in zip(f["file_id"], f["content"], strict=True):
                 data, n = bytes(data or b""), {}
-                found = _png_texts(data) if data[:4] == b"\x89PNG" else _jpeg_texts(data) if data[:2] == b"\xff\xd8" else ()
+                found = _png_texts(data, Inflater(most)) if data[:4] == b"\x89PNG" else _jpeg_texts(data) if data[:2] == b"\xff\xd8" else ()
                 try:
                     for key, text, source in found:
                         n[key] = n.get(key, 0) + 1
                         rows.append((file_id, key if n[key] == 1 or key is None else f"{key}#{n[key]}", text, source))
-                except (struct.error, zlib.error, IndexError):
+                except (struct.error, IndexError):
                     rows.append((file_id, None, None, "truncated"))
             yield pd.DataFrame(rows, columns=["file_id", "key", "text", "source"])
 
