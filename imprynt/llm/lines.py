@@ -104,11 +104,12 @@ def deduplicated(docs: DataFrame, count: str = "removed_lines") -> DataFrame:
     column of that name); other columns as they are."""
     named = keyed(docs)
     gone = written(repeats(named.select(*KEY, "text")), "gone")
-    out = named.join(gone.hint("shuffle_hash"), KEY, "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), split_lines(F.col("text"))))
+    out = named.join(gone.hint("shuffle_hash"), KEY, "left")
     end = lambda i: F.when(i == 0, 0).otherwise(F.get("__gone", i - 1)["at"] + F.get("__gone", i - 1)["n"])
-    start = lambda i: F.coalesce(F.get("__gone", i)["at"], F.size("__lines"))
-    between = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.slice("__lines", end(i) + 1, start(i) - end(i)))
-    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), ""))
+    start = lambda i, lines: F.coalesce(F.get("__gone", i)["at"], F.size(lines))
+    between = lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.slice(lines, end(i) + 1, start(i, lines) - end(i))))
+    # lines are bound by a lambda, so that a filter behind this, which Spark moves before it, splits a text once too
+    new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.transform(F.array(split_lines(F.col("text"))), lambda lines: F.array_join(between(lines), ""))[0])
     lost = F.aggregate(F.coalesce("__gone", F.array().cast("array<struct<at:int,n:int>>")), F.lit(0), lambda a, g: a + g["n"])
     return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], lost.cast("long").alias(count))
 
