@@ -22,7 +22,7 @@ group's pairs are all written.
 
 near_duplicates() takes components of links, as fingerprints alone tell them. similar_groups() finds
 texts whose sets of word shingles overlap by a stated share: fingerprints of their distinct words
-only propose groups there, and the texts decide.
+only propose groups there, and the shingle sets decide.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from imprynt.llm import oddsketch
 from imprynt.llm.common import LOWER, byte_view, table, written
 from imprynt.llm.components import components
 
@@ -45,6 +46,9 @@ GENERATOR = 0b110001110101
 SHIFTS, WIDTHS = (42, 21, 0), (22, 21, 21)
 PAIRS = ((0, 1), (0, 2), (1, 2))
 SMALL, BLOCK = 48, 2048
+#: Texts of a group whose leaders are found by one task, shingles of what meets them in another, and bits that sketches
+#: of texts with a Jaccard coefficient of 0.8 never differ in (55 on average, standard deviation 9).
+BATCH, SHINGLES, FAR = 1024, 2_000_000, 100
 
 
 def simhash(text: bytes, words: int = 4) -> int:
@@ -273,7 +277,53 @@ def shingles(text: str | None, words: int) -> set[int]:
     return {xxhash.xxh3_64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def similar_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+def described(texts: DataFrame, words: int) -> DataFrame:
+    """(root, place, id, n, sketch, set) of texts(root, place, id, text): the shingle set of each, its size and odd sketch;
+    a text without words has the empty set."""
+
+    def look(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = [np.zeros(0, np.uint64)] * part.num_rows
+                for i, own in oddsketch.shingle_sets(part.column(3), words):
+                    sets[i] = own
+                odd = oddsketch.sketches(np.stack([oddsketch.samples(s) for s in sets])).view(np.int64)
+                offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(odd.shape[1])), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["root", "place", "id", "n", *oddsketch.SKETCH, "set"])
+
+    kind = texts.schema["place"].dataType.simpleString()
+    return texts.select("root", "place", "id", "text").mapInArrow(look, f"root long, place {kind}, id long, n int, {', '.join(f'{c} long' for c in oddsketch.SKETCH)}, set array<bigint>")
+
+
+class Leaders:
+    """Texts that lead, in order of place; first_like() is the first that a text is like, exactly: sketches only leave
+    out pairs that are five standard deviations from the limit."""
+
+    def __init__(self, least: float):
+        self.least, self.ids, self.sets = least, [], []
+        self.n, self.odd = np.zeros(64, np.int64), np.zeros((64, len(oddsketch.SKETCH)), np.uint64)
+
+    def add(self, id_: int, odd: np.ndarray, own: np.ndarray) -> None:
+        k = len(self.ids)
+        if k == len(self.n):
+            self.n, self.odd = np.concatenate([self.n, self.n]), np.concatenate([self.odd, self.odd])
+        self.n[k], self.odd[k] = len(own), odd
+        self.ids.append(id_)
+        self.sets.append(own)
+
+    def first_like(self, odd: np.ndarray, own: np.ndarray) -> int | None:
+        k = len(self.ids)
+        n = self.n[:k]
+        near = (np.minimum(n, len(own)) >= self.least * np.maximum(n, len(own))) & (np.bitwise_count(self.odd[:k] ^ odd).sum(axis=1) <= FAR)
+        for i in np.flatnonzero(near):
+            both = len(np.intersect1d(own, self.sets[i], assume_unique=True))
+            if both >= self.least * (n[i] + len(own) - both):
+                return self.ids[i]
+        return None
+
+
+def similar_groups(docs: DataFrame, least: float = 0.8, words: int = 5, batch: int = BATCH) -> DataFrame:
     """(id, leader) of every row of docs(id, place, text): the id of its group's first text by place.
 
     A text belongs to a leader if their sets of `words`-word shingles (fewer words: the whole text) have a Jaccard
@@ -282,8 +332,9 @@ def similar_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataF
     not linked, directly or over others, are not compared. Ids are unique but for copies of a row; null texts have no
     word. Places are unique but for copies of a text; they tell which of several texts leads.
 
-    Proposed groups are settled in rounds: in each, the first text left leads, and meets the others left by a join on
-    their group. A round moves only texts that no leader has taken yet.
+    Proposed groups are settled in rounds. In each, one task a group finds the leaders among the first `batch` texts
+    left; what else is left of the group is dealt into blocks, and every block meets those leaders in a task of its own.
+    A group of at most `batch` texts takes one round, any other one for every `batch` texts that are unlike all before.
     """
     rows = written(word_fingerprints(docs), "word_fingerprints")
     node = ["sig", "fp", "fp2"]
@@ -294,42 +345,52 @@ def similar_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataF
         near = links(nodes.select(F.col(name).alias("fp")).distinct())
         edges.append(near.select(F.col("u").bitwiseXOR(flip).alias("u"), F.col("v").bitwiseXOR(flip).alias("v")))
     roots = components(edges[0].unionByName(edges[1]).unionByName(edges[2])).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     several = written(named.groupBy("root").count().where("count > 1").select("root"), "several")
-    alone = named.join(several, "root", "left_anti").select(*node, F.col("first.id").alias("leader"))
-    left = named.join(several, "root").select(*node, "root", "first", F.col("first.id").alias("id"))
-    left = written(left.join(docs.select("id", "text").dropDuplicates(["id"]), "id").drop("id"), "proposed")
-    taken = [written(alone, "leaders")]
-
-    def compare(batches):
-        known: tuple[str | None, set[int]] = (None, set())
-        for b in batches:
-            text, lead, own = b.column("text").to_pylist(), b.column("lead").to_pylist(), b.column("own").to_pylist()
-            like = []
-            for t, l, same in zip(text, lead, own, strict=True):
-                if same:
-                    like.append(True)
-                    continue
-                if known[0] is None or known[0] != l:
-                    known = (l, shingles(l, words))
-                mine = shingles(t, words)
-                both = len(mine & known[1])
-                like.append(both >= least * (len(mine) + len(known[1]) - both))
-            yield pa.RecordBatch.from_arrays([*b.columns[: b.num_columns - 2], pa.array(like, pa.bool_())], [*b.schema.names[:-2], "like"])
-
-    while left.take(1):
-        first = written(left.groupBy("root").agg(F.min("first").alias("lead_first")), "firsts")
-        leads = written(left.join(first, "root").where(F.col("first") == F.col("lead_first")).select("root", "lead_first", F.col("text").alias("lead")), "round_leaders")
-        met = left.join(leads, "root").select(*node, "root", "first", "text", F.col("lead_first.id").alias("leader"), "lead", (F.col("first") == F.col("lead_first")).alias("own"))
-        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema.fields[:-2])
-        done = written(met.mapInArrow(compare, f"{kind}, like boolean"), "round")
-        taken.append(done.where("like").select(*node, "leader"))
-        left = done.where("not like").select(*node, "root", "first", "text")
-    every = taken[0]
-    for t in taken[1:]:
+    proposed = named.join(several, "root").select("root", "first.place", "first.id")
+    left = written(described(proposed.join(docs.select("id", "text").dropDuplicates(["id"]), "id"), words), "proposed")
+    done = []
+    narrow = ["root", "id", *oddsketch.SKETCH, "set"]
+
+    def lead(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rank", ignore_index=True)
+        leaders, out = Leaders(least), []
+        for id_, odd, own in zip(frame["id"], frame[oddsketch.SKETCH].to_numpy().view(np.uint64), frame["set"], strict=True):
+            to = leaders.first_like(odd, own)
+            if to is None:
+                leaders.add(id_, odd, own)
+            out.append(id_ if to is None else to)
+        return pd.DataFrame({"id": frame["id"], "leader": out})
+
+    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+        leaders = Leaders(least)
+        odd, lead_ = frame[oddsketch.SKETCH].to_numpy().view(np.uint64), frame["rank"].to_numpy()
+        for i in np.argsort(lead_, kind="stable"):
+            if lead_[i]:
+                leaders.add(frame["id"].iloc[i], odd[i], frame["set"].iloc[i])
+        own = np.flatnonzero(lead_ == 0)
+        return pd.DataFrame({"id": frame["id"].to_numpy()[own], "leader": pd.array([leaders.first_like(odd[i], frame["set"].iloc[i]) for i in own], "Int64")})
+
+    while True:
+        order = Window.partitionBy("root").orderBy("place", "id")
+        first = written(left.select("root", "place", "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch).select("id", "rank"), "firsts")
+        led = written(left.join(first, "id").select(*narrow, "rank").groupBy("root").applyInPandas(lead, "id long, leader long"), "led")
+        done.append(led)
+        rest = left.join(first, "id", "left_anti")
+        size = written(rest.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / batch), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks")), "rest")
+        if size.isEmpty():
+            break
+        leaders = left.join(first, "id").join(led.where("id = leader").select("id"), "id").join(size, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*narrow, "rank", "block")
+        dealt = rest.join(size, "root").select(*narrow, F.lit(0).alias("rank"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        met = written(dealt.unionByName(leaders).groupBy("root", "block").applyInPandas(follow, "id long, leader long"), "met")
+        done.append(met.where("leader is not null"))
+        left = written(left.join(met.where("leader is null").select("id"), "id", "left_semi"), "left")
+    every = done[0]
+    for t in done[1:]:
         every = every.unionByName(t)
-    return rows.join(every, node).select("id", "leader")
-
+    alone = named.join(several, "root", "left_anti").select(*node, F.col("first.id").alias("leader"))
+    led = named.join(several, "root").select(*node, F.col("first.id").alias("id")).join(every, "id").select(*node, "leader")
+    return rows.join(alone.unionByName(led), node).select("id", "leader")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

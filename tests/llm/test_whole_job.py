@@ -49,3 +49,25 @@ def test_clean_rows_with_null_or_repeated_ids_stay(spark, tmp_path):
     near = corpus_pipeline.near_dedup(spark, frame, str(tmp_path))
     assert by(near) == sorted([*want, (None, dirty)], key=str) and near.columns == frame.columns
     assert by(corpus_pipeline.decontamination(spark, near, str(tmp_path))) == sorted(want, key=str)
+
+
+def test_leaders_of_a_group_of_many_unlike_texts(spark):
+    """Texts of the same words in other orders: one proposed group, few of them alike. Batches of 5 settle it in rounds."""
+    from imprynt.llm import simhash
+
+    rnd = random.Random(9)
+    words, texts = [f"w{i}" for i in range(60)], []
+    for _ in range(40):
+        rnd.shuffle(words)
+        texts.append(" ".join(words))
+        if rnd.random() < 0.4:
+            texts.append(" ".join([*words[1:], "x"]))
+    texts += [texts[0], "", None, " "]
+    rnd.shuffle(texts)
+    sets, want = [simhash.shingles(t, 5) for t in texts], []
+    for i, a in enumerate(sets):
+        like = lambda b, a=a: len(a & b) >= 0.8 * len(a | b)
+        want.append(next((j for j in range(i) if want[j] == j and like(sets[j])), i))
+    frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, place long, text string")
+    for batch in (simhash.BATCH, 5):
+        assert {r["id"]: r["leader"] for r in simhash.similar_groups(frame, batch=batch).collect()} == dict(enumerate(want))
