@@ -73,9 +73,10 @@ def _aligned(x: np.ndarray, y: np.ndarray) -> list[tuple[str, int, int]]:
     return out
 
 
-def diff_runs(a: str, b: str, max_cells: int) -> list[dict]:
-    """Runs of one kind in order, each with its text on both sides. White space equals white space; each side keeps
-    its own. What both share at either end is not aligned; a middle of more than max_cells pairs is one block each."""
+def compared(a: str, b: str, max_cells: int) -> tuple[list[dict], bool]:
+    """(runs, coarse): runs of one kind in order, each with its text on both sides. White space equals white space; each side keeps
+    its own. What both share at either end is not aligned; a middle of more than max_cells pairs is one block
+    each, and coarse tells so."""
     ta, tb = regex.findall(TOKENS, a), regex.findall(TOKENS, b)
     number: dict[str, int] = {}
     x, y = (np.array([number.setdefault(" " if t.isspace() else t, len(number)) for t in side], np.int64) for side in (ta, tb))
@@ -85,7 +86,8 @@ def diff_runs(a: str, b: str, max_cells: int) -> list[dict]:
     unlike = np.flatnonzero(x[lo:][::-1][: short - lo] != y[lo:][::-1][: short - lo])
     hi = int(unlike[0]) if len(unlike) else short - lo
     mx, my = x[lo : len(x) - hi], y[lo : len(y) - hi]
-    if (len(mx) + 1) * (len(my) + 1) > max_cells:
+    coarse = (len(mx) + 1) * (len(my) + 1) > max_cells
+    if coarse:
         middle = [("removed", i, 0) for i in range(len(mx))] + [("added", 0, j) for j in range(len(my))]
     else:
         middle = _aligned(mx, my)
@@ -94,14 +96,19 @@ def diff_runs(a: str, b: str, max_cells: int) -> list[dict]:
     for op, run in groupby(steps, key=lambda s: s[0]):
         run = list(run)
         out.append({"op": op, "a": "" if op == "added" else "".join(ta[i] for _, i, _ in run), "b": "" if op == "removed" else "".join(tb[j] for _, _, j in run)})
-    return out
+    return out, coarse
+
+
+def diff_runs(a: str, b: str, max_cells: int) -> list[dict]:
+    return compared(a, b, max_cells)[0]
 
 
 def word_diff(pairs: DataFrame, a: str, b: str, max_cells: int = 4_000_000) -> DataFrame:
-    """pairs with `ops`, see diff_runs(), by longest common subsequence; a null text counts as empty."""
+    """pairs with `ops` and `coarse`, see compared(), by longest common subsequence; a null text counts as empty."""
 
-    @F.pandas_udf(OPS)
-    def diff(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([diff_runs(p or "", q or "", max_cells) for p, q in zip(x, y, strict=True)])
+    @F.pandas_udf(f"ops {OPS}, coarse boolean")
+    def diff(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compared(p or "", q or "", max_cells) for p, q in zip(x, y, strict=True)], columns=["ops", "coarse"])
 
-    return pairs.withColumn("ops", diff(F.col(a), F.col(b)))
+    keep = [F.col(f"`{c}`") for c in pairs.columns if c not in ("ops", "coarse")]
+    return pairs.select(*keep, diff(F.col(a), F.col(b)).alias("__d")).select(*keep, "__d.ops", "__d.coarse")

@@ -341,9 +341,19 @@ def chain_warnings(stages: DataFrame, chain: DataFrame, nodes: DataFrame, edges:
     return collect_warnings(_warned(patches, "UNKNOWN_MODEL_PATCH", F.concat("class_type", F.lit(" passes the model on")), F.col("node_id")), _warned(broken, "MODEL_CHAIN_BROKEN", "model chain ends before a model loader", F.coalesce("last", "node_id")))
 
 
+#: What the codes of prompt texts mean.
+PROMPT_MESSAGES = {
+    "PROMPT_UNRESOLVED": "no text was found behind the prompt input",
+    "MULTIPLE_PROMPT_SOURCES": "texts of several encoders are joined",
+    "HEURISTIC_PROMPT": "the node is of no known class; its text was taken for the prompt",
+    "GENERATED_PROMPT": "a text generator wrote part of the prompt at run time",
+}
+
+
 def prompt_warnings(*traces: DataFrame) -> DataFrame:
     """(file_id, code, node_id, message) of trace_prompts()."""
-    rows = [t.select("file_id", F.explode("warnings").alias("w")).select("file_id", "w.code", "w.node_id", F.lit("").alias("message")) for t in traces]
+    said = F.create_map(*[F.lit(x) for kv in PROMPT_MESSAGES.items() for x in kv])
+    rows = [t.select("file_id", F.explode("warnings").alias("w")).select("file_id", "w.code", "w.node_id", F.coalesce(F.try_element_at(said, F.col("w.code")), F.lit("")).alias("message")) for t in traces]
     return collect_warnings(*rows)
 
 

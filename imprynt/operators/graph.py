@@ -3,7 +3,8 @@
 Graphs are small and many: a file's edges become one array by one shuffle, and walks are folds inside
 the row that go on from what they met last (at most as many rounds as there are nodes with links, so
 every walk ends, on cycles too; rounds after the last hop do nothing). Nothing loops on the driver.
-Only the order with ties by id string is sequential enough for a Python step, over Arrow batches.
+Only orders, levels and cycles are sequential enough for a Python step: over Arrow batches of
+different graphs, each once however many files share it, in time linear in its links.
 """
 
 from __future__ import annotations
@@ -110,15 +111,15 @@ def graph_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 LINKS = "map<string,array<string>>"
 
 
-def _sources(e: str) -> Column:
-    """node -> the nodes that feed it, of an array of (dst, src)."""
-    return F.map_from_entries(F.transform(F.array_distinct(F.transform(e, lambda x: x["dst"])), lambda d: F.struct(d.alias("key"), F.array_distinct(F.transform(F.filter(e, lambda x: x["dst"] == d), lambda x: x["src"])).alias("value"))))
+def _mapped(links: DataFrame, node: str = "dst", source: str = "src") -> DataFrame:
+    """(file_id, m): node -> the nodes that feed it. Both groupings are by file, so links move once."""
+    per = links.repartition("file_id").groupBy("file_id", node).agg(F.collect_set(source).alias("__s"))
+    return per.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct(node, "__s"))).alias("m"))
 
 
 def _linked(edges: DataFrame) -> DataFrame:
     """(file_id, m): the links of a file as one map, by one shuffle."""
-    own = edges.groupBy("file_id").agg(F.collect_list(F.struct("dst", "src")).alias("e"))
-    return own.select("file_id", _sources("e").alias("m"))
+    return _mapped(edges.select("file_id", "dst", "src"))
 
 
 def _folded(edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
@@ -165,67 +166,85 @@ def multiple_branches(nearest: DataFrame) -> DataFrame:
     return nearest.groupBy("file_id").agg((F.count_distinct("samplers") > 1).alias("multi"))
 
 
-def topo_order(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """(file_id, node_id, rank, error): sources first, ties by the smaller id string; on a cycle one row with the
-    stuck ids in error."""
-    live = edges.join(reached.select("file_id", F.col("node_id").alias("dst")), ["file_id", "dst"], "left_semi").select("file_id", "dst", "src")
-    rows = reached.select("file_id", F.col("node_id").alias("dst"), F.lit(None).cast("string").alias("src")).unionByName(live)
-    whole = rows.groupBy("file_id").agg(F.collect_list("dst").alias("dst"), F.collect_list(F.coalesce("src", F.lit("\0"))).alias("src"))
+def _graphs(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """(file_id, key, g): the nodes and links of each file in a canonical form, an array of (dst, src) in order; a node
+    itself is a link from "\0". Without nodes those of the links are meant."""
+    if nodes is None:
+        links = edges.select("file_id", F.struct("dst", "src").alias("x"))
+    else:
+        own = nodes.select("file_id", F.col("node_id").alias("dst")).distinct()
+        links = edges.join(own, ["file_id", "dst"], "left_semi").select("file_id", F.struct("dst", "src").alias("x"))
+        links = links.unionByName(own.select("file_id", F.struct("dst", F.lit("\0").alias("src")).alias("x")))
+    return links.groupBy("file_id").agg(F.array_sort(F.collect_set("x")).alias("g")).select("file_id", F.xxhash64("g").alias("key"), "g")
+
+
+ORDERED = "node_id string, rank int, level int, stuck boolean"
+
+
+def ordered_once(graphs: DataFrame) -> DataFrame:
+    """(key, g, each): every different graph once, with its nodes in order, see _order(). What many files share - a
+    template, a batch - is put in order by one call."""
+    different = graphs.select("key", "g").distinct()
 
     def ranked(batches):
+        kind = pa.list_(pa.struct([("node_id", pa.string()), ("rank", pa.int32()), ("level", pa.int32()), ("stuck", pa.bool_())]))
         for b in batches:
-            out: list[tuple] = []
-            for file_id, dst, src in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                order, stuck = _order(dst, src)
-                out += [(file_id, None, -1, ",".join(stuck))] if stuck else [(file_id, n, i, None) for i, n in enumerate(order)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], ["file_id", "node_id", "rank", "error"])
+            made = []
+            for g in b.column(1).to_pylist():
+                order, level, stuck = _order([x["dst"] for x in g], [x["src"] for x in g])
+                made.append([{"node_id": n, "rank": i, "level": level[n], "stuck": False} for i, n in enumerate(order)] + [{"node_id": n, "rank": None, "level": None, "stuck": True} for n in stuck])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, kind)], ["key", "g", "each"])
+
+    return different.mapInArrow(ranked, f"key long, g array<struct<dst:string,src:string>>, each array<struct<{ORDERED.replace(' ', ':').replace(',:', ',')}>>")
 
-    return whole.mapInArrow(ranked, "file_id long, node_id string, rank int, error string")
 
+def _ordered(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    graphs = _graphs(edges, nodes)
+    return graphs.join(ordered_once(graphs), ["key", "g"]).select("file_id", "each")
 
-def _order(dst: list[str], src: list[str]) -> tuple[list[str], list[str]]:
-    """Nodes in order, and those on or behind a cycle; a source of "\\0" only names its node."""
+
+def topo_order(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(file_id, node_id, rank, error): sources first, ties by the smaller id string; on a cycle one row with the
+    stuck ids in error."""
+    each = _ordered(edges, reached)
+    stuck = F.array_join(F.transform(F.filter("each", lambda x: x["stuck"]), lambda x: x["node_id"]), ",")
+    error = F.array(F.struct(F.lit(None).cast("string").alias("node_id"), F.lit(-1).alias("rank"), stuck.alias("error")))
+    fine = F.transform("each", lambda x: F.struct(x["node_id"].alias("node_id"), x["rank"].alias("rank"), F.lit(None).cast("string").alias("error")))
+    return each.select("file_id", F.inline(F.when(F.exists("each", lambda x: x["stuck"]), error).otherwise(fine)))
+
+
+def _order(dst: list[str], src: list[str]) -> tuple[list[str], dict[str, int], list[str]]:
+    """Nodes in order, the longest path to each from a node without sources, and those on or behind a cycle: every link
+    is counted off once. Sources that are no dst themselves do not count."""
     known = set(dst)
-    needs: dict[str, set[str]] = {n: set() for n in known}
-    for d, s in zip(dst, src, strict=True):
+    feeds: dict[str, list[str]] = {n: [] for n in known}
+    missing = dict.fromkeys(known, 0)
+    for d, s in set(zip(dst, src, strict=True)):
         if s in known:
-            needs[d].add(s)
-    feeds: dict[str, list[str]] = {}
-    for d, sources in needs.items():
-        for s in sources:
-            feeds.setdefault(s, []).append(d)
-    ready, out = [n for n, v in needs.items() if not v], []
+            feeds[s].append(d)
+            missing[d] += 1
+    ready, out, level = [n for n, k in missing.items() if not k], [], dict.fromkeys(known, 0)
     heapq.heapify(ready)
     while ready:
         n = heapq.heappop(ready)
         out.append(n)
-        for d in feeds.get(n, ()):
-            needs[d].discard(n)
-            if not needs[d]:
+        for d in feeds[n]:
+            level[d] = max(level[d], level[n] + 1)
+            missing[d] -= 1
+            if not missing[d]:
                 heapq.heappush(ready, d)
-    return out, sorted(known - set(out))
+    return out, level, sorted(known - set(out))
 
 
 def levels(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """(file_id, node_id, level): the longest path from a source, for graphs without a cycle; in the JVM."""
-    own = edges.join(reached.select("file_id", F.col("node_id").alias("dst")), ["file_id", "dst"], "left_semi").groupBy("file_id").agg(F.collect_list(F.struct("dst", "src")).alias("e"))
-    base = reached.groupBy("file_id").agg(F.collect_set("node_id").alias("roots")).join(own, "file_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<dst:string,src:string>>")))
-    zero = F.map_from_entries(F.transform("roots", lambda n: F.struct(n, F.lit(0))))
-    feeding = lambda m, n: F.transform(F.filter("e", lambda x: x["dst"] == n), lambda x: F.coalesce(F.try_element_at(m, x["src"]), F.lit(-1)) + 1)
-    step = lambda m, _: F.map_from_entries(F.transform("roots", lambda n: F.struct(n, F.coalesce(F.array_max(feeding(m, n)), F.lit(0)))))
-    return base.select("file_id", F.explode(F.aggregate(F.sequence(F.lit(1), F.size("roots")), zero, step)).alias("node_id", "level"))
+    """(file_id, node_id, level): the longest path from a source; null for nodes on or behind a cycle."""
+    return _ordered(edges, reached).select("file_id", F.inline("each")).select("file_id", "node_id", "level")
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
     """(file_id, stuck): graphs with a cycle and the nodes left when sources are taken away until nothing changes."""
-    own = edges.groupBy("file_id").agg(F.collect_list(F.struct("dst", "src")).alias("e"))
-    kind = "struct<left:array<struct<dst:string,src:string>>,done:boolean>"
-    fed = lambda left: F.filter(left, lambda x: F.exists(left, lambda y: y["dst"] == x["src"]))
-    once = lambda s: F.transform(F.array(fed(s["left"])), lambda new: F.struct(new.alias("left"), (F.size(new) == F.size(s["left"])).alias("done")))[0]
-    start = F.struct(F.col("e").alias("left"), F.lit(False).alias("done")).cast(kind)
-    left = own.select("file_id", F.aggregate(F.sequence(F.lit(0), F.size("e")), start, lambda s, _: F.when(s["done"], s).otherwise(once(s).cast(kind)), lambda s: s["left"]).alias("left")).where(F.size("left") > 0)
-    return left.select("file_id", F.array_join(F.array_sort(F.array_distinct(F.transform("left", lambda x: x["dst"]))), ",").alias("stuck"))
+    left = _ordered(edges, None).select("file_id", F.transform(F.filter("each", lambda x: x["stuck"]), lambda x: x["node_id"]).alias("left"))
+    return left.where(F.size("left") > 0).select("file_id", F.array_join("left", ",").alias("stuck"))
 
 
 # ---- switches and chains
@@ -316,17 +335,28 @@ def cleanup_plan(nodes: DataFrame, edges: DataFrame, reached: DataFrame) -> Data
 # ---- entries of the power loader, and what a cleanup takes
 
 
-def power_entries(nodes: DataFrame) -> DataFrame:
+def field_order(prompts: DataFrame) -> DataFrame:
+    """(file_id, node_id, fields): the names of each node's inputs as they follow in the document, of prompts(file_id,
+    prompt_json). Spark's parser puts the fields of an object in order of their names; the text of an object keeps it."""
+    each = prompts.select("file_id", F.explode(F.from_json("prompt_json", "map<string,struct<inputs:string>>")).alias("node_id", "n"))
+    return each.select("file_id", "node_id", F.json_object_keys("n.inputs").alias("fields")).where("fields is not null")
+
+
+def power_entries(nodes: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """(file_id, node_id, entry, place, on, lora, strength, strength_two): the LoRA entries of power loaders: inputs
-    called lora_..., in any case, that are objects with on, lora and strength and name a file; place is their order."""
-    own = nodes.where(F.col("class_type").isin([c for c in ROLES["lora"] if c.startswith("Power")])).select("file_id", "node_id", F.explode("inputs").alias("entry", "v"))
+    called lora_..., in any case, that are objects with on, lora and strength and name a file. place is their order: that
+    of the document by order, see field_order(); without it numbered names are in the order of their numbers."""
+    power = [c for c in ROLES["lora"] if c.startswith("Power")]
+    own = nodes.where(F.col("class_type").isin(power)).select("file_id", "node_id", F.explode("inputs").alias("entry", "v"))
     part = lambda k, kind: F.try_variant_get("v", f"$.{k}", kind)
     own = own.where(F.upper("entry").startswith("LORA_") & F.schema_of_variant("v").startswith("OBJECT"))
     own = own.where(part("on", "variant").isNotNull() & part("strength", "variant").isNotNull() & (F.schema_of_variant(part("lora", "variant")) == "STRING"))
     own = own.select("file_id", "node_id", "entry", part("on", "boolean").alias("on"), part("lora", "string").alias("lora"), part("strength", "double").alias("strength"), part("strengthTwo", "double").alias("strength_two"))
-    # input objects are stored by name; numbered names are in the order of their numbers
-    number = F.coalesce(F.regexp_extract("entry", r"(\d+)$", 1).try_cast("int"), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("file_id", "node_id").orderBy(number, "entry")) - 1
+    number = [F.coalesce(F.regexp_extract("entry", r"(\d+)$", 1).try_cast("int"), F.lit(0)), F.col("entry")]
+    if order is not None:
+        own = own.join(order, ["file_id", "node_id"], "left")
+        number = [F.array_position("fields", F.col("entry")), *number]
+    place = F.row_number().over(Window.partitionBy("file_id", "node_id").orderBy(*number)) - 1
     return own.where(~F.col("lora").isin("", "None")).withColumn("place", place).select("file_id", "node_id", "entry", "place", "on", "lora", "strength", "strength_two")
 
 
@@ -422,6 +452,8 @@ def text_generators(inputs: DataFrame, nodes: DataFrame, edges: DataFrame, liter
     """(file_id, node_id, input, generator): the text generators that a text input's value comes through."""
     links, texts = _texts(nodes, edges, literals, inactive)
     pairs = F.flatten(F.transform("t", lambda n: F.transform(F.filter(n["p"], lambda x: x["past"].isNotNull()), lambda x: F.struct(n["node_id"].alias("dst"), x["past"].alias("src")))))
-    per = texts.select("file_id", pairs.alias("e"), F.transform(F.filter("t", lambda n: n["generator"]), lambda n: n["node_id"]).alias("g")).where(F.size("g") > 0).select("file_id", "g", _sources("e").alias("m"))
+    base = texts.select("file_id", pairs.alias("e"), F.transform(F.filter("t", lambda n: n["generator"]), lambda n: n["node_id"]).alias("g")).where(F.size("g") > 0)
+    fed = _mapped(base.select("file_id", F.inline("e")))
+    per = base.select("file_id", "g").join(fed, "file_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast(LINKS)))
     met = inputs.join(links.where("past is not null"), ["file_id", "node_id", "input"]).join(per, "file_id").withColumn("roots", F.array("past"))
     return met.select("file_id", "node_id", "input", F.explode(F.array_intersect(_upstream("m", "roots"), "g")).alias("generator"))

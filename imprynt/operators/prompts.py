@@ -7,7 +7,9 @@ prompt is split once; how many files hold it is a weight that joins its units af
 from __future__ import annotations
 
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,17 +99,30 @@ def distinct_prompts(frames: PromptFrames, keyed: DataFrame, top: int = 50, exam
     return best.withColumn("share", F.col("count") / F.col("__all")).drop("__all")
 
 
-def sentence_clusters(frames: PromptFrames, weighted: DataFrame, similarity: float = 0.7, candidates: int = 100, top: int = 20, fold: tuple[str, str] = ("", "")) -> DataFrame:
+def matching_ratio(a: str, b: str, least: float) -> float:
+    """Twice the characters in matching blocks over all characters, as difflib has it, in any case; 0.0 where one of its
+    two quick bounds, by length and by common characters, is below `least` already."""
+    m = SequenceMatcher(None, a.casefold(), b.casefold())
+    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
+
+def sentence_clusters(frames: PromptFrames, weighted: DataFrame, similarity: float = 0.7, candidates: int = 100, top: int = 20, fold: tuple[str, str] = ("", ""), metric: str = "levenshtein") -> DataFrame:
     """(group, cluster, sentence, df): near-duplicates among the most frequent sentences of each group, joined
-    transitively; cluster is its most frequent sentence. Similarity: 1 - Levenshtein / longer length.
+    transitively; cluster is its most frequent sentence. Similarity by metric: `levenshtein`, 1 - distance / longer
+    length, in the JVM, or `difflib`, see matching_ratio(), over Arrow batches of pairs.
     fold: characters taken as others when two sentences are compared. The candidates are top-k by design, so a group has at most candidates^2 / 2 pairs."""
     rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("df"), "sentence"))
     best = sentence_frequency(frames, weighted).withColumn("rank", rank).where(F.col("rank") <= candidates)
     plain = F.translate("sentence", *fold) if fold[0] else F.col("sentence")
     a, b = best.select("group", F.col("rank").alias("i"), plain.alias("s")), best.select("group", F.col("rank").alias("j"), plain.alias("t"))
     longer = F.greatest(F.length("s"), F.length("t"))
-    near = a.join(b, "group").where((F.col("i") < F.col("j")) & (F.least(F.length("s"), F.length("t")) >= longer * similarity))
-    links = near.where(1 - F.levenshtein("s", "t") / longer >= similarity).select("group", "i", "j")
+    pairs = a.join(b, "group").where(F.col("i") < F.col("j"))
+    if metric == "difflib":
+        ratio = F.pandas_udf(lambda x, y: pd.Series([matching_ratio(p, q, similarity) for p, q in zip(x, y, strict=True)], dtype=float), "double")
+        near = pairs.repartition("group", "i").where(ratio("s", "t") >= similarity)  # a group's pairs are dealt out
+    else:
+        near = pairs.where((F.least(F.length("s"), F.length("t")) >= longer * similarity) & (1 - F.levenshtein("s", "t") / longer >= similarity))
+    links = near.select("group", "i", "j")
     both = written(links.unionByName(links.select("group", F.col("j").alias("i"), F.col("i").alias("j"))), "links")
     label = best.select("group", F.col("rank").alias("i"), F.col("rank").alias("c"))
     while True:  # smallest rank along links; candidates per group bound the number of rounds
@@ -125,6 +140,18 @@ def sentence_clusters(frames: PromptFrames, weighted: DataFrame, similarity: flo
     return named.withColumn("o", order).where(F.col("o") <= top).join(head, ["group", "c"]).select("group", "cluster", "sentence", "df")
 
 
+def cluster_files(frames: PromptFrames, keyed: DataFrame, clusters: DataFrame, examples: int = 6) -> DataFrame:
+    """(group, cluster, images, prompts, examples): how many files and different prompts of keyed(group, id, key,
+    generated_at) hold a sentence of each of sentence_clusters(), and the latest of those files. A prompt with several
+    sentences of a cluster counts once."""
+    keys = frames.sentences.select("key", "sentence").join(clusters.select("group", "cluster", "sentence"), "sentence").select("group", "cluster", "key").distinct()
+    held = keyed.join(keys, ["group", "key"])
+    sums = held.groupBy("group", "cluster").agg(F.count("*").alias("images"), F.count_distinct("key").alias("prompts"))
+    latest = top_k(held.select("group", "cluster", "id", "generated_at"), ["group", "cluster"], [F.desc_nulls_last("generated_at"), F.desc("id")], examples, "r")
+    latest = latest.groupBy("group", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("examples"))
+    return join_same(sums, latest, ["group", "cluster"])
+
+
 def distinctive_terms(frames: PromptFrames, selection: DataFrame, rest: DataFrame, library: DataFrame, side: str = "positive", by: str = "images", alpha0: float = 500.0, top: int = 25) -> DataFrame:
     """(group, kind, list, term, z, df_selection, df_rest, rank): terms that set the selection apart from the
     rest, by log-odds with a Dirichlet prior from the whole library scaled to alpha0."""

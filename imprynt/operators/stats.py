@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imprynt.functions.scalars import lora_base_step
+from imprynt.sources.tables import written
 
 
 def unpivot(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
@@ -33,27 +34,48 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.withColumn("__k", on).join(right.select(on.alias("__k"), *[c for c in right.columns if c not in keys]), "__k", how).drop("__k")
 
 
-def quantiles(values: DataFrame, keys: list[str], column: str, shares: tuple[float, ...], cells: int = 1024) -> DataFrame:
+#: Different values of one key that one task puts in order; more are split into cells first.
+LARGEST_CELL, CELLS = 1 << 20, 1024
+
+
+def _cell(value: str, log: bool, cells: int) -> Column:
+    """The cell (from 0) of a value between __lo and __hi; rising with it, and never the same for both ends."""
+    f = (lambda c: F.signum(c) * F.log1p(F.abs(c))) if log else (lambda c: c * F.lit(0.5))
+    x, lo, hi = (f(F.col(c).cast("double")) for c in (value, "__lo", "__hi"))
+    part = F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))
+    inner = F.greatest(F.lit(0), F.least(F.floor(part * cells), F.lit(cells - 1))).cast("int")
+    return F.when(F.col(value) == F.col("__lo"), 0).when(F.col(value) == F.col("__hi"), cells - 1).otherwise(inner)
+
+
+def quantiles(values: DataFrame, keys: list[str], column: str, shares: tuple[float, ...], largest: int = LARGEST_CELL, cells: int = CELLS) -> DataFrame:
     """(keys, q: array of the exact quantiles), linear between ranks, of values that are not null.
 
-    Different values are counted; equal cells between the least and the largest tell in which cell a rank lies, and only
-    the values of those cells are put in order: no buffer and no sort holds all values of a key, but where they all lie
-    in one cell."""
-    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    per = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    cell = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells), F.lit(cells - 1))).otherwise(0).cast("int")
-    placed = join_same(counts, per, keys).withColumn("__c", cell)
-    cum = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__c"))
-    full = placed.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n")).withColumn("__to", cum).select(*keys, "__c", (F.col("__to") - F.col("__n")).alias("__from"), "__to")
+    Different values are counted, and ranks looked for among them. The range of a key in which a rank lies is split into
+    `cells` - by logarithm first, evenly afterwards - and the cell that holds the rank takes its place, until it has at
+    most `largest` different values; only those are put in order. A split parts the ends of a range, so it always goes
+    on, and a long tail takes some splits more: no task ever orders more than `largest` values of a key."""
+    one = [*keys, "__lo", "__hi"]
+    counts = written(values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n")), "counts")
+    per = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.count("*").alias("__d"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     rank = lambda q: F.lit(q) * (F.col("__all") - 1)
     below = lambda q: F.floor(rank(q)).cast("bigint")
-    asked = [F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.least(below(q) + i, F.col("__all") - 1).alias("r"), (rank(q) - below(q)).alias("part")) for j, q in enumerate(shares) for i in (0, 1)]
-    want = join_same(per.select(*keys, F.explode(F.array(*asked)).alias("__a")), full, keys).where((F.col("__a.r") >= F.col("__from")) & (F.col("__a.r") < F.col("__to")))
-    want = want.select(*keys, "__c", F.col("__a.j").alias("__j"), F.col("__a.i").alias("__i"), F.col("__a.part").alias("__part"), (F.col("__a.r") - F.col("__from")).alias("__r"))
-    inside = join_same(placed.select(*keys, "__c", "__v", "__n"), want.select(*keys, "__c").distinct(), [*keys, "__c"], "left_semi")
-    upto = F.sum("__n").over(Window.partitionBy(*keys, "__c").orderBy("__v"))
-    inside = inside.withColumn("__end", upto).withColumn("__begin", F.col("__end") - F.col("__n")).drop("__n")
-    hit = join_same(want, inside, [*keys, "__c"]).where((F.col("__r") >= F.col("__begin")) & (F.col("__r") < F.col("__end")))
+    asked = [F.struct(F.lit(j).alias("__j"), F.lit(i).alias("__i"), F.least(below(q) + i, F.col("__all") - 1).alias("__r"), (rank(q) - below(q)).alias("__part")) for j, q in enumerate(shares) for i in (0, 1)]
+    want = written(per.select(*one, "__d", F.inline(F.array(*asked))), "ranks")
+
+    def inside(cell: DataFrame) -> DataFrame:
+        """The counted values of each cell: keys, __lo, __hi, __v, __n."""
+        return join_same(counts, cell.select(*one).distinct(), keys).where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+
+    log = True
+    while want.where(F.col("__d") > largest).limit(1).count():
+        large = want.where(F.col("__d") > largest)
+        split = inside(large).withColumn("__c", _cell("__v", log, cells)).groupBy(*one, "__c").agg(F.sum("__n").alias("__n"), F.count("*").alias("__m"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
+        split = split.withColumn("__to", F.sum("__n").over(Window.partitionBy(*one).orderBy("__c"))).withColumn("__from", F.col("__to") - F.col("__n"))
+        met = join_same(large, split, one).where((F.col("__r") >= F.col("__from")) & (F.col("__r") < F.col("__to")))
+        next_ = met.select(*keys, F.col("__a").alias("__lo"), F.col("__b").alias("__hi"), F.col("__m").alias("__d"), "__j", "__i", (F.col("__r") - F.col("__from")).alias("__r"), "__part")
+        want, log = written(want.where(F.col("__d") <= largest).unionByName(next_), "ranks"), False
+    ordered = inside(want).withColumn("__end", F.sum("__n").over(Window.partitionBy(*one).orderBy("__v")))
+    hit = join_same(want, ordered.select(*one, "__v", "__n", "__end"), one).where((F.col("__r") < F.col("__end")) & (F.col("__r") >= F.col("__end") - F.col("__n")))
     low, high = (F.max(F.when(F.col("__i") == i, F.col("__v"))) for i in (0, 1))
     each = hit.groupBy(*keys, "__j", "__part").agg((low + (high - low) * F.col("__part")).alias("__q"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__j", "__q"))), lambda x: x["__q"]).alias("q"))

@@ -214,12 +214,35 @@ def _(s, d):
 
 @query("c06_word_diff", "select a.item_id as a_id, md5(a.text) as a_text, md5(b.text) as b_text, 0 as doubled from benchmark a join benchmark b on b.item_id = a.item_id + 1")
 def _(s, d):
-    b = table(s, d, "benchmark")
-    pairs = b.select(F.col("item_id").alias("a_id"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("a_id"), F.col("text").alias("b")), "a_id")
     side = lambda x: F.md5(F.array_join(F.transform("ops", lambda o: o[x]), ""))
     # both texts come back from the runs, and no two neighbours are of one kind
     doubled = F.size(F.filter(F.transform("ops", lambda o, i: o["op"] == F.get("ops", i + 1)["op"]), lambda same: F.coalesce(same, F.lit(False))))
-    return D.word_diff(pairs, "a", "b").select("a_id", side("a").alias("a_text"), side("b").alias("b_text"), doubled.alias("doubled"))
+    return D.word_diff(item_pairs(s, d), "a", "b").select("a_id", side("a").alias("a_text"), side("b").alias("b_text"), doubled.alias("doubled"))
+
+
+def item_pairs(s, d):
+    b = table(s, d, "benchmark")
+    return b.select(F.col("item_id").alias("a_id"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("a_id"), F.col("text").alias("b")), "a_id")
+
+
+TOKEN_SQL = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_''’-]+|\\s+|[^\\p{{L}}\\p{{N}}_''’\\s-]'), lambda t: case when trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' then ' ' else t end)"
+
+
+@query("c06_common_tokens", f"""with recursive p as (select a.item_id as a_id, {TOKEN_SQL.format('a.text')} as x, {TOKEN_SQL.format('b.text')} as y from benchmark a join benchmark b on b.item_id = a.item_id + 1),
+ k as (select a_id, x, y, 0 as i, list_transform(range(len(y) + 1), lambda v: 0::bigint) as r from p
+   union all select a_id, x, y, i + 1, list_reduce(range(1, len(y) + 1), lambda c, j: list_append(c, case when x[i + 1] = y[j] then r[j] + 1 else greatest(r[j + 1], c[j]) end), [0::bigint]) from k where i < len(x))
+ select a_id, r[len(r)] as same, (len(x) + 1) * (len(y) + 1) > 40000000 as coarse from k where i = len(x)""")
+def _(s, d):
+    """Tokens in `same` runs: the length of a longest common subsequence, which SQL counts on its own."""
+    size = F.aggregate(F.filter("ops", lambda o: o["op"] == "same"), F.lit(0).cast("bigint"), lambda n, o: n + F.size(F.regexp_extract_all(o["a"], F.lit(r"[\p{L}\p{N}_'’-]+|\s+|[^\p{L}\p{N}_'’\s-]"), F.lit(0))))
+    return D.word_diff(item_pairs(s, d), "a", "b", 40_000_000).select("a_id", size.alias("same"), "coarse")
+
+
+@query("c06_coarse", f"""select a.item_id as a_id, (len({TOKEN_SQL.format("'x ' || a.text || ' x'")}) + 1) * (len({TOKEN_SQL.format("'y ' || b.text || ' y'")}) + 1) > 10000 as coarse from benchmark a join benchmark b on b.item_id = a.item_id + 1""")
+def _(s, d):
+    """Which pairs, made to begin and end differently, are too long to be aligned word by word."""
+    framed = lambda c, by: F.concat(F.lit(f"{by} "), c, F.lit(f" {by}")).alias(c)
+    return D.word_diff(item_pairs(s, d).select("a_id", framed("a", "x"), framed("b", "y")), "a", "b", 10_000).select("a_id", "coarse")
 
 
 @query("src02_content_hash", "select doc_id, md5(text) as content_hash from documents")

@@ -279,6 +279,19 @@ def _(s, d):
     return u.select("file_id", "stage_index", "node_id", "entry", F.col("position").cast("bigint").alias("position"), "name", "strength_model", "strength_clip", "enabled", "reachable")
 
 
+def ordered_prompts(s, d):
+    """(file_id, prompt_json): a power loader whose entries are not in the order of their names, from orders."""
+    entry = lambda name, file: F.concat(F.lit(f'"{name}":{{"on":true,"lora":"'), F.lit(file), F.col("o_custkey").cast("string"), F.lit('","strength":1}'))
+    turn = F.when(F.col("o_orderkey") % 2 == 0, F.concat(entry("lora_b", "b"), F.lit(","), entry("lora_a", "a"))).otherwise(F.concat(entry("lora_a", "a"), F.lit(","), entry("lora_b", "b")))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit('{"1":{"inputs":{'), entry("LORA_9", "z"), F.lit(',"x":1,'), turn, F.lit(',"lora_10":{"on":true,"lora":"None","strength":1}},"class_type":"Power Lora Loader (rgthree)"}}')).alias("prompt_json"))
+
+
+@query("e04_entry_order", """select o_orderkey as file_id, entry, case when entry = 'LORA_9' then 0 when (entry = 'lora_b') = (o_orderkey % 2 = 0) then 1 else 2 end as place from orders, (values ('LORA_9'), ('lora_a'), ('lora_b')) v(entry)""")
+def _(s, d):
+    prompts = ordered_prompts(s, d)
+    return G.power_entries(G.graph_nodes(prompts), G.field_order(prompts)).select("file_id", "entry", "place")
+
+
 @query("g13_switched_off", "select o_orderkey as file_id, 'P' as node_id, 'lora_1' as entry from orders where o_orderkey % 2 = 1")
 def _(s, d):
     n, e, _ = rich(s, d)

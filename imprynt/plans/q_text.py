@@ -205,15 +205,35 @@ def _(s, d):
 FOLD = ("äöüßàâçéèêëîïôûùáíóúñ", "aousaaceeeeiiouuaioun")
 
 
-@query("t07_sentence_clusters", f"""with recursive {X.ORACLE}, b as (select grp, sentence, sum(w)::bigint as df, row_number() over (partition by grp order by sum(w) desc, sentence) as rank from sents join weights using (key) group by grp, sentence qualify rank <= 100),
+T07 = f"""with recursive {X.ORACLE}, b as (select grp, sentence, sum(w)::bigint as df, row_number() over (partition by grp order by sum(w) desc, sentence) as rank from sents join weights using (key) group by grp, sentence qualify rank <= 100),
  l as (select a.grp, a.rank as i, c.rank as j from b a join b c on a.grp = c.grp and a.rank < c.rank where 1 - levenshtein(translate(a.sentence, '{FOLD[0]}', '{FOLD[1]}'), translate(c.sentence, '{FOLD[0]}', '{FOLD[1]}')) / greatest(length(a.sentence), length(c.sentence)) >= 0.5),
  ends as (select grp, i, j from l union select grp, j, i from l), r as (select grp, rank as i, rank as c from b union select ends.grp, ends.j, r.c from r join ends on ends.grp = r.grp and ends.i = r.i),
- m as (select grp, i, min(c) as c from r group by all), z as (select *, count(*) over (partition by grp, c) as n from m), o as (select *, dense_rank() over (partition by grp order by c) as o from z where n > 1)
- select o.grp, h.sentence as cluster, b.sentence, b.df from o join b on b.grp = o.grp and b.rank = o.i join b h on h.grp = o.grp and h.rank = o.c where o <= 20""")
+ m as (select grp, i, min(c) as c from r group by all), z as (select *, count(*) over (partition by grp, c) as n from m), o as (select *, dense_rank() over (partition by grp order by c) as o from z where n > 1),
+ fin as (select o.grp, h.sentence as cluster, b.sentence, b.df from o join b on b.grp = o.grp and b.rank = o.i join b h on h.grp = o.grp and h.rank = o.c where o <= 20)"""
+
+
+@query("t07_sentence_clusters", T07 + " select * from fin")
 def _(s, d):
     return T.sentence_clusters(frames(s, d), weighted(s, d), 0.5, fold=FOLD).withColumnRenamed("group", "grp")
 
 
+def t07(s, d, **options):
+    return T.sentence_clusters(frames(s, d), weighted(s, d), 0.5, fold=FOLD, **options)
+
+
+@query("t07_cluster_files", T07 + """, ks as (select distinct f.grp, f.cluster, s.key from fin f join sents s using (sentence)), h as (select k.grp, ks.cluster, k.key, k.file_id, row_number() over (partition by k.grp, ks.cluster order by k.generated_at desc, k.file_id desc) as r from keyed k join ks on ks.grp = k.grp and ks.key = k.key)
+ select grp, cluster, count(*) as images, count(distinct key) as prompts, array_to_string(list(file_id order by r) filter (r <= 6), '|') as examples from h group by all""")
+def _(s, d):
+    x = T.cluster_files(frames(s, d), keyed(s, d), t07(s, d))
+    return x.select(F.col("group").alias("grp"), "cluster", "images", "prompts", joined("examples"))
+
+
+@query("t07_difflib_clusters")
+def _(s, d):
+    """By matching blocks instead of edits: tested against all pairs by difflib itself."""
+    return T.sentence_clusters(frames(s, d), weighted(s, d), 0.7, metric="difflib").withColumnRenamed("group", "grp")
+
+
 @query("t08_group_sizes", f"with {X.ORACLE} select grp, total::bigint as total, prompts from totals")
 def _(s, d):
     return weighted(s, d).groupBy(F.col("group").alias("grp")).agg(F.sum("w").alias("total"), F.count("*").alias("prompts"))

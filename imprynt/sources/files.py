@@ -56,9 +56,9 @@ def with_image_header(files: DataFrame) -> DataFrame:
     png = F.hex(F.substring(c, 1, 8)) == "89504E470D0A1A0A"
     jpeg = F.coalesce(F.hex(F.substring(c, 1, 3)) == "FFD8FF", F.lit(False))
     side = lambda at: F.when(png & (F.octet_length(c) >= 24), F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("int"))
-    size = F.pandas_udf(_frame_sizes, "width int, height int")(c)
-    framed = files.where(jpeg).withColumn("__s", size).withColumns({"format": F.lit("jpeg"), "width": F.col("__s.width"), "height": F.col("__s.height")}).drop("__s")
-    return files.where(~jpeg).withColumns({"format": F.when(png, "png"), "width": side(17), "height": side(21)}).unionByName(framed)
+    framed = F.pandas_udf(_frame_sizes, "width int, height int")(F.when(jpeg, c))
+    sized = files.withColumn("__s", framed)
+    return sized.withColumns({"format": F.when(png, "png").when(jpeg, "jpeg"), "width": F.coalesce("__s.width", side(17)), "height": F.coalesce("__s.height", side(21))}).drop("__s")
 
 
 def _text(raw: bytes) -> str:
@@ -160,7 +160,7 @@ def _frame_size(data: bytes) -> tuple[int | None, int | None]:
 
 
 def _frame_sizes(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_frame_size(bytes(c)) for c in content], columns=["width", "height"], dtype="Int32")
+    return pd.DataFrame([_frame_size(bytes(c or b"")) for c in content], columns=["width", "height"], dtype="Int32")
 
 
 def _jpeg_texts(data: bytes):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from imprynt.sources.files import EXCLUDE, EXTENSIONS, relevant
+from imprynt.sources.files import EXCLUDE, EXTENSIONS, relevant, upsert_catalog
 
 
 def watch_source(spark: SparkSession, root: str, most: int = 1000, extensions=EXTENSIONS, exclude=EXCLUDE) -> DataFrame:
@@ -51,6 +51,23 @@ def dedupe_stream(events: DataFrame, keys: list[str], time: str | None = None, h
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
 
 
+def index_stream(source: DataFrame, catalog: str, key: str, checkpoint: str):
+    """A snapshot for each micro-batch, for small catalogs of which every version is wanted whole (see catalog for one
+    that is written by its changes): a batch writes version `batch id + 1` from version `batch id`, so a batch that runs
+    again writes the same version again. Of a key's rows the one of the largest seq stays, whatever the order in which
+    they come."""
+
+    def merge(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        new = batch.groupBy(key).agg(*(F.max_by(c, F.col("seq")).alias(c) for c in batch.columns if c != key))
+        old = spark.read.parquet(f"{catalog}/v{batch_id}") if batch_id else spark.createDataFrame([], new.schema)
+        newer = old.select(key, F.col("seq").alias("__seq"))
+        new = new.join(newer, key, "left").where("__seq is null or seq >= __seq").drop("__seq")
+        upsert_catalog(old, new, key).write.mode("overwrite").parquet(f"{catalog}/v{batch_id + 1}")
+
+    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("update")
+
+
 class QuietTimer(StatefulProcessor):
     """One row for each key once `quiet` ms have passed since its last event came: (key, count, first, last) in ms of
     processing time. Each event puts the timer off; nothing of a key is left once it has fired."""

@@ -138,3 +138,91 @@ def test_page_after_continues_a_page(spark):
     first = listing.page(df, "steps", True, 0, 5).orderBy("place").collect()
     rest = listing.page_after(df, "steps", True, first[-1]["steps"], first[-1]["id"], 50).collect()
     assert [r["id"] for r in first] + [r["id"] for r in rest] == [11, 7, 10, 6, 2, 9, 5, 1, 8, 4, 0]
+
+
+def test_levels_and_cycles_of_large_graphs_once_for_each_graph(spark):
+    """20,000 links in seconds; files with the same graph are one call."""
+    import time
+
+    from imprynt.operators import graph
+
+    n = 10_000
+    links = [(1, str(i + 1), str(i)) for i in range(n - 1)] + [(1, str(i + 2), str(i)) for i in range(n - 2)]
+    edges = spark.createDataFrame(links, "file_id long, dst string, src string")
+    nodes = spark.range(n).selectExpr("1L as file_id", "string(id) as node_id")
+    began = time.time()
+    levels = {r["node_id"]: r["level"] for r in graph.levels(edges, nodes).collect()}
+    assert levels == {str(i): i for i in range(n)} and graph.cyclic(edges).count() == 0
+    ring = edges.unionByName(spark.createDataFrame([(1, "5000", "9999")], "file_id long, dst string, src string"))
+    assert len(graph.cyclic(ring).first()["stuck"].split(",")) == n - 5000
+    assert graph.levels(ring, nodes).where("level is null").count() == n - 5000
+    assert time.time() - began < 60
+    many = spark.range(300).selectExpr("id as file_id", "explode(array(struct('b' as dst, 'a' as src), struct('c' as dst, string(if(id % 3 = 0, 'a', 'b')) as src))) as x").select("file_id", "x.*")
+    graphs = graph._graphs(many, None)
+    assert graph.ordered_once(graphs).count() == 2
+    each = {(r["file_id"], r["node_id"]): r["level"] for r in graph.levels(many, many.selectExpr("file_id", "explode(array('a', 'b', 'c')) as node_id")).collect()}
+    assert len(each) == 900 and {each[i, "c"] for i in range(0, 300, 3)} == {1} and {each[i, "c"] for i in range(1, 300, 3)} == {2}
+
+
+def test_quantiles_of_heavy_tails_and_odd_values(spark):
+    """Split until small: no task orders more than `largest` values, and the result is exact."""
+    import numpy as np
+
+    from imprynt.operators import stats
+
+    rnd = np.random.default_rng(3)
+    groups = {"tail": rnd.pareto(1.1, 20_000) + 1, "both": np.concatenate([-(rnd.pareto(0.5, 4000)), rnd.pareto(0.3, 4001)]), "tiny": np.concatenate([rnd.random(500) * 1e-300, [1e300, -1e300]]), "near": 1e15 + rnd.integers(0, 3000, 3000), "one": np.array([2.5]), "same": np.full(50, -7.0)}
+    values = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("none", None), (None, 1.0), (None, 2.0)], "g string, v double")
+    shares = (0.0, 0.25, 0.5, 0.75, 1.0)
+    for largest, cells in ((stats.LARGEST_CELL, stats.CELLS), (40, 16)):
+        got = {r["g"]: r["q"] for r in stats.quantiles(values, ["g"], "v", shares, largest, cells).collect()}
+        assert set(got) == {*groups, None} and got[None] == [1.0, 1.25, 1.5, 1.75, 2.0]
+        for g, xs in groups.items():
+            xs = np.sort(xs)
+            at = [q * (len(xs) - 1) for q in shares]
+            want = [xs[int(r)] + (xs[min(int(r) + 1, len(xs) - 1)] - xs[int(r)]) * (r - int(r)) for r in at]
+            assert np.allclose(got[g], want, rtol=1e-12, atol=0), g
+
+
+def test_difflib_clusters_are_those_of_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from imprynt.operators import prompts as T
+
+    rnd = random.Random(2)
+    words = "a red fox in the snow under an old oak by night".split()
+    texts = [" ".join(rnd.sample(words, 6)) + "." for _ in range(25)] + ["A quick Fox jumps over it.", "a quick fox jumped over it."] + ["x" * 250 + " tail one.", "x" * 250 + " tail two."]
+    frames = T.build_frames(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "file_id long, positive_prompt string, negative_prompt string"))
+    weighted = frames.texts.selectExpr("'g' as group", "key", "1L as w")
+    got = {}
+    for r in T.sentence_clusters(frames, weighted, 0.7, top=100, metric="difflib").collect():
+        got.setdefault(r["cluster"], set()).add(r["sentence"])
+    own = sorted({r["sentence"] for r in frames.sentences.collect()})
+    top = {s: s for s in own}
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            if SequenceMatcher(None, a.casefold(), b.casefold()).ratio() >= 0.7:
+                x, y = top[a], top[b]
+                top = {k: min(x, y) if v in (x, y) else v for k, v in top.items()}
+    want = {}
+    for s, t in top.items():
+        want.setdefault(t, set()).add(s)
+    assert got == {k: v for k, v in want.items() if len(v) > 1}
+
+
+def test_entries_follow_the_document(spark):
+    from imprynt.operators import graph
+
+    entry = '{"on": true, "lora": "x", "strength": 1}'
+    text = '{"1": {"inputs": {"lora_b": %s, "z": 1, "Lora_a": %s, "lora_10": %s, "lora_9": %s}, "class_type": "Power Lora Loader (rgthree)"}, "2": {"class_type": "KSampler"}}' % (entry, entry, entry, entry)
+    prompts = spark.createDataFrame([(1, text), (2, "no json"), (3, None)], "file_id long, prompt_json string")
+    rows = graph.power_entries(graph.graph_nodes(prompts), graph.field_order(prompts)).orderBy("place").collect()
+    assert [r["entry"] for r in rows] == ["lora_b", "Lora_a", "lora_10", "lora_9"]
+    assert [r["entry"] for r in graph.power_entries(graph.graph_nodes(prompts)).orderBy("place").collect()] == ["Lora_a", "lora_b", "lora_9", "lora_10"]
+
+
+def test_coarse_differences_are_told(spark):
+    df = spark.createDataFrame([("x a b c y", "x d e f y"), ("same", "same"), (None, "z")], "a string, b string")
+    assert [r["coarse"] for r in compare.word_diff(df, "a", "b", 4).collect()] == [True, False, False]
+    assert not any(r["coarse"] for r in compare.word_diff(df, "a", "b").collect())
