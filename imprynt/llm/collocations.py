@@ -1,24 +1,22 @@
 """Operator 13, phrase collocation mining: multikey three-way quicksort of suffix pointers.
 
-A suffix is a word with what follows it in its piece, to DEPTH = 3 words. Tasks merge equal suffixes
-of a block of texts and write them by leading word: a row for each (lang, first word, bucket of the
-second), with the second and third words and how often each was met, in order. Suffixes are then
-routed by leading words, so that all with the same ones meet in one group:
-
-- by the first word and the bucket of the second, for a lead of at most GROUP / 4 different suffixes
-  of all blocks (or a 2^20th of all, if that is more: so there are at most 2^20 others, and a
-  broadcast of them is bounded);
-- beyond, by the first two words; pairs which are still beyond, by all three. These add up their
-  counts for two words afterwards.
+A suffix is a word with what follows it in its piece, to DEPTH = 3 words. A first pass counts words. In
+a second, tasks merge the equal suffixes of a block of texts and route them by leading words, up to
+the first that is not hot: a word met at most GROUP / 4 times (or a 2^20th of all, if that is more, so
+that at most 2^20 words are hot and a broadcast of them is bounded). All suffixes with the same
+leading words so meet in one group, which holds no more than what is met with one word that is not
+hot; suffixes of hot words alone are few different ones in a block, and are routed by all three. What
+goes from a block to a group is one row, its words in order as three strings.
 
 In a group, pointers are sorted by multikey three-way quicksort, all partitions of a round at once:
 a partition of pointers is parted into less than, equal to and greater than a pivot's word at its
 depth; equal ones go on at the next word. The size of an equal partition is a phrase's count. As all
 suffixes with its leading words are here, any partition below `least` is given up: nothing in it can
-reach that. What counts too little is never sorted further.
+reach that. What counts too little is never sorted further. Only two hot words in a row are counted
+in several groups, and those counts are added up.
 
-Counts of single words come from the rows' sums; scores, cuts and the test of longer phrases are
-joins of the frequent phrases. All numbers that are multiplied are decimals of 38 digits.
+Scores, cuts and the test of longer phrases are joins of the frequent phrases. All numbers that are
+multiplied are decimals of 38 digits.
 
 Null text counts as empty, null lang as `und`; empty texts and pieces have no word. Repeated rows
 count again. Equal scores and counts are in the order of the phrase's bytes. A long text is cut
@@ -39,10 +37,11 @@ from imprynt.llm.common import table, written
 from imprynt.llm.words import END, blocks, kinds, words
 
 NAME = "op13_collocations"
-DEPTH, BUCKETS = 3, 64
-BLOCK, GROUP, MOST_HOT = 12 << 20, 1_000_000, 1 << 20
+DEPTH = 3
+BLOCK, GROUP, MOST_HOT = 16 << 20, 1_000_000, 1 << 20
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
-SUFFIXES = "lang string, w1 string, b int, m long, k long, w2 array<string>, w3 array<string>, n array<long>"
+COUNTS = "lang string, w1 string, m long"
+ROUTED = "route long, lang string, w1 string, w2 string, w3 string, n array<int>"
 
 
 def merged(lead: np.ndarray, two: np.ndarray, three: np.ndarray, sizes: tuple[int, int]) -> tuple[np.ndarray, ...]:
@@ -57,46 +56,78 @@ def merged(lead: np.ndarray, two: np.ndarray, three: np.ndarray, sizes: tuple[in
     return lead[at], two[at], three[at], np.diff(np.append(at, len(lead)))
 
 
-def suffixes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """SUFFIXES of docs(lang, text): m occurrences and k different suffixes of more than one word, whose second and third
-    words ('' behind the end of a piece) and counts are in the arrays."""
-
-    def rows(body: np.ndarray, at: np.ndarray, row: np.ndarray, lang: pa.DictionaryArray):
-        found, text, piece = words(body, at, KIND)
-        if not len(found):
-            return
-        coded = found.dictionary_encode()
-        names, one = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
-        hashed = np.fromiter((zlib.crc32(w.encode()) for w in names.to_pylist()), np.int64, len(names)) % BUCKETS
-        by_bucket = np.argsort(hashed, kind="stable")  # second and third words are numbered by bucket, from 1
-        number = np.empty(len(names), np.int64)
-        number[by_bucket] = np.arange(1, len(names) + 1)
-        two, three = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
-        on, further = piece[1:] == piece[:-1], piece[2:] == piece[:-2]
-        two[:-1][on] = number[one[1:][on]]
-        three[:-2][further] = number[one[2:][further]]
-        lead = lang.indices.to_numpy().astype(np.int64)[row[text]] * len(names) + one
-        lead, two, three, n = merged(lead, two, three, (len(lang.dictionary) * len(names), len(names) + 1))
-        bucket = np.where(two > 0, hashed[by_bucket[np.maximum(two, 1) - 1]], 0)  # no second word: with the first bucket, just before it
-        start = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (bucket[1:] != bucket[:-1])))
-        more = two > 0
-        k = np.add.reduceat(more.astype(np.int64), start)
-        offsets = pa.array(np.append(0, np.cumsum(k)), pa.int32())
-        second, third = names.take(pa.array(by_bucket[two[more] - 1])), pa.concat_arrays([pa.array([""]), names.take(pa.array(by_bucket))]).take(pa.array(three[more]))
-        lists = [pa.ListArray.from_arrays(offsets, x) for x in (second, third, pa.array(n[more]))]
-        whole = pa.RecordBatch.from_arrays([
-            lang.dictionary.cast(pa.string()).take(pa.array(lead[start] // len(names))), names.take(pa.array(lead[start] % len(names))), pa.array(bucket[start], pa.int32()), pa.array(np.add.reduceat(n, start)), pa.array(k), *lists,
-        ], ["lang", "w1", "b", "m", "k", "w2", "w3", "n"])
-        for lo in range(0, whole.num_rows, 20_000):
-            yield whole.slice(lo, 20_000)
+def _coded(docs: DataFrame, make, schema: str, block: int) -> DataFrame:
+    """make(lang, names, row of each word's lang, ids, piece) for each block of docs(lang, text); names are its words."""
 
     def look(batches):
         for b in batches:
             lang = b.column(0).fill_null("und").dictionary_encode()
             for body, at, row in blocks(b.column(1), KIND, block, END):
-                yield from rows(body, at, row, lang)
+                found, text, piece = words(body, at, KIND)
+                if len(found):
+                    coded = found.dictionary_encode()
+                    yield from make(lang.dictionary.cast(pa.string()), coded.dictionary.cast(pa.string()), lang.indices.to_numpy().astype(np.int64)[row[text]], coded.indices.to_numpy().astype(np.int64), piece)
+
+    return docs.select(F.col("lang").cast("string"), "text").mapInArrow(look, schema)
+
+
+def word_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(lang, w1, f): how often each word is met."""
+
+    def count(langs, names, lang, ids, _):
+        key, m = np.unique(lang * len(names) + ids, return_counts=True)
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(key // len(names))), names.take(pa.array(key % len(names))), pa.array(m, pa.int64())], ["lang", "w1", "m"])
 
-    return docs.select(F.col("lang").cast("string"), "text").mapInArrow(look, SUFFIXES)
+    return _coded(docs, count, COUNTS, block).groupBy("lang", "w1").agg(F.sum("m").alias("f"))
+
+
+def _mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    h = (h ^ more) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+def routed(docs: DataFrame, counts: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """ROUTED: the suffixes of more than one word of each block for each group: their words, joined by blanks (an empty
+    third one behind the end of a piece), and how often each is met. Routes below zero are by all three words."""
+    total = counts.agg(F.sum("f")).first()[0] or 0
+    routes, most = max(1, -(-total // group)), max(group // 4, total // MOST_HOT)
+    hot = counts.where(F.col("f") > most).select("lang", "w1").collect()  # at most 2^20 words
+    by_lang: dict[str, list[str]] = {}
+    for r in hot:
+        by_lang.setdefault(r["lang"], []).append(r["w1"])
+    known = docs.sparkSession.sparkContext.broadcast(by_lang)
+
+    def send(langs, names, lang, ids, piece):
+        size = len(names)
+        on, further = piece[1:] == piece[:-1], piece[2:] == piece[:-2]
+        two, three = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)  # 0 is none
+        two[:-1][on] = ids[1:][on] + 1
+        three[:-2][further] = ids[2:][further] + 1
+        lead = lang * size + ids
+        lead, two, three, n = merged(lead[two > 0], two[two > 0], three[two > 0], (len(langs) * size, size + 1))
+        if not len(n):
+            return
+        lang, one, two = lead // size, lead % size, two - 1
+        texts = langs.to_pylist()
+        is_hot = np.stack([pc.is_in(names, value_set=pa.array(known.value.get(t, []), pa.string())).to_numpy(zero_copy_only=False) for t in texts])
+        h = np.fromiter((zlib.crc32(w.encode()) for w in names.to_pylist()), np.uint64, size)
+        own = np.array([zlib.crc32(t.encode()) for t in texts], np.uint64)[lang]
+        first, second = is_hot[lang, one], is_hot[lang, two]
+        to = _mixed(own, h[one])
+        to = np.where(first, _mixed(to, h[two]), to)
+        deep = first & second
+        to = np.where(deep, _mixed(to, np.append(np.uint64(1), h)[three]), to)
+        to = (to % np.uint64(routes)).astype(np.int64)
+        to = np.where(deep, -1 - to, to)
+        order = np.argsort((to + routes) * len(texts) + lang, kind="stable")
+        to, lang, one, two, three, n = (x[order] for x in (to, lang, one, two, three, n))
+        start = np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (lang[1:] != lang[:-1])))
+        offsets = pa.array(np.append(start, len(to)), pa.int32())
+        ends = pa.concat_arrays([pa.array([""]), names])
+        columns = [pc.binary_join(pa.ListArray.from_arrays(offsets, x), " ") for x in (names.take(pa.array(one)), names.take(pa.array(two)), ends.take(pa.array(three)))]
+        yield pa.RecordBatch.from_arrays([pa.array(to[start]), langs.take(pa.array(lang[start])), *columns, pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], ["route", "lang", "w1", "w2", "w3", "n"])
+
+    return _coded(docs, send, ROUTED, block)
 
 
 def equal_parts(keys: np.ndarray, weights: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,57 +162,36 @@ def equal_parts(keys: np.ndarray, weights: np.ndarray, least: tuple[int, ...]) -
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def routed(rows: DataFrame, group: int = GROUP) -> DataFrame:
-    """(route, lang, w1, w2, w3, n) of SUFFIXES rows: see above. Routes below zero hold pairs dealt out by three words."""
-    leads = rows.groupBy("lang", "w1", "b").agg(F.sum("k").alias("k"))
-    total = rows.agg(F.sum("k")).first()[0] or 0
-    routes, most = max(1, -(-total // group)), max(group // 4, total // MOST_HOT)
-    hot = written(leads.where(F.col("k") > most).select("lang", "w1", "b", F.lit(True).alias("hot")), "hot_leads")
-    route = lambda *c: F.pmod(F.xxhash64(*c), F.lit(routes))
-    known = rows.where("k > 0").join(F.broadcast(hot), ["lang", "w1", "b"], "left")
-    plain = known.where("hot is null").select(route("lang", "w1", "b").alias("route"), "lang", "w1", "w2", "w3", "n")
-    if hot.isEmpty():
-        return plain
-    each = known.where("hot").select("lang", "w1", F.inline(F.arrays_zip("w2", "w3", "n")))
-    pairs = written(each.groupBy("lang", "w1", "w2").count().where(F.col("count") > most).select("lang", "w1", "w2", F.lit(True).alias("hot")), "hot_pairs")
-    dealt = each.join(F.broadcast(pairs), ["lang", "w1", "w2"], "left")
-    to = F.when(F.col("hot"), -1 - route("lang", "w1", "w2", "w3")).otherwise(route("lang", "w1", "w2"))
-    return plain.unionByName(dealt.select(to.alias("route"), "lang", "w1", F.array("w2").alias("w2"), F.array("w3").alias("w3"), F.array("n").alias("n")))
-
-
-def frequent(rows: DataFrame, least: int, group: int = GROUP) -> DataFrame:
-    """(lang, w1, w2, w3, a): the phrases of two (w3 is null) and three words met `least` times or more."""
+def frequent(rows: DataFrame, least: int) -> DataFrame:
+    """(lang, w1, w2, w3, a): the phrases of two (w3 is null) and three words met `least` times or more, of ROUTED."""
 
     def parts(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in t["n"].chunks])
-        lang, one = (t[c].combine_chunks().dictionary_encode() for c in ("lang", "w1"))
-        lead = lang.indices.to_numpy().astype(np.int64) * len(one.dictionary) + one.indices.to_numpy()
-        flat = pa.concat_arrays([x.flatten().cast(pa.large_string()) for c in ("w2", "w3") for x in t[c].chunks]).dictionary_encode()
-        ids, weights = flat.indices.to_numpy(), np.concatenate([x.flatten().to_numpy() for x in t["n"].chunks])
-        half = len(weights)
-        _, lead = np.unique(lead, return_inverse=True)
-        keys = np.stack([np.repeat(lead, size).astype(np.int32), ids[:half], ids[half:]])
-        low = (1, 1, least) if key[0].as_py() < 0 else (least,) * DEPTH
-        depth, at, a = equal_parts(keys, weights, low)
+        size = pc.list_value_length(t["n"]).to_numpy()
+        weights = t["n"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        flat = pa.concat_arrays([pc.split_pattern(x.cast(pa.large_string()), " ").flatten() for c in ("w1", "w2", "w3") for x in t[c].chunks]).dictionary_encode()
+        langs = t["lang"].combine_chunks().dictionary_encode()
+        ids = flat.indices.to_numpy().reshape(3, -1)
+        lead = np.repeat(langs.indices.to_numpy().astype(np.int64), size) * len(flat.dictionary) + ids[0]
+        keys = np.stack([np.unique(lead, return_inverse=True)[1].astype(np.int32), ids[1], ids[2]])
+        depth, at, a = equal_parts(keys, weights, (1, 1, least) if key[0].as_py() < 0 else (least,) * DEPTH)
         ended = flat.dictionary.index(pa.scalar("", pa.large_string())).as_py()
-        keep = (depth == 1) | ((depth == 2) & (keys[2][at] != ended))
+        keep = (depth == 1) | ((depth == 2) & (ids[2][at] != ended))
         depth, at, a = depth[keep], at[keep], a[keep]
-        owner = pa.array(np.repeat(np.arange(len(size)), size)[at])
-        word = lambda d: flat.dictionary.take(pa.array(keys[d][at])).cast(pa.string())
+        word = lambda d: flat.dictionary.take(pa.array(ids[d][at])).cast(pa.string())
         third = pc.if_else(pa.array(depth == 2), word(2), pa.scalar(None, pa.string()))
-        return pa.table({"lang": t["lang"].combine_chunks().take(owner), "w1": t["w1"].combine_chunks().take(owner), "w2": word(1), "w3": third, "a": pa.array(a, pa.int64())})
+        lang = langs.take(pa.array(np.repeat(np.arange(len(size)), size)[at])).cast(pa.string())
+        return pa.table({"lang": lang, "w1": word(0), "w2": word(1), "w3": third, "a": pa.array(a, pa.int64())})
 
-    found = routed(rows, group).groupBy("route").applyInArrow(parts, "lang string, w1 string, w2 string, w3 string, a long")
+    found = rows.groupBy("route").applyInArrow(parts, "lang string, w1 string, w2 string, w3 string, a long")
     return found.groupBy("lang", "w1", "w2", "w3").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of each lang."""
-    rows = written(suffixes(docs, block), "suffixes")
-    each = rows.groupBy("lang", "w1").agg(F.sum("m").alias("f"))
-    every = rows.groupBy("lang").agg(F.sum("m").alias("n"))
-    ones = written(each.where(F.col("f") >= least), "words")
-    found = written(frequent(rows, least, group), "phrases")
+    counts = written(word_counts(docs, block), "words")
+    every = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    ones = counts.where(F.col("f") >= least)
+    found = written(frequent(routed(docs, counts, group, block), least), "phrases")
     twos, threes = found.where("w3 is null").drop("w3"), found.where("w3 is not null")
     word = lambda c, f: ones.select("lang", F.col("w1").alias(c), F.col("f").alias(f))
     pair = lambda x, y, f: twos.select("lang", F.col("w1").alias(x), F.col("w2").alias(y), F.col("a").alias(f))
