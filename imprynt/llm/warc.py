@@ -39,10 +39,11 @@ from imprynt.llm.common import table
 NAME = "op1_warc_derivatives"
 RECORD = "type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, block string"
 RESPONSE = "response_id string, target_uri string, date string, source_digest string, headers map<string,string>, html string"
-#: Elements that go with all they hold, and tags that end a line.
-HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|nav\b.*?(?:<(?:/nav\s*>|(?:main|article|/header|/body)\b[^>]*>)|\z)|head\b.*?(?:<(?:/head\s*>|body\b[^>]*>)|\z))"
-BREAKS = r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|blockquote))\b[^>]*>"
-TAGS = "<[a-zA-Z/!][^>]*>"
+#: Elements that go with all they hold, and tags that end a line. A tag ends before the next one begins: so no pattern
+#: looks further than that from any place, however many tags are left open.
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|nav\b.*?(?:<(?:/nav\s*>|(?:main|article|/header|/body)\b[^<>]*>)|\z)|head\b.*?(?:<(?:/head\s*>|body\b[^<>]*>)|\z))"
+BREAKS = r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|blockquote))\b[^<>]*>"
+TAGS = "<[a-zA-Z/!][^<>]*>"
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -79,7 +80,9 @@ def with_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame
 
 
 def title(html: Column) -> Column:
-    return F.trim(_decoded(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")))
+    # what is behind the first title tag, then what is before the first end of one: each is looked for once
+    rest = F.regexp_extract(html, r"(?is)<title[^<>]*>(.*)", 1)
+    return F.trim(_decoded(F.regexp_replace(F.regexp_extract(rest, r"(?is)^(.*?)</title", 1), r"\s+", " ")))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -92,7 +95,7 @@ def derivatives(found: DataFrame, keep: list[str]) -> DataFrame:
     """RECORD rows, two for each response, with the columns in keep before them."""
     names = F.array_sort(F.map_keys(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
     lines = F.array_join(F.transform(names, lambda k: F.concat(F.lit("source-header-"), k, F.lit(": "), F.regexp_replace(F.coalesce(F.col("headers")[k], F.lit("")), r"[\r\n]+", " "), F.lit("\r\n"))), "")
-    made = with_text(found).select(*keep, "response_id", "target_uri", "date", "source_digest", "text", title(F.col("html")).alias("title"), F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z-]+)", 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href="), F.lit(0))).alias("links"), F.octet_length("html").alias("size"), F.when(F.col("headers").isNull(), "").otherwise(lines).alias("lines"))
+    made = with_text(found).select(*keep, "response_id", "target_uri", "date", "source_digest", "text", title(F.col("html")).alias("title"), F.regexp_extract("html", r"(?i)<html[^<>]*\blang=[\"']?([a-zA-Z-]+)", 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^<>]*href="), F.lit(0))).alias("links"), F.octet_length("html").alias("size"), F.when(F.col("headers").isNull(), "").otherwise(lines).alias("lines"))
     fields = [("source-content-length", "size"), ("source-digest", "source_digest"), ("title", "title"), ("language", "lang"), ("outlinks", "links"), ("text-length", F.octet_length("text"))]
     about = F.concat(*(F.concat(F.lit(f"{k}: "), (F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("\r\n")) for k, v in fields), F.col("lines"))
     conversion = record_id("conversion", F.col("response_id"))
