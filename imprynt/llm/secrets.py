@@ -22,8 +22,8 @@ evidence by joins.
 
 The query has no table of hand-labelled findings, so its labels are those that a finding's own form
 proves (proven(): key prefixes and assignments, not of plain words after a space, against e-mail
-addresses, addresses and numbers with a valid check digit). The signs that prove them are no
-features. At most FIT labelled findings, those with the least hash, are used for training; one in
+addresses, addresses and numbers with a valid check digit). The names that prove an assignment are
+taken out of every feature: the neighbouring words are those next to a finding that name no secret. At most FIT labelled findings, those with the least hash, are used for training; one in
 HELD_OUT of all labelled is kept aside for measure(); all findings are scored.
 
 Null and empty texts have no findings. Repeated rows give their findings again; ties between equal
@@ -45,7 +45,6 @@ LONG, PROVEN, OFTEN = 12, 6, 3
 # Words that name a secret, words that name a placeholder.
 NAMES = "password passwd passphrase pwd secret token apikey api_key access_key private_key auth bearer credential"
 PLACEHOLDERS = "example sample dummy test changeme placeholder your xxxx redacted"
-SIDES = ("prev2", "prev", "before", "next")
 
 
 def _any_of(words: str) -> str:
@@ -104,9 +103,17 @@ def transitions(words: DataFrame) -> DataFrame:
     return every.join(total, F.substring("pair", 1, 1) == F.col("first")).select("pair", (-F.log2(F.col("n") / F.col("all"))).alias("surprise"))
 
 
-def _side(name: str) -> Column:
+def _side(text: Column) -> Column:
     """The last letter run of what stands on that side, lower-cased."""
-    return F.lower(F.regexp_extract(name, "([A-Za-z]+)[^A-Za-z]*$", 1))
+    return F.lower(F.regexp_extract(text, "([A-Za-z]+)[^A-Za-z]*$", 1))
+
+
+def _unnamed(found: DataFrame) -> DataFrame:
+    """found with `__prev`, `__next` and `__beside`: the nearest word on each side, and the words around, of those that
+    name no secret. The names are what proven() labels by, so no feature may see them."""
+    plain = lambda words: F.filter(words, lambda w: (w != "") & ~w.rlike(_any_of(NAMES)))
+    before = plain(F.array("before", "prev", "prev2"))
+    return found.withColumns({"__prev": F.coalesce(F.get(plain(F.array("prev", "prev2")), 0), F.lit("")), "__next": F.coalesce(F.get(plain(F.array("next")), 0), F.lit("")), "__beside": F.concat(before, plain(F.array("next")))})
 
 
 def features(found: DataFrame, words: DataFrame, evidence_from: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -124,17 +131,17 @@ def features(found: DataFrame, words: DataFrame, evidence_from: DataFrame | None
         "f_signs": kept("[A-Za-z0-9]"),
         "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "f_letter_run": F.array_max(F.transform(F.split(v, "[^A-Za-z]"), lambda x: F.length(x))) / n,
-        "f_prev_length": F.length("prev").cast("double"),
-        "f_next_length": F.length("next").cast("double"),
+        "f_prev_length": F.length("__prev").cast("double"),
+        "f_next_length": F.length("__next").cast("double"),
         "f_path_test": flag(F.col("path").rlike(r"(?i)test|example|spec|doc|fixture")),
         "f_path_depth": F.size(F.split("path", "/")).cast("double"),
     }
     fold = F.when(F.col("label").isNull(), 2).otherwise(F.pmod(F.xxhash64("value", "doc_id"), F.lit(2)).cast("int"))
-    own = written(found.withColumns(columns).withColumn("__id", F.monotonically_increasing_id()).withColumn("__fold", fold), "findings")
+    own = written(_unnamed(found).withColumns(columns).withColumn("__id", F.monotonically_increasing_id()).withColumn("__fold", fold), "findings")
 
     # letter runs of three or more, and the words at the sides, meet the dictionary in one join
     runs = F.transform(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.struct(w.alias("word"), F.lit("run").alias("kind")))
-    sides = [F.struct(_side(c).alias("word"), F.lit(c).alias("kind")) for c in ("prev", "next")]
+    sides = [F.struct(_side(F.col(f"__{c}")).alias("word"), F.lit(c).alias("kind")) for c in ("prev", "next")]
     asked = own.select("__id", F.explode(F.concat(runs, F.array(*sides))).alias("w")).select("__id", "w.word", "w.kind")
     known = asked.join(words, "word").groupBy("__id")
     side = lambda c: F.log1p(F.coalesce(F.max(F.when(F.col("kind") == c, F.col("n"))), F.lit(0)))
@@ -144,8 +151,8 @@ def features(found: DataFrame, words: DataFrame, evidence_from: DataFrame | None
     steps = own.select("__id", F.explode(_pairs(_classes(v))).alias("pair")).join(F.broadcast(transitions(words)), "pair")
     surprise = steps.groupBy("__id").agg(F.avg("surprise").alias("f_transitions"))
 
-    said = F.array_distinct(F.array(*(_side(c) for c in SIDES)))
-    told = own.select("__fold", "label", *SIDES) if evidence_from is None else evidence_from.select(F.lit(3).alias("__fold"), "label", *SIDES)
+    said = F.array_distinct(F.transform("__beside", _side))
+    told = own.select("__fold", "label", "__beside") if evidence_from is None else _unnamed(evidence_from).select(F.lit(3).alias("__fold"), "label", "__beside")
     folds = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda g: g != F.col("__fold"))
     counts = told.where("label is not null").select("label", F.explode(said).alias("word"), folds.alias("folds")).select("label", "word", F.explode("folds").alias("__fold")).where("word <> ''")
     odds = counts.groupBy("word", "__fold").agg(F.log((F.sum("label") + 0.5) / (F.count("*") - F.sum("label") + 0.5)).alias("odds"))
@@ -154,7 +161,7 @@ def features(found: DataFrame, words: DataFrame, evidence_from: DataFrame | None
 
     out = own.join(known, "__id", "left").join(surprise, "__id", "left").join(evidence, "__id", "left")
     out = out.withColumn("f_dictionary", F.coalesce("__covered", F.lit(0)) / n).fillna(0.0, ["f_prev_known", "f_next_known", "f_transitions", "f_evidence"])
-    return out.drop("__covered", "__fold", "__id"), [*columns, "f_prev_known", "f_next_known", "f_transitions", "f_evidence", "f_dictionary"]
+    return out.drop("__covered", "__fold", "__id", "__prev", "__next", "__beside"), [*columns, "f_prev_known", "f_next_known", "f_transitions", "f_evidence", "f_dictionary"]
 
 
 def luhn(digits: Column) -> Column:

@@ -71,3 +71,49 @@ def test_leaders_of_a_group_of_many_unlike_texts(spark):
     frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, place long, text string")
     for batch in (simhash.BATCH, 5):
         assert {r["id"]: r["leader"] for r in simhash.similar_groups(frame, batch=batch).collect()} == dict(enumerate(want))
+
+
+def test_no_feature_reads_the_words_that_label(spark):
+    """The same findings beside other names of secrets, or none: every feature stays the same."""
+    rnd = random.Random(4)
+    values = ["".join(rnd.choice("abcdef0123456789") for _ in range(20)) for _ in range(12)]
+    frame = lambda name: docs(spark, [f"here the {name}={v} then" if name else f"here the {v} then" for v in values])
+    words = secrets.dictionary(docs(spark, ["here the then " * 5]))
+    told = []
+    for name in ("password", "token", "api_key", "x"):
+        rows, names = secrets.features(secrets.proven(secrets.findings(frame(name))), words)
+        rows = {r["value"].split("=")[-1]: [r[n] for n in names] for r in rows.collect() if len(r["value"].split("=")[-1]) == 20}
+        told.append({k: v for k, v in rows.items() if k in values})
+    assert told[0].keys() == set(values) and told[0] == told[1] == told[2]
+    judged_ = secrets.proven(secrets.findings(frame("password")))
+    assert {r["label"] for r in judged_.collect()} == {1}
+
+
+def test_trees_are_those_of_the_forest(spark):
+    """The CASE expressions give the chance that the fitted forest gives."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(7)
+    rows = [(rnd.random(), rnd.choice([0.0, 1.0, 2.0]), float(rnd.random() < 0.4)) for _ in range(400)]
+    frame = spark.createDataFrame([(a, b, c if rnd.random() < 0.2 else float(a + b > 1.4)) for a, b, c in rows], "a double, b double, label double")
+    made = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(frame)
+    forest = RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(made)
+    total = sum((F.expr(secrets._tree(t._java_obj.rootNode(), ["a", "b"])) for t in forest.trees), F.lit(0.0)) / 5
+    both = forest.transform(made).select(total.alias("own"), "probability").collect()
+    assert all(abs(r["own"] - r["probability"][1]) < 1e-9 for r in both)
+
+
+def test_hostile_markup_takes_linear_time(spark):
+    import time
+
+    from imprynt.llm import warc
+
+    pages = ["<a " * 350_000, "<nav><main " * 90_000, "<html <title " * 80_000, "<title><title " * 70_000, "<p>one</p><a href='x'>two</a>", "<head><body " * 90_000, "</script " * 110_000, "<!-- " * 200_000]
+    frame = spark.createDataFrame(list(enumerate(["u"] * len(pages))), "page_id long, url string").join(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"), "page_id")
+    warc.derivatives(warc.responses(frame.where("page_id = 4")), ["page_id"]).collect()
+    began = time.time()
+    rows = warc.derivatives(warc.responses(frame), ["page_id"]).select("page_id", "type", "block").collect()
+    assert time.time() - began < 30 and len(rows) == 2 * len(pages)
+    assert {r["block"] for r in rows if r["page_id"] == 4 and r["type"] == "conversion"} == {"one\ntwo"}
