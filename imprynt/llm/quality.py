@@ -29,7 +29,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,7 +75,9 @@ def blocks(docs: DataFrame) -> DataFrame:
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.withColumn("block", F.monotonically_increasing_id()).write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._imprynt_table = name
+    return out
 
 
 def _texts(b, i: int):
@@ -127,19 +128,36 @@ def _code_runs(body: np.ndarray, at: np.ndarray, order: int, most: int = 1 << 20
             yield codes(padded, order)[_starts(starts, order)], np.repeat(np.arange(lo, hi), np.maximum(starts[1:] - starts[:-1] - order + 1, 0))
 
 
-def _counts(found, most: int = 2_000_000):
-    """Batches (code, c) that add up to how often each code occurs."""
-    held = pd.Series(dtype=np.int64)
+def _distinct(arrays: list[np.ndarray]) -> np.ndarray:
+    """The different values of some arrays, in order: by sorting, which needs no more than their own size again."""
+    every = np.concatenate([np.zeros(0, np.int64), *arrays])
+    every.sort()
+    return every[np.append(True, every[1:] != every[:-1])] if len(every) else every
+
 
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy(np.int64))], ["code", "c"])
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) of some such pairs as one, in order of the codes."""
+    code, c = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+    if not len(code):
+        return []
+    order = np.argsort(code)
+    code, c = code[order], c[order]
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return [(code[at], np.add.reduceat(c, at))]
 
+
+def _counts(found, most: int = 2_000_000):
+    """Batches (code, c) that add up to how often each code occurs."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    batch = lambda code, c: pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
     for code in found:
-        held = held.add(pd.Series(code).value_counts(sort=False), fill_value=0).astype(np.int64)
-        if len(held) > most:
-            yield batch()
-            held = pd.Series(dtype=np.int64)
-    yield batch()
+        held.append(np.unique(code, return_counts=True))
+        if sum(len(x) for x, _ in held) > most + len(held[0][0]):
+            held = _summed(held)
+            if len(held[0][0]) > most:
+                yield batch(*held.pop())
+    for x in _summed(held):
+        yield batch(*x)
 
 
 def ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -250,17 +268,21 @@ def scores(held: DataFrame, model: Model) -> DataFrame:
     def distinct(batches):
         for b in batches:
             for i in range(b.num_rows):
-                code = np.zeros(0, np.int64)
+                held_ = [np.zeros(0, np.int64)]
                 for _, body, at in _texts(b, i):
                     for more, _ in _code_runs(body, at, order):
-                        code = pd.unique(np.concatenate([code, pd.unique(more)]))
-                code.sort()
+                        held_.append(_distinct([more]))
+                        if sum(map(len, held_)) > 1_500_000 + 2 * len(held_[0]):
+                            held_ = [_distinct(held_)]
+                code = _distinct(held_)
                 for lo in range(0, len(code), 100_000):
                     own = code[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b.column("block")[i].as_py(), np.int64)), pa.array(own)], ["block", "code"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        index, logp = pd.Index(right["code"].to_numpy()), right["logp"].to_numpy()
+        known, logp = right["code"].to_numpy(), right["logp"].to_numpy()
+        order_ = np.argsort(known)
+        known, logp = known[order_], logp[order_]
         out = []
         for i in range(left.num_rows):
             size = _column(left, "sizes", i)
@@ -268,7 +290,8 @@ def scores(held: DataFrame, model: Model) -> DataFrame:
             for base, body, at in _texts(left, i):
                 for code, doc in _code_runs(body, at, order):
                     first = doc[0] if len(doc) else 0
-                    part = np.bincount(doc - first, logp[index.get_indexer(code)])
+                    own, where = np.unique(code, return_inverse=True)  # in order, they are found side by side
+                    part = np.bincount(doc - first, logp[np.searchsorted(known, own)][where])
                     total[base + first : base + first + len(part)] += part
             bits = pa.array(-total / np.maximum(size, 1) / np.log(2), mask=size == 0)
             out.append(pa.table([*(pa.concat_arrays([left.column(c)[i].values]) for c in ("ids", "hashes", "langs")), pa.array(size), bits], ["doc_id", "h", "lang", "bytes", "bits"]))
@@ -304,6 +327,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     places = held.select("block", F.posexplode("ids").alias("place", "doc_id")).join(good.where(~aside), "doc_id", "left_semi")
     model = train(ngrams_of(held, places.groupBy("block").agg(F.collect_list("place").alias("own")), order), order)
     scored = written(scores(held, model), "scores")
+    docs.sparkSession.sql(f"drop table {held._imprynt_table}")  # its name: the files stay with the others of the run
     per, every = limits(scored.join(good.where(aside), "doc_id", "left_semi"), quantile, spread)
     out = scored.join(per, "lang", "left").withColumn("most", F.coalesce("most", F.lit(every)))
     keep = (F.col("bits") <= F.col("most")) & (F.col("bytes") > 0)
