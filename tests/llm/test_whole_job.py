@@ -117,3 +117,36 @@ def test_hostile_markup_takes_linear_time(spark):
     rows = warc.derivatives(warc.responses(frame), ["page_id"]).select("page_id", "type", "block").collect()
     assert time.time() - began < 30 and len(rows) == 2 * len(pages)
     assert {r["block"] for r in rows if r["page_id"] == 4 and r["type"] == "conversion"} == {"one\ntwo"}
+
+
+def test_languages_are_those_of_the_nearest_centroid_by_brute_force(spark, sf):
+    import math
+    from collections import Counter
+
+    from imprynt.llm import langid
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(120)
+    train = rows.where("doc_id % 3 > 0 and lang is not null").select("text", "lang")
+    model = langid.fit(train)
+
+    def cells(text):
+        b = [int(langid.FOLD[c]) for c in (text or "").encode()]
+        codes = [b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)]
+        return Counter((c * 2654435761 & 0xFFFFFFFF) >> (33 - langid.DIM.bit_length()) for c in codes if c != 0x202020)
+
+    texts = [r["text"] for r in train.collect()]
+    df = Counter(c for t in texts for c in cells(t))
+    assert all(abs(model.idf[c] - (math.log((1 + len(texts)) / (1 + df[c])) + 1)) < 1e-4 for c in range(langid.DIM))
+    assert set(model.langs) == {r["lang"] for r in train.distinct().collect()} and max(Counter(model.langs).values()) <= langid.CLUSTERS
+    told = {r["doc_id"]: r for r in langid.predict(rows, model, ["doc_id"]).collect()}
+    assert len(told) == rows.count()
+    for r in rows.collect():
+        v = {c: math.log1p(n) * float(model.idf[c]) for c, n in cells(r["text"]).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        near = [sum(x * float(m[c]) for c, x in v.items()) / size for m in model.centroids]
+        own = told[r["doc_id"]]
+        if any(c.isalpha() for c in r["text"] or ""):
+            assert abs(own["score"] - min(1.0, max(0.0, max(near)))) < 1e-3
+            assert max(n for n, name in zip(near, model.langs, strict=True) if name == own["lang_pred"]) > max(near) - 1e-4
+        else:
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
