@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from imprynt.llm.common import table, written
 
@@ -65,7 +66,10 @@ def _started(texts: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__line_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__line_hash", F.xxhash64("text"))
+    """docs with KEY: whole numbers as they are, which rows of chunks are smaller and faster with, other ids as text."""
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return docs.withColumn("__line_id", id_).withColumn("__line_hash", F.xxhash64("text"))
 
 
 def _trimmed(lines: Column) -> Column:
@@ -87,12 +91,13 @@ def repeats(texts: DataFrame) -> DataFrame:
     # hash joins: the side with the texts or the rows of all chunks is never sorted.
     # the aggregates are tables before they are joined: a join of two shuffles is one that Spark can split at a hot key
     twice = written(rows.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk"), "twice")
-    found = rows.join(twice.hint("shuffle_hash"), "chunk").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n", "chunk")).alias("found"))
+    found = rows.join(twice.hint("shuffle_hash"), "chunk").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("found"))
     held = texts.join(found.hint("shuffle_hash"), KEY).select(*KEY, split_lines(F.col("text")).alias("lines"), "found")
     cut = F.transform("found", lambda f: F.struct(f["at"].alias("at"), f["n"].alias("n"), _trimmed(F.slice("lines", f["at"] + 1, f["n"])).alias("bytes")))
     held = held.select(*KEY, F.explode(cut).alias("f")).select(*KEY, "f.at", "f.n", "f.bytes").where(F.length("bytes") >= LEAST)
     held = written(held, "candidates")
-    place = F.struct(F.length("__line_id").alias("l"), "__line_id", "__line_hash", "at")
+    whole = isinstance(texts.schema["__line_id"].dataType, IntegralType)
+    place = F.struct("__line_id", "__line_hash", "at") if whole else F.struct(F.length("__line_id").alias("l"), "__line_id", "__line_hash", "at")
     first = held.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("bytes", "first")
     first = written(first, "first")
     gone = held.join(first.hint("shuffle_hash"), "bytes").where(place != F.col("first"))
