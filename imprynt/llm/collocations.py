@@ -38,7 +38,7 @@ from imprynt.llm.words import END, blocks, kinds, words
 
 NAME = "op13_collocations"
 DEPTH = 3
-BLOCK, GROUP, MOST_HOT = 16 << 20, 1_000_000, 1 << 20
+BLOCK, GROUP, MOST_HOT = 6 << 20, 1_000_000, 1 << 20
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 COUNTS = "lang string, w1 string, m long"
 ROUTED = "route long, lang string, w1 string, w2 string, w3 string, n array<int>"
