@@ -15,24 +15,27 @@ by value, so its length grows with the text. Everything here is DataFrame functi
 once, to ranges of the document order, where each meets the next.
 
 Null text counts as empty. An empty text has the empty fingerprint, like only another empty one. A
-text without an anchor is its own single anchor. Rows with equal doc_id and text are one document
-and give one row; equal doc_ids with different texts are ordered by a hash of the text; a null
-doc_id comes first, with the smallest long. All rows of one doc_id are in one range. A very long
-text is one row's work; positions count modulo 2^24. Other columns play no part.
+text without an anchor is its own single anchor. Every row gives a row. Equal doc_ids are ordered by
+a hash of the text, so that many rows of one doc_id are many ranges; a null doc_id comes first, with
+the smallest long. Rows equal in doc_id and text stand next to each other: they move and are
+fingerprinted once, with their number, and all but the last have their own text as the next one. A
+very long text is one row's work; positions count modulo 2^24. Other columns play no part.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from imprynt.llm.common import table
+from imprynt.llm.common import dropped, table, written
 
 NAME = "op10_syncmers"
 TOKEN = r"\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]{1,24}"
 #: Hashes are below 2^38, positions below 2^24; between them is a bit that tells two texts apart.
 K, SHARE, MODULUS, PLACES = 6, 16, 274877906899, 1 << 24
-RANGE, MOST_RANGES = 1000, 1 << 16
+RANGE, MOST_RANGES, LEAST = 1000, 1 << 16, -(1 << 63)
 
 
 def _hash(anchor: Column) -> Column:
@@ -91,59 +94,77 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def boundaries(ids: DataFrame, size: int = RANGE) -> list[int]:
-    """Ids that cut the order of ids(i) into ranges of about `size` rows, the smallest first; at most MOST_RANGES,
-    beyond which ranges grow instead of their list in the plan."""
-    n, least = ids.agg(F.count("*"), F.min("i")).first()
-    cuts = min(MOST_RANGES, n // size)
-    if not cuts:
-        return [least] if n else []
-    shares = F.split(F.lit(",".join(str(k / (cuts + 1)) for k in range(1, cuts + 1))), ",").cast("array<double>")
-    at = ids.agg(F.percentile_approx("i", shares, F.lit(min(20 * cuts, 2_000_000)))).first()[0]
-    return sorted({least, *at})
-
-
-def ranges_of(i: str, cuts: list[int]) -> Column:
-    """The range (from 0) of an id, by binary search among the cuts."""
-    known = _longs(cuts)
+def boundaries(ids: DataFrame, size: int) -> list[tuple[int, int]]:
+    """The first (i, t) of each range of about `size` rows of ids(i, t), which has no row twice; at most MOST_RANGES,
+    beyond which ranges grow instead of their list in the plan. An id with many rows is cut by its hashes t, which are
+    spread evenly."""
+    n = ids.count()
+    if not n:
+        return []
+    cuts, starts = min(MOST_RANGES, n // size), [(LEAST, LEAST)]
+    if cuts:
+        shares = F.split(F.lit(",".join(str(k / (cuts + 1)) for k in range(1, cuts + 1))), ",").cast("array<double>")
+        at = Counter(ids.agg(F.percentile_approx("i", shares, F.lit(min(20 * cuts, 2_000_000)))).first()[0])
+        starts += sorted((i, LEAST + k * ((1 << 64) // c)) for i, c in at.items() for k in range(c))
+    firsts = ids.groupBy(ranges_of(starts).alias("r")).agg(F.min(F.struct("i", "t")).alias("f")).collect()  # a row for each range
+    return sorted((r["f"]["i"], r["f"]["t"]) for r in firsts)
+
+
+def ranges_of(cuts: list[tuple[int, int]]) -> Column:
+    """The range (from 0) of the columns (i, t), by binary search among the cuts."""
+    ids, hashes = _longs([i for i, _ in cuts]), _longs([t for _, t in cuts])
     lo, hi = (lambda a: a["lo"]), (lambda a: a["hi"])
     mid = lambda a: F.floor((lo(a) + hi(a)) / 2).cast("int")
-    step = lambda a, _: F.when(hi(a) - lo(a) <= 1, a).otherwise(F.when(F.get(known, mid(a)) <= F.col(i), F.struct(mid(a).alias("lo"), hi(a).alias("hi"))).otherwise(F.struct(lo(a).alias("lo"), mid(a).alias("hi"))))
+    reached = lambda m: (F.get(ids, m) < F.col("i")) | ((F.get(ids, m) == F.col("i")) & (F.get(hashes, m) <= F.col("t")))
+    step = lambda a, _: F.when(hi(a) - lo(a) <= 1, a).otherwise(F.when(reached(mid(a)), F.struct(mid(a).alias("lo"), hi(a).alias("hi"))).otherwise(F.struct(lo(a).alias("lo"), mid(a).alias("hi"))))
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length()))), start, step, lo)
 
 
-def with_next(named: DataFrame) -> DataFrame:
-    """named(i, t, doc_id, text) with its anchors `own`, and text and anchors of the next row by (i, t) - the first after
-    the last - as `next`. Rows go to ranges of the order of i once; the rows at the start of a range also go to the
-    range before it (those of the first range to the last), where they stand at the end and give no row."""
-    cuts = boundaries(named.select("i"))
-    if not cuts:
-        return anchored(named, "text", "own").withColumn("next", F.struct("text", "own"))
+def with_next(named: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """named(i, t, doc_id, m, text) with its anchors `own`, and text and anchors of the next row by (i, t) - the first
+    after the last - as `next`. Rows go to ranges of this order once; the row at the start of a range also goes to the
+    range before it (that of the first range to the last), where it stands at the end and gives no row."""
     last = len(cuts) - 1
-    ranged = named.withColumn("r", ranges_of("i", cuts))
-    first = F.col("i") == F.get(_longs(cuts), F.col("r"))
+    ranged = named.withColumn("r", ranges_of(cuts))
+    start = lambda k: F.get(_longs([c[k] for c in cuts]), F.col("r"))
+    first = (F.col("i") == start(0)) & (F.col("t") == start(1))
     before = F.when(F.col("r") == 0, last).otherwise(F.col("r") - 1)
     both = F.array_compact(F.array(F.struct(F.lit(0).alias("late"), "r"), F.when(first, F.struct(F.lit(1).alias("late"), before.alias("r")))))
-    dealt = ranged.withColumn("to", F.explode(both)).select("i", "t", "doc_id", "text", "to.late", "to.r").repartition("r")
-    own = Window.partitionBy("r").orderBy("late", "i", "t")
+    dealt = ranged.withColumn("to", F.explode(both)).select("i", "t", "doc_id", "m", "text", "to.late", "to.r").repartition("r")
+    own = Window.partitionBy("r").orderBy("late", "i", "t", "doc_id")
     return anchored(dealt, "text", "own").withColumn("next", F.lead(F.struct("text", "own")).over(own)).where("late = 0").drop("late", "r")
 
 
+def repeated(rows: DataFrame, times: str, step: int = 4096) -> DataFrame:
+    """Each row as often as its column `times` says, in steps, so that no array is long."""
+    rest = F.least(F.lit(step), F.col(times) - F.col("__s"))
+    steps = rows.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(step).cast("long"))))
+    return steps.withColumn("__k", F.explode(F.array_repeat(F.lit(0), rest.cast("int")))).drop(times, "__s", "__k")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of docs(doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(text).alias("t"), F.col("doc_id").cast("long"), text.alias("text"))
-    ids = named.select("i", "t")
-    if ids.count() != ids.distinct().count():
-        named = named.dropDuplicates(["i", "t"])
-    met = with_next(named).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text"))
+    ids = written(named.groupBy("doc_id", "t").agg(F.count("*").alias("m")), "ids")
+    place = F.coalesce(F.col("doc_id"), F.lit(LEAST)).alias("i")
+    cuts = boundaries(ids.select(place, "t"), RANGE) or [(LEAST, LEAST)]
+    repeats = bool(ids.where("m > 1").take(1))
+    dropped(ids)
+    counted = named.groupBy("doc_id", "t").agg(F.first("text").alias("text"), F.count("*").alias("m")) if repeats else named.withColumn("m", F.lit(1).cast("long"))
+    met = with_next(counted.select(place, "t", "doc_id", "m", "text"), cuts)
+    if repeats:
+        again = F.when(F.col("m") > 1, F.struct(F.struct("text", "own").alias("next"), (F.col("m") - 1).alias("m")))
+        both = F.array_compact(F.array(F.struct("next", F.lit(1).cast("long").alias("m")), again))
+        met = met.withColumn("to", F.explode(both)).select("doc_id", "text", "own", "to.next", "to.m")
+    met = met.withColumn("half", F.floor(F.length("text") / 2).cast("int"))
     edited = F.expr("concat(substring(text, 1, length(text) - half), substring(next.text, 1, half))")
-    base = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", F.col("next.own").alias("next"), edited.alias("edited"))
-    keep = ["doc_id", "n_chars", "edited_sha256", "own"]
+    base = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "m", "own", F.col("next.own").alias("next"), edited.alias("edited"))
     out = anchored(base.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "new", drop_text=True)
     out = likeness(likeness(out, "own", "next", "near_next").drop("next"), "own", "new", "near_edited")
-    return out.select(*keep[:3], fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"), "near_edited", "near_next")
+    out = out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"), "near_edited", "near_next", "m")
+    return repeated(out, "m") if repeats else out.drop("m")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -534,6 +534,46 @@ def test_ranges_do_not_change_the_order(spark, monkeypatch):
     assert sorted(map(tuple, syncmers.fingerprints(docs(spark, texts).select("doc_id", "text")).collect())) == whole
 
 
+def test_every_row_has_a_fingerprint_of_its_own(spark, monkeypatch):
+    """Repeated rows, one id with many texts and many null ids, in many ranges, against a list in order."""
+    import hashlib
+
+    monkeypatch.setattr(syncmers, "RANGE", 5)
+    rows = [(None, f"none {i % 40} " + "a b c d e f g " * (i % 5)) for i in range(60)] + [(7, f"seven {i} " * 9) for i in range(50)] + [(9, "same text")] * 30 + [(i, None) for i in range(10, 14)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in frame.selectExpr("text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashes[r[1]]))
+    want = []
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        want.append((i is None, i or 0, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    got = syncmers.fingerprints(frame).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+    ids = frame.selectExpr("coalesce(doc_id, -9223372036854775808) as i", "xxhash64(coalesce(text, '')) as t").distinct()
+    cuts = syncmers.boundaries(ids, 5)
+    sizes = [r["count"] for r in ids.groupBy(syncmers.ranges_of(cuts).alias("r")).count().collect()]
+    assert len(sizes) == len(cuts) > 10 and max(sizes) <= 20
+
+
+def test_repeated_rows_in_steps(spark):
+    frame = spark.createDataFrame([(1, 1), (2, 10), (3, 9)], "id long, m long")
+    assert {r["id"]: r["count"] for r in syncmers.repeated(frame, "m", 3).groupBy("id").count().collect()} == {1: 1, 2: 10, 3: 9}
+
+
+def test_common_grams_are_met_in_parts(monkeypatch):
+    """A frame that all items share: any split of the items finds the regions of the whole."""
+    rnd = random.Random(6)
+    frame = words(rnd, 12)
+    items = [(i, f"{frame} {words(rnd, 8, 5000)}") for i in range(60)]
+    text = decontaminate._codes(" ".join([words(rnd, 40), items[3][1], words(rnd, 30), items[41][1], frame]) + "\0" * 8)
+    index = decontaminate.Index(items)
+    whole = sorted(zip(*(x.tolist() for x in index.regions(text)), strict=True))
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    assert len(index.parts(index.shared(text)[1])) > 10
+    assert sorted(zip(*(x.tolist() for x in index.regions(text)), strict=True)) == whole and {3, 41} <= {i for i, _, _ in whole}
+
+
 # ---- WARC
 
 
