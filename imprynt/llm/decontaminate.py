@@ -14,7 +14,9 @@ neighbouring diagonals. So:
    their item by an equi-join and are verified by banded alignment.
 
 The benchmark is read in blocks of at most BLOCK characters, one after the other, each block a
-broadcast of bounded size; a benchmark beyond one block takes more passes over the documents.
+broadcast of bounded size that goes once its matches are written; a benchmark beyond one block takes
+more passes over the documents. Where many items share q-grams, a megabyte of documents meets them in
+parts of about HITS hits (or one item's), so that memory does not grow with what items share.
 
 Null and empty texts match nothing. Items of fewer than q characters have no q-gram; they match
 documents that hold nothing else. Repeated items and documents are allowed; rows of one
@@ -35,7 +37,7 @@ from imprynt.llm.common import table, written
 NAME = "op3_decontamination"
 Q, EDITS, BLOCK = 8, 0.1, 4_000_000
 BASE = 0x9E3779B97F4A7C15
-BITS, SLOTS = 22, 1 << 21
+BITS, SLOTS, HITS = 22, 1 << 21, 1 << 21
 MATCH = "doc_id long, item_id long, start long, end long, edits int"
 
 
@@ -79,27 +81,47 @@ class Index:
         self.at = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(self.hash, kind="stable")
         self.item, self.at = self.item[order], self.at[order]
-        self.hash, self.first, self.n = np.unique(self.hash[order], return_index=True, return_counts=True)
+        self.hash, rank, self.n = np.unique(self.hash[order], return_inverse=True, return_counts=True)
+        self.rank = rank.reshape(-1)
+        self.code = self.rank * len(items) + self.item  # in order: by q-gram, then by item
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.hash >> np.uint64(64 - BITS)] = True
 
-    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in chars, item, place in item) of every shared q-gram."""
+    def shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in chars, number of the q-gram) where a q-gram is one of the benchmark's."""
         h = grams(chars)
         place = np.flatnonzero(self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         if not len(self.hash):
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 2
         at = np.minimum(np.searchsorted(self.hash, h[place]), len(self.hash) - 1)
         same = self.hash[at] == h[place]
-        place, at = place[same], at[same]
-        lo, n = self.first[at], self.n[at]
-        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return place[same], at[same]
+
+    def parts(self, gram: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of items that have about HITS hits each; an item with more stands alone."""
+        if self.n[gram].sum() <= HITS:
+            return [(0, len(self.ids))]
+        met = np.bincount(gram, minlength=len(self.hash))
+        hits = np.bincount(self.item, weights=met[self.rank], minlength=len(self.ids))
+        part = (np.cumsum(hits) / HITS).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(self.ids)]
+        return list(zip(cuts, cuts[1:], strict=False))
+
+    def hits(self, place: np.ndarray, gram: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in chars, item, place in item) of every shared q-gram of the items from lo to hi."""
+        first = np.searchsorted(self.code, gram * len(self.ids) + lo)
+        n = np.searchsorted(self.code, gram * len(self.ids) + hi) - first
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(place, n), self.item[entry], self.at[entry]
 
     def regions(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, from, to) of the bands that reach the lemma's bound; texts in chars are set apart by gaps
         of a character that no text holds."""
-        place, item, at = self.hits(chars)
+        place, gram = self.shared(chars)
+        found = [self._bands(*self.hits(place, gram, lo, hi)) for lo, hi in self.parts(gram)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _bands(self, place: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         wide = self.edits[item] + 1
         band = (place - at + self.length[item]) // wide  # a text may start before its first character here
         key = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
@@ -219,6 +241,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         index = spark.sparkContext.broadcast(Index([(r["item_id"], r["item"]) for r in rows]))
         hits = verified(candidates(docs, index), items)
+        if blocks > 1:
+            hits = written(hits, "matches")
+            index.destroy()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], MATCH)
