@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 from imprynt.operators import stats
+from imprynt.sources.tables import BROADCAST_ROWS, staged
 
 
 def test_streams_end_in_files(spark, sf):
@@ -17,3 +18,10 @@ def test_bursts_sort_times_within_blocks_only(spark):
     one, many = (stats.burst_clusters(rows, 300, 7, block) for block in (10**9, 700))
     assert "windowspecdefinition(t#" not in many._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect())) and many.count() > 1
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark, sf):
+    made = lambda n: staged(spark, sf, f"of_{n}", lambda: spark.range(n).selectExpr("id div 20 as file_id", "'8' as node_id"))
+    files = spark.range(50).selectExpr("id as file_id")
+    plan = lambda n: files.join(made(n), "file_id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(2 * BROADCAST_ROWS) and "Broadcast" in plan(100)
