@@ -226,3 +226,27 @@ def test_coarse_differences_are_told(spark):
     df = spark.createDataFrame([("x a b c y", "x d e f y"), ("same", "same"), (None, "z")], "a string, b string")
     assert [r["coarse"] for r in compare.word_diff(df, "a", "b", 4).collect()] == [True, False, False]
     assert not any(r["coarse"] for r in compare.word_diff(df, "a", "b").collect())
+
+
+def test_units_of_a_prompt_stay_in_its_row(spark):
+    from imprynt.operators import prompts as T
+
+    texts = ["the red fox. a red fox, snow; 12 34.", "The red  fox. a red fox, snow; 12 34.", "snow. red fox"]
+    frames = T.build_frames(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "file_id long, positive_prompt string, negative_prompt string"))
+    weighted = frames.texts.selectExpr("'g' as group", "key", "2L as w")
+    counts = T.unit_counts(frames, weighted)
+    by_sentence = frames.units.select("key", "kind", "term").distinct().join(weighted, "key").groupBy("group", "kind", "term").sum("w")
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, by_sentence.collect()))
+    assert "keys=[key" not in counts._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    snow = T.unit_counts(frames, weighted, spark.createDataFrame([("g", "a red fox, snow")], "group string, sentence string"))
+    assert {r["term"]: r["df"] for r in snow.where("kind = '1g'").collect()}["snow"] == 2 and counts.where("kind = '1g' and term = 'snow'").first()["df"] == 6
+
+
+def test_frames_are_written_when_asked_for(spark, sf):
+    from imprynt.plans.q_text import keyed
+    from imprynt.sources.tables import _STAGED
+
+    names = lambda: {k[3] for k in _STAGED if str(k[3]).startswith("frames_")}
+    before = names()
+    keyed(spark, sf)
+    assert "frames_units" not in names() and names() - before <= {"frames_files"}
