@@ -25,3 +25,10 @@ def test_many_rows_in_small_files_are_not_broadcast(spark, sf):
     files = spark.range(50).selectExpr("id as file_id")
     plan = lambda n: files.join(made(n), "file_id", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan(2 * BROADCAST_ROWS) and "Broadcast" in plan(100)
+
+
+def test_prompts_are_put_together_by_one_shuffle(spark, sf):
+    from imprynt.plans.q_graph import _api_json
+
+    plan = _api_json(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
