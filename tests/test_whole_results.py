@@ -2,6 +2,8 @@
 
 import __spark_entry__ as entry
 from imprynt.operators import stats
+from imprynt.plans.fixtures import view
+from imprynt.sources import tables
 from imprynt.sources.tables import BROADCAST_ROWS, staged
 
 
@@ -32,3 +34,11 @@ def test_prompts_are_put_together_by_one_shuffle(spark, sf):
 
     plan = _api_json(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_views_do_not_broadcast_what_they_group(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 1000)
+    plan = lambda: view(spark, sf, "v_edges")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan() and "SortMergeJoin" in plan()
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 10**9)
+    assert "BroadcastHashJoin" in plan()
