@@ -42,3 +42,10 @@ def test_views_do_not_broadcast_what_they_group(spark, sf, monkeypatch):
     assert "BroadcastHashJoin" not in plan() and "SortMergeJoin" in plan()
     monkeypatch.setattr(tables, "BROADCAST_ROWS", 10**9)
     assert "BroadcastHashJoin" in plan()
+
+
+def test_cleanup_joins_by_file(spark, sf):
+    made = entry.queries()["g13_switched_off"](spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    both = [x for x in plan if "Join" in x and x.count("file_id#") > 1 and x.count("node_id#") > 1]
+    assert len(both) == 1, both  # entries without those of planned nodes; all else is joined by file
