@@ -1,5 +1,7 @@
 """Results that once went through one task or the driver."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from imprynt.operators import stats
 from imprynt.plans.fixtures import view
@@ -49,3 +51,36 @@ def test_cleanup_joins_by_file(spark, sf):
     plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
     both = [x for x in plan if "Join" in x and x.count("file_id#") > 1 and x.count("node_id#") > 1]
     assert len(both) == 1, both  # entries without those of planned nodes; all else is joined by file
+
+
+def test_texts_are_taken_apart_once(spark, sf):
+    from imprynt.operators import prompts as T
+    from imprynt.plans import q_text
+
+    of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert of(T.prompt_files(view(spark, sf, "v_prompts"))).count("md5(") == 1
+    texts = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as key", "text")
+    assert of(T.split_texts(texts)).count("array_distinct(") == 2  # of texts to be put in form NFKC, and of others
+    assert of(entry.queries()["f12_tokens"](spark, sf)).count("regexp_extract_all(") == 1
+    f = q_text.frames(spark, sf)
+    made = T.sentence_clusters(f, q_text.weighted(spark, sf), metric="difflib")
+    assert not [p for p in made.inputFiles() if "frames_split" in p]  # the candidates are a table of their own
+
+
+def test_only_texts_that_form_nfkc_changes_are_odd(spark):
+    import unicodedata
+
+    from imprynt.functions.text import ODD
+
+    every = [*range(0x200), 0x1100, 0x2028, 0x3042, 0xAC00, 0xFB01, 0xFF41, 0x1D400, 0x1F600, 0x10FFFF]
+    told = spark.createDataFrame([(c, "ab" + chr(c)) for c in every], "c int, t string").select("c", F.col("t").rlike(ODD).alias("odd")).collect()
+    kept = {r["c"] for r in told if not r["odd"]}
+    assert len(kept) == 160 + 186 and max(kept) < 0x180 and all(unicodedata.normalize("NFKC", chr(c)) == chr(c) for c in kept)
+
+
+def test_prompt_keys_of_white_space(spark):
+    from imprynt.functions import scalars as S
+
+    rows = [("",), (" \t\r\n\x0b\f ",), (None,), ("\ta\t b  c\r\rd \r\n e\t",), ("\u00a0",)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "t string").select(S.prompt_ws("t"), S.prompt_key("t").isNull()).collect()]
+    assert got == [("", True), ("", True), (None, True), ("a b c\n\nd \n e", False), ("\u00a0", False)]
