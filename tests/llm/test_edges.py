@@ -1,6 +1,9 @@
 """Nulls, empty tables, long texts, ties, repeated rows and clashing column names, for every operator and stage."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from imprynt.llm import chat, collocations, decontaminate, fptree, langid, lines, oddsketch, packing, quality, secrets, simhash, syncmers, warc
@@ -76,3 +79,15 @@ def test_pipeline_against_its_parts(spark, sf):
     now = now.where(now["doc_id"].isin(list(firsts)))
     dirty = {r["doc_id"] for r in decontaminate.contaminated(now, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == firsts - dirty
+
+
+def test_lines_are_split_once_by_the_marks_a_text_has(spark):
+    texts = ["", "n ", "n n n ", "..n .", "n \u0001n ", "\u0001", "eins n zwei, drei\n", "én té.。n ，、", "a;b:c!d?e"]
+    t, own = F.col("text"), lines.has_cut(F.col("text"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = F.transform(lines.split_lines(t), lambda x: lines.shown(x, own))
+    for r in docs.select("text", kept.alias("kept"), lines.bare_lines(t).alias("bare")).collect():
+        assert r["kept"] == re.split(f"(?<=[{lines.MARKS}])|(?<=[{lines.LETTERS}] )", r["text"]), r
+        assert r["bare"] == re.split(f"[{lines.MARKS}]|(?<=[{lines.LETTERS}]) ", r["text"]), r
+    plan = lines.chunks(lines.keyed(docs).select(*lines.KEY, "text"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and "split(" in x], plan
