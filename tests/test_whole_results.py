@@ -84,3 +84,24 @@ def test_prompt_keys_of_white_space(spark):
     rows = [("",), (" \t\r\n\x0b\f ",), (None,), ("\ta\t b  c\r\rd \r\n e\t",), ("\u00a0",)]
     got = [tuple(r) for r in spark.createDataFrame(rows, "t string").select(S.prompt_ws("t"), S.prompt_key("t").isNull()).collect()]
     assert got == [("", True), ("", True), (None, True), ("a b c\n\nd \n e", False), ("\u00a0", False)]
+
+
+def test_keyed_files_hold_empty_and_missing_prompts(spark, sf, tmp_path):
+    import os
+
+    import duckdb
+
+    from imprynt.functions import scalars as S
+
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    # empty, missing, in no group, twice under one id, without an id
+    odd = "(-1, '', 'en'), (-2, ' ' || chr(10), 'en'), (-4, null, 'en'), (-5, null, null), (-7, '', null), (-8, 'one text', 'de'), (-8, 'another', 'de'), (-8, 'another', 'de'), (null, 'no id', 'de')"
+    con = duckdb.connect()
+    con.execute(f"copy (from '{sf}/documents.parquet' union all select i, t, l, 'web', length(t) from (values {odd}) v(i, t, l)) to '{tmp_path}/documents.parquet'")
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet'")
+    for name in ("j02_with_keys", "j05_keyed_files", "t08_group_sizes"):
+        got, want = entry.queries()[name](spark, str(tmp_path)), con.sql(entry.oracle_sql()[name])
+        assert sorted(map(str, map(tuple, got.select(want.columns).collect()))) == sorted(map(str, want.fetchall())), name
+    assert spark.range(1).select(S.prompt_key(F.lit(" ")).isNull()).first()[0]  # as a property of one text it is null still
