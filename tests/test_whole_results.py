@@ -105,3 +105,48 @@ def test_keyed_files_hold_empty_and_missing_prompts(spark, sf, tmp_path):
         got, want = entry.queries()[name](spark, str(tmp_path)), con.sql(entry.oracle_sql()[name])
         assert sorted(map(str, map(tuple, got.select(want.columns).collect()))) == sorted(map(str, want.fetchall())), name
     assert spark.range(1).select(S.prompt_key(F.lit(" ")).isNull()).first()[0]  # as a property of one text it is null still
+
+
+def test_equal_graphs_are_worked_out_once(spark, sf):
+    from imprynt.operators import graph as G
+    from imprynt.plans import q_graph
+
+    nodes = [(f, n, c) for f in (1, 2, 3, 4, 5) for n, c in (("a", "KSampler"), ("b", "VAEDecode"))] + [(5, "b", "VAEDecode"), (6, "a", None), (6, "b", "VAEDecode")]
+    edges = [(1, "b", "samples", "a"), (3, "b", "samples", "a"), (2, "b", "samples", "b"), (4, "b", "sample", "sa"), (5, "b", "samples", "a"), (6, "b", "samples", "a")]
+    n, e = spark.createDataFrame(nodes, "file_id long, node_id string, class_type string"), spark.createDataFrame(edges, "file_id long, dst string, input string, src string")
+    same = G.equal_graphs(G.graph_digests(n, e))
+    assert {r["file_id"]: r["same"] for r in same.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6}
+    few = G.standing(n, same)
+    assert sorted({r["file_id"] for r in few.collect()}) == [1, 2, 4, 5, 6]
+    assert sorted(map(tuple, G.spread(few, same).collect()), key=str) == sorted(nodes, key=str)
+    # two texts of files and three of switches: six graphs, whatever the files
+    assert q_graph.rich_standing(spark, sf)[0].select("file_id").distinct().count() == 6
+
+
+def test_texts_of_files_go_with_the_graph_that_stands_for_them(spark):
+    from imprynt.operators import extraction as E
+    from imprynt.operators import graph as G
+
+    graph = [("1", "CLIPTextEncodeFlux"), ("2", "PrimitiveString"), ("3", "StringConcatenate"), ("4", "KSampler"), ("5", "MysteryNode"), ("6", "PrimitiveFloat")]
+    links = [("1", "t5xxl", "3"), ("3", "string_a", "2"), ("4", "positive", "1"), ("4", "negative", "5"), ("1", "guidance", "6")]
+    lits = [("1", "clip_l", "other {}", None), ("2", "value", "a{}", None), ("3", "string_b", "b{}", None), ("5", "words", "the long text of file {}", None), ("5", "more", "the longest text of file {}", None), ("6", "value", None, 1.5)]
+    files = range(8)
+    n = spark.createDataFrame([(f, *x) for f in files for x in graph], "file_id long, node_id string, class_type string")
+    e = spark.createDataFrame([(f, *x) for f in files for x in links], "file_id long, dst string, input string, src string")
+    # a blank part, an unknown delimiter, a text too short to be taken, none at all
+    said = lambda f, i, t: t and (" " if f == 1 and i in ("value", "string_b") else "short" if f == 2 and i in ("words", "more") else t.format(f))
+    rows = [(f, k, i, said(f, i, t), None if f == 5 and v else v) for f in files for k, i, t, v in lits if f != 4] + [(3, "3", "delimiter", None, 1.0), (6, "6", "value2", None, 2.0)]
+    l = spark.createDataFrame([(*r, None) for r in rows], "file_id long, node_id string, input string, str string, num double, bool boolean")
+    off = spark.createDataFrame([], "file_id long, node_id string, input string")
+    same = G.equal_graphs(G.graph_digests(n, e), G.digests(E.long_texts(l), "node_id"))
+    assert 1 < same.select("same").distinct().count() < 4
+    rank = G.topo_order(e, n.select("file_id", "node_id"))
+    stages = E.sampler_stages(n, rank)
+    got = {}
+    for side in ("positive", "negative"):
+        one = [G.standing(x, same) for x in (stages, n, e)]
+        traced = E.trace_prompts(*one, l, off, side, G.standing(rank, same), same).collect()
+        assert sorted(traced, key=str) == sorted(E.trace_prompts(stages, n, e, l, off, side, rank).collect(), key=str) and len(traced) == len(files)
+        got[side] = {r["file_id"]: (r["prompt"], r["encoder_guidance"]) for r in traced}
+    assert got["positive"] == {0: ("a0b0", 1.5), 1: ("other 1", 1.5), 2: ("a2b2", 1.5), 3: ("other 3", 1.5), 4: (None, None), 5: ("a5b5", None), 6: ("a6b6", None), 7: ("a7b7", 1.5)}
+    assert {f: p for f, (p, _) in got["negative"].items()} == {f: None if f in (2, 4) else f"the longest text of file {f}" for f in files}
