@@ -150,3 +150,9 @@ def test_texts_of_files_go_with_the_graph_that_stands_for_them(spark):
         got[side] = {r["file_id"]: (r["prompt"], r["encoder_guidance"]) for r in traced}
     assert got["positive"] == {0: ("a0b0", 1.5), 1: ("other 1", 1.5), 2: ("a2b2", 1.5), 3: ("other 3", 1.5), 4: (None, None), 5: ("a5b5", None), 6: ("a6b6", None), 7: ("a7b7", 1.5)}
     assert {f: p for f, (p, _) in got["negative"].items()} == {f: None if f in (2, 4) else f"the longest text of file {f}" for f in files}
+
+
+def test_power_prompts_are_dealt_out(spark, sf):
+    from imprynt.plans.q_graph import power_prompts
+
+    assert power_prompts(spark, sf).rdd.getNumPartitions() > 1
